@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
-from vapora.llm import exact_dedup, hilbert_shards
+from vapora.llm import exact_dedup, hilbert_shards, pii_spans, squares_packing
 
 QUERIES = {
     "op2_hilbert_shards": hilbert_shards.op2_hilbert_shards,
+    "op4_pii_spans": pii_spans.op4_pii_spans,
+    "op7_squares_packing": squares_packing.op7_squares_packing,
     "op9_exact_dedup": exact_dedup.op9_exact_dedup,
 }
 ORACLE_SQL = {
     "op2_hilbert_shards": hilbert_shards.ORACLE_SQL,
+    "op4_pii_spans": pii_spans.ORACLE_SQL,
     "op9_exact_dedup": exact_dedup.ORACLE_SQL,
 }
