@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
-from vapora.llm import exact_dedup, hilbert_shards, pii_spans, squares_packing
+from vapora.llm import cross_parsing, divergence_rules, exact_dedup, hilbert_shards, pii_spans, squares_packing
 
 QUERIES = {
+    "op1_divergence_rules": divergence_rules.op1_divergence_rules,
     "op2_hilbert_shards": hilbert_shards.op2_hilbert_shards,
     "op4_pii_spans": pii_spans.op4_pii_spans,
+    "op6_cross_parsing": cross_parsing.op6_cross_parsing,
     "op7_squares_packing": squares_packing.op7_squares_packing,
     "op9_exact_dedup": exact_dedup.op9_exact_dedup,
 }
