@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from vapora.llm import cross_parsing, divergence_rules, exact_dedup, hilbert_shards, pii_spans, squares_packing
+from vapora.llm import cross_parsing, divergence_rules, exact_dedup, hilbert_shards, pii_spans, squares_packing, suffix_tree_lm
 
 QUERIES = {
     "op1_divergence_rules": divergence_rules.op1_divergence_rules,
@@ -10,6 +10,7 @@ QUERIES = {
     "op4_pii_spans": pii_spans.op4_pii_spans,
     "op6_cross_parsing": cross_parsing.op6_cross_parsing,
     "op7_squares_packing": squares_packing.op7_squares_packing,
+    "op8_suffix_tree_lm": suffix_tree_lm.op8_suffix_tree_lm,
     "op9_exact_dedup": exact_dedup.op9_exact_dedup,
 }
 ORACLE_SQL = {
