@@ -26,6 +26,8 @@ from vapora.llm import common, lockstep
 
 SAMPLE, SAMPLE_DOCS, LANGUAGES, ALPHABET, SEGMENT = 16_000, 64, 64, 64, 512
 UNKNOWN = "und"
+#: Bytes of text that are parsed at once.
+SLICE = 4 << 20
 
 
 def held_out(doc_id: Column, folds: int, fold: int) -> Column:
@@ -139,7 +141,7 @@ def _predict(model):
             symbol[list(places)] = list(places.values())
             read("")
             cache.append(symbol[_LETTERS[0]])  # code point to symbol
-        for batch in batches:
+        for batch in common.slices(batches, "text", SLICE):
             texts = batch.column("text").to_pylist()
             points = [np.frombuffer((t or "").encode("utf-32-le", "surrogatepass"), np.uint32) for t in texts]
             lengths = np.array([len(p) for p in points], np.int64)
