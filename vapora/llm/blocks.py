@@ -8,6 +8,8 @@ arrays, compressed where it repeats: a few rows per block and bucket, not one pe
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pyarrow as pa
 import xxhash
@@ -52,3 +54,46 @@ def unpack(raw: bytes) -> np.ndarray:
 def block_number(n: int) -> int:
     """The n-th block of this task; blocks are written once, so a number that a retry gives again is no clash."""
     return (TaskContext.get().partitionId() << 24) + n
+
+
+def squeeze(raw: bytes) -> bytes:
+    return zstandard.ZstdCompressor(level=1).compress(raw)
+
+
+def unsqueeze(raw: bytes) -> bytes:
+    return zstandard.ZstdDecompressor().decompress(raw)
+
+
+def stream(table: pa.Table) -> bytes:
+    """A table as compressed bytes."""
+    out = pa.BufferOutputStream()
+    with pa.ipc.new_stream(out, table.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as w:
+        w.write_table(table)
+    return out.getvalue().to_pybytes()
+
+
+def open_stream(raw: bytes) -> pa.Table:
+    return pa.ipc.open_stream(raw).read_all()
+
+
+def ragged(starts: np.ndarray, counts: np.ndarray) -> np.ndarray:
+    """Places start, start + 1, .. of each run, run after run."""
+    total = int(counts.sum())
+    return np.arange(total) - np.repeat(np.cumsum(counts) - counts, counts) + np.repeat(starts, counts)
+
+
+def gathered(batches: Iterator[pa.RecordBatch], size: int = 0) -> Iterator[tuple[list, list[str]]]:
+    """doc_ids and texts of a task's documents in blocks of about BLOCK_BYTES; a null text is empty."""
+    ids: list = []
+    texts: list[str] = []
+    held = 0
+    for batch in batches:
+        for doc_id, text in zip(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist(), strict=True):
+            ids.append(doc_id)
+            texts.append(text or "")
+            held += len(texts[-1])
+            if held > (size or BLOCK_BYTES):
+                yield ids, texts
+                ids, texts, held = [], [], 0
+    if ids:
+        yield ids, texts

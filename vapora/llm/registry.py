@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from vapora.llm import cross_parsing, divergence_rules, exact_dedup, hilbert_shards, pii_spans, squares_packing, suffix_tree_lm
+from vapora.llm import bpe_words, cross_parsing, divergence_rules, exact_dedup, hilbert_shards, pii_spans, squares_packing, suffix_tree_lm
 
 QUERIES = {
     "op1_divergence_rules": divergence_rules.op1_divergence_rules,
     "op2_hilbert_shards": hilbert_shards.op2_hilbert_shards,
     "op4_pii_spans": pii_spans.op4_pii_spans,
+    "op5_bpe_words": bpe_words.op5_bpe_words,
     "op6_cross_parsing": cross_parsing.op6_cross_parsing,
     "op7_squares_packing": squares_packing.op7_squares_packing,
     "op8_suffix_tree_lm": suffix_tree_lm.op8_suffix_tree_lm,
