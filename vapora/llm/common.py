@@ -65,3 +65,17 @@ def spread(df: DataFrame, n: int | Column, name: str = "salt") -> DataFrame:
     """Each row once for every salt below n."""
     n = F.lit(n) if isinstance(n, int) else n
     return df.withColumn(name, F.explode(F.sequence(F.lit(0), (n - 1).cast("int"))))
+
+
+#: Bits of a filter of numbers: 2 MB, whatever the input.
+FILTER_BITS = 24
+
+
+def bit_filter(df: DataFrame, column: str) -> bytes:
+    """A bit for each value of a column of numbers, at its low FILTER_BITS bits; gathered in slices of 4 kB."""
+    low = F.col(column).bitwiseAND(F.lit((1 << FILTER_BITS) - 1))
+    slices = df.select((F.shiftright(low, 15)).alias("slice"), low.bitwiseAND(F.lit((1 << 15) - 1)).alias("bit")).groupBy("slice").agg(F.bitmap_construct_agg("bit").alias("bits"))
+    out = bytearray(1 << (FILTER_BITS - 3))
+    for r in slices.collect():  # at most 512 slices
+        out[r["slice"] << 12 : (r["slice"] + 1) << 12] = r["bits"]
+    return bytes(out)

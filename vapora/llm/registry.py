@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from vapora.llm import bpe_words, cross_parsing, divergence_rules, exact_dedup, hilbert_shards, pii_spans, squares_packing, suffix_tree_lm
+from vapora.llm import bpe_words, cross_parsing, divergence_rules, exact_dedup, heavy_light_join, hilbert_shards, pii_spans, squares_packing, suffix_tree_lm
 
 QUERIES = {
     "op1_divergence_rules": divergence_rules.op1_divergence_rules,
     "op2_hilbert_shards": hilbert_shards.op2_hilbert_shards,
+    "op3_heavy_light_join": heavy_light_join.op3_heavy_light_join,
     "op4_pii_spans": pii_spans.op4_pii_spans,
     "op5_bpe_words": bpe_words.op5_bpe_words,
     "op6_cross_parsing": cross_parsing.op6_cross_parsing,
