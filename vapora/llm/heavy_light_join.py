@@ -242,7 +242,7 @@ def _meet(key: tuple, table: pa.Table) -> pa.Table:
     for kind, parts in pairs.items():
         if parts:
             p = np.unique(np.sort(np.concatenate(parts), axis=1) if kind == "link" else np.concatenate(parts), axis=0)
-            out.append(pa.table({"kind": pa.array([kind] * len(p)), "a": p[:, 0], "b": p[:, 1], "list": pa.array([None] * len(p), pa.binary())}))
+            out.append(pa.table({"kind": pa.array([kind] * len(p), pa.string()), "a": p[:, 0], "b": p[:, 1], "list": pa.array([None] * len(p), pa.binary())}))
     out.append(pa.table({"kind": pa.array(["long"] * len(long), pa.string()), "a": pa.array([0] * len(long), pa.int64()), "b": pa.array([0] * len(long), pa.int64()), "list": pa.array(list(long), pa.binary())}))
     return pa.concat_tables(out)
 
