@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from vapora.llm import bpe_words, cross_parsing, divergence_rules, exact_dedup, heavy_light_join, hilbert_shards, pii_spans, squares_packing, suffix_tree_lm
+from vapora.llm import bpe_words, cross_parsing, divergence_rules, exact_dedup, heavy_light_join, hilbert_shards, pii_spans, squares_packing, suffix_dedup, suffix_tree_lm
 
 QUERIES = {
     "op1_divergence_rules": divergence_rules.op1_divergence_rules,
@@ -14,6 +14,7 @@ QUERIES = {
     "op7_squares_packing": squares_packing.op7_squares_packing,
     "op8_suffix_tree_lm": suffix_tree_lm.op8_suffix_tree_lm,
     "op9_exact_dedup": exact_dedup.op9_exact_dedup,
+    "op10_suffix_dedup": suffix_dedup.op10_suffix_dedup,
 }
 ORACLE_SQL = {
     "op2_hilbert_shards": hilbert_shards.ORACLE_SQL,
