@@ -2,5 +2,11 @@
 
 from __future__ import annotations
 
+from vapora.operators import baseline, features
+
+_PARTS = (baseline, features)
 QUERIES: dict = {}
 ORACLE_SQL: dict[str, str] = {}
+for _part in _PARTS:
+    QUERIES |= _part.QUERIES
+    ORACLE_SQL |= _part.ORACLE_SQL
