@@ -33,7 +33,9 @@ from vapora.llm import blocks, common, graph
 #: Words of a shingle; similarity as a fraction.
 N, SIMILAR, OF = 5, 75, 100
 #: Counters of the frequency sketch; classes of a list that are all paired, and pivots of a longer one; members tested at once.
-SKETCH_BITS, SHORT, PIVOTS, TESTED = 22, 12, 3, 256
+SKETCH_BITS, SHORT, PIVOTS, TESTED = 22, 12, 1, 256
+#: What finds a document again; null ids share one.
+MARK = "xxhash64(doc_id)"
 #: Largest size that may be light.
 LIGHT_MOST = 12
 _ODD = np.uint64(0x9E3779B97F4A7C15)
@@ -125,7 +127,7 @@ def _sum_sketch(key: tuple, table: pa.Table) -> pa.Table:
     for raw in table.column("counters").to_pylist():
         total = total + blocks.unpack(raw).astype(np.int64)
     if key[0].as_py() >= 0:
-        total = np.ceil(np.log2(total + 1))
+        total = np.rint(8 * np.log2(total + 1))
     return pa.table({"chunk": pa.array([key[0].as_py()], pa.int32()), "counters": [blocks.pack(np.asarray(total, np.int64))]})
 
 
@@ -140,10 +142,11 @@ def choose_boundary(sizes: np.ndarray, scan: float) -> int:
     return int(np.argmin(costs))
 
 
-def _entries(s: np.ndarray, order: np.ndarray, boundary: int) -> tuple[np.ndarray, np.ndarray]:
-    """Keys of a set's list entries, and the subset size of each, 0 for a shingle's list."""
+def _entries(s: np.ndarray, order: np.ndarray, boundary: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Keys of a set's list entries; the subset size of each, 0 for a shingle's list; the set's shingles from the listed one on."""
     keys: list[np.ndarray] = []
     kinds: list[np.ndarray] = []
+    rests: list[np.ndarray] = []
     a = len(s)
     if a <= boundary:
         for c in subset_sizes(a, boundary):
@@ -153,15 +156,17 @@ def _entries(s: np.ndarray, order: np.ndarray, boundary: int) -> tuple[np.ndarra
                 h = _mix(h * _ODD + subsets[:, k])
             keys.append(h)
             kinds.append(np.full(len(h), c))
+            rests.append(np.full(len(h), a))
     if partners(a)[-1] > boundary:
         rank = order[(s >> np.uint64(64 - SKETCH_BITS)).astype(np.int64)]
         first = np.lexsort((s, rank))[: int(prefix_length(a))]
         keys.append(s[first])
         kinds.append(np.zeros(len(first), np.int64))
-    return np.concatenate(keys), np.concatenate(kinds)
+        rests.append(a - np.arange(len(first)))
+    return np.concatenate(keys), np.concatenate(kinds), np.concatenate(rests)
 
 
-_POSTED = "bucket int, keys binary, kinds binary, class binary, size binary, ids binary"
+_POSTED = "bucket int, keys binary, kinds binary, rests binary, class binary, size binary, ids binary"
 
 
 def _post(shared, boundary: int, buckets: int):
@@ -170,18 +175,18 @@ def _post(shared, boundary: int, buckets: int):
     def flush(docs: list, sets: list) -> Iterator[pa.RecordBatch]:
         order = shared.value
         ident = pa.table({"doc_id": pa.array([d[0] for d in docs], pa.int64()), "n_shingles": pa.array([d[1] for d in docs], pa.int64()), "class": pa.array([d[2] for d in docs], pa.int64())})
-        rows = [(-1, b"", b"", b"", b"", blocks.stream(ident))]
+        rows = [(-1, b"", b"", b"", b"", b"", blocks.stream(ident))]
         if sets:
             parts = [_entries(s, order, boundary) for s, _ in sets]
             counts = [len(p[0]) for p in parts]
-            keys, kinds = np.concatenate([p[0] for p in parts]), np.concatenate([p[1] for p in parts])
+            keys, kinds, rests = (np.concatenate(p) for p in zip(*parts, strict=True))
             owner = np.repeat(np.array([d for _, d in sets], np.int64), counts)
             size = np.repeat(np.array([len(s) for s, _ in sets]), counts)
             sort = np.argsort(keys, kind="stable")
-            keys, kinds, owner, size = keys[sort], kinds[sort], owner[sort], size[sort]
+            keys, kinds, rests, owner, size = keys[sort], kinds[sort], rests[sort], owner[sort], size[sort]
             edges = np.searchsorted(blocks.bucket_of(keys, buckets), np.arange(buckets + 1))
-            rows += [(b, np.diff(keys[lo:hi], prepend=keys[lo] * 0).tobytes(), blocks.pack(kinds[lo:hi]), owner[lo:hi].tobytes(), blocks.pack(size[lo:hi]), b"") for b, (lo, hi) in enumerate(zip(edges[:-1], edges[1:], strict=True)) if hi > lo]
-        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), (pa.int32(), *[pa.binary()] * 5), strict=True)], names=["bucket", "keys", "kinds", "class", "size", "ids"])
+            rows += [(b, np.diff(keys[lo:hi], prepend=keys[lo] * 0).tobytes(), blocks.pack(kinds[lo:hi]), blocks.pack(rests[lo:hi]), owner[lo:hi].tobytes(), blocks.pack(size[lo:hi]), b"") for b, (lo, hi) in enumerate(zip(edges[:-1], edges[1:], strict=True)) if hi > lo]
+        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), (pa.int32(), *[pa.binary()] * 6), strict=True)], names=["bucket", "keys", "kinds", "rests", "class", "size", "ids"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         docs: list = []
@@ -206,63 +211,72 @@ def _post(shared, boundary: int, buckets: int):
 _FOUND = "kind string, a long, b long, list binary"
 
 
+def may_link(size_a: np.ndarray, rest_a: np.ndarray, size_b: np.ndarray, rest_b: np.ndarray) -> np.ndarray:
+    """Whether sets may be linked whose first common shingle has rest_a and rest_b of their shingles from it on.
+
+    If the listed shingle isn't the first common one, that one's list decides.
+    """
+    return (SIMILAR + OF) * np.minimum(rest_a, rest_b) >= SIMILAR * (size_a + size_b)
+
+
 def _meet(key: tuple, table: pa.Table) -> pa.Table:
     """Of one bucket's lists: links of light sets, candidate pairs, and the long lists that are still to be finished."""
-    cols = {c: [x for x in table.column(c).to_pylist()] for c in ("keys", "kinds", "class", "size")}
+    cols = {c: table.column(c).to_pylist() for c in ("keys", "kinds", "rests", "class", "size")}
     keys = np.concatenate([np.cumsum(np.frombuffer(k, np.uint64)) for k in cols["keys"]])
-    kinds = np.concatenate([blocks.unpack(k) for k in cols["kinds"]]).astype(np.int64)
+    kinds, rests, size = (np.concatenate([blocks.unpack(k) for k in cols[c]]).astype(np.int64) for c in ("kinds", "rests", "size"))
     owner = np.concatenate([np.frombuffer(k, np.int64) for k in cols["class"]])
-    size = np.concatenate([blocks.unpack(k) for k in cols["size"]]).astype(np.int64)
     order = np.lexsort((owner, size, kinds, keys))
-    keys, kinds, owner, size = keys[order], kinds[order], owner[order], size[order]
+    keys, kinds, rests, owner, size = keys[order], kinds[order], rests[order], owner[order], size[order]
     again = np.r_[False, (keys[1:] == keys[:-1]) & (kinds[1:] == kinds[:-1]) & (owner[1:] == owner[:-1])]
-    keys, kinds, owner, size = keys[~again], kinds[~again], owner[~again], size[~again]
+    keys, kinds, rests, owner, size = keys[~again], kinds[~again], rests[~again], owner[~again], size[~again]
     edges = np.flatnonzero(np.r_[True, (keys[1:] != keys[:-1]) | (kinds[1:] != kinds[:-1]), True])
     many = np.flatnonzero(np.diff(edges) > 1)
     pairs: dict[str, list[np.ndarray]] = {"link": [], "test": []}
     long: dict[bytes, None] = {}
     for k in many:
         lo, hi = edges[k], edges[k + 1]
-        who, sizes, c = owner[lo:hi], size[lo:hi], kinds[lo]
+        who, sizes, rest, c = owner[lo:hi], size[lo:hi], rests[lo:hi], kinds[lo]
         if c:  # all that fit the smallest are linked with it, and so with one another
             fits = (SIMILAR + OF) * c >= SIMILAR * (sizes + sizes[0])
             fits[0] = False
             pairs["link"].append(np.stack([np.full(fits.sum(), who[0]), who[fits]], 1))
         elif hi - lo <= SHORT:
             i, j = np.triu_indices(hi - lo, 1)
-            near = OF * sizes[i] >= SIMILAR * sizes[j]
+            near = may_link(sizes[i], rest[i], sizes[j], rest[j])
             pairs["test"].append(np.stack([who[i[near]], who[j[near]]], 1))
         else:
             for p in range(PIVOTS):
                 hub = int(np.argmin(_mix(who.astype(np.uint64) * _ODD + np.uint64(p))))
-                near = (OF * np.minimum(sizes, sizes[hub]) >= SIMILAR * np.maximum(sizes, sizes[hub])) & (who != who[hub])
+                near = may_link(sizes, rest, sizes[hub], rest[hub]) & (who != who[hub])
                 pairs["test"].append(np.stack([np.full(near.sum(), who[hub]), who[near]], 1))
-            long[np.stack([who, sizes], 1).astype(np.int64).tobytes()] = None
+            # Those that may be linked with anyone of the list.
+            open_ = np.flatnonzero((SIMILAR + OF) * rest >= SIMILAR * (sizes + np.maximum(sizes[0], -(-SIMILAR * sizes // OF))))
+            if len(open_) > 1:
+                long[np.stack([who[open_], sizes[open_], rest[open_]], 1).astype(np.int64).tobytes()] = None
     out = []
     for kind, parts in pairs.items():
         if parts:
-            p = np.unique(np.sort(np.concatenate(parts), axis=1) if kind == "link" else np.concatenate(parts), axis=0)
+            p = np.unique(np.sort(np.concatenate(parts), axis=1), axis=0) if kind == "link" else np.unique(np.concatenate(parts), axis=0)
             out.append(pa.table({"kind": pa.array([kind] * len(p), pa.string()), "a": p[:, 0], "b": p[:, 1], "list": pa.array([None] * len(p), pa.binary())}))
     out.append(pa.table({"kind": pa.array(["long"] * len(long), pa.string()), "a": pa.array([0] * len(long), pa.int64()), "b": pa.array([0] * len(long), pa.int64()), "list": pa.array(list(long), pa.binary())}))
     return pa.concat_tables(out)
 
 
 def _texts(marks):
-    """Texts of the classes in the filter, each once a task."""
+    """Classes and texts of the documents in the filter, each class once a task; other documents aren't even split."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[int] = set()
         bits = np.frombuffer(marks.value, np.uint8)
-        held: list[tuple[int, bytes]] = []
-        for _, s, d, raw in _sets(batches):
-            at = d & (1 << common.FILTER_BITS) - 1
-            if len(s) and bits[at >> 3] >> (at & 7) & 1 and d not in seen:
-                seen.add(d)
-                held.append((d, blocks.squeeze(raw)))
-                if len(held) > 2000:
-                    yield pa.RecordBatch.from_arrays([pa.array([h[0] for h in held], pa.int64()), pa.array([h[1] for h in held], pa.binary())], names=["class", "text"])
-                    held = []
-        yield pa.RecordBatch.from_arrays([pa.array([h[0] for h in held], pa.int64()), pa.array([h[1] for h in held], pa.binary())], names=["class", "text"])
+        for batch in batches:
+            at = batch.column("mark").to_numpy() & (1 << common.FILTER_BITS) - 1
+            chosen = batch.filter(pa.array((bits[at >> 3] >> (at & 7).astype(np.uint8) & 1).astype(bool)))
+            rows = {}
+            for _, s, d, raw in _sets(iter([chosen])):
+                if len(s) and d not in seen:
+                    seen.add(d)
+                    rows[d] = blocks.squeeze(raw)
+            yield pa.RecordBatch.from_arrays([pa.array(list(rows), pa.int64()), pa.array(list(rows.values()), pa.binary())], names=["class", "text"])
 
     return run
 
@@ -284,36 +298,38 @@ def _test(key: tuple, table: pa.Table) -> pa.Table:
     return pa.table({"a": pa.array([hub] * len(links), pa.int64()), "b": pa.array(links, pa.int64())})
 
 
-def tested(docs: DataFrame, pairs: DataFrame) -> DataFrame:
-    """Those of the pairs (a hub, b member) of classes whose sets are linked."""
+def tested(docs: DataFrame, holders: DataFrame, pairs: DataFrame) -> DataFrame:
+    """Those of the pairs (a hub, b member) of classes whose sets are linked. holders: class, mark of one of its documents."""
     pairs = common.materialize(pairs.select("a", "b").distinct(), "pairs")
-    marks = common.bit_filter(pairs.select("a").unionByName(pairs.select(F.col("b").alias("a"))), "a")
-    texts = docs.mapInArrow(_texts(docs.sparkSession.sparkContext.broadcast(marks)), "class long, text binary").groupBy("class").agg(F.min("text").alias("text"))
+    asked = pairs.select(F.col("a").alias("class")).unionByName(pairs.select(F.col("b").alias("class"))).distinct()
+    marks = docs.sparkSession.sparkContext.broadcast(common.bit_filter(asked.join(holders, "class"), "mark"))
+    texts = docs.select("doc_id", "text", F.expr(MARK).alias("mark")).mapInArrow(_texts(marks), "class long, text binary").join(asked, "class", "left_semi")
+    texts = texts.groupBy("class").agg(F.min("text").alias("text"))
     salts = pairs.groupBy("a").agg((1 + F.count("*") / TESTED).cast("int").alias("salts"))
     dealt = pairs.join(salts, "a").select("a", "b", F.pmod(F.xxhash64("b"), "salts").cast("int").alias("salt"))
-    asked = dealt.select("a", "salt", F.col("b").alias("class")).unionByName(dealt.select("a", "salt", F.col("a").alias("class")).distinct())
-    rows = asked.join(texts, "class").select("a", "salt", F.col("class").alias("member"), "text")
+    rows = dealt.select("a", "salt", F.col("b").alias("class")).unionByName(dealt.select("a", "salt", F.col("a").alias("class")).distinct())
+    rows = rows.join(texts, "class").select("a", "salt", F.col("class").alias("member"), "text")
     return common.materialize(rows.groupBy("a", "salt").applyInArrow(_test, "a long, b long"), "links")
 
 
 def _members(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for number, raw in zip(batch.column("number").to_pylist(), batch.column("list").to_pylist(), strict=True):
-            a = np.frombuffer(raw, np.int64).reshape(-1, 2)
-            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(a), number)), pa.array(a[:, 0]), pa.array(a[:, 1])], names=["number", "class", "size"])
+            a = np.frombuffer(raw, np.int64).reshape(-1, 3)
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(a), number)), *(pa.array(np.ascontiguousarray(c)) for c in a.T)], names=["number", "class", "size", "rest"])
 
 
 def unfinished(long: DataFrame, labels: DataFrame) -> DataFrame:
     """Pairs of the long lists' members in different components, of sizes that can be linked."""
     lists = common.materialize(long.select("list").distinct().withColumn("number", F.xxhash64("list")), "lists")
-    members = lists.mapInArrow(_members, "number long, class long, size long")
+    members = lists.mapInArrow(_members, "number long, class long, size long, rest long")
     members = members.join(labels.select(F.col("node").alias("class"), "label"), "class", "left").withColumn("label", F.coalesce("label", "class"))
     # Lists of one component are done; of the others, everyone outside the largest component meets everyone.
     parts = common.materialize(members.groupBy("number", "label").agg(F.count("*").alias("n")), "parts")
     open_lists = parts.groupBy("number").agg(F.count("*").alias("parts"), F.max_by("label", F.struct("n", "label")).alias("main")).where("parts > 1")
     members = common.materialize(members.join(open_lists, "number"), "members")
-    rest = members.where("label <> main").select("number", F.col("class").alias("a"), F.col("size").alias("size_a"), F.col("label").alias("label_a"))
-    fits = (F.col("size") * OF >= F.col("size_a") * SIMILAR) & (F.col("size_a") * OF >= F.col("size") * SIMILAR) & (F.col("label") != F.col("label_a"))
+    rest = members.where("label <> main").select("number", F.col("class").alias("a"), F.col("size").alias("size_a"), F.col("rest").alias("rest_a"), F.col("label").alias("label_a"))
+    fits = (F.least("rest", "rest_a") * (SIMILAR + OF) >= (F.col("size") + F.col("size_a")) * SIMILAR) & (F.col("label") != F.col("label_a"))
     return rest.join(members, "number").where(fits).select("a", F.col("class").alias("b")).distinct()
 
 
@@ -330,17 +346,18 @@ def ngram_components(docs: DataFrame) -> DataFrame:
     sketch = docs.mapInArrow(_sketch, "chunk int, counters binary").groupBy("chunk").applyInArrow(_sum_sketch, "chunk int, counters binary").collect()  # 4 M counters, whatever the input
     by = {r["chunk"]: blocks.unpack(bytes(r["counters"])) for r in sketch}
     order = np.concatenate([by[k] for k in range(64)]).astype(np.uint8) if by else np.zeros(1 << SKETCH_BITS, np.uint8)
-    boundary = choose_boundary(by.get(-1, np.zeros(LIGHT_MOST + 1, np.int64)), float(np.exp2(np.median(order))))
+    boundary = choose_boundary(by.get(-1, np.zeros(LIGHT_MOST + 1, np.int64)), float(np.exp2(np.median(order) / 8)))
     posted = common.materialize(docs.mapInArrow(_post(spark.sparkContext.broadcast(order), boundary, blocks.buckets_for(docs.count())), _POSTED), "lists")
     found = common.materialize(posted.where("bucket >= 0").drop("ids").groupBy("bucket").applyInArrow(_meet, _FOUND), "found")
-    links = found.where("kind = 'link'").select("a", "b").unionByName(tested(docs, found.where("kind = 'test'")))
+    rows = posted.where("bucket = -1").select("ids").mapInArrow(_documents, "doc_id long, n_shingles long, class long")
+    holders = rows.where("class is not null").groupBy("class").agg(F.min(F.expr(MARK)).alias("mark"))
+    links = found.where("kind = 'link'").select("a", "b").unionByName(tested(docs, holders, found.where("kind = 'test'")))
     long = found.where("kind = 'long'")
     labels = graph.components(links)
     if not long.isEmpty():
-        more = tested(docs, unfinished(long, labels))
+        more = tested(docs, holders, unfinished(long, labels))
         if not more.isEmpty():
             labels = graph.components(links.unionByName(more))
-    rows = posted.where("bucket = -1").select("ids").mapInArrow(_documents, "doc_id long, n_shingles long, class long")
     classes = rows.where("class is not null").groupBy("class").agg(F.min("doc_id").alias("least"))
     classes = classes.join(labels.withColumnRenamed("node", "class"), "class", "left").withColumn("label", F.coalesce("label", "class"))
     least = classes.groupBy("label").agg(F.min("least").alias("component_id"))
