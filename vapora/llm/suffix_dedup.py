@@ -36,6 +36,8 @@ from vapora.llm.lyndon_suffixes import suffix_arrays
 SPAN, KEY = 50, 24
 #: Documents that may hold an anchor whose contexts meet in one bucket.
 HOT = 200
+#: Bytes of text that one block holds; its hashes take some fifty times as much memory.
+BLOCK = 4 << 20
 #: Symbols of the texts whose suffix arrays are built at once.
 BATCH = 1 << 20
 _NO_ID = np.iinfo(np.int64).max
@@ -163,7 +165,7 @@ def _read(buckets: int, anchors: bool):
     """A block's anchors by bucket, or its documents."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for number, (ids, texts) in enumerate(blocks.gathered(batches)):
+        for number, (ids, texts) in enumerate(blocks.gathered(batches, BLOCK)):
             block = blocks.block_number(number)
             raw = [t.encode() for t in texts]
             if anchors:
