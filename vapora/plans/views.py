@@ -41,5 +41,5 @@ def longrun(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 #: The same views for the oracle, one row per sample with its place from 0.
 WAVE = "wave AS (SELECT vec_id AS recording_id, unnest(generate_series(0, len(embedding) - 1)) AS idx, 1000::DOUBLE * (1::DOUBLE + unnest(embedding)::DOUBLE) AS v, len(embedding) AS n FROM embeddings)"
-STREAM = "stream AS (SELECT user_id AS recording_id, event_type AS channel, epoch_ms(ts)::DOUBLE AS t, value AS v, row_number() OVER (PARTITION BY user_id, event_type ORDER BY ts, event_id) - 1 AS idx, count(*) OVER (PARTITION BY user_id, event_type) AS n FROM events)"
+STREAM = "stream AS (SELECT user_id AS recording_id, event_type AS channel, (epoch_us(ts) // 1000)::DOUBLE AS t, value AS v, row_number() OVER (PARTITION BY user_id, event_type ORDER BY ts, event_id) - 1 AS idx, count(*) OVER (PARTITION BY user_id, event_type) AS n FROM events)"
 LONGRUN = "longrun AS (SELECT l_suppkey AS recording_id, l_extendedprice AS v, row_number() OVER (PARTITION BY l_suppkey ORDER BY l_shipdate, l_orderkey, l_linenumber) - 1 AS idx, count(*) OVER (PARTITION BY l_suppkey) AS n FROM lineitem)"

@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from vapora.operators import baseline, features
+from vapora.operators import baseline, features, kinetics, quality
 
-_PARTS = (baseline, features)
+_PARTS = (baseline, features, kinetics, quality)
 QUERIES: dict = {}
 ORACLE_SQL: dict[str, str] = {}
 for _part in _PARTS:
