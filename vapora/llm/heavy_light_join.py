@@ -89,7 +89,7 @@ def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int | None, np.nd
     cache: dict[bytes, int] = {}
     for batch in batches:
         for doc_id, raw in zip(batch.column("doc_id").to_pylist(), batch.column("text").cast(pa.binary()).to_pylist(), strict=True):
-            if len(cache) > 300_000:
+            if len(cache) > 200_000:
                 cache.clear()
             s = shingles(raw or b"", cache=cache)
             yield doc_id, s, set_digest(s), raw or b""
@@ -114,7 +114,7 @@ def _sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             n += len(s)
             if len(s) <= LIGHT_MOST:
                 sizes[len(s)] += 1
-            if n > 2_000_000:
+            if n > 500_000:
                 add()
                 held, n = [], 0
     add()
@@ -199,7 +199,7 @@ def _post(shared, boundary: int, buckets: int):
                 seen.add(d)
                 sets.append((s, d))
                 n += len(s)
-            if n > 3_000_000 or len(docs) > 100_000:
+            if n > 1_000_000 or len(docs) > 100_000:
                 yield from flush(docs, sets)
                 docs, sets, n = [], [], 0
         if docs:
