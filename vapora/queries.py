@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from vapora.operators import baseline, features, kinetics, quality
+from vapora.operators import baseline, calibration, features, hardware, kinetics, quality, timing
 
-_PARTS = (baseline, features, kinetics, quality)
+_PARTS = (baseline, features, kinetics, quality, timing, calibration, hardware)
 QUERIES: dict = {}
 ORACLE_SQL: dict[str, str] = {}
 for _part in _PARTS:
