@@ -38,6 +38,8 @@ SPAN, KEY = 50, 24
 HOT = 200
 #: Bytes of text that one block holds; its hashes take some fifty times as much memory.
 BLOCK = 4 << 20
+#: Places whose anchors are found at once.
+PIECE = 1 << 15
 #: Symbols of the texts whose suffix arrays are built at once.
 BATCH = 1 << 20
 _NO_ID = np.iinfo(np.int64).max
@@ -62,43 +64,79 @@ def key_hashes(data: np.ndarray) -> np.ndarray:
     for k in range(8):
         m = (len(data) - k) // 8
         words[k::8] = data[k : k + 8 * m].view("<u8")
-    return _mix(_mix(words[:n] * _A + words[8 : n + 8] * _B) + words[16 : n + 16] * _C)
+    h = words[:n] * _A
+    h += words[8 : n + 8] * _B
+    h = _mix(h)
+    h += words[16 : n + 16] * _C
+    return _mix(h)
+
+
+def anchors(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of all keys, and for each place the place of the anchor of the string that starts there.
+
+    Worked off in pieces that stay in a processor's cache.
+    """
+    n = len(data) - SPAN + 1
+    if n <= 0:
+        return key_hashes(data), np.zeros(0, np.int32)
+    width, low = SPAN - KEY + 1, np.uint64((1 << _PLACE) - 1)
+    key, anchor = np.empty(n + width - 1, np.uint64), np.empty(n, np.int32)
+    for lo in range(0, n, PIECE):
+        hi = min(n, lo + PIECE)
+        h = key_hashes(data[lo : hi + SPAN - 1])
+        key[lo : lo + len(h)] = h
+        h &= ~low
+        h |= np.arange(lo, lo + len(h), dtype=np.uint64)
+        span = 1
+        while 2 * span <= width:
+            h = np.minimum(h[:-span], h[span:])
+            span *= 2
+        if width > span:
+            h = np.minimum(h[: len(h) - (width - span)], h[width - span :])
+        h &= low
+        anchor[lo:hi] = h
+    return key, anchor
 
 
 class Runs:
-    """Runs of a block: hash of the anchor, document, first and last string."""
+    """Runs of a block: hash of the anchor, document, first string and number of strings."""
 
     def __init__(self, texts: list[bytes]):
         self.sizes = np.array([len(t) for t in texts], np.int64)
         self.starts = np.cumsum(self.sizes) - self.sizes
         self.data = np.frombuffer(b"".join(texts), np.uint8)
-        self.key = key_hashes(self.data)
-        width = SPAN - KEY + 1
-        least = self.key >> np.uint64(_PLACE) << np.uint64(_PLACE) | np.arange(len(self.key), dtype=np.uint64)
         if len(self.data) >> _PLACE:
             raise ValueError("a block's texts take more than 64 MB")
-        span = 1
-        while 2 * span <= width and len(least) > span:
-            least = np.minimum(least[:-span], least[span:])
-            span *= 2
-        if width > span and len(least) > width - span:
-            least = np.minimum(least[: len(least) - (width - span)], least[width - span :])
-        anchor = (least & np.uint64((1 << _PLACE) - 1)).astype(np.int64)
-        strings = np.maximum(self.sizes - SPAN + 1, 0)
-        at = blocks.ragged(self.starts, strings)
-        doc = np.repeat(np.arange(len(texts)), strings)
-        anchor = anchor[at]
-        new = np.flatnonzero(np.r_[True, (anchor[1:] != anchor[:-1]) | (doc[1:] != doc[:-1])]) if len(at) else np.zeros(0, np.int64)
-        self.doc, self.first = doc[new], at[new]
-        self.count = np.diff(np.r_[new, len(at)])
-        self.hash = self.key[anchor[new]]
-        self.names, self.named = np.unique(self.hash, return_inverse=True)
+        self.key, anchor = anchors(self.data)
+        fits = self.sizes >= SPAN
+        begin, end = self.starts[fits], (self.starts + self.sizes)[fits] - SPAN + 1
+        new = np.zeros(len(anchor) + 1, bool)
+        new[1:-1] = anchor[1:] != anchor[:-1]
+        # Strings that cross into the next document aren't any.
+        tails = np.r_[end, 0 * self.starts[~fits]], np.r_[np.minimum(SPAN - 1, len(anchor) - end), 0 * self.starts[~fits]]
+        new[blocks.ragged(*tails)] = False
+        short = blocks.ragged(self.starts[~fits], np.maximum(0, np.minimum(self.sizes[~fits], len(anchor) - self.starts[~fits])))
+        new[short] = False
+        new[begin] = True
+        self.first = np.flatnonzero(new[:-1]) if len(anchor) else np.zeros(0, np.int64)
+        holder = np.searchsorted(begin, self.first, side="right") - 1
+        self.doc = np.flatnonzero(fits)[holder]
+        after = np.r_[self.first[1:], len(anchor)]
+        self.count = np.minimum(after, end[holder]) - self.first
+        self.hash = self.key[anchor[self.first]]
+        order = np.argsort(self.hash, kind="stable")
+        hashes, docs = self.hash[order], self.doc[order]
+        head = np.r_[True, hashes[1:] != hashes[:-1]][: len(order)]
+        self.names = hashes[head]
+        self.named = np.empty(len(order), np.int64)
+        self.named[order] = np.cumsum(head) - 1
+        another = head | np.r_[True, docs[1:] != docs[:-1]][: len(order)]
+        self._holders = np.minimum(np.add.reduceat(another.astype(np.int64), np.flatnonzero(head)) if len(order) else np.zeros(0, np.int64), 255)
         self.check = int(np.bitwise_xor.reduce(self.names, initial=np.uint64(0))).to_bytes(8, "little") + len(self.data).to_bytes(8, "little")
 
     def holders(self) -> np.ndarray:
         """Documents that hold each name, 255 at most."""
-        pairs = np.unique(self.named * np.int64(len(self.sizes)) + self.doc)
-        return np.minimum(np.bincount(pairs // len(self.sizes), minlength=len(self.names)), 255)
+        return self._holders
 
     def contexts(self, state: np.ndarray, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, list[bytes], np.ndarray]:
         """Of the runs with shared anchors: the runs, each one's context's number, and of each context the hash, bytes, smallest id."""
@@ -378,7 +416,7 @@ def suffix_dedup(docs: DataFrame, stable: bool = True, hot: int = HOT) -> DataFr
     docs = common.id_and_text(docs)
     if not stable:
         docs = common.materialize(docs, "texts")
-    buckets = blocks.buckets_for(docs.count())
+    buckets = blocks.buckets_for(4 * docs.count())
     states = common.materialize(docs.mapInArrow(_read(buckets, True), _ROWS).groupBy("bucket").applyInArrow(_share(hot), _ROWS), "anchor-states")
     texts = docs.mapInArrow(_read(buckets, False), _ROWS)
     asked = texts.unionByName(states).groupBy("block").applyInArrow(_ask(buckets), _ROWS)
