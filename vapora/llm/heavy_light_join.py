@@ -8,7 +8,7 @@ takes for linked sets to share one. Shingles are ordered by a sketch of their fr
 The boundary is the size at which the subsets' cost, over the counted sizes of all classes, exceeds that of the lists.
 
 What meets in a list is a candidate, tested on the whole sets. A list of up to SHORT classes gives all of its pairs; a longer
-one first links its classes with PIVOTS of them. Only then are those of its pairs tested that lie in different components,
+one first links its classes with PIVOTS of them, then with HUBS of its largest component. Only then are its pairs tested that lie in different components,
 so a large group of near copies never gives all of its pairs, and no link between components is lost.
 
 Cases: a null, empty or blank text has the empty set and is linked with nothing; a text of fewer than N words has one shingle;
@@ -34,6 +34,8 @@ from vapora.llm import blocks, common, graph
 N, SIMILAR, OF = 5, 75, 100
 #: Counters of the frequency sketch; classes of a list that are all paired, and pivots of a longer one; members tested at once.
 SKETCH_BITS, SHORT, PIVOTS, TESTED = 22, 12, 1, 256
+#: Members of a list's largest component that the others are first tested with.
+HUBS = 8
 #: What finds a document again; null ids share one.
 MARK = "xxhash64(doc_id)"
 #: Largest size that may be light.
@@ -319,18 +321,36 @@ def _members(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([pa.array(np.full(len(a), number)), *(pa.array(np.ascontiguousarray(c)) for c in a.T)], names=["number", "class", "size", "rest"])
 
 
-def unfinished(long: DataFrame, labels: DataFrame) -> DataFrame:
-    """Pairs of the long lists' members in different components, of sizes that can be linked."""
-    lists = common.materialize(long.select("list").distinct().withColumn("number", F.xxhash64("list")), "lists")
-    members = lists.mapInArrow(_members, "number long, class long, size long, rest long")
-    members = members.join(labels.select(F.col("node").alias("class"), "label"), "class", "left").withColumn("label", F.coalesce("label", "class"))
-    # Lists of one component are done; of the others, everyone outside the largest component meets everyone.
-    parts = common.materialize(members.groupBy("number", "label").agg(F.count("*").alias("n")), "parts")
-    open_lists = parts.groupBy("number").agg(F.count("*").alias("parts"), F.max_by("label", F.struct("n", "label")).alias("main")).where("parts > 1")
-    members = common.materialize(members.join(open_lists, "number"), "members")
-    rest = members.where("label <> main").select("number", F.col("class").alias("a"), F.col("size").alias("size_a"), F.col("rest").alias("rest_a"), F.col("label").alias("label_a"))
-    fits = (F.least("rest", "rest_a") * (SIMILAR + OF) >= (F.col("size") + F.col("size_a")) * SIMILAR) & (F.col("label") != F.col("label_a"))
-    return rest.join(members, "number").where(fits).select("a", F.col("class").alias("b")).distinct()
+class Unfinished:
+    """Members of the long lists, and what is left to test once the components of the links so far are known."""
+
+    def __init__(self, long: DataFrame):
+        lists = common.materialize(long.select("list").distinct().withColumn("number", F.xxhash64("list")), "lists")
+        self.all = common.materialize(lists.mapInArrow(_members, "number long, class long, size long, rest long"), "members")
+
+    def open_members(self, labels: DataFrame) -> DataFrame:
+        """Members of lists with more than one component, with their label and main, the label of the list's largest one."""
+        members = self.all.join(labels.select(F.col("node").alias("class"), "label"), "class", "left").withColumn("label", F.coalesce("label", "class"))
+        parts = members.groupBy("number", "label").agg(F.count("*").alias("n"))
+        main = parts.groupBy("number").agg(F.count("*").alias("parts"), F.max_by("label", F.struct("n", "label")).alias("main"), F.max("n").alias("n_main"), F.sum("n").alias("n_all")).where("parts > 1")
+        return common.materialize(members.join(main, "number"), "open-members")
+
+    @staticmethod
+    def _fit(one: DataFrame, other: DataFrame) -> DataFrame:
+        one = one.select("number", F.col("class").alias("a"), F.col("size").alias("size_a"), F.col("rest").alias("rest_a"), F.col("label").alias("label_a"))
+        fits = (F.least("rest", "rest_a") * (SIMILAR + OF) >= (F.col("size") + F.col("size_a")) * SIMILAR) & (F.col("label") != F.col("label_a"))
+        return one.join(other, "number").where(fits).select("a", F.col("class").alias("b")).distinct()
+
+    def with_hubs(self, members: DataFrame) -> DataFrame:
+        """Pairs of HUBS members of each list's largest component with all members outside of it."""
+        order = [F.struct(F.xxhash64("class", F.lit(k)).alias("o"), "class") for k in range(HUBS)]
+        hubs = members.where("label = main").groupBy("number").agg(F.array_distinct(F.array(*(F.min_by("class", o) for o in order))).alias("hubs"))
+        hubs = hubs.select("number", F.explode("hubs").alias("class")).join(members, ["number", "class"])
+        return self._fit(hubs, members.where("label <> main"))
+
+    def rest(self, members: DataFrame) -> DataFrame:
+        """Pairs of everyone outside a list's largest component with everyone of another one."""
+        return self._fit(members.where("label <> main"), members)
 
 
 def _documents(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -355,7 +375,14 @@ def ngram_components(docs: DataFrame) -> DataFrame:
     long = found.where("kind = 'long'")
     labels = graph.components(links)
     if not long.isEmpty():
-        more = tested(docs, holders, unfinished(long, labels))
+        left = Unfinished(long)
+        members = left.open_members(labels)
+        size = members.groupBy("number").agg(F.first("n_all").alias("n_all"), F.first("n_main").alias("n_main")).agg(F.sum("n_all"), F.sum((F.col("n_all") - F.col("n_main")) * F.col("n_all"))).first()
+        if (size[1] or 0) > 4 * HUBS * (size[0] or 0):  # more pairs than members: most are linked over a few hubs
+            links = links.unionByName(tested(docs, holders, left.with_hubs(members)))
+            labels = graph.components(links)
+            members = left.open_members(labels)
+        more = tested(docs, holders, left.rest(members))
         if not more.isEmpty():
             labels = graph.components(links.unionByName(more))
     classes = rows.where("class is not null").groupBy("class").agg(F.min("doc_id").alias("least"))
