@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from vapora.operators import baseline, calibration, feasibility, features, hardware, kinetics, quality, timing
+from vapora.operators import baseline, calibration, feasibility, features, hardware, kinetics, quality, search, study, timing
 
-_PARTS = (baseline, features, kinetics, quality, timing, calibration, hardware, feasibility)
+_PARTS = (baseline, features, kinetics, quality, timing, calibration, hardware, feasibility, search, study)
 QUERIES: dict = {}
 ORACLE_SQL: dict[str, str] = {}
 for _part in _PARTS:
