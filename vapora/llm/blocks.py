@@ -16,6 +16,8 @@ import xxhash
 import zstandard
 from pyspark import TaskContext
 
+from vapora.llm.common import SLICE, slices
+
 #: Symbols (bytes) of text that one block holds.
 BLOCK_BYTES = 16 << 20
 
@@ -87,7 +89,7 @@ def gathered(batches: Iterator[pa.RecordBatch], size: int = 0) -> Iterator[tuple
     ids: list = []
     texts: list[str] = []
     held = 0
-    for batch in batches:
+    for batch in slices(batches, "text", SLICE):
         for doc_id, text in zip(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist(), strict=True):
             ids.append(doc_id)
             texts.append(text or "")

@@ -12,6 +12,8 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+#: Bytes of text that a task turns into Python objects at once.
+SLICE = 2 << 20
 #: Java regex of the ASCII white space that separates words.
 SPACE = r"[\x20\x09-\x0D]"
 

@@ -37,11 +37,11 @@ SPAN, KEY = 50, 24
 #: Documents that may hold an anchor whose contexts meet in one bucket.
 HOT = 200
 #: Bytes of text that one block holds; its hashes take some fifty times as much memory.
-BLOCK = 4 << 20
+BLOCK = 3 << 20
 #: Places whose anchors are found at once.
 PIECE = 1 << 15
 #: Symbols of the texts whose suffix arrays are built at once.
-BATCH = 1 << 20
+BATCH = 1 << 18
 _NO_ID = np.iinfo(np.int64).max
 _A, _B, _C = (np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9))
 #: An anchor's place within its block, in the low bits of what is compared.
