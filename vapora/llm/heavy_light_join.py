@@ -89,7 +89,7 @@ def set_digest(s: np.ndarray) -> int:
 
 def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int | None, np.ndarray, int, bytes]]:
     cache: dict[bytes, int] = {}
-    for batch in batches:
+    for batch in common.slices(batches, "text", common.SLICE):
         for doc_id, raw in zip(batch.column("doc_id").to_pylist(), batch.column("text").cast(pa.binary()).to_pylist(), strict=True):
             if len(cache) > 200_000:
                 cache.clear()
