@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 from vapora.operators import baseline, calibration, feasibility, features, hardware, kinetics, quality, search, study, timing
+from vapora.sources import recordings
 
-_PARTS = (baseline, features, kinetics, quality, timing, calibration, hardware, feasibility, search, study)
+_PARTS = (baseline, features, kinetics, quality, timing, calibration, hardware, feasibility, search, study, recordings)
 QUERIES: dict = {}
 ORACLE_SQL: dict[str, str] = {}
 for _part in _PARTS:
