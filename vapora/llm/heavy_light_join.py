@@ -34,8 +34,8 @@ from vapora.llm import blocks, common, graph
 N, SIMILAR, OF = 5, 75, 100
 #: Counters of the frequency sketch; classes of a list that are all paired, and pivots of a longer one; members tested at once.
 SKETCH_BITS, SHORT, PIVOTS, TESTED = 22, 12, 1, 256
-#: Members of a list's largest component that the others are first tested with.
-HUBS = 8
+#: Members of a list's largest component that the others are first tested with, and how often before all pairs are.
+HUBS, TURNS = 8, 3
 #: What finds a document again; null ids share one.
 MARK = "xxhash64(doc_id)"
 #: Largest size that may be light.
@@ -308,7 +308,7 @@ def tested(docs: DataFrame, holders: DataFrame, pairs: DataFrame) -> DataFrame:
     texts = docs.select("doc_id", "text", F.expr(MARK).alias("mark")).mapInArrow(_texts(marks), "class long, text binary").join(asked, "class", "left_semi")
     texts = texts.groupBy("class").agg(F.min("text").alias("text"))
     salts = pairs.groupBy("a").agg((1 + F.count("*") / TESTED).cast("int").alias("salts"))
-    dealt = pairs.join(salts, "a").select("a", "b", F.pmod(F.xxhash64("b"), "salts").cast("int").alias("salt"))
+    dealt = common.materialize(pairs.join(salts, "a").select("a", "b", F.pmod(F.xxhash64("b"), "salts").cast("int").alias("salt")), "dealt-pairs")
     rows = dealt.select("a", "salt", F.col("b").alias("class")).unionByName(dealt.select("a", "salt", F.col("a").alias("class")).distinct())
     rows = rows.join(texts, "class").select("a", "salt", F.col("class").alias("member"), "text")
     return common.materialize(rows.groupBy("a", "salt").applyInArrow(_test, "a long, b long"), "links")
@@ -341,9 +341,9 @@ class Unfinished:
         fits = (F.least("rest", "rest_a") * (SIMILAR + OF) >= (F.col("size") + F.col("size_a")) * SIMILAR) & (F.col("label") != F.col("label_a"))
         return one.join(other, "number").where(fits).select("a", F.col("class").alias("b")).distinct()
 
-    def with_hubs(self, members: DataFrame) -> DataFrame:
-        """Pairs of HUBS members of each list's largest component with all members outside of it."""
-        order = [F.struct(F.xxhash64("class", F.lit(k)).alias("o"), "class") for k in range(HUBS)]
+    def with_hubs(self, members: DataFrame, turn: int) -> DataFrame:
+        """Pairs of HUBS members of each list's largest component, others each turn, with all members outside of it."""
+        order = [F.struct(F.xxhash64("class", F.lit(turn * HUBS + k)).alias("o"), "class") for k in range(HUBS)]
         hubs = members.where("label = main").groupBy("number").agg(F.array_distinct(F.array(*(F.min_by("class", o) for o in order))).alias("hubs"))
         hubs = hubs.select("number", F.explode("hubs").alias("class")).join(members, ["number", "class"])
         return self._fit(hubs, members.where("label <> main"))
@@ -377,9 +377,11 @@ def ngram_components(docs: DataFrame) -> DataFrame:
     if not long.isEmpty():
         left = Unfinished(long)
         members = left.open_members(labels)
-        size = members.groupBy("number").agg(F.first("n_all").alias("n_all"), F.first("n_main").alias("n_main")).agg(F.sum("n_all"), F.sum((F.col("n_all") - F.col("n_main")) * F.col("n_all"))).first()
-        if (size[1] or 0) > 4 * HUBS * (size[0] or 0):  # more pairs than members: most are linked over a few hubs
-            links = links.unionByName(tested(docs, holders, left.with_hubs(members)))
+        for turn in range(TURNS):
+            size = members.groupBy("number").agg(F.first("n_all").alias("n_all"), F.first("n_main").alias("n_main")).agg(F.sum("n_all"), F.sum((F.col("n_all") - F.col("n_main")) * F.col("n_all"))).first()
+            if (size[1] or 0) <= 4 * HUBS * (size[0] or 0):  # hardly more pairs than members
+                break
+            links = links.unionByName(tested(docs, holders, left.with_hubs(members, turn)))
             labels = graph.components(links)
             members = left.open_members(labels)
         more = tested(docs, holders, left.rest(members))
