@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from vapora.operators import baseline, calibration, feasibility, features, hardware, kinetics, quality, search, study, timing
+from vapora.operators import baseline, calibration, feasibility, features, hardware, kinetics, learning, molecules, presets, quality, search, signal, study, timing
 from vapora.sources import recordings
 
-_PARTS = (baseline, features, kinetics, quality, timing, calibration, hardware, feasibility, search, study, recordings)
+_PARTS = (baseline, features, signal, kinetics, quality, timing, calibration, hardware, feasibility, molecules, search, study, recordings, presets, learning)
 QUERIES: dict = {}
 ORACLE_SQL: dict[str, str] = {}
 for _part in _PARTS:
