@@ -123,7 +123,8 @@ class Runs:
         self.doc = np.flatnonzero(fits)[holder]
         after = np.r_[self.first[1:], len(anchor)]
         self.count = np.minimum(after, end[holder]) - self.first
-        self.hash = self.key[anchor[self.first]]
+        # Anchors have small hashes; mixed again they spread evenly over buckets.
+        self.hash = _mix(self.key[anchor[self.first]] * _B)
         order = np.argsort(self.hash, kind="stable")
         hashes, docs = self.hash[order], self.doc[order]
         head = np.r_[True, hashes[1:] != hashes[:-1]][: len(order)]
