@@ -161,7 +161,8 @@ def _entries(s: np.ndarray, order: np.ndarray, boundary: int) -> tuple[np.ndarra
             rests.append(np.full(len(h), a))
     if partners(a)[-1] > boundary:
         rank = order[(s >> np.uint64(64 - SKETCH_BITS)).astype(np.int64)]
-        first = np.lexsort((s, rank))[: int(prefix_length(a))]
+        # Of equal ranks by another hash, so that what is listed spreads evenly over buckets.
+        first = np.lexsort((_mix(s * _ODD), rank))[: int(prefix_length(a))]
         keys.append(s[first])
         kinds.append(np.zeros(len(first), np.int64))
         rests.append(a - np.arange(len(first)))
