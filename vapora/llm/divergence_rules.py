@@ -72,7 +72,7 @@ def _counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     def flush() -> Iterator[pa.RecordBatch]:
         for lang, counter in words.items():
             n = len(counter)
-            yield pa.RecordBatch.from_arrays([pa.array([lang] * n, pa.string()), pa.array(["w"] * n), pa.array(list(counter), pa.binary()), pa.array(list(counter.values()), pa.int64())], names=["lang", "what", "key", "n"])
+            yield pa.RecordBatch.from_arrays([pa.array([lang] * n, pa.string()), pa.array(["w"] * n, pa.string()), pa.array(list(counter), pa.binary()), pa.array(list(counter.values()), pa.int64())], names=["lang", "what", "key", "n"])
         words.clear()
 
     for batch in batches:
@@ -84,7 +84,7 @@ def _counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield from flush()
     yield from flush()
     for lang, hist in classes.items():
-        yield pa.RecordBatch.from_arrays([pa.array([lang] * N_CLASSES, pa.string()), pa.array(["c"] * N_CLASSES), pa.array([c.encode() for c in CLASSES[:N_CLASSES]], pa.binary()), pa.array(hist.astype(np.int64))], names=["lang", "what", "key", "n"])
+        yield pa.RecordBatch.from_arrays([pa.array([lang] * N_CLASSES, pa.string()), pa.array(["c"] * N_CLASSES, pa.string()), pa.array([c.encode() for c in CLASSES[:N_CLASSES]], pa.binary()), pa.array(hist.astype(np.int64))], names=["lang", "what", "key", "n"])
 
 
 def references(docs: DataFrame) -> dict[str | None, tuple[np.ndarray, dict[bytes, int], np.ndarray]]:
