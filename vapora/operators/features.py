@@ -6,6 +6,8 @@ rate in Hz. Spectrum and decay fit are in spectral.py and decay.py.
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -140,12 +142,12 @@ def global_features(channels: DataFrame) -> DataFrame:
     )
 
 
-def mean_features(series: DataFrame, sr: float = 10.0) -> DataFrame:
-    """Means over a recording's windows of every closed-form feature: keys, feature, value."""
+def mean_features(series: DataFrame, sr: float = 10.0, wanted: Sequence[str] = CLOSED) -> DataFrame:
+    """Means over a recording's windows of the wanted closed-form features: keys, feature, value."""
     windows = segment(r0_legacy_normalised(series)).withColumnRenamed("w", "v").withColumn("n", F.expr("cast(size(v) AS long)"))
     keys = [c for c in windows.columns if c not in ("v", "n", "window_id")]
-    means = closed_form(windows, sr).groupBy(*keys).agg(*(F.avg(f).alias(f) for f in CLOSED))
-    return means.unpivot(keys, CLOSED, "feature", "value")
+    means = closed_form(windows, sr).groupBy(*keys).agg(*(F.avg(f).alias(f) for f in wanted))
+    return means.unpivot(keys, list(wanted), "feature", "value")
 
 
 def r0_legacy_normalised(series: DataFrame) -> DataFrame:
@@ -205,7 +207,7 @@ def _q_global(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _q_feature_mean(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = mean_features(views.longrun(spark, sf_dir)).where(F.col("feature").isin(*MEAN_CHECKED))
+    out = mean_features(views.longrun(spark, sf_dir), wanted=MEAN_CHECKED)
     return _rounded(out, ["recording_id", "feature"], ["value"])
 
 

@@ -15,6 +15,8 @@ from vapora.plans import views
 #: Start points (share of the first value, log tau), evaluations, bound of log tau.
 STARTS = {1: [(1.0, np.log(3.0))], 2: [(0.7, np.log(2.0)), (0.3, np.log(10.0))], 3: [(0.5, np.log(1.5)), (0.3, np.log(5.0)), (0.2, np.log(20.0))]}
 EVALUATIONS, LOG_TAU = {1: 2000, 2: 5000, 3: 10000}, 20.0
+#: Most steps of a fit; it ends before when its cost stands still.
+STEPS = 200
 
 
 def peak(v: np.ndarray, sr: float) -> tuple[float, float]:
@@ -32,66 +34,84 @@ def peak(v: np.ndarray, sr: float) -> tuple[float, float]:
 
 
 def _model(p: np.ndarray, t: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Sum of decays plus a constant, and its Jacobian; p holds amplitude and log tau of each decay, then the constant."""
-    columns, total = [], np.full(len(t), p[-1])
-    for a, log_tau in p[:-1].reshape(-1, 2):
-        tau = np.exp(np.clip(log_tau, -LOG_TAU, LOG_TAU))
-        e = np.exp(-t / tau)
-        total = total + a * e
-        columns += [e, a * e * t / tau if abs(log_tau) < LOG_TAU else np.zeros(len(t))]
-    return total, np.stack([*columns, np.ones(len(t))], 1)
-
-
-def fit(t: np.ndarray, y: np.ndarray, components: int) -> tuple[np.ndarray, float] | None:
-    """Damped least squares from the fixed start points; None if nothing finite comes out."""
-    p = np.array([x for share, log_tau in STARTS[components] for x in (y[0] * share, log_tau)] + [0.0])
-    damping = 1e-3
+    """Sums of decays plus a constant for rows of parameters (amplitude and log tau of each decay, then the constant), and their Jacobians."""
+    a, log_tau = p[:, 0:-1:2, None], p[:, 1:-1:2, None]
+    tau = np.exp(np.clip(log_tau, -LOG_TAU, LOG_TAU))
+    e = np.exp(-t / tau)
+    jac = np.ones((len(p), p.shape[1], len(t)))
+    jac[:, 0:-1:2] = e
+    jac[:, 1:-1:2] = a * e * t / tau * (np.abs(log_tau) < LOG_TAU)
+    return (a * e).sum(axis=1) + p[:, -1:], jac
+
+
+def fit(t: np.ndarray, y: np.ndarray, components: int) -> tuple[np.ndarray, np.ndarray]:
+    """Damped least squares of all rows of y at once, from the fixed start points: parameters and costs; a cost that isn't finite marks a failure."""
+    p = np.concatenate([*(np.stack([y[:, 0] * share, np.full(len(y), log_tau)], 1) for share, log_tau in STARTS[components]), np.zeros((len(y), 1))], 1)
+    best, costs, live, damping = p.copy(), np.full(len(y), np.inf), np.arange(len(y)), np.full(len(y), 1e-3)
     with np.errstate(all="ignore"):
         f, jac = _model(p, t)
-        cost = float(np.sum((f - y) ** 2))
-        for _ in range(EVALUATIONS[components] // len(p)):
-            normal, slope = jac.T @ jac, jac.T @ (f - y)
-            try:
-                step = np.linalg.solve(normal + damping * np.diag(np.maximum(np.diag(normal), 1e-12)), slope)
-            except np.linalg.LinAlgError:
-                damping *= 10
-                continue
-            g, jac_g = _model(p - step, t)
-            new = float(np.sum((g - y) ** 2))
-            if np.isfinite(new) and new < cost:
-                done = cost - new <= 1e-12 * cost
-                p, f, jac, cost, damping = p - step, g, jac_g, new, damping / 3
-                if done:
-                    break
-            else:
-                damping *= 4
-                if damping > 1e12:
-                    break
-    return (p, cost) if np.all(np.isfinite(p)) and np.isfinite(cost) else None
+        costs[:] = ((f - y) ** 2).sum(axis=1)
+        for _ in range(min(STEPS, EVALUATIONS[components] // p.shape[1])):
+            if not len(live):
+                break
+            normal = jac @ jac.transpose(0, 2, 1)
+            diag = np.maximum(np.einsum("ikk->ik", normal), 1e-12)
+            damped = normal + np.eye(p.shape[1]) * (damping[live, None] * diag)[:, None, :]
+            step = np.linalg.solve(damped + np.eye(p.shape[1]) * 1e-12 * diag.max(axis=1)[:, None, None], (jac @ (f - y[live])[:, :, None]))[:, :, 0]
+            g, jac_g = _model(best[live] - step, t)
+            new = ((g - y[live]) ** 2).sum(axis=1)
+            better = np.isfinite(new) & (new < costs[live])
+            done = np.where(better, costs[live] - new <= 1e-10 * costs[live], damping[live] > 1e10)
+            damping[live] *= np.where(better, 1 / 3, 4)
+            at = live[better]
+            best[at] -= step[better]
+            costs[at] = new[better]
+            f, jac = np.where(better[:, None], g, f), np.where(better[:, None, None], jac_g, jac)
+            live, f, jac = live[~done], f[~done], jac[~done]
+    costs[~np.isfinite(best).all(axis=1)] = np.inf
+    return best, costs
+
+
+def decays(series: list[np.ndarray], at: list[int], sr: float, components: int = 2) -> np.ndarray:
+    """Rows of tau1..3, a1..3 and cost for each series' recovery after its peak; -1 where there is none to fit.
+
+    Recoveries of one length are fitted together.
+    """
+    out = np.full((len(series), 7), -1.0)
+    by_length: dict[int, list[tuple[int, np.ndarray]]] = {}
+    for k, (v, peak_at) in enumerate(zip(series, at, strict=True)):
+        part = v[max(5, min(peak_at, len(v) - 10)) :] if len(v) >= 20 else v[:0]
+        if len(part) >= 10 and np.std(part) >= 1e-8 and np.isfinite(part).all():
+            by_length.setdefault(len(part), []).append((k, part - part[-1]))
+    for n, rows in by_length.items():
+        t = np.arange(n) / sr
+        for lo in range(0, len(rows), max(1, 400_000 // n)):
+            some = rows[lo : lo + max(1, 400_000 // n)]
+            which, y = np.array([k for k, _ in some]), np.stack([x for _, x in some])
+            for c in range(1, components + 1):
+                if c == 3 and n < 30:
+                    continue
+                p, cost = fit(t, y, c)
+                good = np.isfinite(cost)
+                out[which[good], 0:c] = np.exp(np.clip(p[good, 1:-1:2], -LOG_TAU, LOG_TAU))
+                out[which[good], 3 : 3 + c] = p[good, 0:-1:2]
+                out[which[good], 6] = cost[good]
+    return out
+
+
+NAMES = ("tau1", "tau2", "tau3", "a1", "a2", "a3", "cost")
 
 
 def decay(v: np.ndarray, at: int, sr: float, components: int = 2) -> dict[str, float]:
-    """Time constants and amplitudes of the recovery after the peak; -1 where there is none to fit."""
-    out = dict.fromkeys(("tau1", "tau2", "tau3", "a1", "a2", "a3", "cost"), -1.0)
-    if len(v) < 20:
-        return out
-    part = v[max(5, min(at, len(v) - 10)) :]
-    y = part - part[-1]
-    if len(part) < 10 or np.std(y) < 1e-8:
-        return out
-    t = np.arange(len(y)) / sr
-    for c in range(1, components + 1):
-        found = fit(t, y, c) if c < 3 or len(y) >= 30 else None
-        if found:
-            p, out["cost"] = found
-            for k, (a, log_tau) in enumerate(p[:-1].reshape(-1, 2), 1):
-                out[f"a{k}"], out[f"tau{k}"] = float(a), float(np.exp(np.clip(log_tau, -LOG_TAU, LOG_TAU)))
-    return out
+    """decays() of one series."""
+    return dict(zip(NAMES, decays([np.asarray(v, float)], [at], sr, components)[0].tolist(), strict=True))
 
 
 def _rows(batch: pa.RecordBatch, column: str = "v") -> Iterator[np.ndarray]:
-    for x in batch.column(column):
-        yield np.array([], float) if x.as_py() is None else np.array(x.as_py(), float)
+    a = batch.column(column)
+    flat, ends = a.values.to_numpy(zero_copy_only=False), a.offsets.to_numpy()
+    for lo, hi in zip(ends[:-1], ends[1:], strict=True):
+        yield flat[lo:hi]
 
 
 def spectral_peak(series: DataFrame, sr: float = 10.0) -> DataFrame:
@@ -110,14 +130,15 @@ def spectral_peak(series: DataFrame, sr: float = 10.0) -> DataFrame:
 def decay_fit(series: DataFrame, sr: float = 10.0, components: int = 2) -> DataFrame:
     """series (keys, v, r0) without its arrays, with tau1..3, a1..3 and cost; the recovery starts at the largest deviation from r0."""
     keys = [c for c, kind in series.dtypes if not kind.startswith(("array", "map", "struct"))]
-    names = ("tau1", "tau2", "tau3", "a1", "a2", "a3", "cost")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            found = [decay(v, int(np.argmax(np.abs(v - r0))) if len(v) else 0, sr, components) for v, r0 in zip(_rows(b), b.column("r0").to_pylist(), strict=True)]
-            yield pa.RecordBatch.from_arrays([*(b.column(k) for k in keys), *(pa.array([f[n] for f in found], pa.float64()) for n in names)], names=[*keys, *names])
+            rows = list(_rows(b))
+            peaks = [int(np.argmax(np.abs(v - r0))) if len(v) else 0 for v, r0 in zip(rows, b.column("r0").to_pylist(), strict=True)]
+            found = decays(rows, peaks, sr, components)
+            yield pa.RecordBatch.from_arrays([*(b.column(k) for k in keys), *(pa.array(np.ascontiguousarray(c)) for c in found.T)], names=[*keys, *NAMES])
 
-    schema = ", ".join([*(f"`{c}` {kind}" for c, kind in series.select(*keys).dtypes), *(f"{n} double" for n in names)])
+    schema = ", ".join([*(f"`{c}` {kind}" for c, kind in series.select(*keys).dtypes), *(f"{n} double" for n in NAMES)])
     return series.select(*keys, "v").mapInArrow(run, schema)
 
 
