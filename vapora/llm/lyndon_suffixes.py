@@ -13,7 +13,18 @@ from __future__ import annotations
 
 import numpy as np
 
-from vapora.llm.blocks import ragged
+
+def _ragged(starts: np.ndarray, counts: np.ndarray) -> np.ndarray:
+    """Places of each run, run after run."""
+    ends = np.cumsum(counts, dtype=np.int32)
+    return np.arange(ends[-1] if len(ends) else 0, dtype=np.int32) + np.repeat(starts - ends + counts, counts)
+
+
+def _sorted_places(text: np.ndarray, of: np.ndarray) -> np.ndarray:
+    """Places by text number, then symbol, then place; 16-bit keys are sorted by radix."""
+    small = text.astype(np.int16) if text.max(initial=0) < 1 << 15 else text
+    order = np.argsort(small, kind="stable")
+    return order[np.argsort(of[order].astype(np.uint16 if of[-1] < 1 << 16 else np.int64), kind="stable")] if len(of) else order
 
 
 def suffix_arrays(text: np.ndarray, starts: np.ndarray) -> np.ndarray:
@@ -22,25 +33,26 @@ def suffix_arrays(text: np.ndarray, starts: np.ndarray) -> np.ndarray:
     starts: first places; every text ends with a symbol smaller than all of its others. Entries are places in `text`.
     """
     total, count = len(text), len(starts)
-    ends = np.r_[starts[1:], total]
-    of = np.repeat(np.arange(count), ends - starts)
-    listed = np.lexsort((text, of))  # suffixes by group
-    where = np.empty(total, np.int64)
-    where[listed] = np.arange(total)
-    first = np.flatnonzero(np.r_[True, (text[listed][1:] != text[listed][:-1]) | (of[1:] != of[:-1])])
-    sizes = np.diff(np.r_[first, total])
-    size = np.zeros(total, np.int64)
+    starts = np.asarray(starts, np.int32)
+    ends = np.r_[starts[1:], np.int32(total)]
+    of = np.repeat(np.arange(count, dtype=np.int32), ends - starts)
+    listed = _sorted_places(text, of).astype(np.int32)  # suffixes by group
+    where = np.empty(total, np.int32)
+    where[listed] = np.arange(total, dtype=np.int32)
+    first = np.flatnonzero(np.r_[True, (text[listed][1:] != text[listed][:-1]) | (of[1:] != of[:-1])]).astype(np.int32)
+    sizes = np.diff(np.r_[first, np.int32(total)])
+    size = np.zeros(total, np.int32)
     size[first] = sizes
-    group = np.empty(total, np.int64)
+    group = np.empty(total, np.int32)
     group[listed] = np.repeat(first, sizes)
-    lower = np.arange(-1, total - 1)
+    lower = np.arange(-1, total - 1, dtype=np.int32)
     lower[starts] = -1
 
     top = ends.copy()
     live = np.flatnonzero(top > starts)
     while len(live):
         begin = group[listed[top[live] - 1]]
-        members = listed[ragged(begin, top[live] - begin)]
+        members = listed[_ragged(begin, top[live] - begin)]
         top[live] = begin
         live = live[begin > starts[live]]
         at, mine = lower[members], group[members]
@@ -60,12 +72,12 @@ def suffix_arrays(text: np.ndarray, starts: np.ndarray) -> np.ndarray:
         moved = np.diff(np.r_[heads, len(up)])
         homes = home[heads]
         tail = homes + size[homes] - moved
-        slots = ragged(tail, moved)
+        slots = _ragged(tail, moved)
         # What stands in the tails and stays goes where the others came from.
         marked = np.zeros(len(up), bool)
         inside = where[up] >= np.repeat(tail, moved)
         standing = listed[slots]
-        marked[where[up][inside] - np.repeat(tail - heads, moved)[inside]] = True
+        marked[where[up][inside] - np.repeat(tail - heads.astype(np.int32), moved)[inside]] = True
         stay, free = standing[~marked], where[up][~inside]
         listed[free] = stay
         where[stay] = free
@@ -77,8 +89,8 @@ def suffix_arrays(text: np.ndarray, starts: np.ndarray) -> np.ndarray:
         size[slots[split]] = lengths
         group[up] = np.repeat(slots[split], lengths)
 
-    out = np.empty(total, np.int64)
-    free = np.arange(total)  # next place of the group that begins there
+    out = np.empty(total, np.int32)
+    free = np.arange(total, dtype=np.int32)  # next place of the group that begins there
     placed = np.zeros(total, bool)
     last = ends - 1
     out[starts] = last
