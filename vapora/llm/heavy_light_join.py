@@ -397,3 +397,16 @@ def ngram_components(docs: DataFrame) -> DataFrame:
 
 def op3_heavy_light_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_components(common.documents(spark, sf_dir))
+
+
+ORACLE_SQL = r"""
+WITH RECURSIVE w AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS ws FROM documents),
+l AS (SELECT doc_id, CASE WHEN len(ws) > 4 THEN list_distinct(list_transform(range(1, len(ws) - 3), lambda i: array_to_string(ws[i:i + 4], ' '))) WHEN len(ws) > 0 THEN [array_to_string(ws, ' ')] ELSE [] END AS s FROM w),
+e AS (SELECT doc_id, unnest(s) AS s FROM l),
+n AS (SELECT doc_id, len(s) AS n FROM l),
+p AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS shared FROM e a JOIN e b ON a.s = b.s AND a.doc_id < b.doc_id GROUP BY 1, 2),
+k AS (SELECT a, b FROM p JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE 100 * shared >= 75 * (x.n + y.n - shared)),
+g AS (SELECT a, b FROM k UNION ALL SELECT b, a FROM k),
+r(doc_id, reached) AS (SELECT doc_id, doc_id FROM n UNION SELECT r.doc_id, g.b FROM r JOIN g ON g.a = r.reached)
+SELECT n.doc_id, n.n AS n_shingles, min(reached) AS component_id FROM n JOIN r ON r.doc_id = n.doc_id GROUP BY n.doc_id, n.n
+"""

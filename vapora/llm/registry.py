@@ -17,6 +17,8 @@ QUERIES = {
     "op10_suffix_dedup": suffix_dedup.op10_suffix_dedup,
 }
 ORACLE_SQL = {
+    "op3_heavy_light_join": heavy_light_join.ORACLE_SQL,
+    "op10_suffix_dedup": suffix_dedup.ORACLE_SQL,
     "op2_hilbert_shards": hilbert_shards.ORACLE_SQL,
     "op4_pii_spans": pii_spans.ORACLE_SQL,
     "op9_exact_dedup": exact_dedup.ORACLE_SQL,

@@ -435,3 +435,18 @@ def suffix_dedup(docs: DataFrame, stable: bool = True, hot: int = HOT) -> DataFr
 
 def op10_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix_dedup(common.documents(spark, sf_dir))
+
+
+ORACLE_SQL = """
+WITH b AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents),
+v AS (SELECT doc_id, h, unnest(range(1, greatest(1, length(h) // 2 - 48))) AS i FROM b),
+w AS (SELECT doc_id, i, md5(substr(h, 2 * i - 1, 100)) AS s FROM v),
+f AS (SELECT s, min(doc_id) AS least FROM w GROUP BY s HAVING count(*) > 1),
+r AS (SELECT w.doc_id, i, CASE WHEN i <= lag(i) OVER (PARTITION BY w.doc_id ORDER BY i) + 50 THEN 0 ELSE 1 END AS new FROM w JOIN f ON w.s = f.s AND f.least < w.doc_id),
+g AS (SELECT doc_id, i, sum(new) OVER (PARTITION BY doc_id ORDER BY i) AS k FROM r),
+p AS (SELECT doc_id, k, min(i) AS a, max(i) + 49 AS z FROM g GROUP BY doc_id, k),
+q AS (SELECT doc_id, list({'a': a, 'z': z} ORDER BY a) AS p, sum(z - a + 1) AS removed, count(*) AS spans FROM p GROUP BY doc_id)
+SELECT b.doc_id, length(h) // 2 AS n_bytes, coalesce(removed, 0)::BIGINT AS n_removed, coalesce(spans, 0)::BIGINT AS n_spans,
+  sha256(unhex(CASE WHEN q.p IS NULL THEN h ELSE array_to_string(list_transform(range(1, len(q.p) + 2), lambda k: substr(h, CASE WHEN k = 1 THEN 1 ELSE 2 * q.p[k - 1].z + 1 END, CASE WHEN k = len(q.p) + 1 THEN length(h) ELSE 2 * q.p[k].a - 2 END - CASE WHEN k = 1 THEN 0 ELSE 2 * q.p[k - 1].z END)), '') END)) AS kept_sha256
+FROM b LEFT JOIN q ON b.doc_id = q.doc_id
+"""
