@@ -15,6 +15,7 @@ from __future__ import annotations
 
 from collections import Counter
 from collections.abc import Iterator
+from math import floor
 
 import numpy as np
 import pyarrow as pa
@@ -144,7 +145,7 @@ def _judge(refs, char_limit: float, word_limit: float, min_words: int):
             own[places.get(word, -1)] += k
         far = js_distance(class_histogram(by_byte), by_class), js_distance(own, shares)
         kept = not failed and (n < min_words or (far[0] <= char_limit and far[1] <= word_limit))
-        return n, chars, int(by_byte[list(SYMBOLS)].sum()), duplicate_lines(raw), repeats, failed, kept, *far
+        return n, chars, int(by_byte[list(SYMBOLS)].sum()), duplicate_lines(raw), repeats, failed, kept, *(floor(x * 1e6 + 0.50037) / 1e6 for x in far)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -162,7 +163,7 @@ _MEASURES = "n_words long, word_chars long, n_symbols long, n_dup_lines long, n_
 
 
 def divergence_rules(docs: DataFrame, char_limit: float = CHAR_LIMIT, word_limit: float = WORD_LIMIT, min_words: int = MIN_WORDS) -> DataFrame:
-    """doc_id with the base measures, base_failed, kept and both distances."""
+    """doc_id with the base measures, base_failed, kept and both distances, to six digits."""
     docs = common.id_and_text(docs, "lang")
     refs = docs.sparkSession.sparkContext.broadcast(references(docs))
     return docs.mapInArrow(_judge(refs, char_limit, word_limit, min_words), f"doc_id long, {_MEASURES}")
@@ -179,3 +180,30 @@ def kept_documents(docs: DataFrame) -> DataFrame:
 
 def op1_divergence_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return divergence_rules(common.documents(spark, sf_dir))
+
+
+_WORD = r"[^\x20\x09-\x0D]+"
+_OF = {"lower": "[a-z]", "upper": "[A-Z]", "digit": "[0-9]", "space": r"[\x20\x09-\x0D]", "stop": """[.,;:!?''"()-]""", "symbol": "[#*$%&|<>]", "letter_beyond": r"[^\x00-\x7F]"}
+ORACLE_SQL = f"""
+WITH t AS (SELECT doc_id, lang, coalesce(text, '') AS t FROM documents),
+w AS (SELECT doc_id, lang, t, regexp_extract_all(t, '{_WORD}') AS ws FROM t),
+x AS (SELECT doc_id, lang, ws, len(ws) AS n_words, length(array_to_string(ws, '')) AS word_chars, {", ".join(f"length(regexp_replace(t, '{p.replace('[^', '[') if p.startswith('[^') else '[^' + p[1:]}', '', 'g')) AS c_{c}" for c, p in _OF.items())}, length(t) AS n,
+  list_filter(string_split(t, chr(10)), lambda z: regexp_matches(z, '{_WORD}')) AS ls, list_transform(range(1, len(ws) - 1), lambda i: ws[i:i + 2]) AS g FROM w),
+seen AS (SELECT doc_id, unnest(range(1, len(g) + 1)) AS i, unnest(g) AS g FROM x),
+many AS (SELECT doc_id, unnest([i, i + 1, i + 2]) AS i FROM (SELECT doc_id, i, count(*) OVER (PARTITION BY doc_id, g) AS k FROM seen) WHERE k > 1),
+rep AS (SELECT doc_id, count(DISTINCT i) AS n_repeat_words FROM many GROUP BY doc_id),
+cl AS (SELECT doc_id, lang, unnest({list(CLASSES[:N_CLASSES])}) AS c, unnest([c_lower, c_upper, c_digit, c_space, c_stop, c_symbol, n - c_lower - c_upper - c_digit - c_space - c_stop - c_symbol - c_letter_beyond, c_letter_beyond])::DOUBLE AS k FROM x),
+rc AS (SELECT lang, c, sum(k) AS k FROM cl WHERE lang IS NOT NULL GROUP BY lang, c UNION ALL SELECT NULL, c, sum(k) FROM cl GROUP BY c),
+dw AS (SELECT doc_id, lang, translate(w, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS w, count(*)::DOUBLE AS k FROM (SELECT doc_id, lang, unnest(ws) AS w FROM x) GROUP BY ALL),
+lw AS (SELECT lang, w, sum(k) AS k FROM dw WHERE lang IS NOT NULL GROUP BY lang, w UNION ALL SELECT NULL, w, sum(k) FROM dw GROUP BY w),
+tw AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY k DESC, w) AS r, sum(k) OVER (PARTITION BY lang) AS total FROM lw) WHERE r <= {TOP}),
+rw AS (SELECT lang, w, k FROM tw UNION ALL SELECT lang, '', any_value(total) - sum(k) FROM tw GROUP BY lang),
+dk AS (SELECT doc_id, x.lang, rw.w, rw.k AS q, coalesce(dw.k, 0) AS p, n_words FROM x JOIN rw ON x.lang IS NOT DISTINCT FROM rw.lang LEFT JOIN dw USING (doc_id, w)),
+pw AS (SELECT doc_id, CASE WHEN w = '' THEN n_words - sum(p) OVER (PARTITION BY doc_id) ELSE p END AS p, q FROM dk),
+pc AS (SELECT cl.doc_id, cl.k AS p, rc.k AS q FROM cl JOIN rc ON cl.c = rc.c AND cl.lang IS NOT DISTINCT FROM rc.lang),
+js AS (SELECT kind, doc_id, CASE WHEN sp = 0 OR sq = 0 THEN 1 ELSE sqrt(greatest(0, least(1, sum(CASE WHEN p > 0 THEN p / sp * log2(2 * p / sp / (p / sp + q / sq)) ELSE 0 END + CASE WHEN q > 0 THEN q / sq * log2(2 * q / sq / (p / sp + q / sq)) ELSE 0 END) / 2))) END AS d
+  FROM (SELECT *, sum(p) OVER (PARTITION BY kind, doc_id) AS sp, sum(q) OVER (PARTITION BY kind, doc_id) AS sq FROM (SELECT 'c' AS kind, * FROM pc UNION ALL SELECT 'w', * FROM pw)) GROUP BY kind, doc_id, sp, sq),
+v AS (SELECT x.doc_id, n_words, word_chars, c_symbol, len(ls) - len(list_distinct(ls)) AS n_dup_lines, coalesce(n_repeat_words, 0) AS n_repeat_words, a.d AS dc, b.d AS dw FROM x LEFT JOIN rep USING (doc_id) JOIN js a ON a.kind = 'c' AND a.doc_id = x.doc_id JOIN js b ON b.kind = 'w' AND b.doc_id = x.doc_id)
+SELECT doc_id, n_words, word_chars, c_symbol AS n_symbols, n_dup_lines, n_repeat_words, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed,
+  NOT (n_words < 50 OR 100 * n_repeat_words > 50 * n_words) AND (n_words < {MIN_WORDS} OR (dc <= {CHAR_LIMIT} AND dw <= {WORD_LIMIT})) AS kept, floor(dc * 1e6 + 0.50037::DOUBLE) / 1e6 AS char_distance, floor(dw * 1e6 + 0.50037::DOUBLE) / 1e6 AS word_distance FROM v
+"""

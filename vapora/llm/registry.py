@@ -17,6 +17,7 @@ QUERIES = {
     "op10_suffix_dedup": suffix_dedup.op10_suffix_dedup,
 }
 ORACLE_SQL = {
+    "op1_divergence_rules": divergence_rules.ORACLE_SQL,
     "op3_heavy_light_join": heavy_light_join.ORACLE_SQL,
     "op10_suffix_dedup": suffix_dedup.ORACLE_SQL,
     "op2_hilbert_shards": hilbert_shards.ORACLE_SQL,
