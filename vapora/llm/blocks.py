@@ -19,7 +19,7 @@ from pyspark import TaskContext
 from vapora.llm.common import SLICE, slices
 
 #: Symbols (bytes) of text that one block holds.
-BLOCK_BYTES = 16 << 20
+BLOCK_BYTES = 10 << 20
 
 
 def buckets_for(rows: int) -> int:
