@@ -93,3 +93,18 @@ def test_streams(spark, sf, tmp_path):
 def test_normalised_without_baseline_is_nan(spark):
     s = spark.createDataFrame([("r", [1.0, 2.0], None)], "recording_id string, v array<double>, r0 double")
     assert all(x != x for x in baseline.normalised(s).first().x)
+
+
+def test_recognition_of_recordings(spark, sf):
+    from vapora.operators import learning
+
+    rows = learning.vectors(views.wave(spark, sf)).withColumn("substance", F.when(F.col("recording_id") % 2 == 0, "tea").otherwise("coffee"))
+    model = learning.train(rows, "substance", list(features.CLOSED), trees=3)
+    got = learning.recognise(model, views.wave(spark, sf).limit(5), needed=2.0).collect()
+    assert len(got) == 5 and all(r.substance in ("tea", "coffee") and 0.5 <= r.confidence <= 1 and r.rig_warning for r in got)
+
+
+def test_boundaries(spark):
+    assert feasibility.boundaries(spark).where("capability").count() == 4
+    mixes = feasibility.composite_verdict(catalogue.composites(spark), catalogue.compounds(spark)).withColumn("kind", F.lit("composite"))
+    assert feasibility.relevant_boundaries(mixes).first().boundaries == ["mixture"]

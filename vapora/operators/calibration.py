@@ -134,7 +134,14 @@ def _q_quick(spark: SparkSession, sf_dir: str) -> DataFrame:
     return calibrate_quick(spellings(spark, sf_dir)).select("p_partkey", "sensor", "gas", "model", "gas_name", "a", "b", "error")
 
 
-QUERIES = {"power_law_fit": _q_fit, "power_law_loocv": _q_loocv, "invert_concentration": _q_invert, "two_point": _q_two_point, "sensor_name_normalise": _q_normalise, "quick_calibration": _q_quick}
+def _q_series(spark: SparkSession, sf_dir: str) -> DataFrame:
+    w = views.wave(spark, sf_dir).selectExpr("recording_id", "cast(recording_id % 3 AS string) AS channel", "transform(v, x -> (x - 1000D) / 1000D) AS x")
+    cal = spark.createDataFrame([("0", 2.0, -0.5), ("1", 1.5, -0.8)], "channel string, a double, b double")
+    out = concentration_series(w, cal).selectExpr("recording_id", "channel", "posexplode(conc) AS (idx, c)")
+    return out.selectExpr("recording_id", "channel", "idx", f"CASE WHEN NOT isnan(c) THEN {A.snap('c', 5)} END AS conc")
+
+
+QUERIES = {"concentration_series": _q_series, "power_law_fit": _q_fit, "power_law_loocv": _q_loocv, "invert_concentration": _q_invert, "two_point": _q_two_point, "sensor_name_normalise": _q_normalise, "quick_calibration": _q_quick}
 
 _s = A.snap
 _LAB = "lab AS (SELECT o_orderkey, o_orderpriority AS batch, (o_custkey % 8)::INT AS rig, o_totalprice / 1000::DOUBLE AS c, 2::DOUBLE * pow(o_totalprice / 1000::DOUBLE, -0.6::DOUBLE) * (1::DOUBLE + (o_orderkey % 11 - 5) / 100::DOUBLE) AS rr FROM orders)"
@@ -143,6 +150,8 @@ _MODELS = "md(model, family, ratio) AS (VALUES " + ", ".join(f"('{m}', '{f}', {'
 _LAWS = "lw(model, gas, a, b) AS (VALUES " + ", ".join(f"('{m}', '{g}', {a}::DOUBLE, {b}::DOUBLE)" for m, _, _, gs in sensors._rows() for g, a, b in gs) + ")"
 _KEY = "regexp_replace(upper({}), '[^A-Z0-9]', '', 'g')"
 ORACLE_SQL = {
+    "concentration_series": f"""WITH {views.WAVE}, x AS (SELECT recording_id, (recording_id % 3)::VARCHAR AS channel, idx, (v - 1000) / 1000::DOUBLE + 1 AS rr FROM wave)
+SELECT recording_id, channel, idx::INT AS idx, CASE WHEN rr <= 0 THEN NULL WHEN channel = '0' THEN {_s('pow(rr / 2, -2)', 5)} WHEN channel = '1' THEN {_s('pow(rr / 1.5::DOUBLE, 1 / -0.8::DOUBLE)', 5)} END AS conc FROM x""",
     "power_law_fit": f"""WITH {_LAB}, g AS (SELECT batch, rig, count(*) AS n, regr_slope(ln(rr), ln(c)) AS b, regr_intercept(ln(rr), ln(c)) AS i, min(c) AS lo, max(c) AS hi, regr_r2(ln(rr), ln(c)) AS r2 FROM lab GROUP BY 1, 2),
 r AS (SELECT batch, rig, sqrt(avg(pow(ln(rr) - i - b * ln(c), 2))) AS rmse FROM lab JOIN g USING (batch, rig) GROUP BY 1, 2)
 SELECT batch, rig, n AS n_points, {_s('exp(i)', 6)} AS a, {_s('b', 6)} AS b, {_s('r2', 6)} AS r2, {_s('rmse', 6)} AS rmse_log_rr, lo AS min_ppm, hi AS max_ppm FROM g JOIN r USING (batch, rig)""",

@@ -4,11 +4,13 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from vapora.functions import arrays as A
 from vapora.operators import features, kinetics
 from vapora.operators.presets import GROUP_MARKERS
+from vapora.plans import views
 
 #: The canonical order of channels.
 CANONICAL = ("NO2", "C2H5OH", "VOC", "CO", "Alcohol", "LPG")
@@ -97,3 +99,22 @@ def rank_channels(long: DataFrame, top: int = 3) -> DataFrame:
     """The channels of each recording with the largest amplitude."""
     w = Window.partitionBy("recording_id").orderBy(F.desc("relative_amplitude"), "channel")
     return long.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= top)
+
+
+def _q_expand(spark: SparkSession, sf_dir: str) -> DataFrame:
+    w = views.wave(spark, sf_dir).selectExpr("recording_id div 4 AS recording_id", "cast(recording_id % 4 AS int) AS ch_idx", "slice(v, 1, 5) AS v")
+    out = expand_channels(w, 6, [(0, 5), (1, 0), (2, 2)])
+    return out.selectExpr("recording_id", "ch_idx", "posexplode(v) AS (idx, value)").selectExpr("recording_id", "ch_idx", "idx", f"{A.snap('value', 4)} AS value")
+
+
+def _q_framework(spark: SparkSession, sf_dir: str) -> DataFrame:
+    w = views.wave(spark, sf_dir).selectExpr("recording_id div 4 AS recording_id", "cast(recording_id % 4 AS int) AS ch_idx", "cast(recording_id % 4 AS string) AS channel", "v", "n")
+    return framework(w)
+
+
+QUERIES = {"expand_channels": _q_expand, "framework_features": _q_framework}
+ORACLE_SQL = {
+    "expand_channels": f"""WITH {views.WAVE}, m AS (SELECT recording_id // 4 AS recording_id, CASE recording_id % 4 WHEN 0 THEN 5 WHEN 1 THEN 0 WHEN 2 THEN 2 END AS ch, idx, v FROM wave WHERE idx < 5),
+g AS (SELECT recording_id, c, i FROM (SELECT DISTINCT recording_id FROM m), range(6) r(c), range(5) q(i))
+SELECT g.recording_id, c::INT AS ch_idx, i::INT AS idx, {A.snap('coalesce(v, 0)', 4)} AS value FROM g LEFT JOIN m ON m.recording_id = g.recording_id AND m.ch = c AND m.idx = i""",
+}

@@ -137,6 +137,54 @@ def top_percepts(compounds: DataFrame, most: int = 3) -> DataFrame:
     return p.select("id", "name", F.size("all").alias("n_percepts"), F.expr(f"transform(slice(all, 1, {most}), x -> x.percept)").alias("top"), "dominant", F.col("dominant").isin(*catalogue.LOW_VOLATILITY).alias("low_volatility"))
 
 
+#: What a chemiresistive array can tell and what it can't: id | domain | capability.
+BOUNDARIES = """
+functional-groups|Identity|can
+molecular-size|Identity|can
+vapor-pressure|Identity|can
+redox|Reactivity|can
+structure|Identity|cannot
+concentration|Concentration|cannot
+non-redox|Reactivity|cannot
+trace|Sensitivity|cannot
+mixture|Composition|cannot
+"""
+
+
+def boundaries(spark: SparkSession) -> DataFrame:
+    """id, domain, capability."""
+    rows = [tuple(line.split("|")) for line in BOUNDARIES.strip().splitlines()]
+    return spark.createDataFrame([(i, d, c == "can") for i, d, c in rows], "id string, domain string, capability boolean")
+
+
+def relevant_boundaries(verdicts: DataFrame) -> DataFrame:
+    """verdicts (kind, signal_strength; g_reactivity and ppm of compounds) with the ids of the boundaries that they touch."""
+    have = set(verdicts.columns)
+    inert = "g_reactivity = 'red'" if "g_reactivity" in have else "false"
+    trace = "signal_strength = 'none' AND ppm IS NOT NULL" if "ppm" in have else "false"
+    return verdicts.withColumn("boundaries", F.expr(f"array_compact(array(CASE WHEN {inert} THEN 'non-redox' END, CASE WHEN {trace} THEN 'trace' END, CASE WHEN kind = 'composite' THEN 'mixture' END, CASE WHEN kind = 'class' THEN 'structure' END))"))
+
+
+def perceptual_summary(verdicts: DataFrame, percepts: DataFrame) -> DataFrame:
+    """verdicts (id, name, verdict, confidence) with a sentence on what they smell of and what the array makes of it."""
+    p = percepts.groupBy("id").agg(F.array_sort(F.collect_list(F.struct("ord", "percept", F.lower("label").alias("label")))).alias("p"))
+    v = verdicts.join(p, "id", "left").withColumn("hat", F.expr("coalesce(array_join(transform(slice(p, 1, 3), x -> x.label), '; '), 'unclassified chemistry')"))
+    slow = "element_at(p, 1).percept IN ({})".format(", ".join(f"'{x}'" for x in catalogue.LOW_VOLATILITY))
+    told = f"CASE WHEN verdict = 'red' THEN 'no usable signal' WHEN confidence = 'low' THEN 'a response, its strength a guess' WHEN size(p) > 0 AND {slow} THEN 'a weak, slow response' ELSE 'a clear reducing response' END"
+    return v.withColumn("summary", F.expr(f"name || ' reads as ' || hat || ': ' || {told} || '.'")).drop("p", "hat")
+
+
+def _q_bands(spark: SparkSession, sf_dir: str) -> DataFrame:
+    o = spark.read.parquet(f"{sf_dir}/orders.parquet").withColumn("x", F.expr("pow(10D, o_orderkey % 9 - 4) * o_totalprice / 1000D"))
+    return o.select("o_orderkey", physics.volatility_label(F.col("x")).alias("volatility"), physics.headspace_band(F.col("x")).alias("headspace"), physics.signal_band(F.col("x")).alias("signal"))
+
+
+def _q_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    c = catalogue.compounds(spark)
+    v = relevant_boundaries(constituent_chain(c).withColumn("kind", F.lit("chemical")))
+    return perceptual_summary(v, percepts_of(c)).selectExpr("id", "summary", "array_join(boundaries, ',') AS boundaries")
+
+
 def _q_chain(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = constituent_chain(catalogue.compounds(spark))
     return out.selectExpr("id", "verdict", "g_volatility", "g_signal", "g_reactivity", "signal_strength", "response_speed", "confidence", "vp_source", f"{A.snap('vp', 3)} AS vp", f"{A.snap('ratio', 6)} AS ratio")
@@ -177,7 +225,7 @@ def _q_physics(kind: str):
 
 QUERIES = {
     "constituent_chain": _q_chain, "composite_verdict": _q_composite, "class_verdict": _q_class, "percepts_for": _q_percepts, "cross_check": _q_cross,
-    "antoine_vapor": _q_physics("antoine"), "clausius_clapeyron": _q_physics("clausius"), "fuller_diffusion": _q_physics("fuller"),
+    "bands": _q_bands, "perceptual_summary": _q_summary, "antoine_vapor": _q_physics("antoine"), "clausius_clapeyron": _q_physics("clausius"), "fuller_diffusion": _q_physics("fuller"),
 }
 
 
@@ -203,6 +251,7 @@ ch AS (SELECT *, CASE WHEN gas OR vp >= 100 THEN 'green' WHEN vp >= 1 THEN 'yell
   CASE WHEN band = 'marginal' THEN 'weak' ELSE band END AS sig, CASE WHEN gas OR vp >= 1000 THEN 'fast' WHEN vp >= 100 THEN 'medium' WHEN vp >= 1 THEN 'slow' ELSE 'unknown' END AS speed, CASE WHEN 'estimated' IN (mw_s, bp_s, vs) THEN 'medium' ELSE 'high' END AS conf FROM s),
 cv AS (SELECT *, CASE WHEN 'red' IN (g_volatility, g_signal, g_reactivity) THEN 'red' WHEN 'yellow' IN (g_volatility, g_signal, g_reactivity) THEN 'yellow' ELSE 'green' END AS verdict FROM ch)"""
 _PERCEPTS = "pc(ord, percept, groups, words) AS (VALUES " + ", ".join(f"({k}, {_q(i)}, [{', '.join(map(_q, g))}]::VARCHAR[], [{', '.join(map(_q, w))}])" for k, i, _, g, w in catalogue.percept_rows()) + ")"
+_PERCEPTS_L = "pc(ord, percept, label, groups, words) AS (VALUES " + ", ".join(f"({k}, {_q(i)}, {_q(label)}, [{', '.join(map(_q, g))}]::VARCHAR[], [{', '.join(map(_q, w))}])" for k, i, label, g, w in catalogue.percept_rows()) + ")"
 _s = A.snap
 ORACLE_SQL = {
     "constituent_chain": f"WITH {_CHAIN} SELECT id, verdict, g_volatility, g_signal, g_reactivity, sig AS signal_strength, speed AS response_speed, conf AS confidence, vs AS vp_source, {_s('vp', 3)} AS vp, {_s('ratio', 6)} AS ratio FROM cv",
@@ -215,6 +264,13 @@ SELECT id, CASE WHEN r / a > 0.5 THEN 'red' WHEN d / a > 0.4 THEN 'yellow' ELSE
 SELECT id, count(*)::INT AS n_percepts, array_to_string(list(percept ORDER BY ord)[:3], ',') AS top, arg_min(percept, (NOT hit, ord)) AS dominant, arg_min(percept, (NOT hit, ord)) IN ('spicy-balsamic', 'smoky-phenolic') AS low_volatility FROM j GROUP BY id""",
     "cross_check": f"""WITH {_COMPOUNDS}, lib AS (SELECT DISTINCT ['', 'Ripe ', 'Gas ', ''][p_partkey % 4 + 1] || ['ethanol', 'Acetone', 'lpg', 'butane', 'H2O', 'widget', 'Phenol', 'toluol'][p_size % 8 + 1] AS label FROM part)
 SELECT id, 40 AS max_distinguishable, coalesce(string_agg(label, ',' ORDER BY label), '') AS confusable FROM cp LEFT JOIN lib ON lower(label) = lower(name) OR list_contains(list_transform(syn, lambda x: lower(x)), lower(label)) OR contains(lower(name), lower(label)) OR contains(lower(label), lower(name)) GROUP BY id""",
+    "bands": """WITH x AS (SELECT o_orderkey, pow(10, o_orderkey % 9 - 4) * o_totalprice / 1000::DOUBLE AS x FROM orders),
+v(lo, hi, l) AS (VALUES (10000, 1e300, 'very high'), (1000, 10000, 'high'), (100, 1000, 'moderate'), (1, 100, 'low'), (0, 1, 'negligible')), h(lo, hi, l) AS (VALUES (1000, 1e300, 'strong'), (100, 1000, 'moderate'), (10, 100, 'weak'), (1, 10, 'marginal'), (0, 1, 'none')), s(lo, hi, l) AS (VALUES (1, 1e300, 'strong'), (0.1, 1, 'moderate'), (0.01, 0.1, 'weak'), (0.001, 0.01, 'marginal'), (0, 0.001, 'none'))
+SELECT o_orderkey, v.l AS volatility, h.l AS headspace, s.l AS signal FROM x JOIN v ON x >= v.lo AND x < v.hi JOIN h ON x >= h.lo AND x < h.hi JOIN s ON x >= s.lo AND x < s.hi""",
+    "perceptual_summary": f"""WITH {_CHAIN}, {_PERCEPTS_L}, j AS (SELECT cv.id, pc.ord, pc.percept, lower(pc.label) AS label FROM cv JOIN pc ON list_has_any(cv.groups, pc.groups) OR len(list_filter(words, lambda w: contains(lower(name || ' ' || odor), w))) > 0),
+p AS (SELECT id, array_to_string(list(label ORDER BY ord)[:3], '; ') AS hat, arg_min(percept, ord) AS first FROM j GROUP BY id)
+SELECT cv.id, name || ' reads as ' || coalesce(hat, 'unclassified chemistry') || ': ' || CASE WHEN verdict = 'red' THEN 'no usable signal' WHEN first IN ('spicy-balsamic', 'smoky-phenolic') THEN 'a weak, slow response' ELSE 'a clear reducing response' END || '.' AS summary,
+  array_to_string(list_filter([CASE WHEN g_reactivity = 'red' THEN 'non-redox' END, CASE WHEN sig = 'none' AND NOT gas THEN 'trace' END], lambda x: x IS NOT NULL), ',') AS boundaries FROM cv LEFT JOIN p ON cv.id = p.id""",
     "antoine_vapor": f"WITH {_COMPOUNDS}, a AS (SELECT id, mw, pow(10, aa - ab / (25 + ac)) * 133.322::DOUBLE AS pa FROM cp WHERE aa IS NOT NULL) SELECT id, {_s('pa', 3)} AS pa, {_s('pa / sqrt(2 * pi() * mw / 1000 * 8.314::DOUBLE * 298.15::DOUBLE)', 6)} AS flux FROM a",
     "clausius_clapeyron": f"WITH {_COMPOUNDS}, a AS (SELECT id, 101325::DOUBLE * exp(-(88 * (bp + 273.15::DOUBLE) / 8.314::DOUBLE) * (1 / 298.15::DOUBLE - 1 / (bp + 273.15::DOUBLE))) AS pa FROM cp) SELECT id, {_s('pa', 3)} AS pa FROM a WHERE pa < 1e7",
     "fuller_diffusion": f"WITH {_COMPOUNDS}, a AS (SELECT id, mw, {_D} AS d FROM cp), b AS (SELECT *, 1e-6::DOUBLE / (4 * pi() * d * 0.1::DOUBLE) AS c FROM a) SELECT id, {_s('d * 1e6', 6)} AS d_mm2, {_s('c', 6)} AS c, {_s('c * sqrt(8.314::DOUBLE * 298.15::DOUBLE / (2 * pi() * mw / 1000))', 5)} AS i FROM b",

@@ -39,6 +39,16 @@ def predict(model: PipelineModel, rows: DataFrame, *keys: str) -> DataFrame:
     return out.withColumn("warning", F.when(F.col("confidence") < LOW, "Low confidence").when(F.col("confidence") < MODERATE, "Moderate confidence"))
 
 
+def recognise(model: PipelineModel, series: DataFrame, needed: float | None = None, sr: float = 10.0) -> DataFrame:
+    """Recordings (recording_id, v, n of one channel) through normalisation, windows, mean features and the model, with the rig's warning."""
+    from vapora.operators import hardware
+    from vapora.operators.features import mean_features
+
+    rigs = series.groupBy("recording_id").agg(F.count("*").alias("n_channels")).withColumns({"stored_dims": F.lit(needed).cast("double"), "n_features": F.lit(None).cast("int"), "n_classes": F.lit(len(model.stages[0].labels))})
+    rows = mean_features(series, sr).groupBy("recording_id").pivot("feature", list(CLOSED)).agg(F.first("value"))
+    return predict(model, rows, "recording_id").join(hardware.rig_gate(rigs).select("recording_id", F.col("warning").alias("rig_warning")), "recording_id")
+
+
 def _q_train(spark: SparkSession, sf_dir: str) -> DataFrame:
     labels = views.table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("recording_id"), F.col("label").cast("string").alias("substance"))
     rows = vectors(views.wave(spark, sf_dir)).join(labels, "recording_id")
