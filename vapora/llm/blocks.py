@@ -54,7 +54,7 @@ def unpack(raw: bytes) -> np.ndarray:
 
 
 def block_number(n: int) -> int:
-    """The n-th block of this task; blocks are written once, so a number that a retry gives again is no clash."""
+    """The n-th block of this task; a retry of the task gives its blocks the same numbers."""
     return (TaskContext.get().partitionId() << 24) + n
 
 

@@ -15,22 +15,19 @@ def segments(lengths: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray, np
     return text, begin, np.minimum(size, starts[text] + lengths[text] - begin)
 
 
-def run(data: np.ndarray, begin: np.ndarray, lengths: np.ndarray, following: np.ndarray, value: np.ndarray, symbols: int, first: np.ndarray, skip: np.ndarray | None = None) -> np.ndarray:
+def run(data: np.ndarray, begin: np.ndarray, lengths: np.ndarray, following: np.ndarray, value: np.ndarray, symbols: int, first: np.ndarray) -> np.ndarray:
     """Sums of value[state, symbol] for every segment and automaton.
 
-    following and value are flat tables of all automata's states; first has each automaton's first state. The first skip
-    symbols of a segment move the state without counting.
+    following and value are flat tables of all automata's states; first has each automaton's first state.
     """
     order = np.argsort(-lengths, kind="stable")
     at, sizes = begin[order].copy(), lengths[order]
     state = np.repeat(first[:, None], len(order), axis=1)
     total = np.zeros((len(first), len(order)), value.dtype)
-    skipped = skip[order] if skip is not None else None
     ends = np.searchsorted(-sizes, -np.arange(1, (sizes[0] if len(sizes) else 0) + 1), side="right")
-    for t, k in enumerate(ends):  # the first k segments are longer than t
+    for k in ends:  # the segments that go on
         cell = state[:, :k] * symbols + data[at[:k]]
-        gain = value[cell]
-        total[:, :k] += gain if skipped is None else np.where(skipped[:k] <= t, gain, 0)
+        total[:, :k] += value[cell]
         state[:, :k] = following[cell]
         at[:k] += 1
     out = np.empty_like(total)
