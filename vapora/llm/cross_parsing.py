@@ -4,8 +4,8 @@ A suffix automaton of each language's labelled sample holds all of its substring
 each the longest match from where the last one ended; a language that resembles the text needs few of them. The language
 with the fewest phrases per symbol wins; the score is how far it lies below the second.
 
-The sample is bounded: SAMPLE symbols of the documents with the smallest hashes of their ids, per language, of the
-commonest LANGUAGES languages. Texts are read as letters in lower case, anything else as a space; parsing starts anew
+The sample is bounded: about SAMPLE symbols of the SAMPLE_DOCS documents with the smallest hashes of their ids, per language,
+of the commonest LANGUAGES languages. Texts are read as letters in lower case, anything else as a space; parsing starts anew
 every SEGMENT symbols, so that one numpy step moves thousands of segments.
 
 Cases: a null text and one without a letter are `und` with score 0; without any labelled document every text is `und`; ties
@@ -99,13 +99,15 @@ def parser_table(edges: list[dict[int, int]], alphabet: int) -> tuple[np.ndarray
 
 
 def sample(docs: DataFrame) -> dict[str, np.ndarray]:
-    """By language: symbols of its bounded sample of whole documents."""
+    """By language: symbols of its bounded sample. Documents of up to SAMPLE characters go first and whole; longer ones give SAMPLE."""
     labelled = docs.where(~F.col("held_out") & F.col("lang").isNotNull() & F.col("text").isNotNull())
     largest = labelled.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(LANGUAGES).select("lang")
-    rank = Window.partitionBy("lang").orderBy("order", "doc_id")
-    short = labelled.where(F.length("text") <= SAMPLE).join(F.broadcast(largest), "lang").select("lang", "doc_id", F.xxhash64(F.col("doc_id"), F.lit("sample")).alias("order"))
-    chosen = short.withColumn("r", F.row_number().over(rank)).where(F.col("r") <= SAMPLE_DOCS).select("lang", "doc_id", "r")
-    rows = labelled.join(F.broadcast(chosen), ["lang", "doc_id"]).select("lang", "r", "text").collect()  # LANGUAGES * SAMPLE_DOCS rows
+    rank = Window.partitionBy("lang").orderBy("long", "order", "doc_id")
+    known = labelled.join(F.broadcast(largest), "lang").select("lang", "doc_id", (F.length("text") > SAMPLE).alias("long"), F.xxhash64(F.col("doc_id"), F.lit("sample")).alias("order"))
+    chosen = known.withColumn("r", F.row_number().over(rank)).where(F.col("r") <= SAMPLE_DOCS).select("lang", "doc_id", "r")
+    once = chosen.groupBy("lang", "doc_id").agg(F.min("r").alias("r"))
+    texts = labelled.join(F.broadcast(once), ["lang", "doc_id"]).groupBy("lang", "doc_id").agg(F.min("r").alias("r"), F.min("text").alias("text"))
+    rows = texts.select("lang", "r", F.left("text", F.lit(SAMPLE)).alias("text")).collect()  # LANGUAGES * SAMPLE_DOCS rows at most
     out: dict[str, np.ndarray] = {}
     for r in sorted(rows, key=lambda r: (r["lang"], r["r"])):
         had = out.get(r["lang"], np.zeros(0, np.uint32))
