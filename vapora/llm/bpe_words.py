@@ -30,6 +30,8 @@ from pyspark.sql import functions as F
 from vapora.llm import blocks, common, tokens
 
 FILE = f"{tokens.VOCABULARY}.json"
+#: Bytes of text of a block; larger blocks name fewer words.
+BLOCK = 16 << 20
 
 
 @functools.cache
@@ -100,7 +102,7 @@ def _blocks(buckets: int, ask: bool):
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), kinds, strict=True)], names=["block", "bucket", "data", "more", "check"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for number, (ids, texts) in enumerate(blocks.gathered(batches)):
+        for number, (ids, texts) in enumerate(blocks.gathered(batches, BLOCK)):
             yield from flush(blocks.block_number(number), ids, texts)
 
     return run
