@@ -318,6 +318,48 @@ def test_tree_predicts_what_follows(spark):
     assert got.score > 0.2 * got.base_score  # nearly certain where the base isn't
 
 
+def plain_tree_scores(rows, least, gain, depth):
+    """Scores of (held, words) by plain counting of every context."""
+    follow = [defaultdict(Counter) for _ in range(depth + 1)]
+    for held, words in rows:
+        for k, w in enumerate(words if not held else []):
+            for d in range(min(k, depth) + 1):
+                follow[d][tuple(words[k - d : k])][w] += 1
+    root = follow[0][()]
+    total, kept = sum(root.values()), set()
+    for d in range(1, depth + 1):
+        for u, c in follow[d].items():
+            n, t, up = sum(c.values()), len(c), follow[d - 1][u[1:]]
+            if n >= least:
+                better = sum((m - 1) * np.log(m / up[w]) for w, m in c.items()) - (n - t) * np.log((n + t) / sum(up.values())) + t * np.log(t / (n + t))
+                kept |= {u[k:] for k in range(d)} if better > gain else set()
+    scores = []
+    for _, words in rows:
+        score = 0
+        for k, w in enumerate(words):
+            p = (root[w] + 1) / (total + len(root) + 1)
+            for d in range(1, min(k, depth) + 1):
+                if (u := tuple(words[k - d : k])) in kept:
+                    c = follow[d][u]
+                    p = (c[w] + len(c) * p) / (sum(c.values()) + len(c))
+            score += np.log10(p)
+        scores.append(score)
+    return scores, Counter(map(len, kept))
+
+
+@pytest.mark.parametrize("least, gain, depth", [(suffix_tree_lm.LEAST, suffix_tree_lm.GAIN, suffix_tree_lm.DEPTH), (2, 1.0, 4)])
+def test_scores_as_plain_counting(spark, docs, odd, least, gain, depth):
+    for frame in (docs, odd):
+        rows = frame.select("doc_id", "text").collect()
+        plain = [(r.doc_id is not None and zlib.crc32(str(r.doc_id).encode()) % 7 == 2, [*(r.text or "").encode().lower().split(), b" "]) for r in rows]
+        want, kept = plain_tree_scores(plain, least, gain, depth)
+        got = suffix_tree_lm.suffix_tree_scores(frame.repartition(3), least=least, gain=gain, depth=depth).collect()
+        order = lambda x: (x[0] is None, x[0] or 0, x[1])
+        for (_, g), (_, w) in zip(sorted(((r.doc_id, r.score) for r in got), key=order), sorted(((r.doc_id, w) for r, w in zip(rows, want, strict=True)), key=order), strict=True):
+            assert g == pytest.approx(w)
+        assert frame is odd or kept[3] > 0  # contexts of three words are in use
+
+
 def test_without_training_documents(spark):
     held = next(k for k in range(1000) if zlib.crc32(str(k).encode()) % 7 == 2)
     r = suffix_tree_lm.suffix_tree_scores(table(spark, [(held, "a b", "en")])).first()

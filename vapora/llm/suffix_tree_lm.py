@@ -1,16 +1,17 @@
 """Scores of texts under a probabilistic suffix tree of words.
 
-Contexts are up to two preceding words. A context is a candidate if at least the share LEAST of all training tokens follow
-it, so at most 1 / LEAST candidates of each length exist, whatever the corpus. It is retained, with its suffix, if its
-next-word distribution diverges from that of its suffix: repeated next words are taken at their share after the context
-against their share after the suffix, each next word's first occurrence at the chance of a new one, and the sum must exceed
-GAIN nats. Distributions are smoothed from the root: a context adds as much weight of its suffix's distribution as it has
-distinct next words; the root gives (c + 1) / (N + V + 1). A token is scored in the longest retained suffix of its history.
-
-Counts travel in packed blocks (blocks.py): a block asks for each of its distinct words once, by a 64-bit digest, and for
-each of its (word, context) pairs, at the bucket of the word, where all counts that end in it meet. Words that can be a
-context are those that reach half the share LEAST, counted where a task's documents give them half that share; no other word
-can have the share LEAST in all.
+Contexts are up to DEPTH preceding words. A context is a candidate if at least LEAST training tokens follow it, so candidates
+grow with the corpus. It is retained, with its suffixes, if its next-word distribution diverges from that of its suffix:
+repeated next words are taken at their share after the context against their share after the suffix, each next word's first
+occurrence at the chance of a new one, and the sum must exceed GAIN nats. Distributions are smoothed from the root: a context
+adds as much weight of its suffix's distribution as it has distinct next words; the root gives (c + 1) / (N + V + 1). A token
+is scored in the longest retained suffix of its history.
+
+Everything travels in packed blocks (blocks.py), dealt by 64-bit digests of the whole key, so that no word or context gathers
+in one task. A block asks for its words and its pairs of a word and the next; then for the longer contexts with the next word,
+leaving out those whose counts follow from the pairs': a context with a rare pair in it is no candidate, and what follows a
+word once follows a longer context once, which only a held-out token of the same pair must ask for. One block is told that it owns a pair and adds it to the sums of the pair's context,
+which meet at the context's bucket. There contexts are tested and mark their suffixes at theirs, and all blocks get replies.
 
 Cases: a null or empty text is the end alone; without training documents all counts are 0 and every token has the root's
 probability; a null doc_id is a training document; repeated rows count as often as they occur; an empty table gives an
@@ -19,7 +20,6 @@ empty result.
 
 from __future__ import annotations
 
-from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -30,62 +30,121 @@ from pyspark.sql import functions as F
 from vapora.llm import blocks, common
 from vapora.llm.cross_parsing import held_out
 
-LEAST, GAIN = 1e-3, 5.0
+LEAST, DEPTH, GAIN = 10, 3, 5.0
 #: The key of the end token: no word holds a space.
 END_KEY = b" "
+#: Bytes of text in a block.
+BLOCK_BYTES = 8 << 20
+
+
+def mixed(x: np.ndarray) -> np.ndarray:
+    """64-bit numbers with all bits mixed."""
+    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return x ^ (x >> np.uint64(31))
+
+
+class Tokens:
+    """A block's tokens, texts end to end, with the digests of their contexts and pairs by depth, and what replies tell."""
+
+    def __init__(self, every: np.ndarray, digest: np.ndarray, lengths: np.ndarray, held: np.ndarray, depth: int):
+        self.first = np.cumsum(lengths) - lengths
+        self.place = np.arange(len(every)) - np.repeat(self.first, lengths)
+        self.train = ~np.repeat(held, lengths)
+        word = digest[every]
+        #: A word's key is odd, a pair's even.
+        self.keys = [word | np.uint64(1)]
+        self.contexts = [np.zeros(len(every), np.uint64)]
+        for d in range(1, depth + 1):
+            self.contexts.append(mixed(self.contexts[-1] * np.uint64(0x9E3779B97F4A7C15) + self.before(word, d) + np.uint64(d)))
+            self.keys.append(mixed(self.contexts[d] * np.uint64(0xD6E8FEB86659FD93) + word) & ~np.uint64(1))
+        self.counts: list[np.ndarray] = []
+        self.owned: list[np.ndarray] = []
+        #: Whether a held-out token asks for the pair of the word before and this word.
+        self.wanted = np.zeros(len(every), bool)
+
+    @staticmethod
+    def before(a: np.ndarray, d: int) -> np.ndarray:
+        """The value d tokens earlier, 0 before the first."""
+        return np.r_[np.zeros(min(d, len(a)), a.dtype), a[:-d]]
+
+    def asked(self, least: int) -> list[tuple[int, np.ndarray]]:
+        """Depths of the next question and the tokens it is about: words and pairs first, then longer contexts."""
+        if not self.counts:
+            return [(0, np.arange(len(self.place))), (1, np.flatnonzero(self.place >= 1))]
+        # What follows a word once, in training, can matter to a held-out token alone.
+        out, may = [], (self.counts[1] >= 2) | (self.counts[1] == 1) & self.wanted
+        for d in range(2, len(self.keys)):
+            may = may & (self.before(self.counts[1], d - 1) >= least)
+            out.append((d, np.flatnonzero(may & (self.place >= d))))
+        return out
+
+    def question(self, least: int) -> tuple[np.ndarray, np.ndarray]:
+        """Distinct keys of the next question, and the place of each token's key in them."""
+        return np.unique(np.concatenate([self.keys[d][at] for d, at in self.asked(least)] or [np.zeros(0, np.uint64)]), return_inverse=True)
+
+    def learn(self, replies: np.ndarray, least: int) -> None:
+        """Take in the counts and owners of a question's keys. A pair not asked for occurs at this token alone."""
+        asked, codes = self.asked(least), replies[self.question(least)[1]].astype(np.int64)
+        for d, at in asked:
+            here, codes = codes[: len(at)], codes[len(at) :]
+            counts, owned = self.train.astype(np.int64), self.train.copy()
+            counts[at], owned[at] = here >> 2, (here & 1).astype(bool) & self.train[at]
+            if d == 1:
+                self.wanted[at] = here & 2 > 0
+                counts[self.place < 1], owned[self.place < 1] = 0, False
+            self.counts.append(counts)
+            self.owned.append(owned)
+
+    def followers(self, d: int) -> np.ndarray:
+        """Training tokens that follow the context of d words before each token."""
+        return np.where(self.place >= d, self.before(self.counts[d - 1], 1), 0)
+
+    def candidates(self, least: int) -> tuple[list[np.ndarray], np.ndarray, np.ndarray, np.ndarray]:
+        """By depth the tokens after candidates; distinct contexts of all depths, an entry of each, and each entry's context."""
+        at = [np.flatnonzero(self.followers(d) >= least) for d in range(1, len(self.keys))]
+        return at, *np.unique(np.concatenate([self.contexts[d + 1][a] for d, a in enumerate(at)] or [np.zeros(0, np.uint64)]), return_index=True, return_inverse=True)
+
+
+_ROWS = "round int, block long, bucket int, keys binary, counts binary, payload binary, tokens long, words long"
+_TYPES = [pa.int32(), pa.int64(), pa.int32(), pa.binary(), pa.binary(), pa.binary(), pa.int64(), pa.int64()]
+_NAMES = [c.split()[0] for c in _ROWS.split(", ")]
+
+
+def _table(rows: list[tuple]) -> pa.Table:
+    """Rows of _ROWS; tokens and words may be left out."""
+    full = [(*r, *(0,) * (8 - len(r))) for r in rows]
+    return pa.table({n: pa.array([r[k] for r in full], t) for k, (n, t) in enumerate(zip(_NAMES, _TYPES, strict=True))})
+
+
+def _dealt(keys: np.ndarray, buckets: int) -> Iterator[tuple[int, int, int]]:
+    """Each bucket that has some of the sorted keys, and where they are."""
+    edges = np.searchsorted(blocks.bucket_of(keys, buckets), np.arange(buckets + 1))
+    for b in np.flatnonzero(np.diff(edges)):
+        yield int(b), int(edges[b]), int(edges[b + 1])
+
+
+def _close(keys: np.ndarray) -> bytes:
+    """Sorted keys by their differences, which leave high bytes empty."""
+    return blocks.pack(np.diff(keys, prepend=np.uint64(0)))
+
+
+def _open(raw: bytes) -> np.ndarray:
+    return np.cumsum(blocks.unpack(raw), dtype=np.uint64)
+
+
+def _question(step: int, block: int, tokens: Tokens, least: int, buckets: int) -> list[tuple]:
+    keys, where = tokens.question(least)
+    train = np.concatenate([tokens.train[at] for _, at in tokens.asked(least)] or [np.zeros(0, bool)])
+    counts = 2 * np.bincount(where, weights=train, minlength=len(keys)).astype(np.int64)
+    counts[where[~train]] |= 1
+    return [(step, block, b, _close(keys[lo:hi]), blocks.pack(counts[lo:hi]), b"") for b, lo, hi in _dealt(keys, buckets)]
+
+
+def _read():
+    """Documents as blocks, a row of its tokens each (bucket -1)."""
 
-
-def _often(least: float):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts: Counter = Counter()
-        for batch in batches:
-            for raw in batch.column("text").cast(pa.binary()).to_pylist():
-                counts.update((raw or b"").lower().split())
-        total = sum(counts.values())
-        often = {w: n for w, n in counts.items() if 2 * n >= least * total}
-        yield pa.RecordBatch.from_arrays([pa.array([None, *often], pa.binary()), pa.array([total, *often.values()], pa.int64())], names=["word", "n"])
-
-    return run
-
-
-def context_words(training: DataFrame, least: float = LEAST) -> dict[bytes, int]:
-    """Numbers from 1 of the words that can be contexts, at most 2 / least.
-
-    Tasks in which a word has under half the share hold under half of what it needs, so the others hold the other half.
-    """
-    sums = training.select("text").mapInArrow(_often(least), "word binary, n long").groupBy("word").agg(F.sum("n").alias("n"))
-    sums = common.materialize(sums, "frequent-words")
-    total = sums.where("word IS NULL").agg(F.sum("n")).first()[0] or 0
-    rows = sums.where(F.col("word").isNotNull() & (2 * F.col("n") >= least * total)).select("word").collect()
-    return {w: k + 1 for k, w in enumerate(sorted(bytes(r["word"]) for r in rows))}
-
-
-def context_pairs(words: np.ndarray, own: np.ndarray, first: np.ndarray, base: int) -> tuple[np.ndarray, np.ndarray]:
-    """Contexts of one and of two words before each token, 0 where there is none.
-
-    words: tokens as places, texts end to end; own: each place's number as a context word; first: each text's first token.
-    """
-    c = own[words].astype(np.int64)
-    one = np.r_[0, c[:-1]] if len(c) else c
-    one[first] = 0
-    two = np.r_[0, one[:-1]] if len(c) else c
-    two[first] = 0
-    return one, np.where((one > 0) & (two > 0), two * base + one, 0)
-
-
-_BLOCKS = "block long, bucket int, keys binary, counts binary, pairs binary, payload binary"
-
-
-def _codes(every: np.ndarray, own: np.ndarray, first: np.ndarray, base: int) -> np.ndarray:
-    """For each token its (word, context) codes of one and of two words, or -1: word * base ** 2 + context."""
-    pairs = np.stack(context_pairs(every, own, first, base))
-    return np.where(pairs > 0, every.astype(np.int64) * base * base + pairs, -1)
-
-
-def _ask(numbers, buckets: int):
     def flush(block: int, ids: list, held: list, texts: list[bytes]) -> Iterator[pa.RecordBatch]:
-        of = numbers.value
-        base = len(of) + 1
         places: dict[bytes, int] = {END_KEY: 0}
         at: list[np.ndarray] = []
         for t in texts:
@@ -93,30 +152,10 @@ def _ask(numbers, buckets: int):
             for w in words:
                 places.setdefault(w, len(places))
             at.append(np.array([places[w] for w in words] + [0], np.int64))
-        lengths = np.array([len(a) for a in at])
-        digest = blocks.digests(list(places))
-        order = np.argsort(digest, kind="stable")
-        rank = np.empty(len(order), np.int64)
-        rank[order] = np.arange(len(order))
-        digest = digest[order]
-        own = np.array([of.get(w, 0) for w in places], np.int64)[order]
-        every = rank[np.concatenate(at)]
-        train = np.repeat(~np.array(held, bool), lengths)
-        counts = np.bincount(every[train], minlength=len(places))
-        codes = _codes(every, own, np.cumsum(lengths) - lengths, base)
-        pairs, where = np.unique(codes[codes >= 0], return_inverse=True)
-        pair_counts = np.bincount(where, weights=np.broadcast_to(train, codes.shape)[codes >= 0], minlength=len(pairs)).astype(np.int64)
+        lengths, every, digest = np.array([len(a) for a in at]), np.concatenate(at), blocks.digests(list(places))
         documents = pa.table({"doc_id": pa.array(ids, pa.int64()), "held": held, "n": pa.array(lengths, pa.int64())})
-        rows = [(block, -1, blocks.pack(own), blocks.pack(every), b"", blocks.stream(documents))]
-        edges = np.searchsorted(blocks.bucket_of(digest, buckets), np.arange(buckets + 1))
-        cuts = np.searchsorted(pairs, edges * base * base)
-        for b in range(buckets):
-            lo, hi, p, q = edges[b], edges[b + 1], cuts[b], cuts[b + 1]
-            if hi > lo:
-                word, context = np.divmod(pairs[p:q], base * base)
-                rows.append((block, b, digest[lo:hi].tobytes(), blocks.pack(counts[lo:hi]), blocks.stream(pa.table({"word": np.diff(word, prepend=lo).astype(np.uint32), "context": context, "n": pair_counts[p:q]})), b""))
-        kinds = (pa.int64(), pa.int32(), *[pa.binary()] * 4)
-        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), kinds, strict=True)], names=["block", "bucket", "keys", "counts", "pairs", "payload"])
+        row = (0, block, -1, digest.tobytes(), blocks.pack(every), blocks.stream(documents), int(lengths[~np.array(held, bool)].sum()))
+        yield from _table([row]).to_batches()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         number, size = 0, 0
@@ -129,7 +168,7 @@ def _ask(numbers, buckets: int):
                 held.append(h)
                 texts.append((raw or b"").lower())
                 size += len(texts[-1])
-                if size > blocks.BLOCK_BYTES:
+                if size > BLOCK_BYTES:
                     yield from flush(blocks.block_number(number), ids, held, texts)
                     number, size, ids, held, texts = number + 1, 0, [], [], []
         if ids:
@@ -138,123 +177,152 @@ def _ask(numbers, buckets: int):
     return run
 
 
-_REPLIES = "block long, bucket int, counts binary, pairs binary, stats binary, tokens long, words long"
+def _ask_pairs(buckets: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for k in range(batch.num_rows):
+                block, tokens, _, _ = _opened(pa.Table.from_batches([batch.slice(k, 1)]), 1, 1, 0)
+                yield from _table(_question(0, block, tokens, 1, buckets)).to_batches()
 
+    return run
 
-def _answer(base: int):
-    square = base * base
 
+def _count(key: tuple, table: pa.Table) -> pa.Table:
+    """One bucket's counts over all blocks, in each block's order: four times the count, 2 if held-out tokens ask, 1 for the owner."""
+    table = table.sort_by("block")
+    keys = [_open(k) for k in table.column("keys").to_pylist()]
+    mine = np.concatenate([blocks.unpack(c) for c in table.column("counts").to_pylist()]).astype(np.int64)
+    distinct, where = np.unique(np.concatenate(keys), return_inverse=True)
+    total = np.bincount(where, weights=mine >> 1, minlength=len(distinct)).astype(np.int64)
+    wanted = np.bincount(where, weights=mine & 1, minlength=len(distinct)) > 0
+    codes = (4 * total + 2 * wanted)[where]
+    counted = np.flatnonzero(mine >> 1)
+    codes[counted[np.unique(where[counted], return_index=True)[1]]] += 1
+    back = np.split(codes, np.cumsum([len(k) for k in keys])[:-1])
+    words = int(((total > 0) & (distinct & np.uint64(1) > 0)).sum())
+    step, bucket = table.column("round")[0].as_py(), key[0].as_py()
+    rows = [(step, b, bucket, b"", blocks.pack(c), b"") for b, c in zip(table.column("block").to_pylist(), back, strict=True)]
+    return _table([*rows, (step, -1, bucket, b"", b"", b"", 0, words)])
+
+
+def _opened(table: pa.Table, depth: int, least: int, steps: int) -> tuple[int, Tokens, pa.Table, np.ndarray]:
+    """A block's number, its tokens with the replies of the first steps, its documents, and the replies of the step after."""
+    table = table.sort_by([("round", "ascending"), ("bucket", "ascending")])
+    step, bucket, keys, counts = (table.column(c).to_pylist() for c in ("round", "bucket", "keys", "counts"))
+    at = bucket.index(-1)
+    docs = blocks.open_stream(table.column("payload")[at].as_py())
+    tokens = Tokens(blocks.unpack(counts[at]).astype(np.int64), np.frombuffer(keys[at], np.uint64), docs.column("n").to_numpy(), docs.column("held").to_numpy(), depth)
+    replies = [np.concatenate([np.zeros(0, np.int64), *(blocks.unpack(c).astype(np.int64) for s, b, c in zip(step, bucket, counts, strict=True) if s == k and b >= 0)]) for k in range(steps + 1)]
+    for k in range(steps):
+        tokens.learn(replies[k], least)
+    return table.column("block")[0].as_py(), tokens, docs, replies[steps]
+
+
+def _ask_longer(depth: int, least: int, buckets: int):
     def run(key: tuple, table: pa.Table) -> pa.Table:
-        """Counts over all blocks of one bucket's words and pairs, returned in each block's order; at block -1 the bucket's sums."""
-        digest = [np.frombuffer(k, np.uint64) for k in table.column("keys").to_pylist()]
-        counts = np.concatenate([blocks.unpack(c) for c in table.column("counts").to_pylist()]).astype(np.int64)
-        _, word = np.unique(np.concatenate(digest), return_inverse=True)
-        total = np.bincount(word, weights=counts).astype(np.int64)
-        starts = np.r_[0, np.cumsum([len(d) for d in digest])]
-        asked = [blocks.open_stream(p) for p in table.column("pairs").to_pylist()]
-        code = np.concatenate([word[lo + np.cumsum(a.column("word").to_numpy(), dtype=np.int64)] * square + a.column("context").to_numpy() for lo, a in zip(starts[:-1], asked, strict=True)]).astype(np.int64)
-        pairs, where = np.unique(code, return_inverse=True)
-        n = np.bincount(where, weights=np.concatenate([a.column("n").to_numpy() for a in asked]), minlength=len(pairs)).astype(np.int64)
-
-        # Of each context: tokens, distinct next words, and the two sums of the divergence test.
-        seen = n > 0
-        ending, context = np.divmod(pairs[seen], square)
-        m = n[seen].astype(float)
-        up = np.where(context >= base, np.searchsorted(pairs, ending * square + context % base), 0)
-        above = np.where(context >= base, n[np.minimum(up, len(n) - 1)], total[ending]) if len(n) else m
-        contexts, group = np.unique(context, return_inverse=True)
-        add = lambda w: np.bincount(group, weights=w, minlength=len(contexts))
-        stats = pa.table({"context": contexts, "n": add(m).astype(np.int64), "distinct": add(np.ones(len(m))).astype(np.int64), "own": add((m - 1) * np.log(m)), "above": add((m - 1) * np.log(np.maximum(above, 1)))})
-        back = np.split(total[word], starts[1:-1])
-        pair_back = np.split(n[where], np.cumsum([len(a) for a in asked])[:-1])
-        k = len(back)
-        return pa.table({
-            "block": pa.array([*table.column("block").to_pylist(), -1], pa.int64()),
-            "bucket": pa.array([key[0].as_py()] * (k + 1), pa.int32()),
-            "counts": pa.array([*map(blocks.pack, back), b""], pa.binary()),
-            "pairs": pa.array([*map(blocks.pack, pair_back), b""], pa.binary()),
-            "stats": pa.array([b""] * k + [blocks.stream(stats)], pa.binary()),
-            "tokens": pa.array([0] * k + [int(total.sum())], pa.int64()),
-            "words": pa.array([0] * k + [int((total > 0).sum())], pa.int64()),
-        })
+        block, tokens, _, _ = _opened(table, depth, least, 1)
+        return _table(_question(1, block, tokens, least, buckets))
 
     return run
 
 
-def _stats(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        for raw in batch.column(0).to_pylist():
-            yield from blocks.open_stream(raw).to_batches()
+def _ask_contexts(total: int, depth: int, least: int, buckets: int):
+    def run(key: tuple, table: pa.Table) -> pa.Table:
+        """The block's candidates with their shares of the sums: next words, and the divergence of repeated ones, from owned pairs."""
+        block, tokens, _, _ = _opened(table, depth, least, 2)
+        at, contexts, entry, where = tokens.candidates(least)
+        n, up, distinct, gain = [], [], np.zeros(len(contexts)), np.zeros(len(contexts))
+        suffixes: list[list[np.ndarray]] = [[] for _ in range(depth - 1)]
+        done = 0
+        for d, a in enumerate(at, 1):
+            n.append(tokens.followers(d)[a])
+            up.append(tokens.followers(d - 1)[a] if d > 1 else np.full(len(a), total))
+            for k, s in enumerate(suffixes, 1):
+                s.append(tokens.contexts[k][a] if k < d else np.zeros(len(a), np.uint64))
+            mine = np.flatnonzero(tokens.owned[d][a])
+            mine = mine[np.unique(tokens.keys[d][a[mine]], return_index=True)[1]]
+            m, above, of = tokens.counts[d][a[mine]], tokens.counts[d - 1][a[mine]], where[done + mine]
+            distinct += np.bincount(of, minlength=len(contexts))
+            gain += np.bincount(of, weights=(m - 1) * (np.log(m) - np.log(above)), minlength=len(contexts))
+            done += len(a)
+        take = lambda parts: np.concatenate(parts)[entry]
+        sums = {"n": take(n), "up": take(up), "distinct": distinct.astype(np.int64), "gain": gain, **{f"s{k}": take(s) for k, s in enumerate(suffixes, 1)}}
+        sent = pa.table(sums)
+        return _table([(2, block, b, _close(contexts[lo:hi]), blocks.stream(sent.slice(lo, hi - lo)), b"") for b, lo, hi in _dealt(contexts, buckets)])
+
+    return run
+
+
+def _test(gain: float, buckets: int):
+    def run(key: tuple, table: pa.Table) -> pa.Table:
+        """One bucket's contexts, tested (block -1), each block's places in them, and marks for suffixes of those that pass (block -2)."""
+        table = table.sort_by("block")
+        bucket, keys = key[0].as_py(), [_open(k) for k in table.column("keys").to_pylist()]
+        sent = pa.concat_tables([blocks.open_stream(c) for c in table.column("counts").to_pylist()])
+        contexts, entry, where = np.unique(np.concatenate(keys), return_index=True, return_inverse=True)
+        n, up = (sent.column(c).to_numpy()[entry].astype(float) for c in ("n", "up"))
+        t, repeated = (np.bincount(where, weights=sent.column(c).to_numpy(), minlength=len(contexts)) for c in ("distinct", "gain"))
+        better = repeated - (n - t) * (np.log(n + t) - np.log(up)) + t * np.log(t / (n + t))
+        passes = better > gain
+        marks = np.unique(np.concatenate([np.zeros(0, np.uint64), *(sent.column(c).to_numpy()[entry][passes] for c in sent.column_names if c[0] == "s")]))
+        marks = marks[marks > 0]
+        rows = [(2, -1, bucket, _close(contexts), blocks.pack(2 * t.astype(np.int64) + passes), b"")]
+        places = np.split(where, np.cumsum([len(k) for k in keys])[:-1])
+        rows += [(2, b, bucket, b"", blocks.pack(w), b"") for b, w in zip(table.column("block").to_pylist(), places, strict=True)]
+        return _table(rows + [(2, -2, b, _close(marks[lo:hi]), b"", b"") for b, lo, hi in _dealt(marks, buckets)])
+
+    return run
 
 
-def retained_contexts(replies: DataFrame, tokens: int, base: int, least: float, gain: float) -> dict[int, tuple[int, int]]:
-    """Tokens and distinct next words of each retained context; at most 1 / least candidates of each length are gathered."""
-    stats = replies.where("block = -1").select("stats").mapInArrow(_stats, "context long, n long, distinct long, own double, above double")
-    rows = stats.groupBy("context").agg(*(F.sum(c).alias(c) for c in ("n", "distinct", "own", "above"))).where(F.col("n") >= max(1.0, least * tokens)).collect()
-    by = {r["context"]: r for r in rows}
-    out: dict[int, tuple[int, int]] = {}
-    for c, r in sorted(by.items()):
-        up = tokens if c < base else by[c % base]["n"] if c % base in by else 0
-        if not up:
-            continue
-        n, t = r["n"], r["distinct"]
-        better = r["own"] - r["above"] - (n - t) * (np.log(n + t) - np.log(up)) + t * np.log(t / (n + t))
-        if better > gain:
-            for x in {c, c % base}:
-                out[x] = (by[x]["n"], by[x]["distinct"])
-    return out
+def _retain(key: tuple, table: pa.Table) -> pa.Table:
+    """Replies about contexts: twice the distinct next words, and 1 if retained."""
+    block, keys, counts = (table.column(c).to_pylist() for c in ("block", "keys", "counts"))
+    at = block.index(-1)
+    marked = np.concatenate([np.zeros(0, np.uint64), *(_open(k) for b, k in zip(block, keys, strict=True) if b == -2)])
+    codes = blocks.unpack(counts[at]).astype(np.int64) | np.isin(_open(keys[at]), marked)
+    return _table([(2, b, key[0].as_py(), b"", blocks.pack(codes[blocks.unpack(c)]), b"") for b, c in zip(block, counts, strict=True) if b >= 0])
 
 
-def _finish(tokens: int, words: int, base: int, retained):
+def _finish(total: int, words: int, depth: int, least: int):
     def run(key: tuple, table: pa.Table) -> pa.Table:
-        table = table.sort_by("bucket")
-        bucket, counts, pair_counts = (table.column(c).to_pylist() for c in ("bucket", "counts", "pairs"))
-        mine = bucket.index(-1)
-        docs = blocks.open_stream(table.column("payload")[mine].as_py())
-        every, own = blocks.unpack(counts[mine]).astype(np.int64), blocks.unpack(table.column("keys")[mine].as_py()).astype(np.int64)
-        known = np.concatenate([blocks.unpack(c) for b, c in zip(bucket, counts, strict=True) if b >= 0])[every].astype(np.int64)
-        n = docs.column("n").to_numpy()
-        first = np.cumsum(n) - n
-        codes = _codes(every, own, first, base)
-        pairs = np.unique(codes[codes >= 0])
-        seen = np.concatenate([blocks.unpack(c) for b, c in zip(bucket, pair_counts, strict=True) if b >= 0]).astype(np.int64)
-        at = np.array(sorted(retained.value), np.int64)
-        sizes = np.array([retained.value[c] for c in at], float).reshape(-1, 2)
-        p = (known + 1.0) / (tokens + words + 1.0)
+        _, tokens, docs, replies = _opened(table, depth, least, 2)
+        at, _, _, where = tokens.candidates(least)
+        known, n, first = tokens.counts[0], docs.column("n").to_numpy(), tokens.first
+        p = (known + 1.0) / (total + words + 1.0)
         root = np.log10(p)
-        for level in codes:
-            has = np.flatnonzero(level >= 0)
-            context = level[has] % (base * base)
-            k = np.minimum(np.searchsorted(at, context), max(len(at) - 1, 0))
-            kept = at[k] == context if len(at) else np.zeros(len(has), bool)
-            has, k = has[kept], k[kept]
-            p[has] = (seen[np.searchsorted(pairs, level[has])] + sizes[k, 1] * p[has]) / (sizes[k, 0] + sizes[k, 1])
+        codes = replies[where]
+        for d, a in enumerate(at, 1):
+            here, codes = codes[: len(a)], codes[len(a) :]
+            a, t = a[here & 1 > 0], (here >> 1)[here & 1 > 0]
+            p[a] = (tokens.counts[d][a] + t * p[a]) / (tokens.followers(d)[a] + t)
         add = lambda w: np.add.reduceat(w, first) if len(n) else w
         return pa.table({
             "doc_id": docs.column("doc_id"), "held_out": docs.column("held"), "n_tokens": docs.column("n"),
-            "n_known": pa.array(add((known > 0).astype(np.int64))), "train_tokens": pa.array(np.full(len(n), tokens, np.int64)),
+            "n_known": pa.array(add((known > 0).astype(np.int64))), "train_tokens": pa.array(np.full(len(n), total, np.int64)),
             "base_score": pa.array(add(root)), "score": pa.array(add(np.log10(p))),
         })
 
     return run
 
 
-def suffix_tree_scores(docs: DataFrame, folds: int = 7, fold: int = 2, least: float = LEAST, gain: float = GAIN) -> DataFrame:
-    """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score."""
-    spark = docs.sparkSession
+def suffix_tree_scores(docs: DataFrame, folds: int = 7, fold: int = 2, least: int = LEAST, gain: float = GAIN, depth: int = DEPTH) -> DataFrame:
+    """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score; least is 2 or more."""
     docs = common.id_and_text(docs).withColumn("held_out", held_out(F.col("doc_id"), folds, fold))
-    numbers = context_words(docs.where("not held_out"), least)
-    base = len(numbers) + 1
-    asked = common.materialize(docs.mapInArrow(_ask(spark.sparkContext.broadcast(numbers), blocks.buckets_for(docs.count())), _BLOCKS), "word-blocks")
-    replies = asked.where("bucket >= 0").drop("payload").groupBy("bucket").applyInArrow(_answer(base), _REPLIES)
+    buckets = blocks.buckets_for(docs.count())
+    mine = common.materialize(docs.mapInArrow(_read(), _ROWS), "word-blocks")
+    total = mine.agg(F.sum("tokens")).first()[0] or 0
+    replies = mine.mapInArrow(_ask_pairs(buckets), _ROWS).groupBy("bucket").applyInArrow(_count, _ROWS)
     replies = common.materialize(replies, "word-counts")
-    sums = replies.where("block = -1").agg(F.sum("tokens"), F.sum("words")).first()
-    tokens, words = sums[0] or 0, sums[1] or 0
-    retained = spark.sparkContext.broadcast(retained_contexts(replies, tokens, base, least, gain))
-    mine = asked.where("bucket = -1").select("block", "bucket", "keys", "counts", "pairs", "payload")
-    theirs = replies.where("block >= 0").select("block", "bucket", F.lit(b"").alias("keys"), "counts", "pairs", F.lit(b"").alias("payload"))
+    words = replies.agg(F.sum("words")).first()[0] or 0
+    known = mine.unionByName(replies.where("block >= 0"))
+    longer = known.groupBy("block").applyInArrow(_ask_longer(depth, least, buckets), _ROWS)
+    longer = common.materialize(longer.groupBy("bucket").applyInArrow(_count, _ROWS), "context-counts")
+    known = known.unionByName(longer.where("block >= 0"))
+    contexts = known.groupBy("block").applyInArrow(_ask_contexts(total, depth, least, buckets), _ROWS)
+    tested = contexts.groupBy("bucket").applyInArrow(_test(gain, buckets), _ROWS)
+    retained = tested.groupBy("bucket").applyInArrow(_retain, _ROWS)
     schema = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
-    return mine.unionByName(theirs).groupBy("block").applyInArrow(_finish(tokens, words, base, retained), schema)
+    return known.unionByName(retained).groupBy("block").applyInArrow(_finish(total, words, depth, least), schema)
 
 
 def op8_suffix_tree_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
