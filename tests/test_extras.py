@@ -104,6 +104,14 @@ def test_recognition_of_recordings(spark, sf):
     assert len(got) == 5 and all(r.substance in ("tea", "coffee") and 0.5 <= r.confidence <= 1 and r.rig_warning for r in got)
 
 
+def test_every_recording_gets_a_prediction(spark, sf):
+    from vapora.operators import learning
+
+    got = learning.QUERIES["train_predict"](spark, sf).collect()
+    assert sorted(r.recording_id for r in got) == sorted(r.recording_id for r in views.wave(spark, sf).select("recording_id").collect())
+    assert all(r.held_out == (r.recording_id % 4 == 0) and r.substance is not None for r in got)
+
+
 def test_boundaries(spark):
     assert feasibility.boundaries(spark).where("capability").count() == 4
     mixes = feasibility.composite_verdict(catalogue.composites(spark), catalogue.compounds(spark)).withColumn("kind", F.lit("composite"))

@@ -52,8 +52,9 @@ def recognise(model: PipelineModel, series: DataFrame, needed: float | None = No
 def _q_train(spark: SparkSession, sf_dir: str) -> DataFrame:
     labels = views.table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("recording_id"), F.col("label").cast("string").alias("substance"))
     rows = vectors(views.wave(spark, sf_dir)).join(labels, "recording_id")
-    model = train(rows.where("recording_id % 4 <> 0"), "substance", list(CLOSED), trees=20)
-    return predict(model, rows.where("recording_id % 4 = 0").drop("substance"), "recording_id")
+    rows = rows.withColumn("held_out", F.col("recording_id") % 4 == 0)
+    model = train(rows.where("not held_out"), "substance", list(CLOSED), trees=20)
+    return predict(model, rows.drop("substance"), "recording_id", "held_out")
 
 
 QUERIES = {"train_predict": _q_train}
