@@ -2,13 +2,15 @@
 
 Every language has two references, gathered over all documents that bear it: the share of each character class, and the
 share of each of its TOP commonest words and of all other words. A document's own shares are compared with them by the
-Jensen-Shannon distance (the root of the divergence in bits, 0 to 1). A document of at least MIN_WORDS words is rejected if
-either distance exceeds its threshold; a shorter one is too short to judge this way and passes.
+Jensen-Shannon distance (the root of the divergence in bits, 0 to 1). A document is rejected if either distance exceeds its
+threshold. Short histograms are far from any reference by chance, so each distance counts only from a length on: the words'
+from MIN_WORDS words, the characters' from MIN_CHARS characters.
 
-Documents without a language are compared with the reference of all documents.
+Documents without a language are compared with the reference of all documents. References of the commonest languages are
+broadcast, those of all others are joined to their documents.
 
 Cases: a null or empty text has no words, so it fails the base rule; a null doc_id is kept as null; repeated rows are judged
-alike; an empty table gives an empty result.
+alike; an empty table gives an empty result; further columns may bear any name.
 """
 
 from __future__ import annotations
@@ -24,12 +26,12 @@ from pyspark.sql import functions as F
 
 from vapora.llm import common
 
-#: Least words for a verdict, common words per language, greatest distances of characters and of words.
-MIN_WORDS, TOP, CHAR_LIMIT, WORD_LIMIT = 50, 100, 0.31, 0.53
+#: Least words and characters for a verdict, common words per language, greatest distances of characters and of words.
+MIN_WORDS, MIN_CHARS, TOP, CHAR_LIMIT, WORD_LIMIT = 100, 200, 100, 0.31, 0.53
 #: Distinct words that a task holds before it passes their counts on.
-HELD = 300_000
-#: Languages with references of their own: the commonest; the others share the reference of all documents.
-LANGUAGES = 256
+HELD = 200_000
+#: Languages whose references (some 3 kB each) are broadcast; those of the others are joined.
+BROADCAST = 1024
 
 CLASSES = ("lower", "upper", "digit", "space", "stop", "symbol", "other_ascii", "letter_beyond", "continued")
 SYMBOLS = b"#*$%&|<>"
@@ -76,7 +78,7 @@ def _counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([pa.array([lang] * n, pa.string()), pa.array(["w"] * n, pa.string()), pa.array(list(counter), pa.binary()), pa.array(list(counter.values()), pa.int64())], names=["lang", "what", "key", "n"])
         words.clear()
 
-    for batch in batches:
+    for batch in common.slices(batches, "text", common.SLICE):
         for lang, text in zip(batch.column(0).to_pylist(), batch.column(1).cast(pa.binary()).to_pylist(), strict=True):
             if text:
                 words.setdefault(lang, Counter()).update(text.lower().split())
@@ -88,38 +90,51 @@ def _counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array([lang] * N_CLASSES, pa.string()), pa.array(["c"] * N_CLASSES, pa.string()), pa.array([c.encode() for c in CLASSES[:N_CLASSES]], pa.binary()), pa.array(hist.astype(np.int64))], names=["lang", "what", "key", "n"])
 
 
-def references(docs: DataFrame) -> dict[str | None, tuple[np.ndarray, dict[bytes, int], np.ndarray]]:
-    """By language: class counts, its common words' places, and counts of these words and of all others; None: of all documents.
+Reference = tuple[np.ndarray, dict[bytes, int], np.ndarray]
 
-    A fixed number of rows reach the driver: LANGUAGES times TOP words, classes and totals.
+
+def _reference(rows: list[dict], total: int) -> Reference:
+    """Class counts, the common words' places, and counts of these words and of all others."""
+    by_class = {r["key"].decode(): r["n"] for r in rows if r["what"] == "c"}
+    words = {r["key"]: r["n"] for r in rows if r["what"] == "w"}
+    return np.array([by_class.get(c, 0) for c in CLASSES[:N_CLASSES]], float), {w: i for i, w in enumerate(words)}, np.array([*words.values(), total - sum(words.values())], float)
+
+
+def references(docs: DataFrame) -> tuple[dict[str | None, Reference], DataFrame | None]:
+    """The references of the BROADCAST commonest languages and, at None, of all documents; a table of the others: lang, ref.
+
+    A fixed number of rows reach the driver: BROADCAST times TOP words and classes.
     """
     counts = docs.select("lang", "text").mapInArrow(_counts, "lang string, what string, key binary, n long")
     counts = common.materialize(counts.groupBy("lang", "what", "key").agg(F.sum("n").alias("n")), "language-counts")
-    totals = counts.groupBy("lang", "what").agg(F.sum("n").alias("total"))
-    largest = totals.where("what = 'w' and lang is not null").orderBy(F.desc("total"), "lang").limit(LANGUAGES).select("lang")
+    totals = counts.where("what = 'w'").groupBy("lang").agg(F.sum("n").alias("total"))
+    first = {r["lang"]: r["total"] for r in totals.where("lang is not null").orderBy(F.desc("total"), "lang").limit(BROADCAST + 1).collect()}
+    largest = counts.sparkSession.createDataFrame([(x,) for x in list(first)[:BROADCAST]], "lang string")
     every = counts.groupBy("what", "key").agg(F.sum("n").alias("n")).select(F.lit(None).cast("string").alias("lang"), "what", "key", "n")
-    both = counts.join(F.broadcast(largest), "lang").select("lang", "what", "key", "n").unionByName(every)
     rank = Window.partitionBy("lang", "what").orderBy(F.desc("n"), "key")
-    top = both.withColumn("r", F.row_number().over(rank)).where(F.col("r") <= TOP).drop("r").collect()
-    total = {r["lang"]: r["total"] for r in totals.where("what = 'w'").join(F.broadcast(largest), "lang").collect()}
-    total[None] = totals.where("what = 'w'").agg(F.sum("total")).first()[0] or 0
-    out = {}
-    for lang in {r["lang"] for r in top}:
-        common_words = {bytes(r["key"]): r["n"] for r in top if r["lang"] == lang and r["what"] == "w"}
-        by_class = {bytes(r["key"]).decode(): r["n"] for r in top if r["lang"] == lang and r["what"] == "c"}
-        rest = total.get(lang, 0) - sum(common_words.values())
-        out[lang] = (np.array([by_class.get(c, 0) for c in CLASSES[:N_CLASSES]], float), {w: i for i, w in enumerate(common_words)}, np.array([*common_words.values(), rest], float))
-    return out
+    top = lambda df: df.withColumn("r", F.row_number().over(rank)).where(F.col("r") <= TOP)
+    first[None] = totals.agg(F.sum("total")).first()[0] or 0
+    rows: dict[str | None, list[dict]] = {}
+    for r in top(counts.join(F.broadcast(largest), "lang").select("lang", "what", "key", "n").unionByName(every)).orderBy("r").collect():
+        rows.setdefault(r["lang"], []).append({"what": r["what"], "key": bytes(r["key"]), "n": r["n"]})
+    shared = {lang: _reference(mine, first[lang]) for lang, mine in rows.items()}
+    if len(first) - 1 <= BROADCAST:
+        return shared, None
+    others = top(counts.where("lang is not null").join(F.broadcast(largest), "lang", "left_anti")).groupBy("lang").agg(F.sort_array(F.collect_list(F.struct("r", "what", "key", "n"))).alias("rows"))
+    return shared, common.materialize(others.join(totals, "lang").select("lang", F.struct("rows", "total").alias("ref")), "rare-languages")
 
 
 def repeated_words(words: list[bytes]) -> int:
     """Words that lie in a 3-word window which the text holds twice or more."""
-    windows = list(zip(words, words[1:], words[2:], strict=False))
-    if len(set(windows)) == len(windows):
+    if len(words) < 4:
         return 0
-    seen = Counter(windows)
+    places: dict[bytes, int] = {}
+    at = np.fromiter((places.setdefault(w, len(places)) for w in words), np.int64, len(words))
+    # A pair's number and the third word fit 64 bits, as a text has less than 2 ** 31 words.
+    _, pair = np.unique(at[:-1] * len(places) + at[1:], return_inverse=True)
+    _, window, times = np.unique(pair[:-1] * len(places) + at[2:], return_inverse=True, return_counts=True)
+    many = np.flatnonzero(times[window] > 1)
     covered = np.zeros(len(words), bool)
-    many = np.array([k for k, w in enumerate(windows) if seen[w] > 1])
     for shift in range(3):
         covered[many + shift] = True
     return int(covered.sum())
@@ -130,52 +145,68 @@ def duplicate_lines(raw: bytes) -> int:
     return len(lines) - len(set(lines))
 
 
+def _measures(lang: str | None, raw: bytes, refs: dict[str | None, Reference], own_ref: dict | None, limits: tuple) -> tuple:
+    char_limit, word_limit, min_words, min_chars = limits
+    by_byte = byte_histogram(raw)
+    words = raw.split()
+    n = len(words)
+    chars = int(by_byte.sum() - by_byte[0x80:0xC0].sum() - by_byte[[32, *range(9, 14)]].sum())
+    repeats = repeated_words(words)
+    failed = n < 50 or 100 * repeats > 50 * n
+    by_class, places, shares = (_reference(own_ref["rows"], own_ref["total"]) if own_ref else refs.get(lang) or refs.get(None)) or (np.zeros(N_CLASSES), {}, np.zeros(1))
+    own = np.zeros(len(shares))
+    for word, k in Counter(raw.lower().split()).items():
+        own[places.get(word, -1)] += k
+    far = js_distance(class_histogram(by_byte), by_class), js_distance(own, shares)
+    kept = not failed and (chars < min_chars or far[0] <= char_limit) and (n < min_words or far[1] <= word_limit)
+    return n, chars, int(by_byte[list(SYMBOLS)].sum()), duplicate_lines(raw), repeats, failed, kept, *(floor(x * 1e6 + 0.50037) / 1e6 for x in far)
 
-def _judge(refs, char_limit: float, word_limit: float, min_words: int):
-    def measures(lang: str | None, raw: bytes) -> tuple:
-        by_byte = byte_histogram(raw)
-        words = raw.split()
-        n = len(words)
-        chars = int(by_byte.sum() - by_byte[0x80:0xC0].sum() - by_byte[[32, *range(9, 14)]].sum())
-        repeats = repeated_words(words)
-        failed = n < 50 or 100 * repeats > 50 * n
-        by_class, places, shares = refs.value.get(lang) or refs.value.get(None) or (np.zeros(N_CLASSES), {}, np.zeros(1))
-        own = np.zeros(len(shares))
-        for word, k in Counter(raw.lower().split()).items():
-            own[places.get(word, -1)] += k
-        far = js_distance(class_histogram(by_byte), by_class), js_distance(own, shares)
-        kept = not failed and (n < min_words or (far[0] <= char_limit and far[1] <= word_limit))
-        return n, chars, int(by_byte[list(SYMBOLS)].sum()), duplicate_lines(raw), repeats, failed, kept, *(floor(x * 1e6 + 0.50037) / 1e6 for x in far)
+
+def _judge(refs, limits: tuple, only_kept: list[str] | None = None):
+    """Measures after the columns other than lang, text and ref; with only_kept those columns of the documents that stay."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            found = [measures(lang, text or b"") for lang, text in zip(batch.column("lang").to_pylist(), batch.column("text").cast(pa.binary()).to_pylist(), strict=True)]
+        for batch in common.slices(batches, "text", common.SLICE):
+            langs, texts = batch.column("lang").cast(pa.string()).to_pylist(), batch.column("text").cast(pa.binary()).to_pylist()
+            own = batch.column(REF).to_pylist() if REF in batch.schema.names else [None] * len(langs)
+            found = [_measures(lang, text or b"", refs.value, ref, limits) for lang, text, ref in zip(langs, texts, own, strict=True)]
+            if only_kept is not None:
+                yield batch.select(only_kept).filter(pa.array([f[6] for f in found], pa.bool_()))
+                continue
             columns = list(zip(*found, strict=True)) or [[]] * 9
             kinds = (*[pa.int64()] * 5, pa.bool_(), pa.bool_(), pa.float64(), pa.float64())
             names = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "char_distance", "word_distance"]
-            rest = [c for c in batch.schema.names if c not in ("lang", "text")]
+            rest = [c for c in batch.schema.names if c not in ("lang", "text", REF)]
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in rest), *(pa.array(c, t) for c, t in zip(columns, kinds, strict=True))], names=[*rest, *names])
 
     return run
 
 
 _MEASURES = "n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, base_failed boolean, kept boolean, char_distance double, word_distance double"
+#: The column of references that are joined.
+REF = "reference of a rare language"
+
+
+def _with_references(docs: DataFrame, plain: DataFrame):
+    """docs with the references of rare languages, and all others as a broadcast."""
+    shared, others = references(plain)
+    if others is not None:
+        named = others.select(F.col("lang").alias(f"{REF}'s name"), F.col("ref").alias(REF))
+        docs = docs.join(named, docs["lang"].cast("string") == named[f"{REF}'s name"], "left").drop(f"{REF}'s name")
+    return docs, docs.sparkSession.sparkContext.broadcast(shared)
 
 
-def divergence_rules(docs: DataFrame, char_limit: float = CHAR_LIMIT, word_limit: float = WORD_LIMIT, min_words: int = MIN_WORDS) -> DataFrame:
+def divergence_rules(docs: DataFrame, char_limit: float = CHAR_LIMIT, word_limit: float = WORD_LIMIT, min_words: int = MIN_WORDS, min_chars: int = MIN_CHARS) -> DataFrame:
     """doc_id with the base measures, base_failed, kept and both distances, to six digits."""
     docs = common.id_and_text(docs, "lang")
-    refs = docs.sparkSession.sparkContext.broadcast(references(docs))
-    return docs.mapInArrow(_judge(refs, char_limit, word_limit, min_words), f"doc_id long, {_MEASURES}")
+    docs, refs = _with_references(docs, docs)
+    return docs.mapInArrow(_judge(refs, (char_limit, word_limit, min_words, min_chars)), f"doc_id long, {_MEASURES}")
 
 
 def kept_documents(docs: DataFrame) -> DataFrame:
     """The rows of docs that the rules keep, with docs' columns."""
-    plain = common.id_and_text(docs, "lang")
-    refs = docs.sparkSession.sparkContext.broadcast(references(plain))
-    rows = docs.select(F.struct(*docs.columns).alias("row"), F.col("lang").cast("string").alias("lang"), F.col("text").cast("string").alias("text"))
-    schema = f"row {docs.schema.simpleString()}, {_MEASURES}"
-    return rows.mapInArrow(_judge(refs, CHAR_LIMIT, WORD_LIMIT, MIN_WORDS), schema).where("kept").select("row.*")
+    joined, refs = _with_references(docs, common.id_and_text(docs, "lang"))
+    return joined.mapInArrow(_judge(refs, (CHAR_LIMIT, WORD_LIMIT, MIN_WORDS, MIN_CHARS), docs.columns), docs.schema)
 
 
 def op1_divergence_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -205,5 +236,5 @@ js AS (SELECT kind, doc_id, CASE WHEN sp = 0 OR sq = 0 THEN 1 ELSE sqrt(greatest
   FROM (SELECT *, sum(p) OVER (PARTITION BY kind, doc_id) AS sp, sum(q) OVER (PARTITION BY kind, doc_id) AS sq FROM (SELECT 'c' AS kind, * FROM pc UNION ALL SELECT 'w', * FROM pw)) GROUP BY kind, doc_id, sp, sq),
 v AS (SELECT x.doc_id, n_words, word_chars, c_symbol, len(ls) - len(list_distinct(ls)) AS n_dup_lines, coalesce(n_repeat_words, 0) AS n_repeat_words, a.d AS dc, b.d AS dw FROM x LEFT JOIN rep USING (doc_id) JOIN js a ON a.kind = 'c' AND a.doc_id = x.doc_id JOIN js b ON b.kind = 'w' AND b.doc_id = x.doc_id)
 SELECT doc_id, n_words, word_chars, c_symbol AS n_symbols, n_dup_lines, n_repeat_words, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed,
-  NOT (n_words < 50 OR 100 * n_repeat_words > 50 * n_words) AND (n_words < {MIN_WORDS} OR (dc <= {CHAR_LIMIT} AND dw <= {WORD_LIMIT})) AS kept, floor(dc * 1e6 + 0.50037::DOUBLE) / 1e6 AS char_distance, floor(dw * 1e6 + 0.50037::DOUBLE) / 1e6 AS word_distance FROM v
+  NOT (n_words < 50 OR 100 * n_repeat_words > 50 * n_words) AND (word_chars < {MIN_CHARS} OR dc <= {CHAR_LIMIT}) AND (n_words < {MIN_WORDS} OR dw <= {WORD_LIMIT}) AS kept, floor(dc * 1e6 + 0.50037::DOUBLE) / 1e6 AS char_distance, floor(dw * 1e6 + 0.50037::DOUBLE) / 1e6 AS word_distance FROM v
 """

@@ -1,13 +1,14 @@
 """Exact deduplication over a log-structured merge index.
 
-Memtables gather the digests of a task's documents and flush them as sorted runs, each digest once with its smallest id
-and its count. Compaction merges the runs of one digest range, keeps the smallest identifier of each digest, and leaves a
-filter of the digests that occur more than once. Documents that pass the filter look their digest up, and every hit is
-compared byte by byte with the document that stays.
+Memtables gather the digests of a task's documents and flush them as sorted runs, one for each digest range, each digest once
+with its smallest id and its count; with a run goes a filter of its digests. Compaction merges the runs of a range. By their
+filters it first sets aside the digests that no second run may hold; of those that remain it keeps the smallest identifier,
+and only digests found more than once stay in the index. Documents that pass a filter of the index look their digest up,
+and every hit is compared byte by byte with the document that stays.
 
 Cases: a null text counts as empty, and so equals other empty texts; repeated rows of one doc_id count as members, and
 all of them share that id's verdict; a null doc_id is never the smallest unless all ids of the group are null, and
-then every such row is kept; an empty table gives an empty result.
+then every such row is kept; an empty table gives an empty result; columns may bear any name.
 """
 
 from __future__ import annotations
@@ -15,43 +16,51 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from vapora.llm import common
 
-#: Digests that one memtable holds before it flushes a run.
-MEMTABLE = 1 << 17
-#: Bits of the filter of repeated digests: 2 MB, whatever the input.
-FILTER_BITS = 24
-#: Members of a hot group that are compared in one salt; a digest is hot from that many rows and one row in HOT_SHARE.
-SALT_ROWS, HOT_SHARE = 512, 1000
+#: Digests that one memtable holds before it flushes a run, and that one range of the index holds, about.
+MEMTABLE, RANGE = 1 << 17, 1 << 20
+#: Members of a hot group that are compared in one salt. A digest is hot from that many rows on, and from one row in
+#: HOT_SHARE, so that at most HOT_SHARE hot digests (40 bytes each) are broadcast.
+SALT_ROWS, HOT_SHARE = 512, 1_000_000
 
-_RUN = "bucket int, digests binary, ids binary, counts binary"
-_HITS = "bucket int, digests binary, ids binary, counts binary, filter binary, rows long"
+_RUN = "bucket int, digests binary, ids binary, counts binary, filter binary"
+_HITS = "digest binary, keep_id long, n long"
 _NO_ID = np.iinfo(np.int64).max
+#: Bits of a run's filter for each of its digests.
+_SPARE = 16
 
 
 def _combine(digests: np.ndarray, ids: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Sorted digests, each once, with the smallest id and the summed counts."""
+    """Sorted digests, each once, with the smallest id and the summed counts. The sort merges runs that are sorted already."""
     order = np.argsort(digests, kind="stable")
     digests, ids, counts = digests[order], ids[order], counts[order]
     first = np.flatnonzero(np.r_[True, digests[1:] != digests[:-1]]) if len(digests) else np.zeros(0, int)
     return digests[first], np.minimum.reduceat(ids, first) if len(first) else ids, np.add.reduceat(counts, first) if len(first) else counts
 
 
-def _flush(digests: list[bytes], ids: np.ndarray, bits: int) -> Iterator[pa.RecordBatch]:
+def _places(raw: np.ndarray, bits: int) -> np.ndarray:
+    """Places of digests (rows of 32 bytes) in a filter of 2 ** bits."""
+    return raw[:, 24:32].copy().view("<u8").ravel() & np.uint64((1 << bits) - 1)
+
+
+def _flush(digests: list[bytes], ids: np.ndarray, bits: int, filter_bits: int) -> Iterator[pa.RecordBatch]:
     keys, least, counts = _combine(np.array(digests, dtype="S32"), ids, np.ones(len(ids), np.int64))
     raw = np.frombuffer(keys.tobytes(), np.uint8).reshape(-1, 32)
     bucket = (raw[:, :4].copy().view(">u4").ravel() >> np.uint32(32 - bits)).astype(np.int32) if bits else np.zeros(len(raw), np.int32)
     edges = np.flatnonzero(np.r_[True, bucket[1:] != bucket[:-1], True])
-    rows = [(int(bucket[a]), raw[a:b].tobytes(), least[a:b].tobytes(), counts[a:b].tobytes()) for a, b in zip(edges[:-1], edges[1:], strict=True)]
-    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), (pa.int32(), pa.binary(), pa.binary(), pa.binary()), strict=True)], names=["bucket", "digests", "ids", "counts"])
+    rows = []
+    for a, b in zip(edges[:-1], edges[1:], strict=True):
+        held = np.unique(_places(raw[a:b], filter_bits)).astype("<u4")
+        rows.append((int(bucket[a]), raw[a:b].tobytes(), least[a:b].tobytes(), counts[a:b].tobytes(), held.tobytes()))
+    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), (pa.int32(), *[pa.binary()] * 4), strict=True)], names=["bucket", "digests", "ids", "counts", "filter"])
 
 
-def _memtables(bits: int):
+def _memtables(bits: int, filter_bits: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         digests: list[bytes] = []
         ids: list[np.ndarray] = []
@@ -59,76 +68,58 @@ def _memtables(bits: int):
             digests += batch.column(1).to_pylist()
             ids.append(batch.column(0).fill_null(_NO_ID).to_numpy(zero_copy_only=False))
             if len(digests) >= MEMTABLE:
-                yield from _flush(digests, np.concatenate(ids), bits)
+                yield from _flush(digests, np.concatenate(ids), bits, filter_bits)
                 digests, ids = [], []
         if digests:
-            yield from _flush(digests, np.concatenate(ids), bits)
+            yield from _flush(digests, np.concatenate(ids), bits, filter_bits)
 
     return run
 
 
-def _compact(bits: int):
-    slice_bits = FILTER_BITS - bits
-
+def _compact(filter_bits: int):
     def run(key: tuple, table: pa.Table) -> pa.Table:
-        runs = [np.frombuffer(b"".join(table.column(c).to_pylist()), t) for c, t in (("digests", "V32"), ("ids", np.int64), ("counts", np.int64))]
-        digests, ids, counts = _combine(np.frombuffer(runs[0].tobytes(), "S32"), *runs[1:])
+        runs = list(zip(*(table.column(c).to_pylist() for c in ("digests", "ids", "counts", "filter")), strict=True))
+        holders = np.zeros(1 << filter_bits, np.uint16)
+        for *_, held in runs:
+            at = np.frombuffer(held, "<u4")
+            holders[at] = np.minimum(holders[at], 2) + 1
+        parts = []
+        for digests, ids, counts, _ in runs:
+            raw, ids, counts = np.frombuffer(digests, np.uint8).reshape(-1, 32), np.frombuffer(ids, np.int64), np.frombuffer(counts, np.int64)
+            may = (counts > 1) | (holders[_places(raw, filter_bits)] > 1)
+            parts.append((np.frombuffer(raw[may].tobytes(), "S32"), ids[may], counts[may]))
+        digests, ids, counts = _combine(*(np.concatenate(p) for p in zip(*parts, strict=True)))
         many = counts > 1
-        raw = np.frombuffer(digests[many].tobytes(), np.uint8).reshape(-1, 32)
-        marks = np.zeros(1 << slice_bits, bool)
-        marks[raw[:, :4].copy().view(">u4").ravel() >> np.uint32(32 - FILTER_BITS) & np.uint32((1 << slice_bits) - 1)] = True
-        return pa.table({"bucket": pa.array([key[0].as_py()], pa.int32()), "digests": [raw.tobytes()], "ids": [ids[many].tobytes()], "counts": [counts[many].tobytes()], "filter": [np.packbits(marks).tobytes()], "rows": pa.array([int(counts.sum())], pa.int64())})
+        raw, least = digests[many].tobytes(), ids[many]
+        keys = pa.FixedSizeBinaryArray.from_buffers(pa.binary(32), int(many.sum()), [None, pa.py_buffer(raw)]).cast(pa.binary())
+        return pa.table({"digest": keys, "keep_id": pa.array(least, mask=least == _NO_ID), "n": pa.array(counts[many])})
 
     return run
 
 
-def _unpack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        for digests, ids, counts in zip(*(batch.column(c).to_pylist() for c in ("digests", "ids", "counts")), strict=True):
-            n = len(ids) // 8
-            if n:
-                keys = pa.FixedSizeBinaryArray.from_buffers(pa.binary(32), n, [None, pa.py_buffer(digests)]).cast(pa.binary())
-                least = np.frombuffer(ids, np.int64)
-                yield pa.RecordBatch.from_arrays([keys, pa.array(least, mask=least == _NO_ID), pa.array(np.frombuffer(counts, np.int64))], names=["digest", "keep_id", "n"])
-
-
-def build_index(rows: DataFrame, buckets: int) -> DataFrame:
-    """Compacted index of rows (doc_id, digest): a row per digest range, of the digests found more than once."""
-    bits = max(0, min(FILTER_BITS - 3, int(np.ceil(np.log2(max(1, buckets))))))
-    runs = rows.select("doc_id", "digest").mapInArrow(_memtables(bits), _RUN)
-    return common.materialize(runs.groupBy("bucket").applyInArrow(_compact(bits), _HITS), "digest-index")
+def build_index(rows: DataFrame, total: int, tasks: int) -> DataFrame:
+    """Compacted index of rows (doc_id, digest): digest, keep_id and n of the digests found more than once."""
+    bits = min(24, max(total // RANGE, tasks - 1).bit_length())
+    filter_bits = min(24, max(8, (_SPARE * min(total >> bits, 4 * RANGE)).bit_length()))
+    runs = rows.select("doc_id", "digest").mapInArrow(_memtables(bits, filter_bits), _RUN)
+    return common.materialize(runs.groupBy("bucket").applyInArrow(_compact(filter_bits), _HITS), "digest-index")
 
 
 def _hot(index: DataFrame, total: int) -> DataFrame:
-    """Digests that hold at least one row in HOT_SHARE, fewer than HOT_SHARE of them: digest, salts."""
+    """Digests that hold at least SALT_ROWS rows and one row in HOT_SHARE: digest, salts."""
     return index.where(F.col("n") > max(SALT_ROWS, total // HOT_SHARE)).select("digest", F.ceil(F.col("n") / SALT_ROWS).cast("int").alias("salts"))
 
 
-def exact_dedup(docs: DataFrame, carry: tuple[str, ...] = (), digest: Callable[[Column], Column] | None = None) -> DataFrame:
-    """doc_id, keep_id, group_size, kept, text_sha256 and the carried columns, a row for every row of docs.
-
-    digest maps the normalised text to 32 bytes; it is SHA-256 unless given. Two texts of one digest are told apart by
-    their bytes.
-    """
-    spark = docs.sparkSession
+def _verdicts(docs: DataFrame, carry: bool, digest: Callable[[Column], Column] | None = None) -> DataFrame:
+    """row (the document's columns, or null), doc_id, keep_id, n and sha of every row of docs."""
+    common.small_batches(docs.sparkSession)
     sha = lambda c: F.unhex(F.sha2(F.encode(c, "UTF-8"), 256))
-    rows = docs.select(F.struct(*carry).alias("row") if carry else F.lit(None).cast("int").alias("row"), F.col("doc_id").cast("long").alias("doc_id"), F.regexp_replace(F.coalesce(F.col("text"), F.lit("")), f"{common.SPACE}+", " ").alias("norm"))
+    rows = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row") if carry else F.lit(None).cast("int").alias("row"), F.col("doc_id").cast("long").alias("doc_id"), F.regexp_replace(F.coalesce(F.col("text"), F.lit("")), f"{common.SPACE}+", " ").alias("norm"))
     rows = rows.withColumn("sha", sha(F.col("norm")))
     rows = rows.withColumn("digest", digest(F.col("norm")) if digest else F.col("sha"))
-    packed = build_index(rows, common.partitions(spark))
-    bits, total = bytearray(1 << (FILTER_BITS - 3)), 0
-    for r in packed.select("bucket", "filter", "rows").toLocalIterator():  # slices of the 2 MB filter
-        bits[r.bucket * len(r.filter) : (r.bucket + 1) * len(r.filter)] = r["filter"]
-        total += r["rows"]
-    shared = spark.sparkContext.broadcast(bytes(bits))
-
-    @F.pandas_udf("boolean")
-    def repeated(prefix: pd.Series) -> pd.Series:
-        at = prefix.to_numpy(np.int64)
-        return pd.Series((np.frombuffer(shared.value, np.uint8)[at >> 3] >> (7 - (at & 7)) & 1).astype(bool))
-
-    marked = rows.withColumn("seen", repeated(F.conv(F.substring(F.hex("digest"), 1, FILTER_BITS // 4), 16, 10).cast("long")))
-    index = packed.mapInArrow(_unpack, "digest binary, keep_id long, n long")
+    total = docs.count()
+    index = build_index(rows, total, common.partitions(docs.sparkSession))
+    marked = common.Filter(index.select(F.xxhash64("digest").alias("number")), "number").mark(rows, F.xxhash64("digest"), "seen")
     hot = F.broadcast(_hot(index, total))
 
     # Members of hot digests are dealt over several salts, and what they meet is repeated for each salt.
@@ -145,8 +136,22 @@ def exact_dedup(docs: DataFrame, carry: tuple[str, ...] = (), digest: Callable[[
     if not checked.where("not same").isEmpty():
         checked = _regrouped(checked)
     once = marked.where("not seen").select("row", "doc_id", "sha", F.col("doc_id").alias("keep_id"), F.lit(1).cast("long").alias("n"))
-    both = once.unionByName(checked.select("row", "doc_id", "sha", "keep_id", "n"))
-    return both.select("doc_id", "keep_id", F.col("n").alias("group_size"), F.col("doc_id").eqNullSafe(F.col("keep_id")).alias("kept"), F.lower(F.hex("sha")).alias("text_sha256"), *(F.col("row")[c].alias(c) for c in carry if c != "doc_id"))
+    return once.unionByName(checked.select("row", "doc_id", "sha", "keep_id", "n"))
+
+
+def exact_dedup(docs: DataFrame, carry: tuple[str, ...] = (), digest: Callable[[Column], Column] | None = None) -> DataFrame:
+    """doc_id, keep_id, group_size, kept, text_sha256 and the carried columns, a row for every row of docs.
+
+    digest maps the normalised text to 32 bytes; it is SHA-256 unless given. Two texts of one digest are told apart by
+    their bytes.
+    """
+    found = _verdicts(docs, bool(carry), digest)
+    return found.select("doc_id", "keep_id", F.col("n").alias("group_size"), F.col("doc_id").eqNullSafe(F.col("keep_id")).alias("kept"), F.lower(F.hex("sha")).alias("text_sha256"), *(F.col("row")[c].alias(c) for c in carry if c != "doc_id"))
+
+
+def kept_documents(docs: DataFrame) -> DataFrame:
+    """The rows of docs that stay, with docs' columns."""
+    return _verdicts(docs, True).where(F.col("doc_id").eqNullSafe(F.col("keep_id"))).select("row.*")
 
 
 def _regrouped(checked: DataFrame) -> DataFrame:

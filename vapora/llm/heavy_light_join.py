@@ -265,23 +265,16 @@ def _meet(key: tuple, table: pa.Table) -> pa.Table:
     return pa.concat_tables(out)
 
 
-def _texts(marks):
-    """Classes and texts of the documents in the filter, each class once a task; other documents aren't even split."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen: set[int] = set()
-        bits = np.frombuffer(marks.value, np.uint8)
-        for batch in batches:
-            at = batch.column("mark").to_numpy() & (1 << common.FILTER_BITS) - 1
-            chosen = batch.filter(pa.array((bits[at >> 3] >> (at & 7).astype(np.uint8) & 1).astype(bool)))
-            rows = {}
-            for _, s, d, raw in _sets(iter([chosen])):
-                if len(s) and d not in seen:
-                    seen.add(d)
-                    rows[d] = blocks.squeeze(raw)
-            yield pa.RecordBatch.from_arrays([pa.array(list(rows), pa.int64()), pa.array(list(rows.values()), pa.binary())], names=["class", "text"])
-
-    return run
+def _texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Classes and texts of documents, each class once a task."""
+    seen: set[int] = set()
+    for batch in common.slices(batches, "text", common.SLICE):
+        rows = {}
+        for _, s, d, raw in _sets(iter([batch])):
+            if len(s) and d not in seen:
+                seen.add(d)
+                rows[d] = blocks.squeeze(raw)
+        yield pa.RecordBatch.from_arrays([pa.array(list(rows), pa.int64()), pa.array(list(rows.values()), pa.binary())], names=["class", "text"])
 
 
 def _test(key: tuple, table: pa.Table) -> pa.Table:
@@ -305,8 +298,9 @@ def tested(docs: DataFrame, holders: DataFrame, pairs: DataFrame) -> DataFrame:
     """Those of the pairs (a hub, b member) of classes whose sets are linked. holders: class, mark of one of its documents."""
     pairs = common.materialize(pairs.select("a", "b").distinct(), "pairs")
     asked = pairs.select(F.col("a").alias("class")).unionByName(pairs.select(F.col("b").alias("class"))).distinct()
-    marks = docs.sparkSession.sparkContext.broadcast(common.bit_filter(asked.join(holders, "class"), "mark"))
-    texts = docs.select("doc_id", "text", F.expr(MARK).alias("mark")).mapInArrow(_texts(marks), "class long, text binary").join(asked, "class", "left_semi")
+    wanted = common.Filter(common.materialize(asked.join(holders, "class").select("mark"), "marks"), "mark")
+    chosen = wanted.mark(docs.select("doc_id", "text"), F.expr(MARK), "chosen").where("chosen").select("doc_id", "text")
+    texts = chosen.mapInArrow(_texts, "class long, text binary").join(asked, "class", "left_semi")
     texts = texts.groupBy("class").agg(F.min("text").alias("text"))
     salts = pairs.groupBy("a").agg((1 + F.count("*") / TESTED).cast("int").alias("salts"))
     dealt = common.materialize(pairs.join(salts, "a").select("a", "b", F.pmod(F.xxhash64("b"), "salts").cast("int").alias("salt")), "dealt-pairs")

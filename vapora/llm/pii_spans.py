@@ -8,7 +8,8 @@ A text is split at a kind's matches once; a match starts where the pieces and ma
 search. The patterns are possessive and start only at the first character of a run or at the last match's end: they give
 the same matches as their plain forms, without recursion or quadratic scans of long runs.
 
-Cases: a null text has no spans; an empty table gives an empty result; repeated rows are judged alike, each for itself.
+Cases: a null text has no spans; an empty table gives an empty result; repeated rows are judged alike, each for itself;
+further columns may bear any name.
 """
 
 from __future__ import annotations
@@ -112,30 +113,35 @@ def _spans(kind: str, pieces: Column, hits: Column) -> Column:
     return scored if kind in BASE else F.filter(scored, lambda s: s["score"] >= LEAST_SCORE)
 
 
-def find_pii(df: DataFrame, text: str = "text", out: str = "spans") -> DataFrame:
-    """df with its texts' spans, by start and then kind: code points, end exclusive."""
-    keep = [F.col(c) for c in df.columns]
-    df = df.select(*keep, F.coalesce(F.col(text), F.lit("")).alias("_t"))
+def _with_spans(df: DataFrame, text: str) -> DataFrame:
+    """row, df's columns as a struct so that none can clash, and spans."""
+    df = df.select(F.struct(*(F.col(f"`{c}`") for c in df.columns)).alias("row"), F.coalesce(F.col(f"`{text}`").cast("string"), F.lit("")).alias("t"))
     nothing = F.array().cast("array<string>")
-    for kind, (pattern, may, _, _) in RULES.items():
-        df = df.withColumn(f"_m_{kind}", may(F.col("_t")))
-    df = df.select("*", *(F.when(F.col(f"_m_{k}"), F.regexp_extract_all("_t", F.lit(r[0]), F.lit(0))).otherwise(nothing).alias(f"_h_{k}") for k, r in RULES.items()))
-    df = df.select("*", *(F.when(F.size(f"_h_{k}") > 0, F.split("_t", r[0], -1)).otherwise(nothing).alias(f"_p_{k}") for k, r in RULES.items()))
-    df = df.select(*keep, *(F.when(F.size(f"_h_{k}") > 0, _spans(k, F.col(f"_p_{k}"), F.col(f"_h_{k}"))).otherwise(F.array().cast(SPAN)).alias(f"_s_{k}") for k in RULES))
-    return df.select(*keep, F.array_sort(F.concat(*(F.col(f"_s_{k}") for k in RULES))).alias(out))
+    for kind, (_, may, _, _) in RULES.items():
+        df = df.withColumn(f"may_{kind}", may(F.col("t")))
+    df = df.select("*", *(F.when(F.col(f"may_{k}"), F.regexp_extract_all("t", F.lit(r[0]), F.lit(0))).otherwise(nothing).alias(f"hits_{k}") for k, r in RULES.items()))
+    df = df.select("*", *(F.when(F.size(f"hits_{k}") > 0, F.split("t", r[0], -1)).otherwise(nothing).alias(f"pieces_{k}") for k, r in RULES.items()))
+    df = df.select("row", *(F.when(F.size(f"hits_{k}") > 0, _spans(k, F.col(f"pieces_{k}"), F.col(f"hits_{k}"))).otherwise(F.array().cast(SPAN)).alias(f"spans_{k}") for k in RULES))
+    return df.select("row", F.array_sort(F.concat(*(F.col(f"spans_{k}") for k in RULES))).alias("spans"))
+
+
+def find_pii(df: DataFrame, text: str = "text", out: str = "spans") -> DataFrame:
+    """df with its texts' spans, by start and then kind: code points, end exclusive. A column of df named out is replaced."""
+    return _with_spans(df, text).select(*(F.col("row")[c].alias(c) for c in df.columns if c != out), F.col("spans").alias(out))
 
 
 def mask_pii(df: DataFrame, text: str = "text") -> DataFrame:
     """df with every span of its texts replaced by its kind in angle brackets; spans that overlap give one mark."""
-    t = F.coalesce(F.col(text), F.lit(""))
+    own = F.col("row")[text]
+    t = F.coalesce(own.cast("string"), F.lit(""))
     begin = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
     step = lambda a, s: F.struct(
         F.greatest(a["at"], s["end"]).alias("at"),
         F.when(s["start"] >= a["at"], F.concat(a["out"], F.substring(t, a["at"] + 1, s["start"] - a["at"]), F.lit("<"), F.upper(s["kind"]), F.lit(">"))).otherwise(a["out"]).alias("out"),
     )
     finish = lambda a: F.concat(a["out"], F.substring(t, a["at"] + 1, F.length(t)))
-    masked = F.when(F.size("_spans") > 0, F.aggregate("_spans", begin, step, finish)).otherwise(F.col(text))
-    return find_pii(df, text, "_spans").withColumn(text, masked).drop("_spans")
+    masked = F.when(F.size("spans") > 0, F.aggregate("spans", begin, step, finish)).otherwise(own)
+    return _with_spans(df, text).select(*((masked if c == text else F.col("row")[c]).alias(c) for c in df.columns))
 
 
 def _of(kind: str) -> Callable[[Column], Column]:
