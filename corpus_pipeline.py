@@ -1,7 +1,13 @@
 """Corpus pipeline: quality rules, exact dedup, near-duplicate join, personal data, packing.
 
 Every stage reads what its predecessor wrote. All but the last return the columns of documents, so stages can be left out or
-reordered. A stage sees all rows that its predecessor kept; an empty table passes through all of them.
+reordered. A stage sees all rows that its predecessor kept; an empty table passes through all of them. Columns beside doc_id,
+text and lang are carried along whatever their names.
+
+Nulls, ties and repeated rows: quality_rules rejects a null or empty text, which has no words; where other stages meet one, it
+equals other empty texts, is linked with nothing, holds no personal data and is a single end token. Rows of one doc_id and one
+text all stay if that id is the smallest of its group. A row without an id goes if its text also stands in a row that has one;
+no near duplicate without an id goes. Texts of any length are read whole.
 """
 
 from __future__ import annotations
@@ -15,30 +21,29 @@ from vapora.llm import common, divergence_rules, exact_dedup, heavy_light_join,
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that neither the base rule nor the divergence rules reject."""
+    """Documents that neither the base rule nor the divergence rules reject; null and empty texts fail the base rule."""
     return divergence_rules.kept_documents(docs)
 
 
 def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of equal normalised texts the document with the smallest id."""
-    kept = exact_dedup.exact_dedup(docs, carry=tuple(docs.columns)).where("kept")
-    return kept.select(*docs.columns)
+    """Of equal normalised texts the rows of the smallest id; a null text counts as empty."""
+    return exact_dedup.kept_documents(docs)
 
 
 def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near duplicates the document with the smallest id."""
-    dropped = heavy_light_join.ngram_components(docs).where("component_id <> doc_id").select("doc_id")
+    """Of each group of near duplicates the document with the smallest id; rows without an id or a word stay."""
+    dropped = heavy_light_join.ngram_components(docs).where("component_id <> doc_id").select("doc_id").distinct()
     return docs.join(dropped, "doc_id", "left_anti").select(*docs.columns)
 
 
 def private(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Texts with personal data replaced by the kind of data, and their lengths."""
+    """Texts with personal data replaced by the kind of data, and their lengths; a null text stays null."""
     masked = pii_spans.mask_pii(docs)
     return masked.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)).select(*docs.columns)
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pieces of all documents with their places in sequences."""
+    """Pieces of all documents with their places in sequences; a null text is the end token alone."""
     return squares_packing.squares_packing(docs)
 
 
