@@ -68,6 +68,19 @@ def discard(df: DataFrame) -> None:
     at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
 
 
+def bucketed(df: DataFrame, key: str, name: str) -> DataFrame:
+    """df written once in buckets of a column, so that grouping by it later shuffles nothing."""
+    spark = df.sparkSession
+    table = f"vapora_{uuid.uuid4().hex}"
+    path = f"{shared_dir(spark)}/vapora/{name}-{table}"
+    df.write.format("parquet").bucketBy(partitions(spark), key).option("path", path).option("compression", "zstd").saveAsTable(table)
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(at)
+    out = spark.table(table)
+    spark.sql(f"DROP TABLE {table}")  # the name alone: the files are external
+    return out
+
+
 def slices(batches: Iterator[pa.RecordBatch], column: str, size: int) -> Iterator[pa.RecordBatch]:
     """The batches cut so that the column's texts take about `size` bytes each; a longer text is a slice by itself."""
     for batch in batches:

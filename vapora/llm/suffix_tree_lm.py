@@ -10,8 +10,10 @@ is scored in the longest retained suffix of its history.
 Everything travels in packed blocks (blocks.py), dealt by 64-bit digests of the whole key, so that no word or context gathers
 in one task. A block asks for its words and its pairs of a word and the next; then for the longer contexts with the next word,
 leaving out those whose counts follow from the pairs': a context with a rare pair in it is no candidate, and what follows a
-word once follows a longer context once, which only a held-out token of the same pair must ask for. One block is told that it owns a pair and adds it to the sums of the pair's context,
-which meet at the context's bucket. There contexts are tested and mark their suffixes at theirs, and all blocks get replies.
+word once follows a longer context once, which only a held-out token of the same pair must ask for. One block is told that it
+owns a run of words. It adds what follows a context to the context's sums, and tells the context's own counts and suffixes;
+these meet at the context's bucket. There contexts are tested and mark their suffixes at theirs, and all blocks get replies.
+The blocks are written once, bucketed by their numbers, so that in every round only replies are shuffled.
 
 Cases: a null or empty text is the end alone; without training documents all counts are 0 and every token has the root's
 probability; a null doc_id is a training document; repeated rows count as often as they occur; an empty table gives an
@@ -30,11 +32,11 @@ from pyspark.sql import functions as F
 from vapora.llm import blocks, common
 from vapora.llm.cross_parsing import held_out
 
-LEAST, DEPTH, GAIN = 10, 3, 5.0
+LEAST, DEPTH, GAIN = 10, 4, 5.0
 #: The key of the end token: no word holds a space.
 END_KEY = b" "
 #: Bytes of text in a block.
-BLOCK_BYTES = 8 << 20
+BLOCK_BYTES = 8 << 20  # fewer and larger blocks name fewer pairs twice
 
 
 def mixed(x: np.ndarray) -> np.ndarray:
@@ -219,36 +221,42 @@ def _opened(table: pa.Table, depth: int, least: int, steps: int) -> tuple[int, T
 
 
 def _ask_longer(depth: int, least: int, buckets: int):
-    def run(key: tuple, table: pa.Table) -> pa.Table:
-        block, tokens, _, _ = _opened(table, depth, least, 1)
+    def run(key: tuple, mine: pa.Table, replies: pa.Table) -> pa.Table:
+        block, tokens, _, _ = _opened(pa.concat_tables([mine, replies]), depth, least, 1)
         return _table(_question(1, block, tokens, least, buckets))
 
     return run
 
 
 def _ask_contexts(total: int, depth: int, least: int, buckets: int):
-    def run(key: tuple, table: pa.Table) -> pa.Table:
-        """The block's candidates with their shares of the sums: next words, and the divergence of repeated ones, from owned pairs."""
-        block, tokens, _, _ = _opened(table, depth, least, 2)
+    def run(key: tuple, mine: pa.Table, replies: pa.Table) -> pa.Table:
+        """The block's candidates; of those that it owns the counts and suffixes; of what it owns after any, the sums' shares."""
+        block, tokens, _, _ = _opened(pa.concat_tables([mine, replies]), depth, least, 2)
         at, contexts, entry, where = tokens.candidates(least)
-        n, up, distinct, gain = [], [], np.zeros(len(contexts)), np.zeros(len(contexts))
+        n, up, distinct, gain = [], [], np.zeros(len(contexts), np.int64), np.zeros(len(contexts))
+        own = np.zeros(len(contexts), bool)
         suffixes: list[list[np.ndarray]] = [[] for _ in range(depth - 1)]
         done = 0
         for d, a in enumerate(at, 1):
             n.append(tokens.followers(d)[a])
             up.append(tokens.followers(d - 1)[a] if d > 1 else np.full(len(a), total))
-            for k, s in enumerate(suffixes, 1):
-                s.append(tokens.contexts[k][a] if k < d else np.zeros(len(a), np.uint64))
-            mine = np.flatnonzero(tokens.owned[d][a])
-            mine = mine[np.unique(tokens.keys[d][a[mine]], return_index=True)[1]]
-            m, above, of = tokens.counts[d][a[mine]], tokens.counts[d - 1][a[mine]], where[done + mine]
+            own[where[done : done + len(a)][tokens.before(tokens.owned[d - 1], 1)[a]]] = True
+            for k, x in enumerate(suffixes, 1):
+                x.append(tokens.contexts[k][a] if k < d else np.zeros(len(a), np.uint64))
+            here = np.flatnonzero(tokens.owned[d][a])
+            here = here[np.unique(tokens.keys[d][a[here]], return_index=True)[1]]
+            m, above, of = tokens.counts[d][a[here]], tokens.counts[d - 1][a[here]], where[done + here]
             distinct += np.bincount(of, minlength=len(contexts))
             gain += np.bincount(of, weights=(m - 1) * (np.log(m) - np.log(above)), minlength=len(contexts))
             done += len(a)
-        take = lambda parts: np.concatenate(parts)[entry]
-        sums = {"n": take(n), "up": take(up), "distinct": distinct.astype(np.int64), "gain": gain, **{f"s{k}": take(s) for k, s in enumerate(suffixes, 1)}}
-        sent = pa.table(sums)
-        return _table([(2, block, b, _close(contexts[lo:hi]), blocks.stream(sent.slice(lo, hi - lo)), b"") for b, lo, hi in _dealt(contexts, buckets)])
+        take = lambda parts, k: np.concatenate(parts)[entry[k]]
+        rows = []
+        for b, lo, hi in _dealt(contexts, buckets):
+            mine, some = lo + np.flatnonzero(own[lo:hi]), lo + np.flatnonzero(distinct[lo:hi])
+            facts = {"at": mine - lo, "n": take(n, mine), "up": take(up, mine), **{f"s{k}": take(x, mine) for k, x in enumerate(suffixes, 1)}}
+            shares = {"at": some - lo, "distinct": distinct[some], "gain": gain[some]}
+            rows.append((2, block, b, _close(contexts[lo:hi]), blocks.stream(pa.table(facts)), blocks.stream(pa.table(shares))))
+        return _table(rows)
 
     return run
 
@@ -258,13 +266,17 @@ def _test(gain: float, buckets: int):
         """One bucket's contexts, tested (block -1), each block's places in them, and marks for suffixes of those that pass (block -2)."""
         table = table.sort_by("block")
         bucket, keys = key[0].as_py(), [_open(k) for k in table.column("keys").to_pylist()]
-        sent = pa.concat_tables([blocks.open_stream(c) for c in table.column("counts").to_pylist()])
-        contexts, entry, where = np.unique(np.concatenate(keys), return_index=True, return_inverse=True)
-        n, up = (sent.column(c).to_numpy()[entry].astype(float) for c in ("n", "up"))
-        t, repeated = (np.bincount(where, weights=sent.column(c).to_numpy(), minlength=len(contexts)) for c in ("distinct", "gain"))
+        contexts, where = np.unique(np.concatenate(keys), return_inverse=True)
+        begins = np.cumsum([0, *map(len, keys)])[:-1]
+        facts, shares = ([blocks.open_stream(x) for x in table.column(c).to_pylist()] for c in ("counts", "payload"))
+        owned, some = (where[np.concatenate([t.column("at").to_numpy() + o for t, o in zip(ts, begins, strict=True)])] for ts in (facts, shares))
+        facts, shares = pa.concat_tables(facts), pa.concat_tables(shares)
+        n, up = np.zeros(len(contexts)), np.zeros(len(contexts))
+        n[owned], up[owned] = facts.column("n").to_numpy(), facts.column("up").to_numpy()
+        t, repeated = (np.bincount(some, weights=shares.column(c).to_numpy(), minlength=len(contexts)) for c in ("distinct", "gain"))
         better = repeated - (n - t) * (np.log(n + t) - np.log(up)) + t * np.log(t / (n + t))
         passes = better > gain
-        marks = np.unique(np.concatenate([np.zeros(0, np.uint64), *(sent.column(c).to_numpy()[entry][passes] for c in sent.column_names if c[0] == "s")]))
+        marks = np.unique(np.concatenate([np.zeros(0, np.uint64), *(facts.column(c).to_numpy()[passes[owned]] for c in facts.column_names if c[0] == "s")]))
         marks = marks[marks > 0]
         rows = [(2, -1, bucket, _close(contexts), blocks.pack(2 * t.astype(np.int64) + passes), b"")]
         places = np.split(where, np.cumsum([len(k) for k in keys])[:-1])
@@ -284,8 +296,8 @@ def _retain(key: tuple, table: pa.Table) -> pa.Table:
 
 
 def _finish(total: int, words: int, depth: int, least: int):
-    def run(key: tuple, table: pa.Table) -> pa.Table:
-        _, tokens, docs, replies = _opened(table, depth, least, 2)
+    def run(key: tuple, mine: pa.Table, replied: pa.Table) -> pa.Table:
+        _, tokens, docs, replies = _opened(pa.concat_tables([mine, replied]), depth, least, 2)
         at, _, _, where = tokens.candidates(least)
         known, n, first = tokens.counts[0], docs.column("n").to_numpy(), tokens.first
         p = (known + 1.0) / (total + words + 1.0)
@@ -296,33 +308,37 @@ def _finish(total: int, words: int, depth: int, least: int):
             a, t = a[here & 1 > 0], (here >> 1)[here & 1 > 0]
             p[a] = (tokens.counts[d][a] + t * p[a]) / (tokens.followers(d)[a] + t)
         add = lambda w: np.add.reduceat(w, first) if len(n) else w
+        elsewhere = (tokens.counts[1] > tokens.train) & (tokens.place >= 1)
         return pa.table({
             "doc_id": docs.column("doc_id"), "held_out": docs.column("held"), "n_tokens": docs.column("n"),
             "n_known": pa.array(add((known > 0).astype(np.int64))), "train_tokens": pa.array(np.full(len(n), total, np.int64)),
-            "base_score": pa.array(add(root)), "score": pa.array(add(np.log10(p))),
+            "base_score": pa.array(add(root)), "score": pa.array(add(np.log10(p))), "pair_share": pa.array(add(elsewhere.astype(float)) / n),
         })
 
     return run
 
 
 def suffix_tree_scores(docs: DataFrame, folds: int = 7, fold: int = 2, least: int = LEAST, gain: float = GAIN, depth: int = DEPTH) -> DataFrame:
-    """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score; least is 2 or more."""
+    """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score, pair_share; least is 2 or more.
+
+    pair_share is the share of tokens that follow the word before them at another place of the training texts too.
+    """
     docs = common.id_and_text(docs).withColumn("held_out", held_out(F.col("doc_id"), folds, fold))
     buckets = blocks.buckets_for(docs.count())
-    mine = common.materialize(docs.mapInArrow(_read(), _ROWS), "word-blocks")
+    mine = common.bucketed(docs.mapInArrow(_read(), _ROWS), "block", "word-blocks")
     total = mine.agg(F.sum("tokens")).first()[0] or 0
     replies = mine.mapInArrow(_ask_pairs(buckets), _ROWS).groupBy("bucket").applyInArrow(_count, _ROWS)
     replies = common.materialize(replies, "word-counts")
     words = replies.agg(F.sum("words")).first()[0] or 0
-    known = mine.unionByName(replies.where("block >= 0"))
-    longer = known.groupBy("block").applyInArrow(_ask_longer(depth, least, buckets), _ROWS)
+    with_replies = lambda r: mine.groupBy("block").cogroup(r.where("block >= 0").groupBy("block"))
+    longer = with_replies(replies).applyInArrow(_ask_longer(depth, least, buckets), _ROWS)
     longer = common.materialize(longer.groupBy("bucket").applyInArrow(_count, _ROWS), "context-counts")
-    known = known.unionByName(longer.where("block >= 0"))
-    contexts = known.groupBy("block").applyInArrow(_ask_contexts(total, depth, least, buckets), _ROWS)
+    known = replies.unionByName(longer)
+    contexts = with_replies(known).applyInArrow(_ask_contexts(total, depth, least, buckets), _ROWS)
     tested = contexts.groupBy("bucket").applyInArrow(_test(gain, buckets), _ROWS)
     retained = tested.groupBy("bucket").applyInArrow(_retain, _ROWS)
-    schema = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
-    return known.unionByName(retained).groupBy("block").applyInArrow(_finish(total, words, depth, least), schema)
+    schema = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double, pair_share double"
+    return with_replies(known.unionByName(retained)).applyInArrow(_finish(total, words, depth, least), schema)
 
 
 def op8_suffix_tree_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
