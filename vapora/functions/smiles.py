@@ -150,77 +150,101 @@ def _oxo(atoms: list[Atom], i: int) -> list[int]:
     return [j for j, o in atoms[i].bonds.items() if o == 2 and atoms[j].element == "O"]
 
 
-def _carbon_group(atoms: list[Atom], i: int) -> tuple[str | None, list[int]]:
-    """Group of a carbon and the other atoms that it takes in."""
-    a = atoms[i]
-    ring = " (ring)" if a.ring else ""
-    oxo = _oxo(atoms, i)
-    if a.aromatic and not oxo:
-        return ("=CH- (ring)" if a.h == 1 else "=C< (ring)"), []
-    triple = [j for j, o in a.bonds.items() if o == 3]
-    if triple:
-        return ("-CN" if atoms[triple[0]].element == "N" else "C#CH" if a.h == 1 else "C#C-"), []
-    if oxo:
-        single = [j for j, o in a.bonds.items() if o == 1 and atoms[j].element == "O"]
-        acid = [j for j in single if atoms[j].h]
-        bridge = [j for j in single if not atoms[j].h and len(atoms[j].bonds) > 1]
-        if acid:
-            return "-COOH (acid)", oxo + acid
-        if not a.h and len(single) == 1 and bridge:
-            return "-COO- (ester)", oxo + bridge
-        if len(single) > 1:
-            return None, []
-        if a.h == 1 and len(a.bonds) == 2 and any(atoms[j].element == "C" for j in a.bonds):
-            return "O=CH- (aldehyde)", oxo
-        if not a.h and len(a.bonds) == 3:
-            return (">C=O (ring)" if a.ring else ">C=O (nonring)"), oxo
-        return None, []
-    double = sum(o == 2 for o in a.bonds.values())
-    if double > 1:
-        return "=C=", []
-    if double:
-        return (("=CH- (ring)" if a.h == 1 else "=C< (ring)") if a.ring else ("=C<", "=CH-", "=CH2")[min(a.h, 2)]), []
-    name = (">C<", ">CH-", "-CH2-", "-CH3")[min(a.h, 3)]
-    return (name + ring if name != "-CH3" else None if a.ring else name), []
-
-
-def _other_group(atoms: list[Atom], i: int) -> str | None:
-    a = atoms[i]
-    where = "(ring)" if a.ring else "(nonring)"
-    if a.element == "O":
-        near = [atoms[j] for j in a.bonds]
-        if a.h and len(near) == 1:
-            return "-OH (phenol)" if near[0].aromatic else "-OH (alcohol)"
-        if not a.h and len(near) == 2:
-            return None if any(atoms[j].element == "C" and _oxo(atoms, j) for j in a.bonds) else f"-O- {where}"
-        return None
-    if a.element == "N":
-        if _oxo(atoms, i) and len(a.bonds) > 1:
-            return "-NO2"
-        if 3 in a.bonds.values():
-            return None
-        if a.h:
-            return {1: f">NH {where}", 2: "-NH2"}.get(a.h)
-        return f"-N= {where}" if len(a.bonds) < 3 and (a.aromatic or 2 in a.bonds.values()) else ">N- (nonring)"
-    if a.element == "S":
-        return "-SH" if a.h else f"-S- {where}" if len(a.bonds) == 2 else None
-    return f"-{a.element}" if a.element in ("F", "Cl", "Br", "I") else None
+@dataclass(frozen=True)
+class Group:
+    """A contribution group: its central atom, what must stand next to it, and which neighbours belong to the group.
+
+    A neighbour is described by its bond and element (-O, =O, #N) and by what else holds of it: H (bears hydrogen),
+    link (bears none and has a second bond), aromatic, oxo (has a double bond to oxygen). Without a name the atom counts for nothing.
+    """
+
+    name: str | None
+    element: str
+    h: tuple[int, ...] = ()  # hydrogens; any number if empty
+    bonds: tuple[int, ...] = ()
+    ring: bool | None = None
+    aromatic: bool | None = None
+    has: tuple[str, ...] = ()  # neighbours that are all there, each another one
+    lacks: tuple[str, ...] = ()
+    takes: tuple[str, ...] = ()
+
+
+#: The method's groups; an atom belongs to the first that fits.
+GROUPS = (
+    Group("=CH- (ring)", "C", h=(1,), aromatic=True, lacks=("=O",)),
+    Group("=C< (ring)", "C", aromatic=True, lacks=("=O",)),
+    Group("-CN", "C", has=("#N",)),
+    Group("C#CH", "C", h=(1,), has=("#",)),
+    Group("C#C-", "C", has=("#",)),
+    Group("-COOH (acid)", "C", has=("=O", "-O H"), takes=("=O", "-O H")),
+    Group(None, "C", has=("=O", "-O", "-O")),
+    Group("-COO- (ester)", "C", h=(0,), has=("=O", "-O link"), takes=("=O", "-O link")),
+    Group("O=CH- (aldehyde)", "C", h=(1,), bonds=(2,), has=("=O", "C"), takes=("=O",)),
+    Group(">C=O (ring)", "C", h=(0,), bonds=(3,), ring=True, has=("=O",), takes=("=O",)),
+    Group(">C=O (nonring)", "C", h=(0,), bonds=(3,), has=("=O",), takes=("=O",)),
+    Group(None, "C", has=("=O",)),
+    Group("=C=", "C", has=("=", "=")),
+    Group("=CH- (ring)", "C", h=(1,), ring=True, has=("=",)),
+    Group("=C< (ring)", "C", ring=True, has=("=",)),
+    Group("=C<", "C", h=(0,), has=("=",)),
+    Group("=CH-", "C", h=(1,), has=("=",)),
+    Group("=CH2", "C", has=("=",)),
+    Group(">C< (ring)", "C", h=(0,), ring=True),
+    Group(">CH- (ring)", "C", h=(1,), ring=True),
+    Group("-CH2- (ring)", "C", h=(2,), ring=True),
+    Group(">C<", "C", h=(0,), ring=False),
+    Group(">CH-", "C", h=(1,), ring=False),
+    Group("-CH2-", "C", h=(2,), ring=False),
+    Group("-CH3", "C", ring=False),
+    Group("-OH (phenol)", "O", h=(1, 2), bonds=(1,), has=("aromatic",)),
+    Group("-OH (alcohol)", "O", h=(1, 2), bonds=(1,)),
+    Group(None, "O", h=(0,), bonds=(2,), has=("C oxo",)),
+    Group("-O- (ring)", "O", h=(0,), bonds=(2,), ring=True),
+    Group("-O- (nonring)", "O", h=(0,), bonds=(2,)),
+    Group("-NO2", "N", bonds=(2, 3, 4), has=("=O",)),
+    Group(None, "N", has=("#",)),
+    Group("-NH2", "N", h=(2,)),
+    Group(">NH (ring)", "N", h=(1,), ring=True),
+    Group(">NH (nonring)", "N", h=(1,)),
+    Group(None, "N", h=(3, 4)),
+    Group("-N= (ring)", "N", bonds=(0, 1, 2), ring=True, aromatic=True),
+    Group("-N= (ring)", "N", bonds=(0, 1, 2), ring=True, has=("=",)),
+    Group("-N= (nonring)", "N", bonds=(0, 1, 2), aromatic=True),
+    Group("-N= (nonring)", "N", bonds=(0, 1, 2), has=("=",)),
+    Group(">N- (nonring)", "N"),
+    Group("-SH", "S", h=(1, 2)),
+    Group("-S- (ring)", "S", h=(0,), bonds=(2,), ring=True),
+    Group("-S- (nonring)", "S", h=(0,), bonds=(2,)),
+    *(Group(f"-{x}", x) for x in ("F", "Cl", "Br", "I")),
+)
+
+
+def _neighbours(atoms: list[Atom], i: int) -> dict[int, set[str]]:
+    """What holds of each neighbour of an atom."""
+    out = {}
+    for j, order in atoms[i].bonds.items():
+        b, sign = atoms[j], "-=#"[order - 1]
+        facts = {"H": b.h > 0, "link": not b.h and len(b.bonds) > 1, "aromatic": b.aromatic, "oxo": bool(_oxo(atoms, j))}
+        out[j] = {sign, b.element, sign + b.element, *(k for k, holds in facts.items() if holds)}
+    return out
+
+
+def _fits(g: Group, a: Atom, near: dict[int, set[str]]) -> bool:
+    like = lambda what: sum(set(what.split()) <= x for x in near.values())
+    own = (not g.h or a.h in g.h) and (not g.bonds or len(a.bonds) in g.bonds) and g.ring in (None, a.ring) and g.aromatic in (None, a.aromatic)
+    return own and all(like(w) >= g.has.count(w) for w in g.has) and not any(map(like, g.lacks))
 
 
 def contributions(atoms: list[Atom]) -> Counter:
     """Counts of contribution groups; an atom belongs to one group at most."""
-    counts: Counter = Counter()
+    names: dict[int, str | None] = {}
     taken: set[int] = set()
     for i, a in enumerate(atoms):
-        if a.element == "C":
-            name, others = _carbon_group(atoms, i)
-            taken.update(others)
-            counts.update([name] if name else [])
-    for i, a in enumerate(atoms):
-        if a.element != "C" and i not in taken:
-            name = _other_group(atoms, i)
-            counts.update([name] if name else [])
-    return counts
+        near = _neighbours(atoms, i)
+        if g := next((g for g in GROUPS if g.element == a.element and _fits(g, a, near)), None):
+            names[i] = g.name
+            taken |= {j for j, x in near.items() if any(set(w.split()) <= x for w in g.takes)}
+    return Counter(name for i, name in names.items() if name and i not in taken)
 
 
 def boiling_point_k(atoms: list[Atom]) -> float:
