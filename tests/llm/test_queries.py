@@ -239,6 +239,38 @@ def test_words_of_odd_white_space(library):
         assert [x for w in bpe_words.split_words(text) for x in library.encode(w, add_special_tokens=False).ids] == ids == tokens.encode(text)
 
 
+def plain_packing(lengths, capacity):
+    """Longest first, into the sequence whose gap leaves the least sum of squared counts per gap; gaps and ties in ascending order."""
+    gaps, places = [], []
+    for x in sorted(lengths, reverse=True):
+        tried = []
+        for g in sorted({g for g in gaps if g >= x}):
+            after = Counter(gaps)
+            after[g] -= 1
+            after[g - x] += 1
+            tried.append((sum(n * n for gap, n in after.items() if gap), g))
+        if tried:
+            gaps[gaps.index(min(tried)[1])] -= x
+        else:
+            gaps.append(capacity - x)
+        places.append(sorted(gaps))
+    return sorted(gaps)
+
+
+def test_packing_as_plain_sum_of_squares():
+    rng = np.random.default_rng(4)
+    for n in (1, 5, 60, 200):
+        lengths = rng.integers(1, 41, n)
+        sequence, offset = squares_packing.sum_of_squares(lengths, 40)
+        used = np.bincount(sequence, weights=lengths).astype(int)
+        assert sorted(40 - used) == plain_packing(lengths.tolist(), 40)
+
+
+def test_sequence_numbers_of_many_partitions(docs):
+    got = squares_packing.squares_packing(docs.repartition(40), group=50).collect()
+    assert len({(r.sequence_id, r.offset) for r in got}) == len(got) and all(r.sequence_id < 0 for r in got if r.length == 2048)
+
+
 def test_packing(docs, texts, library):
     got = squares_packing.squares_packing(docs, group=100).collect()
     by, places = defaultdict(list), defaultdict(list)
@@ -296,6 +328,40 @@ def test_automaton_parses_as_plain_search():
         assert got[0, 0] == phrases
 
 
+def test_languages_as_plain_cross_parsing(spark, docs):
+    """Every document's language and score by a search for each phrase, with a fifth language that labels few documents."""
+    few = [(10_000 + k, f"zorp quux blarf {k} mip " * (k + 1), "xx") for k in range(9)] + [(20_000 + k, "東京都の図書館は静かです。" * k, "ja") for k in range(9)]
+    corpus = docs.select("doc_id", "text", "lang").limit(60).unionByName(spark.createDataFrame(few, "doc_id long, text string, lang string"))
+    corpus = common.materialize(corpus, "languages")
+    samples = cross_parsing.sample(corpus.withColumn("held_out", cross_parsing.held_out(F.col("doc_id"), 4, 2)))
+    assert {"xx", "ja"} < set(samples)
+
+    def phrases(text, of):
+        k = n = 0
+        while k < len(text):
+            size = 1
+            while k + size <= len(text) and text[k : k + size] in of:
+                size += 1
+            n, k = n + 1, k + max(1, size - 1)
+        return n
+
+    got = {r.doc_id: r for r in cross_parsing.cross_parsing(corpus).collect()}
+    for r in corpus.collect():
+        text = cross_parsing.read(r.text or "")
+        if not text.strip():
+            assert got[r.doc_id].lang_pred == "und"
+            continue
+        bits = sorted((phrases(text, of) * (np.log2(len(of) + 1) + 8), lang) for lang, of in samples.items())
+        assert got[r.doc_id].lang_pred == bits[0][1] and got[r.doc_id].score == pytest.approx(1 - bits[0][0] / bits[1][0])
+    assert got[20_005].lang_pred == "ja" and got[10_005].lang_pred == "xx"
+
+
+def test_more_languages_than_one_pass(spark, docs, monkeypatch):
+    want = sorted(cross_parsing.cross_parsing(docs).collect(), key=str)
+    monkeypatch.setattr(cross_parsing, "AT_ONCE", 1)
+    assert sorted(cross_parsing.cross_parsing(docs).collect(), key=str) == want
+
+
 # --- 8 ------------------------------------------------------------------------
 
 

@@ -9,7 +9,8 @@ Law: rows. A document's global position is the number of rows in lower bins (cel
 plus its row number in its own bin, so no task sorts more than a bin, and a hot source is dealt over 256 bins a cell.
 
 Cases: a null dimension quantises to 0; a null text has size 16 and the CRC of no bytes; a null doc_id takes part like
-any other value; repeated rows take neighbouring slots; an empty table gives an empty result.
+any other value; rows of one doc_id are ordered by their other columns, and repeated rows take neighbouring slots; an empty
+table gives an empty result.
 """
 
 from __future__ import annotations
@@ -85,8 +86,10 @@ def hilbert_shards(df: DataFrame, dims: Sequence[Column], shards: int, bits: int
     cells = cells.select("h", (F.sum("cell_rows").over(Window.orderBy("h").rowsBetween(Window.unboundedPreceding, 0)) - F.col("cell_rows")).alias("before_cell"))
     bins = counts.join(F.broadcast(cells), "h").select("h", "sub", (F.col("before_cell") + F.sum("count").over(Window.partitionBy("h").orderBy("sub").rowsBetween(Window.unboundedPreceding, 0)) - F.col("count")).alias("before"))
     total = counts.agg(F.sum("count")).first()[0] or 0
-    placed = binned.withColumn("rank", F.row_number().over(Window.partitionBy("h", "sub").orderBy(F.col("doc_id").asc_nulls_first())) - 1)
-    placed = placed.join(F.broadcast(bins), ["h", "sub"])  # at most 256 bins a cell
+    # Rows of one id are ordered too, so that a task that runs again numbers them alike.
+    rank = F.row_number().over(Window.partitionBy("h", "sub").orderBy(F.col("doc_id").asc_nulls_first(), F.xxhash64(*(F.col(f"`{c}`") for c in df.columns))))
+    # The window has dealt the rows by bin already, so this join shuffles the bins alone.
+    placed = binned.withColumn("rank", rank - 1).join(bins, ["h", "sub"])
     position = F.col("before") + F.col("rank")
     placed = placed.withColumn("position", position.cast("long")).withColumn("shard", F.expr(f"cast(position * {shards} div {max(total, 1)} as int)"))
     first = F.expr(f"(shard * {total}L + {shards - 1}) div {shards}")

@@ -1,8 +1,9 @@
 """Personal data in texts, in DataFrame functions alone.
 
 Regular expressions propose spans of each kind; validators confirm them (Luhn for cards, mod-97 for bank accounts, ranges
-and digit counts for addresses and phones); context words close to a span raise its score. A kind without a checksum
-counts only with such words nearby.
+and digit counts for addresses and phones); words close to a span raise or lower its score. Kinds beside the base ones need a
+score of LEAST_SCORE: one without a checksum counts only with its words nearby, one with a checksum doesn't beside words
+that speak against it.
 
 A text is split at a kind's matches once; a match starts where the pieces and matches before it end, so positions need no
 search. The patterns are possessive and start only at the first character of a run or at the last match's end: they give
@@ -27,20 +28,31 @@ CARD = r"[0-9](?:[\x20-]?[0-9])++"
 PHONE = r"\+[0-9][\x20().0-9-]+[0-9]"
 IBAN = r"[A-Z]{2}[0-9]{2}(?:[A-Z0-9]{11,30}|(?: [A-Z0-9]{4}){2,7}(?: [A-Z0-9]{1,3})?)"
 SSN = r"[0-9]{3}-[0-9]{2}-[0-9]{4}"
+SECRET = r"[0-9A-Fa-f]{32,}"
 
-#: Score of a confirmed span, what a context word adds, and the least score of a kind that isn't a base kind.
-SCORES = {"email": 0.9, "ip": 0.6, "card": 0.9, "phone": 0.6, "iban": 0.9, "ssn": 0.3}
+#: Score of a confirmed span, what a word for or against it adds, and the least score of a kind that isn't a base kind.
+SCORES = {"email": 0.7, "ip": 0.5, "card": 0.7, "phone": 0.5, "iban": 0.7, "ssn": 0.3, "secret": 0.3}
 CONTEXT_SCORE, LEAST_SCORE, CONTEXT_CHARS = 0.3, 0.5, 40
+#: Whole words, or beginnings of words where a * stands, that speak for a kind, and those that speak against any.
 CONTEXT = {
-    "email": "mail|contact|write|schreib|correo",
-    "ip": "ip|host|server|address|adresse",
-    "card": "card|visa|credit|karte|carte|tarjeta",
-    "phone": "phone|call|tel|mobile|fon|llam",
-    "iban": "iban|account|bank|konto|compte|cuenta",
-    "ssn": "ssn|social|security",
+    "email": "e-mail email mail* contact* write schreib* correo courriel",
+    "ip": "ip host* server* address* adresse* login*",
+    "card": "card* visa mastercard credit* karte* kreditkarte* carte* tarjeta*",
+    "phone": "phone* call* tel telephone telefon* mobile fon llam* appel*",
+    "iban": "iban account* bank* konto* compte* cuenta*",
+    "ssn": "ssn social security sozialversicherung*",
+    "secret": "token* secret* key keys apikey password* passwort* bearer credential* auth*",
 }
+AGAINST = "version* isbn part* order* serial* sku invoice* build* release* example*"
+
+
+def word_pattern(words: str) -> str:
+    """A pattern that finds any of the words, in lower case, as whole words."""
+    return r"(^|[^a-z0-9])(" + "|".join(w.replace("*", "[a-z]*") for w in words.split()) + ")([^a-z0-9]|$)"
+
+
 #: In the order in which spans of one start are listed.
-KINDS = ("email", "ip", "card", "phone", "iban", "ssn")
+KINDS = ("email", "ip", "card", "phone", "iban", "ssn", "secret")
 BASE = KINDS[:4]
 
 
@@ -90,6 +102,7 @@ RULES: dict[str, tuple[str, Callable[[Column], Column], Callable[[Column], Colum
     "phone": (PHONE, lambda t: t.contains("+"), _phone_ok, False),
     "iban": (IBAN, lambda t: t.rlike(r"[A-Z]{2}[0-9]{2}"), _iban_ok, True),
     "ssn": (SSN, lambda t: t.rlike(r"[0-9]-[0-9]{2}-[0-9]"), lambda h: F.lit(True), True),
+    "secret": (SECRET, lambda t: t.rlike(SECRET), lambda h: h.rlike("[0-9]") & h.rlike("[A-Fa-f]"), True),
 }
 SPAN = "array<struct<start:int,ord:int,end:int,kind:string,score:double>>"
 
@@ -108,8 +121,8 @@ def _spans(kind: str, pieces: Column, hits: Column) -> Column:
         ),
     )
     good = F.filter(found, lambda s: ok(s["hit"]) & (~s["before"].rlike("[A-Za-z0-9]$") & ~s["after"].rlike("^[A-Za-z0-9]") if alone else F.lit(True)))
-    near = lambda s: F.lower(F.concat_ws(" ", s["before"], s["after"])).rlike(CONTEXT[kind])
-    scored = F.transform(good, lambda s: F.struct(s["start"].alias("start"), F.lit(KINDS.index(kind)).alias("ord"), (s["start"] + F.length(s["hit"])).cast("int").alias("end"), F.lit(kind).alias("kind"), (F.lit(SCORES[kind]) + F.when(near(s), CONTEXT_SCORE).otherwise(0.0)).alias("score")))
+    has = lambda s, words: F.lower(F.concat_ws(" # ", s["before"], s["after"])).rlike(word_pattern(words)).cast("int") * CONTEXT_SCORE
+    scored = F.transform(good, lambda s: F.struct(s["start"].alias("start"), F.lit(KINDS.index(kind)).alias("ord"), (s["start"] + F.length(s["hit"])).cast("int").alias("end"), F.lit(kind).alias("kind"), F.round(F.lit(SCORES[kind]) + has(s, CONTEXT[kind]) - has(s, AGAINST), 2).alias("score")))
     return scored if kind in BASE else F.filter(scored, lambda s: s["score"] >= LEAST_SCORE)
 
 
@@ -153,7 +166,8 @@ def op4_pii_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
     listed = lambda spans: F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"], s["end"])), ",")
     base = F.filter("spans", lambda s: s["ord"] < len(BASE))
     counts = [F.size(F.filter("spans", _of(k))).cast("long").alias(f"n_{k}") for k in BASE]
-    return found.select("doc_id", *counts, F.sha2(listed(base), 256).alias("base_sha256"), listed(F.col("spans")).alias("spans"))
+    least = F.array_min(F.transform("spans", lambda s: s["score"]))
+    return found.select("doc_id", *counts, F.sha2(listed(base), 256).alias("base_sha256"), listed(F.col("spans")).alias("spans"), F.size("spans").cast("long").alias("n_spans"), least.alias("least_score"))
 
 
 def _oracle() -> str:
@@ -165,6 +179,7 @@ def _oracle() -> str:
         "phone": PHONE,
         "iban": IBAN,
         "ssn": SSN,
+        "secret": SECRET,
     }
     number = "regexp_replace(s.hit, '[^0-9]', '', 'g')"
     luhn_sql = f"list_sum(list_transform(range(1, length({number}) + 1), lambda i: CASE WHEN i % 2 = 1 THEN reverse({number})[i]::INT WHEN reverse({number})[i]::INT > 4 THEN reverse({number})[i]::INT * 2 - 9 ELSE reverse({number})[i]::INT * 2 END)) % 10 = 0"
@@ -177,13 +192,14 @@ def _oracle() -> str:
         "phone": f"length({number}) BETWEEN 9 AND 15",
         "iban": f"length({account}) BETWEEN 15 AND 34 AND list_reduce(list_prepend(0::BIGINT, list_transform(regexp_extract_all(array_to_string(list_transform(string_split({account}[5:] || {account}[:4], ''), lambda c: {value}), ''), '.'), lambda d: d::BIGINT)), lambda a, d: (a * 10 + d) % 97) = 1",
         "ssn": "true",
+        "secret": "regexp_matches(s.hit, '[0-9]') AND regexp_matches(s.hit, '[A-Fa-f]')",
     }
     parts = []
     for kind, pattern in plain.items():
         alone = "AND NOT regexp_matches(s.before, '[A-Za-z0-9]$') AND NOT regexp_matches(s.after, '^[A-Za-z0-9]')" if RULES[kind][3] else ""
         parts.append(f"""
   SELECT doc_id, s.start AS a, {KINDS.index(kind)} AS o, s.start + length(s.hit) AS b, '{kind}' AS kind,
-    {SCORES[kind]} + CASE WHEN regexp_matches(lower(s.before || ' ' || s.after), '{CONTEXT[kind]}') THEN {CONTEXT_SCORE} ELSE 0 END AS score
+    round({SCORES[kind]} + CASE WHEN regexp_matches(lower(s.before || ' # ' || s.after), '{word_pattern(CONTEXT[kind])}') THEN {CONTEXT_SCORE} ELSE 0 END - CASE WHEN regexp_matches(lower(s.before || ' # ' || s.after), '{word_pattern(AGAINST)}') THEN {CONTEXT_SCORE} ELSE 0 END, 2)::DOUBLE AS score
   FROM (SELECT doc_id, unnest(list_transform(range(1, len(h) + 1), lambda i: {{'hit': h[i], 'start': coalesce(list_sum(list_transform(p[:i], lambda x: length(x))), 0) + coalesce(list_sum(list_transform(h[:i - 1], lambda x: length(x))), 0), 'before': right(p[i], {CONTEXT_CHARS}), 'after': left(p[i + 1], {CONTEXT_CHARS})}})) AS s
     FROM (SELECT doc_id, regexp_extract_all(text, '{pattern}') AS h, string_split_regex(text, '{pattern}') AS p FROM t))
   WHERE {ok[kind]} {alone}""")
@@ -192,9 +208,9 @@ WITH t AS (SELECT doc_id, coalesce(text, '') AS text FROM documents),
 f AS ({" UNION ALL ".join(parts)}),
 g AS (SELECT * FROM f WHERE o < {len(BASE)} OR score >= {LEAST_SCORE}),
 l AS (SELECT doc_id, {", ".join(f"count(*) FILTER (kind = '{k}') AS n_{k}" for k in BASE)},
-    coalesce(string_agg(kind || ':' || a || ':' || b, ',' ORDER BY a, o) FILTER (o < {len(BASE)}), '') AS base, coalesce(string_agg(kind || ':' || a || ':' || b, ',' ORDER BY a, o), '') AS spans
+    coalesce(string_agg(kind || ':' || a || ':' || b, ',' ORDER BY a, o) FILTER (o < {len(BASE)}), '') AS base, coalesce(string_agg(kind || ':' || a || ':' || b, ',' ORDER BY a, o), '') AS spans, count(*) AS n_spans, min(score) AS least_score
   FROM g GROUP BY doc_id)
-SELECT t.doc_id, {", ".join(f"coalesce(n_{k}, 0) AS n_{k}" for k in BASE)}, sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans
+SELECT t.doc_id, {", ".join(f"coalesce(n_{k}, 0) AS n_{k}" for k in BASE)}, sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans, coalesce(n_spans, 0) AS n_spans, least_score
 FROM t LEFT JOIN l ON t.doc_id = l.doc_id
 """
 

@@ -3,9 +3,10 @@
 A document is its token ids and a final 0. Longer ones than a sequence are cut: full pieces at their end, the rest as the
 first piece. Full pieces are sequences by themselves. The other pieces are dealt by a hash into groups of about GROUP
 pieces, each group is packed by itself, longest pieces first: a piece goes into the open sequence whose gap makes the sum
-of the squared counts of open sequences per gap smallest, and opens a sequence only where none has room. Groups of equal
-make-up leave one or two part-filled sequences each, so that the parallel result stays within a few in ten thousand of the
-lower bound.
+of the squared counts of open sequences per gap smallest, and opens a sequence only where none has room. (Weighing a new
+sequence by the same rule, as for pieces that arrive in any order, took 2,140 sequences in place of 2,135, the lower bound,
+for 10,000 lengths like those of sf0.1.) Groups of equal make-up leave one or two part-filled sequences each, so that the
+parallel result stays within a few in ten thousand of the lower bound.
 
 Cases: a null or empty text is the single id 0; repeated rows and ties are packed like any others; a null doc_id is kept;
 an empty table gives an empty result.
@@ -31,7 +32,7 @@ _PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 
 def _cut(length: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in common.slices(batches, "text", common.SLICE):
             rows: list[tuple] = []
             for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 ids = np.array([*tokens.encode(text or ""), 0], dtype="<u4")
@@ -70,7 +71,7 @@ def _pack(length: int, groups: int):
     def run(key: tuple, table: pa.Table) -> pa.Table:
         table = table.sort_by([("doc_id", "ascending"), ("piece", "ascending")])
         sequence, offset = sum_of_squares(table.column("length").to_numpy(), length)
-        return table.drop_columns(["bin"]).append_column("sequence_id", pa.array(sequence * (groups + 1) + key[0].as_py())).append_column("offset", pa.array(offset))
+        return table.drop_columns(["bin"]).append_column("sequence_id", pa.array(sequence * groups + key[0].as_py())).append_column("offset", pa.array(offset))
 
     return run
 
@@ -81,8 +82,8 @@ def squares_packing(docs: DataFrame, length: int = LENGTH, group: int = GROUP) -
     loose = pieces.where(F.col("length") < length)
     groups = max(1, -(-loose.count() // group))
     packed = loose.withColumn("bin", common.salt(groups, "doc_id", "piece", "start", "ids_crc32").cast("long")).groupBy("bin").applyInArrow(_pack(length, groups), f"{_PIECES}, sequence_id long, offset long")
-    # Full pieces take the numbers that leave the remainder `groups`, the others leave their group.
-    full = pieces.where(F.col("length") >= length).withColumn("sequence_id", F.monotonically_increasing_id() * (groups + 1) + groups).withColumn("offset", F.lit(0).cast("long"))
+    # Full pieces take numbers below zero; the others' leave their group as the remainder.
+    full = pieces.where(F.col("length") >= length).withColumn("sequence_id", -1 - F.monotonically_increasing_id()).withColumn("offset", F.lit(0).cast("long"))
     return packed.unionByName(full)
 
 
