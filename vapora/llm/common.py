@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -92,6 +92,11 @@ def slices(batches: Iterator[pa.RecordBatch], column: str, size: int) -> Iterato
             at = to
 
 
+def bind(value: Column, f: Callable[[Column], Column]) -> Column:
+    """f(value) with value computed once, wherever f uses it."""
+    return F.element_at(F.transform(F.array(value), f), 1)
+
+
 def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 

@@ -15,7 +15,7 @@ table gives an empty result.
 
 from __future__ import annotations
 
-from collections.abc import Callable, Sequence
+from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -37,11 +37,6 @@ def quantise_name(c: Column, bits: int = BITS) -> Column:
     return F.coalesce(F.shiftright(F.conv(F.substring(F.md5(c), 1, 2), 16, 10).cast("int"), 8 - bits), F.lit(0)).cast("int")
 
 
-def _bind(value: Column, f: Callable[[Column], Column]) -> Column:
-    """f(value) with value computed once."""
-    return F.element_at(F.transform(F.array(value), f), 1)
-
-
 def hilbert_index(dims: Sequence[Column], bits: int = BITS) -> Column:
     """Index on the Hilbert curve of a point with coordinates below 2 ** bits, after Skilling's transform.
 
@@ -70,10 +65,10 @@ def hilbert_index(dims: Sequence[Column], bits: int = BITS) -> Column:
         flips = F.lit(0)
         for b in range(bits - 1, 0, -1):
             flips = flips.bitwiseXOR(F.when(acc[f"x{n - 1}"].bitwiseAND(F.lit(1 << b)) > 0, F.lit((1 << b) - 1)).otherwise(F.lit(0)))
-        return _bind(flips, lambda f: sum((F.when(acc[f"x{i}"].bitwiseXOR(f).bitwiseAND(F.lit(1 << b)) > 0, F.lit(1 << (b * n + n - 1 - i))).otherwise(F.lit(0)) for b in range(bits) for i in range(n)), F.lit(0)))
+        return common.bind(flips, lambda f: sum((F.when(acc[f"x{i}"].bitwiseXOR(f).bitwiseAND(F.lit(1 << b)) > 0, F.lit(1 << (b * n + n - 1 - i))).otherwise(F.lit(0)) for b in range(bits) for i in range(n)), F.lit(0)))
 
     turned = F.aggregate(F.array(*(F.lit(1 << b) for b in range(bits - 1, 0, -1))), point(dims), level)
-    return _bind(turned, lambda t: _bind(gray(t), index))
+    return common.bind(turned, lambda t: common.bind(gray(t), index))
 
 
 def hilbert_shards(df: DataFrame, dims: Sequence[Column], shards: int, bits: int = BITS) -> DataFrame:

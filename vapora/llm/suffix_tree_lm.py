@@ -32,11 +32,11 @@ from pyspark.sql import functions as F
 from vapora.llm import blocks, common
 from vapora.llm.cross_parsing import held_out
 
-LEAST, DEPTH, GAIN = 10, 4, 5.0
+LEAST, DEPTH, GAIN = 20, 4, 5.0
 #: The key of the end token: no word holds a space.
 END_KEY = b" "
 #: Bytes of text in a block.
-BLOCK_BYTES = 8 << 20  # fewer and larger blocks name fewer pairs twice
+BLOCK_BYTES = 8 << 20
 
 
 def mixed(x: np.ndarray) -> np.ndarray:
