@@ -489,6 +489,24 @@ def test_repeated_passages(spark, texts, hot):
     assert {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in got} == plain_removal(rows)
 
 
+def test_texts_in_parts(spark):
+    """Texts cut into parts give what whole ones do, with strings across the cuts and long texts that repeat others."""
+    rng = np.random.default_rng(9)
+    long = "".join(rng.choice(list("abcdé "), 2500))
+    rows = [(1, long[100:900]), (2, long), (3, "x" + long[300:1800] + "".join(rng.choice(list("xyz"), 400)) + long[50:120]), (4, "short"), (5, long[:299]), (6, ""), (7, "ab" * 600)]
+    got = suffix_dedup.suffix_dedup(table(spark, [(i, t, "en") for i, t in rows]), stable=False, hot=2, part=300).collect()
+    assert {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in got} == plain_removal(rows)
+
+
+def test_text_of_a_hundred_megabytes(spark):
+    """No limit on a text's length: the whole of a long text is repeated, but for its start."""
+    from pyspark.sql import functions as F
+
+    rows = spark.range(2).select(F.col("id").alias("doc_id"), F.concat(F.lit("start "), F.array_join(F.transform(F.sequence(F.lit(0), F.lit(5_300_000)), lambda k: F.hex(F.xxhash64(k))), " ")).substr(F.lit(1), F.when(F.col("id") == 0, 40_000_000).otherwise(90_000_000)).alias("text"))
+    got = {r.doc_id: r for r in suffix_dedup.suffix_dedup(rows, stable=False).collect()}
+    assert got[0].n_bytes == 40_000_000 and got[0].n_removed == 0 and got[1].n_bytes > 64 << 20 and got[1].n_removed == 40_000_000 and got[1].n_spans == 1
+
+
 def test_suffix_arrays():
     from vapora.llm.lyndon_suffixes import suffix_arrays
 

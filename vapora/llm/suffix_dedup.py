@@ -9,15 +9,18 @@ the bytes that they cover, SPAN + 26 at most.
 2. Of those, blocks send each distinct context once, with the smallest doc_id that has it, to the anchor's bucket. There
    the contexts of each anchor are joined to a text, and a suffix array built by linear grouping (lyndon_suffixes.py) brings
    equal strings together; each context learns which of its strings start in a document with a smaller doc_id.
-   Anchors of more than HOT documents send their strings' digests instead of contexts, each dealt by itself, so that no
-   bucket gathers a passage that a third of the documents hold.
+   Anchors of more than HOT documents send digests of their strings, of 128 bits by two unlike hashes, instead of contexts,
+   each dealt by itself, so that no bucket gathers a passage that a third of the documents hold.
 3. Blocks cover the bytes of their repeated strings.
 
+A text of more than PART bytes is cut into parts that overlap by SPAN - 1 bytes, so that every string lies in one part; what is
+covered in its parts is joined at the end.
+
 Blocks are read once for each step, from the same files in the same order; a checksum travels with every reply, and a
 difference stops the query. Documents that aren't such a scan must be written first (stable=False does it).
 
 Cases: a null text is empty; texts shorter than SPAN keep all bytes; repeated rows of one doc_id never remove each other's
-bytes; a null doc_id counts as larger than any other; an empty table gives an empty result.
+bytes; a null doc_id counts as larger than any other; an empty table gives an empty result; texts may have any length.
 """
 
 from __future__ import annotations
@@ -38,14 +41,16 @@ SPAN, KEY = 50, 24
 HOT = 200
 #: Bytes of text that one block holds; its hashes take some fifty times as much memory.
 BLOCK = 3 << 20
+#: Bytes of a text that one block takes at most.
+PART = 4 << 20
 #: Places whose anchors are found at once.
 PIECE = 1 << 15
 #: Symbols of the texts whose suffix arrays are built at once.
 BATCH = 1 << 19
 _NO_ID = np.iinfo(np.int64).max
 _A, _B, _C = (np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9))
-#: An anchor's place within its block, in the low bits of what is compared.
-_PLACE = 26
+#: An anchor's place within its piece, in the low bits of what is compared.
+_PLACE = 16
 
 
 def _mix(h: np.ndarray) -> np.ndarray:
@@ -84,15 +89,15 @@ def anchors(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """
     n = len(data) - SPAN + 1
     if n <= 0:
-        return key_hashes(data), np.zeros(0, np.int32)
+        return key_hashes(data), np.zeros(0, np.int64)
     width, low = SPAN - KEY + 1, np.uint64((1 << _PLACE) - 1)
-    key, anchor = np.empty(n + width - 1, np.uint64), np.empty(n, np.int32)
+    key, anchor = np.empty(n + width - 1, np.uint64), np.empty(n, np.int64)
     for lo in range(0, n, PIECE):
         hi = min(n, lo + PIECE)
         h = key_hashes(data[lo : hi + SPAN - 1])
         key[lo : lo + len(h)] = h
         h &= ~low
-        h |= np.arange(lo, lo + len(h), dtype=np.uint64)
+        h |= np.arange(len(h), dtype=np.uint64)
         span = 1
         while 2 * span <= width:
             h = np.minimum(h[:-span], h[span:])
@@ -101,6 +106,7 @@ def anchors(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
             h = np.minimum(h[: len(h) - (width - span)], h[width - span :])
         h &= low
         anchor[lo:hi] = h
+        anchor[lo:hi] += lo
     return key, anchor
 
 
@@ -111,8 +117,6 @@ class Runs:
         self.sizes = np.array([len(t) for t in texts], np.int64)
         self.starts = np.cumsum(self.sizes) - self.sizes
         self.data = np.frombuffer(b"".join(texts), np.uint8)
-        if len(self.data) >> _PLACE:
-            raise ValueError("a block's texts take more than 64 MB")
         self.key, anchor = anchors(self.data)
         fits = self.sizes >= SPAN
         begin, end = self.starts[fits], (self.starts + self.sizes)[fits] - SPAN + 1
@@ -161,16 +165,31 @@ class Runs:
         listed = list(numbers)
         return mine, rank[which], of[order], [listed[k] for k in order], least[order]
 
-    def strings(self, state: np.ndarray, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-        """Of the runs with hot anchors, string by string: place, document, number of the digest; and digests, smallest ids."""
+    def strings(self, state: np.ndarray, ids: np.ndarray) -> tuple[np.ndarray, ...]:
+        """Of the runs with hot anchors, string by string: place, document, number of the digest; and digests in halves, smallest ids."""
         hot = np.flatnonzero(state[self.named] == 2)
         at = blocks.ragged(self.first[hot], self.count[hot])
         doc = np.repeat(self.doc[hot], self.count[hot])
         digest = _mix(_mix(self.key[at] * _A + self.key[at + KEY] * _B) + self.key[at + SPAN - KEY] * _C)
-        names, which = np.unique(digest, return_inverse=True)
-        least = np.full(len(names), _NO_ID)
-        np.minimum.at(least, which, ids[doc])
-        return at, doc, which, names, least
+        words, other = eights(self.data), np.zeros(len(at), np.uint64)
+        for k in (*range(0, SPAN - 8, 8), SPAN - 8):
+            other = _mix((other ^ words[at + k]) * _C + _A)
+        order = np.lexsort((other, digest))
+        head, which = _distinct(digest[order], other[order])
+        rank = np.empty(len(order), np.int64)
+        rank[order] = which
+        least = np.full(len(head), _NO_ID)
+        np.minimum.at(least, rank, ids[doc])
+        return at, doc, rank, digest[order][head], other[order][head], least
+
+
+def _distinct(*keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Of sorted rows of keys the place of each distinct one, and the number of each row's."""
+    new = np.zeros(len(keys[0]), bool)
+    new[:1] = True
+    for k in keys:
+        new[1:] |= k[1:] != k[:-1]
+    return np.flatnonzero(new), np.cumsum(new) - 1
 
 
 def _ids(values: list) -> np.ndarray:
@@ -206,19 +225,38 @@ def _table(rows: list[tuple]) -> pa.Table:
     return pa.Table.from_batches([_batch(rows)])
 
 
-def _read(buckets: int, anchors: bool):
+def _parts(batches: Iterator[pa.RecordBatch], part: int) -> Iterator[list[tuple]]:
+    """A task's texts in blocks of about BLOCK bytes: doc_id, bytes, the whole text's name if it is cut, and the part's offset."""
+    held: list[tuple] = []
+    size = wholes = 0
+    for batch in common.slices(batches, "text", common.SLICE):
+        for doc_id, raw in zip(batch.column("doc_id").to_pylist(), batch.column("text").cast(pa.binary()).to_pylist(), strict=True):
+            raw = raw or b""
+            name = f"{blocks.block_number(wholes)}" if len(raw) > part else None
+            wholes += name is not None
+            for at in range(0, max(1, len(raw) - (SPAN - 1) * (name is not None)), part):
+                held.append((doc_id, raw[at : at + part + SPAN - 1] if name else raw, name, at))
+                size += len(held[-1][1])
+                if size > BLOCK:
+                    yield held
+                    held, size = [], 0
+    if held:
+        yield held
+
+
+def _read(buckets: int, anchors: bool, part: int):
     """A block's anchors by bucket, or its documents."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for number, (ids, texts) in enumerate(blocks.gathered(batches, BLOCK)):
+        for number, parts in enumerate(_parts(batches, part)):
             block = blocks.block_number(number)
-            raw = [t.encode() for t in texts]
+            ids, raw, names, offsets = map(list, zip(*parts, strict=True))
             if anchors:
                 runs = Runs(raw)
                 holders = runs.holders()
                 yield _batch([(block, b, "anchors", _gaps(runs.names[lo:hi]), blocks.pack(holders[lo:hi]), runs.check) for b, lo, hi in _slices(runs.names, buckets)])
             else:
-                sizes = blocks.stream(pa.table({"doc_id": pa.array(ids, pa.int64()), "size": pa.array([len(r) for r in raw], pa.int64())}))
+                sizes = blocks.stream(pa.table({"doc_id": pa.array(ids, pa.int64()), "size": pa.array([len(r) for r in raw], pa.int64()), "whole": pa.array(names, pa.string()), "offset": pa.array(offsets, pa.int64())}))
                 yield _batch([(block, -1, "texts", blocks.squeeze(b"".join(raw)), sizes, b"")])
 
     return run
@@ -249,6 +287,7 @@ class Block:
             raise RuntimeError("the documents came in another order when they were read again; write them first")
         docs = blocks.open_stream(sizes)
         self.doc_ids = docs.column("doc_id")
+        self.wholes, self.offsets = docs.column("whole").to_pylist(), docs.column("offset").to_pylist()
         self.ids = _ids(self.doc_ids.to_pylist())
         raw, ends = blocks.unsqueeze(texts), np.cumsum(docs.column("size").to_numpy())
         self.texts = [raw[a:b] for a, b in zip([0, *ends.tolist()], ends.tolist(), strict=False)]
@@ -271,8 +310,8 @@ def _ask(buckets: int):
         for b, lo, hi in _slices(of, buckets):
             sizes = blocks.pack(np.array([len(c) for c in contexts[lo:hi]]))
             rows.append((own.block, b, "contexts", blocks.stream(pa.table({"gaps": [_gaps(of[lo:hi])], "sizes": [sizes], "bytes": [b"".join(contexts[lo:hi])]})), blocks.squeeze(least[lo:hi].tobytes()), b""))
-        _, _, _, names, least = own.runs.strings(own.state, own.ids)
-        rows += [(own.block, b, "strings", _gaps(names[lo:hi]), blocks.squeeze(least[lo:hi].tobytes()), b"") for b, lo, hi in _slices(names, buckets)]
+        _, _, _, names, other, least = own.runs.strings(own.state, own.ids)
+        rows += [(own.block, b, "strings", _gaps(names[lo:hi]), blocks.squeeze(least[lo:hi].tobytes()), other[lo:hi].tobytes()) for b, lo, hi in _slices(names, buckets)]
         return _table(rows)
 
     return run
@@ -361,11 +400,14 @@ def _judge_contexts(blocks_of: list[int], data: list[bytes], more: list[bytes])
     return [blocks.pack(m) for m in np.split(masks, np.cumsum([len(s) for s in sizes])[:-1])]
 
 
-def _judge_strings(data: list[bytes], more: list[bytes]) -> list[bytes]:
+def _judge_strings(data: list[bytes], more: list[bytes], others: list[bytes]) -> list[bytes]:
     """For each block's hot strings, whether one with the same digest starts in a document with a smaller id."""
     names = [_ungap(d) for d in data]
     ids = np.concatenate([np.frombuffer(blocks.unsqueeze(m), np.int64) for m in more])
-    _, which = np.unique(np.concatenate(names), return_inverse=True)
+    first, other = np.concatenate(names), np.frombuffer(b"".join(others), np.uint64)
+    order = np.lexsort((other, first))
+    which = np.empty(len(order), np.int64)
+    which[order] = _distinct(first[order], other[order])[1]
     least = np.full(int(which.max(initial=-1)) + 1, _NO_ID)
     np.minimum.at(least, which, ids)
     return [blocks.pack(x) for x in np.split((least[which] < ids).astype(np.int64), np.cumsum([len(n) for n in names])[:-1])]
@@ -377,8 +419,8 @@ def _judge(key: tuple, table: pa.Table) -> pa.Table:
     for kind in ("contexts", "strings"):
         mine = table.take(np.flatnonzero(kinds == kind))
         if mine.num_rows:
-            block, data, more = (mine.column(c).to_pylist() for c in ("block", "data", "more"))
-            back = _judge_contexts(block, data, more) if kind == "contexts" else _judge_strings(data, more)
+            block, data, more, check = (mine.column(c).to_pylist() for c in ("block", "data", "more", "check"))
+            back = _judge_contexts(block, data, more) if kind == "contexts" else _judge_strings(data, more, check)
             rows += [(b, key[0].as_py(), kind, m, b"", b"") for b, m in zip(block, back, strict=True)]
     return _table(rows)
 
@@ -401,36 +443,62 @@ def _remove(key: tuple, table: pa.Table) -> pa.Table:
     later = own.ids[runs.doc[mine]] > least[which] if len(mine) else np.zeros(0, bool)
     gone = np.repeat(later, n) | (np.repeat(masks[which] if len(mine) else masks, n) >> k & 1).astype(bool)
     cover((np.repeat(runs.first[mine], n) + k)[gone])
-    at, doc, digest, names, low = runs.strings(own.state, own.ids)
+    at, doc, digest, _, _, low = runs.strings(own.state, own.ids)
     if len(at):
         flags = own.joined("strings", 3).astype(bool)
         cover(at[(own.ids[doc] > low[digest]) | flags[digest]])
     gone = np.cumsum(covered[:-1]) > 0
     out: list[tuple] = []
-    for text, start in zip(own.texts, runs.starts.tolist(), strict=True):
+    for text, start, whole, offset in zip(own.texts, runs.starts.tolist(), own.wholes, own.offsets, strict=True):
         cut = gone[start : start + len(text)]
-        if cut.any():
-            spans = int(cut[0]) + int(np.count_nonzero(cut[1:] & ~cut[:-1]))
-            out.append((len(text), int(cut.sum()), spans, hashlib.sha256(np.frombuffer(text, np.uint8)[~cut].tobytes()).hexdigest()))
-        else:
-            out.append((len(text), 0, 0, hashlib.sha256(text).hexdigest()))
+        out.append((*(_without(text, cut) if whole is None else (None,) * 4), whole, offset, text if whole else None, np.packbits(cut).tobytes() if whole else None))
     columns = list(zip(*out, strict=True))
-    kinds = (pa.int64(), pa.int64(), pa.int64(), pa.string())
-    return pa.table([own.doc_ids, *(pa.array(c, t) for c, t in zip(columns, kinds, strict=True))], names=["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"])
+    return pa.table([own.doc_ids, *(pa.array(c, t) for c, t in zip(columns, _REMOVED_KINDS, strict=True))], names=_REMOVED_NAMES)
+
+
+_RESULT = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string"
+_REMOVED = f"{_RESULT}, whole string, offset long, raw binary, mask binary"
+_REMOVED_NAMES = [c.split()[0] for c in _REMOVED.split(", ")]
+_REMOVED_KINDS = (pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.string(), pa.int64(), pa.binary(), pa.binary())
+
+
+def _without(text: bytes, cut: np.ndarray) -> tuple[int, int, int, str]:
+    """Size, removed bytes, removed runs, and the digest of what is left."""
+    if not cut.any():
+        return len(text), 0, 0, hashlib.sha256(text).hexdigest()
+    spans = int(cut[0]) + int(np.count_nonzero(cut[1:] & ~cut[:-1]))
+    return len(text), int(cut.sum()), spans, hashlib.sha256(np.frombuffer(text, np.uint8)[~cut].tobytes()).hexdigest()
+
+
+def _join_parts(key: tuple, table: pa.Table) -> pa.Table:
+    """The result of one text that was cut."""
+    table = table.sort_by("offset")
+    offsets, raw, masks = (table.column(c).to_pylist() for c in ("offset", "raw", "mask"))
+    gone = np.zeros(offsets[-1] + len(raw[-1]), bool)
+    for at, part, mask in zip(offsets, raw, masks, strict=True):
+        gone[at : at + len(part)] |= np.unpackbits(np.frombuffer(mask, np.uint8), count=len(part)).astype(bool)
+    text = b"".join([*(r[: b - a] for a, b, r in zip(offsets, offsets[1:], raw, strict=False)), raw[-1]])
+    return pa.table([table.column("doc_id")[:1], *(pa.array([x]) for x in _without(text, gone))], names=_REMOVED_NAMES[:5])
 
 
-def suffix_dedup(docs: DataFrame, stable: bool = True, hot: int = HOT) -> DataFrame:
+def suffix_dedup(docs: DataFrame, stable: bool = True, hot: int = HOT, part: int = PART) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept_sha256."""
     docs = common.id_and_text(docs)
     if not stable:
         docs = common.materialize(docs, "texts")
-    buckets = blocks.buckets_for(docs.count())
-    states = common.materialize(docs.mapInArrow(_read(buckets, True), _ROWS).groupBy("bucket").applyInArrow(_share(hot), _ROWS), "anchor-states")
-    texts = docs.mapInArrow(_read(buckets, False), _ROWS)
+    size = docs.agg(F.count("*").alias("n"), F.max(F.octet_length("text")).alias("longest")).first()
+    buckets = blocks.buckets_for(size["n"])
+    states = common.materialize(docs.mapInArrow(_read(buckets, True, part), _ROWS).groupBy("bucket").applyInArrow(_share(hot), _ROWS), "anchor-states")
+    texts = docs.mapInArrow(_read(buckets, False, part), _ROWS)
     asked = texts.unionByName(states).groupBy("block").applyInArrow(_ask(buckets), _ROWS)
     judged = common.materialize(asked.groupBy("bucket").applyInArrow(_judge, _ROWS), "repeated-strings")
     rows = texts.unionByName(states).unionByName(judged)
-    return rows.groupBy("block").applyInArrow(_remove, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
+    removed = rows.groupBy("block").applyInArrow(_remove, _REMOVED)
+    if (size["longest"] or 0) <= part:
+        return removed.select(_REMOVED_NAMES[:5])
+    removed = common.materialize(removed, "removed")
+    cut = removed.where("whole is not null").groupBy("whole").applyInArrow(_join_parts, _RESULT)
+    return removed.where("whole is null").select(_REMOVED_NAMES[:5]).unionByName(cut)
 
 
 def op10_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
