@@ -173,11 +173,39 @@ def test_components(spark, texts, seed, monkeypatch):
     assert {r.doc_id: (r.n_shingles, r.component_id) for r in got} == plain_components(corpus)
 
 
+def test_sets_that_share_a_name(spark, texts):
+    """With names of four bits nearly all classes clash, and are told apart."""
+    corpus = near_copies(40, seed=4) | {k + 5000: v for k, v in list(texts.items())[:60]}
+    got = heavy_light_join.ngram_components(table(spark, [(i, t, "en") for i, t in corpus.items()]), name_bits=4).collect()
+    assert {r.doc_id: (r.n_shingles, r.component_id) for r in got} == plain_components(corpus)
+
+
+def test_boundary_follows_the_lists(docs):
+    """The sketch of a real table: shingles that sets list are as frequent as its occurrences say, not as its empty counters."""
+    empty, rare = np.zeros(1 << 16), np.zeros(1 << 16)
+    rare[:400] = 8 * np.log2(2)
+    common_ones = rare.copy()
+    common_ones[400:410] = 8 * np.log2(1e4)
+    assert heavy_light_join.usual_length(empty) == 1 and heavy_light_join.usual_length(rare) == 1 and heavy_light_join.usual_length(common_ones) > 1e3
+    sizes = np.zeros(heavy_light_join.LIGHT_MOST + 1, np.int64)
+    sizes[2:9] = 1000
+    assert heavy_light_join.choose_boundary(sizes, heavy_light_join.usual_length(common_ones)) > heavy_light_join.choose_boundary(sizes, 1.0)
+
+
+def test_many_documents_with_one_boilerplate(spark):
+    """Documents of their own words round one passage: hardly any pair of them is tested."""
+    passage = " ".join(f"b{k}" for k in range(40))
+    rows = spark.range(20_000).select(F.col("id").alias("doc_id"), F.concat_ws(" ", F.transform(F.sequence(F.lit(0), F.lit(15)), lambda k: F.hex(F.xxhash64("id", k))), F.lit(passage)).alias("text"))
+    rows = rows.withColumn("text", F.concat_ws(" ", F.array_join(F.transform(F.sequence(F.lit(0), F.lit(15)), lambda k: F.hex(F.xxhash64("doc_id", k))), " "), F.lit(passage)))
+    got = heavy_light_join.ngram_components(rows)
+    assert got.where("component_id = doc_id").count() == 20_000
+
+
 def test_light_sets_and_boundary():
     assert heavy_light_join.need(7, 7) == 6 and list(heavy_light_join.partners(4)) == [3, 4, 5]
-    sizes = np.zeros(13, np.int64)
+    sizes = np.zeros(heavy_light_join.LIGHT_MOST + 1, np.int64)
     sizes[2:6] = 1000
-    assert heavy_light_join.choose_boundary(sizes, 50.0) >= 5 and heavy_light_join.choose_boundary(np.zeros(13, np.int64), 1.0) == 0
+    assert heavy_light_join.choose_boundary(sizes, 50.0) >= 5 and heavy_light_join.choose_boundary(np.zeros(heavy_light_join.LIGHT_MOST + 1, np.int64), 1.0) == 0
 
 
 # --- 4 ------------------------------------------------------------------------

@@ -2,18 +2,20 @@
 
 Documents with equal sets form a class, and the join is between classes. Two sets of sizes a and b have similarity 0.75 or
 more when they share at least need(a, b) shingles. A light set (up to `boundary` shingles) lists each of its subsets of the
-sizes that its possible partners need: two light sets with a common subset of that size are linked, without further test. A
-heavy set and any set that may be linked with one stand in the inverted lists of their first shingles, as many as it
-takes for linked sets to share one. Shingles are ordered by a sketch of their frequency, so that shared passages come last.
-The boundary is the size at which the subsets' cost, over the counted sizes of all classes, exceeds that of the lists.
+sizes that its possible partners need: two light sets with a common subset of that size are linked. A heavy set and any set
+that may be linked with one stand in the inverted lists of their first shingles, as many as it takes for linked sets to share
+one. Shingles are ordered by a sketch of their frequency, so that shared passages come last. The boundary is the size at which
+the subsets' cost, over the counted sizes of all classes, exceeds that of the lists, each entry of which is scanned as often as
+a shingle of that frequency occurs.
 
-What meets in a list is a candidate, tested on the whole sets. A list of up to SHORT classes gives all of its pairs; a longer
+What meets by a subset or in a list is a candidate, tested on the whole sets. A list of up to SHORT classes gives all of its pairs; a longer
 one first links its classes with PIVOTS of them, then with HUBS of its largest component. Only then are its pairs tested that lie in different components,
 so a large group of near copies never gives all of its pairs, and no link between components is lost.
 
 Cases: a null, empty or blank text has the empty set and is linked with nothing; a text of fewer than N words has one shingle;
 repeated rows and ties share a class; a null doc_id is linked like others but never the smallest; an empty table gives an
-empty result. Shingles and sets are told apart by 64-bit hashes.
+empty result. Within a pair shingles are told apart by 64-bit hashes. Sets of one class have equal hashes of 127 bits: where
+the 63 bits that name a class don't suffice, which is looked for, the lists are made again with other names for its sets.
 """
 
 from __future__ import annotations
@@ -38,8 +40,10 @@ SKETCH_BITS, SHORT, PIVOTS, TESTED = 22, 12, 1, 256
 HUBS, TURNS = 8, 3
 #: What finds a document again; null ids share one.
 MARK = "xxhash64(doc_id)"
-#: Largest size that may be light.
-LIGHT_MOST = 12
+#: Largest size whose costs are weighed; subsets of larger sets are far too many.
+LIGHT_MOST = 20
+#: Members in a row of a long list.
+LISTED = 50_000
 _ODD = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -87,6 +91,20 @@ def set_digest(s: np.ndarray) -> int:
     return xxhash.xxh3_64_intdigest(s.tobytes()) >> 1  # fits a signed number
 
 
+class Names:
+    """Names of classes: the first bits of the sets' digests, but another digest for sets of names that several sets bear."""
+
+    def __init__(self, bits: int, shared: frozenset[int] = frozenset()):
+        self.bits, self.shared = bits, shared
+
+    def of(self, s: np.ndarray) -> tuple[int, int]:
+        """A set's name, and a check of 64 bits that sets of one name share."""
+        name, check = set_digest(s) >> (63 - self.bits), xxhash.xxh64_intdigest(s.tobytes())
+        if name in self.shared:
+            name = xxhash.xxh3_64_intdigest(check.to_bytes(8, "little"), seed=name) >> 1
+        return name, check - (1 << 63)
+
+
 def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int | None, np.ndarray, int, bytes]]:
     cache: dict[bytes, int] = {}
     for batch in common.slices(batches, "text", common.SLICE):
@@ -133,6 +151,13 @@ def _sum_sketch(key: tuple, table: pa.Table) -> pa.Table:
     return pa.table({"chunk": pa.array([key[0].as_py()], pa.int32()), "counters": [blocks.pack(np.asarray(total, np.int64))]})
 
 
+def usual_length(sketch: np.ndarray) -> float:
+    """Occurrences of the shingles that sets list: the rarer quarter of all occurrences, at its middle."""
+    counts = np.sort(np.exp2(sketch / 8) - 1)
+    mass = np.cumsum(counts)
+    return float(counts[np.searchsorted(mass, mass[-1] / 8)]) if len(mass) and mass[-1] else 1.0
+
+
 def choose_boundary(sizes: np.ndarray, scan: float) -> int:
     """The boundary of the least cost: subsets that light sets list, against lists' entries each scanned `scan` times."""
     costs = [0.0]
@@ -172,12 +197,12 @@ def _entries(s: np.ndarray, order: np.ndarray, boundary: int) -> tuple[np.ndarra
 _POSTED = "bucket int, keys binary, kinds binary, rests binary, class binary, size binary, ids binary"
 
 
-def _post(shared, boundary: int, buckets: int):
+def _post(shared, boundary: int, buckets: int, names: Names):
     """List entries by bucket, each class once a block; at bucket -1 the block's documents."""
 
     def flush(docs: list, sets: list) -> Iterator[pa.RecordBatch]:
         order = shared.value
-        ident = pa.table({"doc_id": pa.array([d[0] for d in docs], pa.int64()), "n_shingles": pa.array([d[1] for d in docs], pa.int64()), "class": pa.array([d[2] for d in docs], pa.int64())})
+        ident = pa.table({"doc_id": pa.array([d[0] for d in docs], pa.int64()), "n_shingles": pa.array([d[1] for d in docs], pa.int64()), "class": pa.array([d[2] for d in docs], pa.int64()), "check": pa.array([d[3] for d in docs], pa.int64())})
         rows = [(-1, b"", b"", b"", b"", b"", blocks.stream(ident))]
         if sets:
             parts = [_entries(s, order, boundary) for s, _ in sets]
@@ -196,8 +221,9 @@ def _post(shared, boundary: int, buckets: int):
         sets: list = []
         seen: set[int] = set()
         n = 0
-        for doc_id, s, d, _ in _sets(batches):
-            docs.append((doc_id, len(s), d if len(s) else None))
+        for doc_id, s, _, _ in _sets(batches):
+            d, check = names.of(s) if len(s) else (None, None)
+            docs.append((doc_id, len(s), d, check))
             if len(s) and d not in seen:
                 seen.add(d)
                 sets.append((s, d))
@@ -211,7 +237,7 @@ def _post(shared, boundary: int, buckets: int):
     return run
 
 
-_FOUND = "kind string, a long, b long, list binary"
+_FOUND = "kind string, a long, b long, part int, list binary"
 
 
 def may_link(size_a: np.ndarray, rest_a: np.ndarray, size_b: np.ndarray, rest_b: np.ndarray) -> np.ndarray:
@@ -223,7 +249,7 @@ def may_link(size_a: np.ndarray, rest_a: np.ndarray, size_b: np.ndarray, rest_b:
 
 
 def _meet(key: tuple, table: pa.Table) -> pa.Table:
-    """Of one bucket's lists: links of light sets, candidate pairs, and the long lists that are still to be finished."""
+    """Of one bucket's subsets and lists: candidate pairs, and the long lists that are still to be finished."""
     cols = {c: table.column(c).to_pylist() for c in ("keys", "kinds", "rests", "class", "size")}
     keys = np.concatenate([np.cumsum(np.frombuffer(k, np.uint64)) for k in cols["keys"]])
     kinds, rests, size = (np.concatenate([blocks.unpack(k) for k in cols[c]]).astype(np.int64) for c in ("kinds", "rests", "size"))
@@ -234,47 +260,51 @@ def _meet(key: tuple, table: pa.Table) -> pa.Table:
     keys, kinds, rests, owner, size = keys[~again], kinds[~again], rests[~again], owner[~again], size[~again]
     edges = np.flatnonzero(np.r_[True, (keys[1:] != keys[:-1]) | (kinds[1:] != kinds[:-1]), True])
     many = np.flatnonzero(np.diff(edges) > 1)
-    pairs: dict[str, list[np.ndarray]] = {"link": [], "test": []}
-    long: dict[bytes, None] = {}
+    pairs: list[np.ndarray] = []
+    long: dict[int, np.ndarray] = {}
     for k in many:
         lo, hi = edges[k], edges[k + 1]
         who, sizes, rest, c = owner[lo:hi], size[lo:hi], rests[lo:hi], kinds[lo]
         if c:  # all that fit the smallest are linked with it, and so with one another
             fits = (SIMILAR + OF) * c >= SIMILAR * (sizes + sizes[0])
             fits[0] = False
-            pairs["link"].append(np.stack([np.full(fits.sum(), who[0]), who[fits]], 1))
+            pairs.append(np.stack([np.full(fits.sum(), who[0]), who[fits]], 1))
         elif hi - lo <= SHORT:
             i, j = np.triu_indices(hi - lo, 1)
             near = may_link(sizes[i], rest[i], sizes[j], rest[j])
-            pairs["test"].append(np.stack([who[i[near]], who[j[near]]], 1))
+            pairs.append(np.stack([who[i[near]], who[j[near]]], 1))
         else:
             for p in range(PIVOTS):
                 hub = int(np.argmin(_mix(who.astype(np.uint64) * _ODD + np.uint64(p))))
                 near = may_link(sizes, rest, sizes[hub], rest[hub]) & (who != who[hub])
-                pairs["test"].append(np.stack([np.full(near.sum(), who[hub]), who[near]], 1))
+                pairs.append(np.stack([np.full(near.sum(), who[hub]), who[near]], 1))
             # Those that may be linked with anyone of the list.
             open_ = np.flatnonzero((SIMILAR + OF) * rest >= SIMILAR * (sizes + np.maximum(sizes[0], -(-SIMILAR * sizes // OF))))
             if len(open_) > 1:
-                long[np.stack([who[open_], sizes[open_], rest[open_]], 1).astype(np.int64).tobytes()] = None
-    out = []
-    for kind, parts in pairs.items():
-        if parts:
-            p = np.unique(np.sort(np.concatenate(parts), axis=1), axis=0) if kind == "link" else np.unique(np.concatenate(parts), axis=0)
-            out.append(pa.table({"kind": pa.array([kind] * len(p), pa.string()), "a": p[:, 0], "b": p[:, 1], "list": pa.array([None] * len(p), pa.binary())}))
-    out.append(pa.table({"kind": pa.array(["long"] * len(long), pa.string()), "a": pa.array([0] * len(long), pa.int64()), "b": pa.array([0] * len(long), pa.int64()), "list": pa.array(list(long), pa.binary())}))
-    return pa.concat_tables(out)
+                members = np.stack([who[open_], sizes[open_], rest[open_]], 1).astype(np.int64)
+                long[set_digest(members)] = members
+    p = np.unique(np.concatenate([*pairs, np.zeros((0, 2), np.int64)]), axis=0)
+    rows = [(number, k, m[lo : lo + LISTED].tobytes()) for number, m in long.items() for k, lo in enumerate(range(0, len(m), LISTED))]
+    tested = pa.table({"kind": pa.array(["test"] * len(p), pa.string()), "a": p[:, 0], "b": p[:, 1], "part": pa.nulls(len(p), pa.int32()), "list": pa.nulls(len(p), pa.binary())})
+    number, part, raw = (list(c) for c in zip(*rows, strict=True)) if rows else ([], [], [])
+    return pa.concat_tables([tested, pa.table({"kind": pa.array(["long"] * len(rows), pa.string()), "a": pa.array(number, pa.int64()), "b": pa.nulls(len(rows), pa.int64()), "part": pa.array(part, pa.int32()), "list": pa.array(raw, pa.binary())})])
 
 
-def _texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _texts(names: Names):
     """Classes and texts of documents, each class once a task."""
-    seen: set[int] = set()
-    for batch in common.slices(batches, "text", common.SLICE):
-        rows = {}
-        for _, s, d, raw in _sets(iter([batch])):
-            if len(s) and d not in seen:
-                seen.add(d)
-                rows[d] = blocks.squeeze(raw)
-        yield pa.RecordBatch.from_arrays([pa.array(list(rows), pa.int64()), pa.array(list(rows.values()), pa.binary())], names=["class", "text"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: set[int] = set()
+        for batch in common.slices(batches, "text", common.SLICE):
+            rows = {}
+            for _, s, _, raw in _sets(iter([batch])):
+                d = names.of(s)[0] if len(s) else None
+                if len(s) and d not in seen:
+                    seen.add(d)
+                    rows[d] = blocks.squeeze(raw)
+            yield pa.RecordBatch.from_arrays([pa.array(list(rows), pa.int64()), pa.array(list(rows.values()), pa.binary())], names=["class", "text"])
+
+    return run
 
 
 def _test(key: tuple, table: pa.Table) -> pa.Table:
@@ -294,13 +324,13 @@ def _test(key: tuple, table: pa.Table) -> pa.Table:
     return pa.table({"a": pa.array([hub] * len(links), pa.int64()), "b": pa.array(links, pa.int64())})
 
 
-def tested(docs: DataFrame, holders: DataFrame, pairs: DataFrame) -> DataFrame:
+def tested(docs: DataFrame, holders: DataFrame, pairs: DataFrame, names: Names) -> DataFrame:
     """Those of the pairs (a hub, b member) of classes whose sets are linked. holders: class, mark of one of its documents."""
     pairs = common.materialize(pairs.select("a", "b").distinct(), "pairs")
     asked = pairs.select(F.col("a").alias("class")).unionByName(pairs.select(F.col("b").alias("class"))).distinct()
     wanted = common.Filter(common.materialize(asked.join(holders, "class").select("mark"), "marks"), "mark")
     chosen = wanted.mark(docs.select("doc_id", "text"), F.expr(MARK), "chosen").where("chosen").select("doc_id", "text")
-    texts = chosen.mapInArrow(_texts, "class long, text binary").join(asked, "class", "left_semi")
+    texts = chosen.mapInArrow(_texts(names), "class long, text binary").join(asked, "class", "left_semi")
     texts = texts.groupBy("class").agg(F.min("text").alias("text"))
     salts = pairs.groupBy("a").agg((1 + F.count("*") / TESTED).cast("int").alias("salts"))
     dealt = common.materialize(pairs.join(salts, "a").select("a", "b", F.pmod(F.xxhash64("b"), "salts").cast("int").alias("salt")), "dealt-pairs")
@@ -320,7 +350,7 @@ class Unfinished:
     """Members of the long lists, and what is left to test once the components of the links so far are known."""
 
     def __init__(self, long: DataFrame):
-        lists = common.materialize(long.select("list").distinct().withColumn("number", F.xxhash64("list")), "lists")
+        lists = long.select(F.col("a").alias("number"), "part", "list").dropDuplicates(["number", "part"])
         self.all = common.materialize(lists.mapInArrow(_members, "number long, class long, size long, rest long"), "members")
 
     def open_members(self, labels: DataFrame) -> DataFrame:
@@ -354,19 +384,26 @@ def _documents(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield from blocks.open_stream(raw).to_batches()
 
 
-def ngram_components(docs: DataFrame) -> DataFrame:
-    """doc_id, n_shingles, component_id."""
+def ngram_components(docs: DataFrame, name_bits: int = 63) -> DataFrame:
+    """doc_id, n_shingles, component_id. name_bits: bits of the names of classes, before those that clash are told apart."""
     spark = docs.sparkSession
     docs = common.id_and_text(docs)
     sketch = docs.mapInArrow(_sketch, "chunk int, counters binary").groupBy("chunk").applyInArrow(_sum_sketch, "chunk int, counters binary").collect()  # 4 M counters, whatever the input
     by = {r["chunk"]: blocks.unpack(bytes(r["counters"])) for r in sketch}
     order = np.concatenate([by[k] for k in range(64)]).astype(np.uint8) if by else np.zeros(1 << SKETCH_BITS, np.uint8)
-    boundary = choose_boundary(by.get(-1, np.zeros(LIGHT_MOST + 1, np.int64)), float(np.exp2(np.median(order) / 8)))
-    posted = common.materialize(docs.mapInArrow(_post(spark.sparkContext.broadcast(order), boundary, blocks.buckets_for(docs.count())), _POSTED), "lists")
+    boundary = choose_boundary(by.get(-1, np.zeros(LIGHT_MOST + 1, np.int64)), usual_length(order))
+    shared, names, buckets = spark.sparkContext.broadcast(order), Names(name_bits), blocks.buckets_for(docs.count())
+    while True:
+        posted = common.materialize(docs.mapInArrow(_post(shared, boundary, buckets, names), _POSTED), "lists")
+        rows = posted.where("bucket = -1").select("ids").mapInArrow(_documents, "doc_id long, n_shingles long, class long, check long")
+        # Of n sets n * n / 2 ** 64 share a name with another: none, or some hundreds of a hundred billion.
+        clashing = rows.where("class is not null").groupBy("class").agg(F.min("check").alias("lo"), F.max("check").alias("hi")).where("lo <> hi").select("class").collect()
+        if not clashing:
+            break
+        names = Names(name_bits, names.shared | {r["class"] for r in clashing})
     found = common.materialize(posted.where("bucket >= 0").drop("ids").groupBy("bucket").applyInArrow(_meet, _FOUND), "found")
-    rows = posted.where("bucket = -1").select("ids").mapInArrow(_documents, "doc_id long, n_shingles long, class long")
     holders = rows.where("class is not null").groupBy("class").agg(F.min(F.expr(MARK)).alias("mark"))
-    links = found.where("kind = 'link'").select("a", "b").unionByName(tested(docs, holders, found.where("kind = 'test'")))
+    links = tested(docs, holders, found.where("kind = 'test'"), names)
     long = found.where("kind = 'long'")
     labels = graph.components(links)
     if not long.isEmpty():
@@ -376,10 +413,10 @@ def ngram_components(docs: DataFrame) -> DataFrame:
             size = members.groupBy("number").agg(F.first("n_all").alias("n_all"), F.first("n_main").alias("n_main")).agg(F.sum("n_all"), F.sum((F.col("n_all") - F.col("n_main")) * F.col("n_all"))).first()
             if (size[1] or 0) <= 4 * HUBS * (size[0] or 0):  # hardly more pairs than members
                 break
-            links = links.unionByName(tested(docs, holders, left.with_hubs(members, turn)))
+            links = links.unionByName(tested(docs, holders, left.with_hubs(members, turn), names))
             labels = graph.components(links)
             members = left.open_members(labels)
-        more = tested(docs, holders, left.rest(members))
+        more = tested(docs, holders, left.rest(members), names)
         if not more.isEmpty():
             labels = graph.components(links.unionByName(more))
     classes = rows.where("class is not null").groupBy("class").agg(F.min("doc_id").alias("least"))
