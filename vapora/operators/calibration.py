@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from vapora.functions import arrays as A
@@ -58,15 +58,17 @@ def fit_power_law(points: DataFrame, *keys: str) -> DataFrame:
 
 def loocv_power_law(points: DataFrame, *keys: str) -> DataFrame:
     """Each point predicted from the fit of its key's others, from sums less its own terms; keys with under 3 points are left out."""
-    w = Window.partitionBy(*keys)
-    v = valid(points).withColumns({"n": F.count("*").over(w) - 1, "mx": F.avg("x").over(w), "my": F.avg("y").over(w)}).where("n >= 2")
+    v = valid(points)
+    # Sums of whole keys are aggregated and joined back, so that no task holds all points of a key.
+    sums = v.groupBy(*keys).agg((F.count("*") - 1).alias("n"), F.avg("x").alias("mx"), F.avg("y").alias("my"), (F.var_pop("x") * F.count("*")).alias("xx"), (F.covar_pop("x", "y") * F.count("*")).alias("xy")).where("n >= 2")
+    v = v.join(sums, list(keys)) if keys else v.join(F.broadcast(sums))
     v = v.withColumns({"dx": F.col("x") - F.col("mx"), "dy": F.col("y") - F.col("my")})
-    v = v.withColumns({"sx": -F.col("dx"), "sy": -F.col("dy"), "sxx": F.sum(F.col("dx") * F.col("dx")).over(w) - F.col("dx") * F.col("dx"), "sxy": F.sum(F.col("dx") * F.col("dy")).over(w) - F.col("dx") * F.col("dy")})
+    v = v.withColumns({"sx": -F.col("dx"), "sy": -F.col("dy"), "sxx": F.col("xx") - F.col("dx") * F.col("dx"), "sxy": F.col("xy") - F.col("dx") * F.col("dy")})
     den = F.col("sxx") - F.col("sx") * F.col("sx") / F.col("n")
     v = v.withColumn("b", (F.col("sxy") - F.col("sx") * F.col("sy") / F.col("n")) / F.when(den != 0, den))
     v = v.withColumn("a", F.exp(F.col("my") + F.col("sy") / F.col("n") - F.col("b") * (F.col("mx") + F.col("sx") / F.col("n"))))
     v = v.withColumn("pred_ppm", concentration(F.col("rr"), F.col("a"), F.col("b")))
-    return v.withColumn("rel_error", (F.col("pred_ppm") - F.col("c")) / F.col("c")).drop("n", "mx", "my", "dx", "dy", "sx", "sy", "sxx", "sxy", "x", "y")
+    return v.withColumn("rel_error", (F.col("pred_ppm") - F.col("c")) / F.col("c")).drop("n", "mx", "my", "dx", "dy", "sx", "sy", "sxx", "sxy", "xx", "xy", "x", "y")
 
 
 def loocv_summary(points: DataFrame, *keys: str) -> DataFrame:
@@ -82,6 +84,13 @@ def payload(fits: DataFrame, label: str = "reference", date: str | None = None)
     return fits.where("a IS NOT NULL AND b IS NOT NULL").withColumn("calibration", entry)
 
 
+def calibrate_precise(points: DataFrame, *keys: str, gas: str = "reference", date: str | None = None) -> DataFrame:
+    """Fit, leave-one-out test and calibration entry of every key in one row; keys that don't determine a fit are left out."""
+    made = payload(fit_power_law(points, *keys), gas, date)
+    tests = loocv_summary(points, *keys)
+    return made.join(tests, list(keys), "left") if keys else made.join(F.broadcast(tests))
+
+
 def concentration_series(channels: DataFrame, calibration: DataFrame) -> DataFrame:
     """channels (recording_id, channel, x) with conc, the concentration of every value; all NaN for a channel without calibration (channel, a, b)."""
     joined = channels.join(calibration.select("channel", "a", "b"), "channel", "left")
@@ -141,7 +150,12 @@ def _q_series(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.selectExpr("recording_id", "channel", "idx", f"CASE WHEN NOT isnan(c) THEN {A.snap('c', 5)} END AS conc")
 
 
-QUERIES = {"concentration_series": _q_series, "power_law_fit": _q_fit, "power_law_loocv": _q_loocv, "invert_concentration": _q_invert, "two_point": _q_two_point, "sensor_name_normalise": _q_normalise, "quick_calibration": _q_quick}
+def _q_precise(spark: SparkSession, sf_dir: str) -> DataFrame:
+    p = calibrate_precise(lab(spark, sf_dir), "batch", "rig", gas="CO", date="2024-01-01")
+    return p.selectExpr("batch", "rig", f"{A.snap('calibration.a', 6)} AS a", f"{A.snap('calibration.b', 6)} AS b", f"{A.snap('calibration.referencePpm', 6)} AS reference_ppm", "calibration.referenceSubstance AS gas", "calibration.date AS date", "n_folds", f"{A.snap('bias_pct', 6)} AS bias_pct")
+
+
+QUERIES = {"calibrate_precise": _q_precise, "concentration_series": _q_series, "power_law_fit": _q_fit, "power_law_loocv": _q_loocv, "invert_concentration": _q_invert, "two_point": _q_two_point, "sensor_name_normalise": _q_normalise, "quick_calibration": _q_quick}
 
 _s = A.snap
 _LAB = "lab AS (SELECT o_orderkey, o_orderpriority AS batch, (o_custkey % 8)::INT AS rig, o_totalprice / 1000::DOUBLE AS c, 2::DOUBLE * pow(o_totalprice / 1000::DOUBLE, -0.6::DOUBLE) * (1::DOUBLE + (o_orderkey % 11 - 5) / 100::DOUBLE) AS rr FROM orders)"
@@ -158,6 +172,9 @@ SELECT batch, rig, n AS n_points, {_s('exp(i)', 6)} AS a, {_s('b', 6)} AS b, {_s
     "power_law_loocv": f"""WITH {_LAB}, l AS (SELECT batch, rig, o_orderkey, c, rr, ln(c) AS x, ln(rr) AS y FROM lab), f AS (SELECT a.batch, a.rig, a.o_orderkey, any_value(a.c) AS c, any_value(a.rr) AS rr, regr_slope(o.y, o.x) AS b, regr_intercept(o.y, o.x) AS i FROM l a JOIN l o ON a.batch = o.batch AND a.rig = o.rig AND a.o_orderkey <> o.o_orderkey GROUP BY 1, 2, 3),
 e AS (SELECT batch, rig, (pow(rr / exp(i), 1 / b) - c) / c AS e FROM f)
 SELECT batch, rig, count(*) AS n_folds, {_s('avg(abs(e)) * 100', 6)} AS mean_abs_pct_error, {_s('median(abs(e) * 100)', 6)} AS median_abs_pct_error, {_s('max(abs(e)) * 100', 6)} AS max_abs_pct_error, {_s('avg(e) * 100', 6)} AS bias_pct FROM e GROUP BY 1, 2""",
+    "calibrate_precise": f"""WITH {_LAB}, l AS (SELECT batch, rig, o_orderkey, c, rr, ln(c) AS x, ln(rr) AS y FROM lab), f AS (SELECT a.batch, a.rig, a.o_orderkey, any_value(a.c) AS c, any_value(a.rr) AS rr, regr_slope(o.y, o.x) AS b, regr_intercept(o.y, o.x) AS i FROM l a JOIN l o ON a.batch = o.batch AND a.rig = o.rig AND a.o_orderkey <> o.o_orderkey GROUP BY 1, 2, 3),
+e AS (SELECT batch, rig, count(*) AS n_folds, avg((pow(rr / exp(i), 1 / b) - c) / c) * 100 AS bias FROM f GROUP BY 1, 2), g AS (SELECT batch, rig, regr_slope(y, x) AS b, regr_intercept(y, x) AS i, min(c) AS lo, max(c) AS hi FROM l GROUP BY 1, 2)
+SELECT batch, rig, {_s('exp(i)', 6)} AS a, {_s('b', 6)} AS b, {_s('sqrt(greatest(lo, 1) * greatest(hi, 1))', 6)} AS reference_ppm, 'CO' AS gas, '2024-01-01' AS date, n_folds, {_s('bias', 6)} AS bias_pct FROM g JOIN e USING (batch, rig)""",
     "invert_concentration": f"WITH {_LAB} SELECT o_orderkey, {_s('pow(rr / 2, 1 / -0.6::DOUBLE)', 5)} AS ppm FROM lab",
     "two_point": f"""WITH {_LAB}, g AS (SELECT batch, rig, arg_min(rr, (c, o_orderkey)) AS r1, min(c) AS c1, arg_max(rr, (c, o_orderkey)) AS r2, max(c) AS c2 FROM lab GROUP BY 1, 2), h AS (SELECT *, ln(r1 / r2) / ln(c1 / c2) AS b FROM g WHERE true)
 SELECT batch, rig, {_s('r1 / pow(c1, b)', 6)} AS a, {_s('b', 6)} AS b FROM h""",

@@ -77,18 +77,17 @@ def legacy_vector(long: DataFrame, *keys: str) -> DataFrame:
 
 def framework(series: DataFrame, sr: float = 10.0) -> DataFrame:
     """Long rows (recording_id, feature, value) of multi-channel recordings (recording_id, ch_idx, channel, v, n): per channel, per pair, global."""
-    from vapora.operators.signal import decay_fit, spectral_peak
+    from vapora.operators.signal import spectrum_and_decay
 
     f = features.closed_form(series, sr)
     columns = [x for b, fs in features.BLOCKS.items() if b != "decay" for x in fs if not x.startswith("oscillation")]
     wide = f.select("recording_id", "ch_idx", "is_dead", "r0", "v", *columns)
-    more = spectral_peak(wide.select("recording_id", "ch_idx", "v"), sr).join(decay_fit(wide.select("recording_id", "ch_idx", "v", "r0"), sr).drop("r0", "cost"), ["recording_id", "ch_idx"])
-    both = wide.drop("v", "r0").join(more, ["recording_id", "ch_idx"])
+    both = spectrum_and_decay(wide, sr).drop("r0", "cost")
     block = {x: b for b, fs in features.BLOCKS.items() for x in fs}
     per = both.unpivot(["recording_id", "ch_idx"], [x for fs in features.BLOCKS.values() for x in fs], "name", "value")
     names = F.create_map(*(F.lit(x) for k, b in block.items() for x in (k, b)))
     per = per.select("recording_id", F.concat(F.lit("ch"), "ch_idx", F.lit("_"), F.element_at(names, F.col("name")), F.lit("_"), "name").alias("feature"), "value")
-    amp = both.select("recording_id", F.col("ch_idx").alias("channel"), "relative_amplitude", "auc", "is_dead")
+    amp = wide.select("recording_id", F.col("ch_idx").alias("channel"), "relative_amplitude", "auc", "is_dead")
     pairs = features.selectivity(amp).select("recording_id", F.concat(F.lit("sel_ratio_ch"), "channel_i", F.lit("_ch"), "channel_j").alias("feature"), F.col("sel_ratio").alias("value"))
     total = features.global_features(amp).withColumn("global_n_active_channels", F.col("global_n_active_channels").cast("double"))
     every = total.unpivot(["recording_id"], [c for c in total.columns if c != "recording_id"], "feature", "value")
@@ -102,7 +101,7 @@ def rank_channels(long: DataFrame, top: int = 3) -> DataFrame:
 
 
 def _q_expand(spark: SparkSession, sf_dir: str) -> DataFrame:
-    w = views.wave(spark, sf_dir).selectExpr("recording_id div 4 AS recording_id", "cast(recording_id % 4 AS int) AS ch_idx", "slice(v, 1, 5) AS v")
+    w = views.wave(spark, sf_dir).selectExpr("recording_id div 4 AS recording_id", "cast(recording_id % 4 AS int) AS ch_idx", "v")
     out = expand_channels(w, 6, [(0, 5), (1, 0), (2, 2)])
     return out.selectExpr("recording_id", "ch_idx", "posexplode(v) AS (idx, value)").selectExpr("recording_id", "ch_idx", "idx", f"{A.snap('value', 4)} AS value")
 
@@ -114,7 +113,7 @@ def _q_framework(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {"expand_channels": _q_expand, "framework_features": _q_framework}
 ORACLE_SQL = {
-    "expand_channels": f"""WITH {views.WAVE}, m AS (SELECT recording_id // 4 AS recording_id, CASE recording_id % 4 WHEN 0 THEN 5 WHEN 1 THEN 0 WHEN 2 THEN 2 END AS ch, idx, v FROM wave WHERE idx < 5),
-g AS (SELECT recording_id, c, i FROM (SELECT DISTINCT recording_id FROM m), range(6) r(c), range(5) q(i))
+    "expand_channels": f"""WITH {views.WAVE}, m AS (SELECT recording_id // 4 AS recording_id, CASE recording_id % 4 WHEN 0 THEN 5 WHEN 1 THEN 0 WHEN 2 THEN 2 END AS ch, idx, v FROM wave),
+g AS (SELECT recording_id, c, i FROM (SELECT recording_id, unnest(range(max(idx) + 1)) AS i FROM m GROUP BY recording_id), range(6) r(c))
 SELECT g.recording_id, c::INT AS ch_idx, i::INT AS idx, {A.snap('coalesce(v, 0)', 4)} AS value FROM g LEFT JOIN m ON m.recording_id = g.recording_id AND m.ch = c AND m.idx = i""",
 }

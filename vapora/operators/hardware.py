@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -39,8 +41,6 @@ def effective_rank(vectors: DataFrame, column: str, share: float = 0.95) -> floa
 
     Cross products are summed in Spark; only the matrix of the vectors' length comes to the driver.
     """
-    import numpy as np
-
     v = vectors.select(F.col(column).cast("array<double>").alias("v")).where("v IS NOT NULL")
     head = v.agg(F.count("*").alias("n"), F.max(F.size("v")).alias("d")).first()
     if not head["n"] or head["n"] < 2:
@@ -50,12 +50,20 @@ def effective_rank(vectors: DataFrame, column: str, share: float = 0.95) -> floa
     mean = np.zeros(d)
     for r in sums:
         mean[r["i"]] = r["m"]
-    at = F.array(*(F.lit(float(m)) for m in mean))
-    cross = v.select(F.zip_with("v", at, lambda x, m: x - m).alias("z")).select(F.posexplode("z").alias("i", "x"), "z")
-    rows = cross.select("i", F.posexplode(F.transform("z", lambda y: y * F.col("x"))).alias("j", "p")).groupBy("i", "j").agg(F.sum("p").alias("p")).collect()
+
+    def products(batches):  # a task's sum of cross products, a row of the matrix each
+        gram = np.zeros((d, d))
+        for b in batches:
+            for lo in range(0, b.num_rows, 4096):
+                rows = b.column(0).slice(lo, 4096).to_pylist()
+                z = np.array([[0.0 if x is None else x for x in r] + [m for m in mean[len(r) :]] for r in rows]) - mean
+                gram += z.T @ z
+        yield pa.RecordBatch.from_arrays([pa.array(np.arange(d)), pa.array(gram.tolist(), pa.list_(pa.float64()))], names=["i", "p"])
+
+    parts = v.mapInArrow(products, "i long, p array<double>").select("i", F.posexplode("p").alias("j", "p")).groupBy("i", "j").agg(F.sum("p").alias("p"))
     gram = np.zeros((d, d))
-    for r in rows:
-        gram[r["i"], r["j"]] = r["p"]
+    for r in parts.groupBy("i").agg(F.sort_array(F.collect_list(F.struct("j", "p"))).alias("row")).collect():
+        gram[r["i"]] = [x["p"] for x in r["row"]]
     energy = np.clip(np.linalg.eigvalsh(gram)[::-1], 0, None)
     if energy.sum() <= 0:
         return 1.0

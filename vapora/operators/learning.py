@@ -21,7 +21,7 @@ def vectors(series: DataFrame, sr: float = 10.0) -> DataFrame:
     return closed_form(series, sr).select(*keys, *CLOSED)
 
 
-def train(examples: DataFrame, label: str, features: list[str], trees: int = 50, seed: int = 42) -> PipelineModel:
+def train(examples: DataFrame, label: str, features: list[str], trees: int = 200, seed: int = 42) -> PipelineModel:
     """A fitted pipeline; classes weigh alike, whatever their counts."""
     counts = examples.groupBy(label).count()
     total = counts.agg(F.sum("count").alias("total"), F.count("*").alias("classes"))
@@ -53,7 +53,7 @@ def _q_train(spark: SparkSession, sf_dir: str) -> DataFrame:
     labels = views.table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("recording_id"), F.col("label").cast("string").alias("substance"))
     rows = vectors(views.wave(spark, sf_dir)).join(labels, "recording_id")
     rows = rows.withColumn("held_out", F.col("recording_id") % 4 == 0)
-    model = train(rows.where("not held_out"), "substance", list(CLOSED), trees=20)
+    model = train(rows.where("not held_out"), "substance", list(CLOSED))
     return predict(model, rows.drop("substance"), "recording_id", "held_out")
 
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from vapora.functions import catalogue
@@ -23,12 +23,24 @@ def from_smiles(rows: DataFrame, smiles: str = "smiles", name: str | None = None
 
 def save_user_entries(entries: DataFrame, saved: DataFrame, most: int = 200) -> DataFrame:
     """A user dictionary after saving entries: one row per id, what is saved already first, the last `most` kept."""
-    from pyspark.sql import Window
-
     both = saved.withColumn("_new", F.lit(0)).unionByName(entries.withColumn("_new", F.lit(1)))
     once = both.withColumn("_r", F.row_number().over(Window.partitionBy("id").orderBy("_new", "ord"))).where("_r = 1")
-    newest = once.withColumn("_o", F.row_number().over(Window.orderBy(F.desc("_new"), F.desc("ord")))).where(F.col("_o") <= most)
-    return newest.drop("_new", "_r", "_o")
+    return once.orderBy(F.desc("_new"), F.desc("ord")).limit(most).drop("_new", "_r")
+
+
+def read_user_entries(spark: SparkSession, path: str) -> DataFrame:
+    """A user dictionary that was written as Parquet."""
+    return spark.read.schema(catalogue.COMPOUND_SCHEMA).parquet(path)
+
+
+def remove_user_entries(saved: DataFrame, ids: DataFrame) -> DataFrame:
+    """saved without the entries of the given ids (id)."""
+    return saved.join(ids.select("id").distinct(), "id", "left_anti").select(*saved.columns)
+
+
+def user_entry(saved: DataFrame, id: str) -> DataFrame:
+    """The entry of an id, or no row."""
+    return saved.where(F.col("id") == id)
 
 
 def _q_smiles(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -16,7 +16,6 @@ from vapora.plans import views
 STARTS = {1: [(1.0, np.log(3.0))], 2: [(0.7, np.log(2.0)), (0.3, np.log(10.0))], 3: [(0.5, np.log(1.5)), (0.3, np.log(5.0)), (0.2, np.log(20.0))]}
 EVALUATIONS, LOG_TAU = {1: 2000, 2: 5000, 3: 10000}, 20.0
 #: Most steps of a fit; it ends before when its cost stands still.
-STEPS = 200
 
 
 def peak(v: np.ndarray, sr: float) -> tuple[float, float]:
@@ -45,13 +44,16 @@ def _model(p: np.ndarray, t: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 def fit(t: np.ndarray, y: np.ndarray, components: int) -> tuple[np.ndarray, np.ndarray]:
-    """Damped least squares of all rows of y at once, from the fixed start points: parameters and costs; a cost that isn't finite marks a failure."""
+    """Damped least squares of all rows of y at once, from the fixed start points: parameters and costs.
+
+    A cost that isn't finite marks a failure, and so does one that still falls when the evaluations are used up.
+    """
     p = np.concatenate([*(np.stack([y[:, 0] * share, np.full(len(y), log_tau)], 1) for share, log_tau in STARTS[components]), np.zeros((len(y), 1))], 1)
     best, costs, live, damping = p.copy(), np.full(len(y), np.inf), np.arange(len(y)), np.full(len(y), 1e-3)
     with np.errstate(all="ignore"):
         f, jac = _model(p, t)
         costs[:] = ((f - y) ** 2).sum(axis=1)
-        for _ in range(min(STEPS, EVALUATIONS[components] // p.shape[1])):
+        for _ in range(EVALUATIONS[components] // p.shape[1]):
             if not len(live):
                 break
             normal = jac @ jac.transpose(0, 2, 1)
@@ -68,6 +70,7 @@ def fit(t: np.ndarray, y: np.ndarray, components: int) -> tuple[np.ndarray, np.n
             costs[at] = new[better]
             f, jac = np.where(better[:, None], g, f), np.where(better[:, None, None], jac_g, jac)
             live, f, jac = live[~done], f[~done], jac[~done]
+    costs[live] = np.inf  # out of evaluations: no fit
     costs[~np.isfinite(best).all(axis=1)] = np.inf
     return best, costs
 
@@ -142,6 +145,22 @@ def decay_fit(series: DataFrame, sr: float = 10.0, components: int = 2) -> DataF
     return series.select(*keys, "v").mapInArrow(run, schema)
 
 
+def spectrum_and_decay(series: DataFrame, sr: float = 10.0, components: int = 2) -> DataFrame:
+    """spectral_peak() and decay_fit() of series (keys, v, r0) in one pass; all other columns that aren't arrays are carried along."""
+    keys = [c for c, kind in series.dtypes if not kind.startswith(("array", "map", "struct"))]
+    more = ("oscillation_freq", "oscillation_amp", *NAMES)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            rows = list(_rows(b))
+            peaks = [int(np.argmax(np.abs(v - r0))) if len(v) else 0 for v, r0 in zip(rows, b.column("r0").to_pylist(), strict=True)]
+            found = np.concatenate([np.array([peak(v, sr) for v in rows]).reshape(-1, 2), decays(rows, peaks, sr, components)], axis=1)
+            yield pa.RecordBatch.from_arrays([*(b.column(k) for k in keys), *(pa.array(np.ascontiguousarray(c)) for c in found.T)], names=[*keys, *more])
+
+    schema = ", ".join([*(f"`{c}` {kind}" for c, kind in series.select(*keys).dtypes), *(f"{n} double" for n in more)])
+    return series.select(*keys, "v").mapInArrow(run, schema)
+
+
 def _q_spectral(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spectral_peak(views.wave(spark, sf_dir)).select("recording_id", F.round("oscillation_freq", 6).alias("oscillation_freq"), F.round("oscillation_amp", 6).alias("oscillation_amp"))
 

@@ -12,11 +12,44 @@ from vapora.operators import quality as Q
 from vapora.plans import views
 
 
+#: Ranges that a key's values are cut into for ordering.
+RANGES = 64
+
+
+def ordinals(df: DataFrame, keys: Sequence[str], column: str) -> DataFrame:
+    """keys, column, n and first: each distinct value's count and its first place from 0 in its key's order.
+
+    Values are counted first, then cut into ranges at approximate quantiles; a task orders one range, and the ranges' sizes give
+    their beginnings, so no task orders a whole key.
+    """
+    keys = list(keys)
+    counts = df.where(F.col(column).isNotNull()).groupBy(*keys, column).agg(F.count("*").alias("n"))
+    edges = counts.groupBy(*keys).agg(F.percentile_approx(column, [k / RANGES for k in range(1, RANGES)], 1000).alias("_edges"))
+    cut = counts.join(edges, keys) if keys else counts.join(F.broadcast(edges))
+    cut = cut.withColumn("_range", F.size(F.filter("_edges", lambda e: e < F.col(column)))).drop("_edges")
+    before = F.sum("_m").over(Window.partitionBy(*keys).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1))
+    sizes = cut.groupBy(*keys, "_range").agg(F.sum("n").alias("_m")).withColumn("_before", F.coalesce(before, F.lit(0))).drop("_m")
+    own = F.sum("n").over(Window.partitionBy(*keys, "_range").orderBy(column).rowsBetween(Window.unboundedPreceding, -1))
+    return cut.join(sizes, [*keys, "_range"]).withColumn("first", F.col("_before") + F.coalesce(own, F.lit(0))).drop("_range", "_before")
+
+
 def average_rank(df: DataFrame, keys: Sequence[str], column: str, out: str) -> DataFrame:
     """df with the rank of column within keys, ties sharing the mean of their ranks."""
-    w = Window.partitionBy(*keys).orderBy(column)
-    ties = Window.partitionBy(*keys, column)
-    return df.withColumn(out, F.rank().over(w) + (F.count("*").over(ties) - 1) / 2.0)
+    ranks = ordinals(df, keys, column).select(*keys, column, (F.col("first") + (F.col("n") + 1) / 2.0).alias(out))
+    return df.join(ranks, [*keys, column])
+
+
+def quantiles(df: DataFrame, keys: Sequence[str], column: str, shares: dict[str, float]) -> DataFrame:
+    """Quantiles by keys, linear between neighbours, from distinct values' places."""
+    keys = list(keys)
+    placed = ordinals(df, keys, column)
+    totals = placed.groupBy(*keys).agg(F.sum("n").alias("_total"))
+    placed = placed.join(totals, keys) if keys else placed.join(F.broadcast(totals))
+    at = lambda p: (F.col("_total") - 1) * p
+    value = lambda place: F.max(F.when(F.col("first") <= place, F.col(column)))
+    parts = [x for name, p in shares.items() for x in (value(F.floor(at(p))).alias(f"_lo_{name}"), value(F.ceil(at(p))).alias(f"_hi_{name}"), F.max(at(p) - F.floor(at(p))).alias(f"_of_{name}"))]
+    g = placed.groupBy(*keys).agg(*parts)
+    return g.select(*keys, *((F.col(f"_lo_{name}") + (F.col(f"_hi_{name}") - F.col(f"_lo_{name}")) * F.col(f"_of_{name}")).alias(name) for name in shares))
 
 
 def spearman(pairs: DataFrame, a: str, b: str, *keys: str) -> DataFrame:
@@ -39,8 +72,10 @@ def subscores_long(report: DataFrame, *keys: str) -> DataFrame:
 
 def subscore_range(long: DataFrame, *keys: str) -> DataFrame:
     """Quartiles, their distance and the measured share of each subscore."""
-    g = long.groupBy(*keys).agg(F.percentile("value", F.array(F.lit(0.25), F.lit(0.75))).alias("p"), F.avg(F.col("value").isNotNull().cast("double")).alias("measured"))
-    return g.select(*keys, F.col("p")[0].alias("q1"), F.col("p")[1].alias("q3"), (F.col("p")[1] - F.col("p")[0]).alias("iqr"), "measured")
+    g = long.groupBy(*keys).agg(F.avg(F.col("value").isNotNull().cast("double")).alias("measured"))
+    q = quantiles(long, keys, "value", {"q1": 0.25, "q3": 0.75})
+    both = g.join(q, list(keys), "left") if keys else g.join(F.broadcast(q))
+    return both.select(*keys, "q1", "q3", (F.col("q3") - F.col("q1")).alias("iqr"), "measured")
 
 
 def weight_proposal(stats: DataFrame) -> DataFrame:
