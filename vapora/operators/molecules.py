@@ -7,7 +7,6 @@ from pyspark.sql import functions as F
 
 from vapora.functions import catalogue
 from vapora.functions.smiles import describe_column
-from vapora.operators.feasibility import constituent_chain
 
 
 def from_smiles(rows: DataFrame, smiles: str = "smiles", name: str | None = None) -> DataFrame:
@@ -43,14 +42,5 @@ def user_entry(saved: DataFrame, id: str) -> DataFrame:
     return saved.where(F.col("id") == id)
 
 
-def _q_smiles(spark: SparkSession, sf_dir: str) -> DataFrame:
-    c = catalogue.compounds(spark).select("id", describe_column(F.col("smiles")).alias("d"))
-    return c.select("id", F.col("d.molecular_weight").alias("molecular_weight"), F.col("d.boiling_point_c").alias("boiling_point_c"), F.array_join("d.groups", ",").alias("groups"), F.col("d.redox_active").alias("redox_active"), F.col("d.gas").alias("gas"))
-
-
-def _q_provisional(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return constituent_chain(from_smiles(catalogue.compounds(spark))).select("id", "name", "verdict", "signal_strength", "response_speed", "confidence")
-
-
-QUERIES = {"smiles_describe": _q_smiles, "provisional_chain": _q_provisional}
+QUERIES: dict = {}  # see applied.py
 ORACLE_SQL: dict[str, str] = {}

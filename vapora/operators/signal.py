@@ -63,7 +63,7 @@ def fit(t: np.ndarray, y: np.ndarray, components: int) -> tuple[np.ndarray, np.n
             g, jac_g = _model(best[live] - step, t)
             new = ((g - y[live]) ** 2).sum(axis=1)
             better = np.isfinite(new) & (new < costs[live])
-            done = np.where(better, costs[live] - new <= 1e-10 * costs[live], damping[live] > 1e10)
+            done = np.where(better, costs[live] - new <= 1e-10 * costs[live], damping[live] > 1e10) | (costs[live] <= 1e-22 * (y[live] ** 2).sum(axis=1))
             damping[live] *= np.where(better, 1 / 3, 4)
             at = live[better]
             best[at] -= step[better]

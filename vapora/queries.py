@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from vapora.operators import baseline, calibration, channels, feasibility, features, hardware, inspection, kinetics, learning, molecules, presets, quality, search, signal, study, timing
+from vapora.operators import applied, baseline, calibration, channels, feasibility, features, hardware, inspection, kinetics, learning, molecules, presets, quality, search, signal, study, timing
 from vapora.sources import recordings
 
-_PARTS = (baseline, features, signal, kinetics, quality, timing, calibration, hardware, feasibility, molecules, search, study, recordings, presets, channels, inspection, learning)
+_PARTS = (baseline, features, signal, kinetics, quality, timing, calibration, hardware, feasibility, molecules, search, study, recordings, presets, channels, inspection, learning, applied)
 QUERIES: dict = {}
 ORACLE_SQL: dict[str, str] = {}
 for _part in _PARTS:
