@@ -7,6 +7,7 @@ import json
 import re
 import sys
 from dataclasses import dataclass, field
+from importlib import resources
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
@@ -21,25 +22,6 @@ CADENCE_GROUPS = ("temporal", "decay")
 THRESHOLDS = {"dead_noise_ceiling": 0.02, "drift_abs_floor": 0.001, "drift_rel_ceiling": 0.01}
 BASELINE = {"duration_s": 1800.0, "settling_s": 300.0}
 ROLES, TYPES = ("primary", "supporting", "cross_sensitivity"), ("mox", "miris", "electrochemical", "other", "unknown")
-#: Id | period in s | models | context | groups | alarms a day.
-SHIPPED = """
-agriculture_storage|60|MQ-136 MQ-3 MQ-2 MQ-135 MQ-8 MQ-7 MQ-9|temperature humidity|absolute health selectivity global|0.07
-breath_markers|0.1|MQ-3 MQ-8 MQ-2 MQ-135 MQ-136 MQ-7||device_agnostic absolute temporal decay selectivity global|
-cleaning_verification|0.1|MQ-135 MQ-3 MQ-8 MQ-2 MQ-136|temperature humidity|device_agnostic temporal health decay selectivity global|
-food_freshness|60|MQ-136 MQ-135 MQ-2 MQ-8|temperature|absolute health selectivity global|0.2
-gas_leak_fire_smoke|0.1|MQ-2 MQ-4 MQ-5 MQ-7 MQ-8 MQ-9||device_agnostic temporal health hardware saturation selectivity global|0.14
-gas_purity_contamination|1|MQ-136 MQ-7 MQ-135 MQ-8 MQ-9||device_agnostic absolute selectivity global|
-industrial_process_fault|1|MQ-5 MQ-4 MQ-7 MQ-8 MQ-9 MQ-2|temperature pressure humidity|device_agnostic temporal health hardware saturation decay selectivity global|0.2
-mould_damp|60|MQ-136 MQ-135 MQ-8 MQ-2|humidity temperature|absolute health selectivity global|0.07
-perfume_authenticity|1|MQ-3 MQ-135 MQ-8 MQ-2|temperature humidity|device_agnostic absolute temporal selectivity global|
-pest_rodent_detection|0.1|MQ-136 MQ-2 MQ-3 MQ-7 MQ-135|temperature humidity|device_agnostic temporal decay selectivity global|
-ripeness_storage_aging|60|MQ-3 MQ-8 MQ-135 MQ-136|temperature humidity|absolute health selectivity global|0.14
-voc_air_quality|1|MQ-135 MQ-3 MQ-7 MQ-2 BME680|temperature humidity pressure|device_agnostic absolute temporal health selectivity global|0.5
-"""
-#: Fixed value: the one shipped preset with a threshold of its own.
-TUNED = {"gas_leak_fire_smoke": {"dead_noise_ceiling": 0.01}}
-
-
 class PresetError(ValueError):
     """A preset is malformed; the message says where."""
 
@@ -62,6 +44,7 @@ class Preset:
     thresholds: dict = field(default_factory=dict)
     false_alarm_budget: dict | None = None
     provisional: list[str] = field(default_factory=list)
+    cadence_period_s: float | None = None
     cadence_rationale: str = ""
     notes: str = ""
     source: str = ""
@@ -278,20 +261,14 @@ def build(raw: dict, source: str = "") -> Preset:
     return Preset(
         id=str(raw["id"]), name=text("name"), description=text("description"), sensors=[known(s, _SENSOR_KEYS, "a sensor") for s in rows], feature_groups=list(raw.get("feature_groups") or []), cadence_hz=float(rate), sensor_type=raw.get("sensor_type", "mox"),
         context_columns=list(raw.get("context_columns") or []), baseline=raw.get("baseline") or {}, thresholds=raw.get("thresholds") or {}, false_alarm_budget=raw.get("false_alarm_budget"), provisional=list(raw.get("provisional") or []),
-        cadence_rationale=text("cadence_rationale"), notes=text("notes"), source=source,
+        cadence_period_s=raw.get("cadence_period_s"), cadence_rationale=text("cadence_rationale"), notes=text("notes"), source=source,
     ).validate()
 
 
 def shipped() -> list[Preset]:
-    """The presets that come with the package, by id."""
-    ratios = {m: r for m, _, r, _ in sensors._rows()}
-    out = []
-    for line in SHIPPED.strip().splitlines():
-        i, period, models, context, groups, alarms = line.split("|")
-        channels = [{"id": m.lower().replace("-", ""), "model": m, **({"clean_air_ratio": ratios[m]} if ratios[m] else {})} for m in models.split()]
-        tuned = TUNED[i] | {"basis": "a missed event costs more than a visit"} if i in TUNED else {}
-        out.append(Preset(i, channels, groups.split(), 1.0 / float(period), name=i.replace("_", " ").capitalize(), context_columns=context.split(), thresholds=tuned, false_alarm_budget={"alarms_per_day": float(alarms)} if alarms else None).validate())
-    return sorted(out, key=lambda p: p.id)
+    """The presets that come with the package, by id; they are read from an archive too."""
+    files = [f for f in resources.files("vapora").joinpath("presets").iterdir() if f.name.endswith(".yaml")]
+    return sorted((build(parse_yaml(f.read_text(), f.name), f.name) for f in files), key=lambda p: p.id)
 
 
 def load_folder(path: str) -> list[Preset]:
@@ -315,6 +292,16 @@ def table(spark: SparkSession, presets: list[Preset] | None = None) -> DataFrame
     return spark.createDataFrame(rows, "id string, cadence_hz double, cadence_period_s double, n_channels int, models array<string>, context array<string>, feature_groups array<string>, n_features int, r0_samples int, least_duration_s double, dead_noise_ceiling double, drift_abs_floor double, drift_rel_ceiling double, alarms_per_day double, advisories array<string>")
 
 
+def sensor_table(spark: SparkSession, presets: list[Preset] | None = None) -> DataFrame:
+    """The presets' channels as rows: id, ch_idx, channel, model, role, targets, clean_air_ratio, settling_s, warmup_s, provisional."""
+    rows = [
+        (p.id, k, s["id"], s["model"], s.get("role", "primary"), s.get("targets") or [], s.get("clean_air_ratio"), float((BASELINE | p.baseline)["settling_s"]), float(p.baseline.get("warmup_s") or 0), p.provisional)
+        for p in (presets if presets is not None else shipped())
+        for k, s in enumerate(p.sensors)
+    ]
+    return spark.createDataFrame(rows, "id string, ch_idx int, channel string, model string, role string, targets array<string>, clean_air_ratio double, settling_s double, warmup_s double, provisional array<string>")
+
+
 def descriptor(p: Preset) -> dict:
     """The preset's array as a bundle's sensor descriptor."""
     return {"sensorType": p.sensor_type, "channels": [{"id": s["id"], "unit": "adc" if p.sensor_type == "mox" else ""} for s in p.sensors], "samplingRateHz": p.cadence_hz}
@@ -363,11 +350,33 @@ def _q_advisories(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark).select("id", F.explode_outer("advisories").alias("advisory"))
 
 
-QUERIES = {"presets_resolved": _q_resolved, "preset_advisories": _q_advisories}
-_ROWS = "p(id, period, models, groups, alarms) AS (VALUES " + ", ".join("('{}', {}::DOUBLE, '{}', '{}', {}::DOUBLE)".format(*(x[k] or "NULL" for k in (0, 1, 2, 4, 5))) for x in (line.split("|") for line in SHIPPED.strip().splitlines())) + ")"
+def _q_sensors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each part's preset with its channels, their laws' count, and what is provisional."""
+    laws = sensors.power_laws(spark).select("model", F.col("gas").alias("target"))
+    t = sensor_table(spark).withColumn("target", F.explode_outer("targets")).join(F.broadcast(laws.withColumn("law", F.lit(1))), ["model", "target"], "left")
+    t = t.groupBy("id", "ch_idx", "channel", "role", "settling_s", "warmup_s", "clean_air_ratio").agg(F.array_join(F.array_sort(F.collect_list("target")), ",").alias("targets"), F.count("law").alias("n_laws"))
+    names = [p.id for p in shipped()]
+    parts = spark.read.parquet(f"{sf_dir}/part.parquet").select("p_partkey", F.element_at(F.array(*map(F.lit, names)), (F.col("p_partkey") % len(names) + 1).cast("int")).alias("id"))
+    return parts.join(F.broadcast(t), "id")
+
+
+QUERIES = {"presets_resolved": _q_resolved, "preset_advisories": _q_advisories, "preset_sensors": _q_sensors}
+
+
+def _sql(x: object) -> str:
+    return "NULL" if x is None else f"{x}::DOUBLE" if isinstance(x, (int, float)) else "'" + str(x) + "'"
+
+
+_ROWS = "p(id, period, models, groups, alarms) AS (VALUES " + ", ".join(f"({_sql(p.id)}, {_sql(1 / p.cadence_hz)}, {_sql(' '.join(s['model'] for s in p.sensors))}, {_sql(' '.join(p.feature_groups))}, {_sql((p.false_alarm_budget or {}).get('alarms_per_day'))})" for p in shipped()) + ")"
+_CHANNELS = "ch(i, id, ch_idx, channel, model, role, settling_s, ratio, targets) AS (VALUES " + ", ".join(
+    f"({i}, {_sql(p.id)}, {k}, {_sql(s['id'])}, {_sql(s['model'])}, {_sql(s['role'])}, {_sql((BASELINE | p.baseline)['settling_s'])}, {_sql(s.get('clean_air_ratio'))}, [{', '.join(map(_sql, s.get('targets') or []))}]::VARCHAR[])" for i, p in enumerate(shipped()) for k, s in enumerate(p.sensors)
+) + ")"
+_LAWS = "lw(model, gas) AS (VALUES " + ", ".join(f"({_sql(m)}, {_sql(g)})" for m, _, _, gs in sensors._rows() for g, _, _ in gs) + ")"
 _COUNT = "CASE g WHEN 'device_agnostic' THEN 6 * c WHEN 'absolute' THEN 4 * c WHEN 'temporal' THEN 4 * c WHEN 'health' THEN 4 * c WHEN 'hardware' THEN 3 * c WHEN 'saturation' THEN c WHEN 'decay' THEN 6 * c WHEN 'selectivity' THEN c * (c - 1) // 2 ELSE 4 END"
 ORACLE_SQL = {
     "presets_resolved": f"""WITH {_ROWS}, n AS (SELECT *, len(string_split(models, ' ')) AS c FROM p), e AS (SELECT id, c, unnest(string_split(groups, ' ')) AS g FROM n), f AS (SELECT id, sum({_COUNT})::INT AS k FROM e GROUP BY id)
 SELECT id, 1 / period AS cadence_hz, c::INT AS n_channels, models, groups AS feature_groups, k AS n_features, round_even(1800 * (1 / period), 0)::INT AS r0_samples, 2 / (1 / period) AS least_duration_s, CASE WHEN id = 'gas_leak_fire_smoke' THEN 0.01 ELSE 0.02 END::DOUBLE AS dead_noise_ceiling, alarms AS alarms_per_day FROM n JOIN f USING (id)""",
+    "preset_sensors": f"""WITH {_CHANNELS}, {_LAWS} SELECT p_partkey, id, ch_idx, channel, role, settling_s, 172800::DOUBLE AS warmup_s, ratio AS clean_air_ratio, array_to_string(list_sort(targets), ',') AS targets, (SELECT count(*) FROM lw WHERE lw.model = ch.model AND list_contains(ch.targets, lw.gas)) AS n_laws
+FROM part JOIN ch ON p_partkey % {len(shipped())} = i""",
     "preset_advisories": f"WITH {_ROWS} SELECT id, CASE WHEN period > 1 THEN 'timing: cadence_below_1hz' END AS advisory FROM p",
 }
