@@ -5,8 +5,8 @@ more when they share at least need(a, b) shingles. A light set (up to `boundary`
 sizes that its possible partners need: two light sets with a common subset of that size are linked. A heavy set and any set
 that may be linked with one stand in the inverted lists of their first shingles, as many as it takes for linked sets to share
 one. Shingles are ordered by a sketch of their frequency, so that shared passages come last. The boundary is the size at which
-the subsets' cost, over the counted sizes of all classes, exceeds that of the lists, each entry of which is scanned as often as
-a shingle of that frequency occurs.
+the subsets' cost, over the counted sizes of all classes, exceeds that of the lists, each entry of which is tested with as many
+others as a shingle of that frequency has, or with pivots and hubs alone where the list is long.
 
 What meets by a subset or in a list is a candidate, tested on the whole sets. A list of up to SHORT classes gives all of its pairs; a longer
 one first links its classes with PIVOTS of them, then with HUBS of its largest component. Only then are its pairs tested that lie in different components,
@@ -152,12 +152,17 @@ def _sum_sketch(key: tuple, table: pa.Table) -> pa.Table:
 
 
 def usual_length(sketch: np.ndarray) -> float:
-    """Occurrences of the shingles that sets list: the rarer quarter of all occurrences, at its middle."""
+    """Members of the lists that sets stand in: occurrences of shingles in the rarer quarter of all occurrences, at its middle."""
     counts = np.sort(np.exp2(sketch / 8) - 1)
     mass = np.cumsum(counts)
     return float(counts[np.searchsorted(mass, mass[-1] / 8)]) if len(mass) and mass[-1] else 1.0
 
 
+def tests_of_entry(length: float) -> float:
+    """Members that an entry of a list of that length is tested with."""
+    return min(length, SHORT + PIVOTS + HUBS * TURNS)
+
+
 def choose_boundary(sizes: np.ndarray, scan: float) -> int:
     """The boundary of the least cost: subsets that light sets list, against lists' entries each scanned `scan` times."""
     costs = [0.0]
@@ -391,7 +396,7 @@ def ngram_components(docs: DataFrame, name_bits: int = 63) -> DataFrame:
     sketch = docs.mapInArrow(_sketch, "chunk int, counters binary").groupBy("chunk").applyInArrow(_sum_sketch, "chunk int, counters binary").collect()  # 4 M counters, whatever the input
     by = {r["chunk"]: blocks.unpack(bytes(r["counters"])) for r in sketch}
     order = np.concatenate([by[k] for k in range(64)]).astype(np.uint8) if by else np.zeros(1 << SKETCH_BITS, np.uint8)
-    boundary = choose_boundary(by.get(-1, np.zeros(LIGHT_MOST + 1, np.int64)), usual_length(order))
+    boundary = choose_boundary(by.get(-1, np.zeros(LIGHT_MOST + 1, np.int64)), tests_of_entry(usual_length(order)))
     shared, names, buckets = spark.sparkContext.broadcast(order), Names(name_bits), blocks.buckets_for(docs.count())
     while True:
         posted = common.materialize(docs.mapInArrow(_post(shared, boundary, buckets, names), _POSTED), "lists")
