@@ -1,3 +1,4 @@
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -116,3 +117,71 @@ def test_boundaries(spark):
     assert feasibility.boundaries(spark).where("capability").count() == 4
     mixes = feasibility.composite_verdict(catalogue.composites(spark), catalogue.compounds(spark)).withColumn("kind", F.lit("composite"))
     assert feasibility.relevant_boundaries(mixes).first().boundaries == ["mixture"]
+
+
+def test_quality_cases(spark):
+    channels, recordings = generators.quality_cases(spark)
+    got = {r.recording_id: r for r in quality.quality(channels, recordings).collect()}
+    ideal = got["ideal_exposure_auto"]
+    assert len(got) == 12 and all(r.total is not None for r in got.values())
+    assert got["dead_channel"].dead_sensors == ["NO2"] and got["dead_channel"].total < ideal.total
+    assert got["no_baseline"].signalStrength is None and "no_baseline" in got["no_baseline"].flags and got["single_role"].recoveryCompleteness is None
+    assert "used_default_adc_max" in got["ideal_exposure_auto_no_adcmax"].flags and "used_median_sampling_rate" in got["ideal_exposure_auto_no_rate"].flags
+    assert got["clipped_signal"].saturationFree < ideal.saturationFree and got["no_recovery"].recoveryCompleteness < ideal.recoveryCompleteness
+    assert got["low_span"].dynamicRange < ideal.dynamicRange and got["irregular_gaps"].continuity < ideal.continuity and got["short_exposure"].durationAdequacy < ideal.durationAdequacy
+
+
+def test_files_are_inspected(spark, tmp_path):
+    from vapora.operators import inspection, study
+    from vapora.sources import recordings
+
+    rows = "\n".join(f"{k * 100},{100 + k % 7},{50 + k}" for k in range(40))
+    (tmp_path / "a").mkdir()
+    (tmp_path / "a" / "good.csv").write_text(f"timestamp_ms,MQ-3,extra\n{rows}\n")
+    (tmp_path / "a" / "bad.csv").write_text("# nothing\n")
+    r = recordings.read_recordings(spark, str(tmp_path)).cache()
+    m = {x.path.rsplit("/", 1)[1]: x for x in inspection.channel_matrix(r, ["extra", "MQ-3"]).collect()}
+    assert m["good.csv"].columns == ["extra", "MQ-3"] and m["good.csv"].matrix[0][:2] == [50.0, 51.0] and m["good.csv"].error is None and "ingest failed" in m["bad.csv"].error
+    assert "missing channels: nope" in inspection.channel_matrix(r.where("ok"), ["nope"]).first().error
+    i = inspection.inspect(r).first()
+    assert i.models == {"MQ-3": "MQ-3"} and i.unmodeled == ["extra"] and i.feature_family == "mox"
+    v = {x.path.rsplit("/", 1)[1]: x for x in inspection.validate(r).collect()}
+    assert v["good.csv"].valid and not v["bad.csv"].valid and len(v["bad.csv"].errors) == 1
+    a = {x.path.rsplit("/", 1)[1]: x for x in inspection.analyze(r).collect()}
+    assert [f.channel for f in a["good.csv"].features] == ["MQ-3", "extra"] and a["bad.csv"].features is None
+    assert inspection.health(r).count() == 2
+    with pytest.raises(ValueError):
+        inspection.health(r, 0)
+    assert {x.half for x in study.half_scores(r).collect()} == {0, 1}
+
+
+def test_ranks_and_quantiles(spark):
+    rng = np.random.default_rng(0)
+    rows = [(int(k % 3), float(x)) for k, x in enumerate(rng.integers(0, 50, 2000))]
+    df = spark.createDataFrame(rows, "k int, v double")
+    got = study_ranks(df)
+    for k in range(3):
+        v = np.array([x for i, x in rows if i == k])
+        want = {x: (v < x).sum() + ((v == x).sum() + 1) / 2 for x in v}
+        assert got[k] == want
+        q = {r.k: r for r in study.quantiles(df, ["k"], "v", {"a": 0.25, "b": 0.9}).collect()}[k]
+        assert q.a == pytest.approx(np.quantile(v, 0.25)) and q.b == pytest.approx(np.quantile(v, 0.9))
+
+
+def study_ranks(df):
+    out = {}
+    for r in study.average_rank(df, ["k"], "v", "r").collect():
+        out.setdefault(r.k, {})[r.v] = r.r
+    return out
+
+
+def test_user_dictionary(spark):
+    from vapora.operators import hardware, molecules
+
+    rows = lambda ids: spark.createDataFrame([(k, i) for k, i in enumerate(ids)], "ord int, id string")
+    saved = molecules.save_user_entries(rows(["a", "b", "a"]), rows(["b"]))
+    assert sorted(r.id for r in saved.collect()) == ["a", "b"]
+    assert molecules.save_user_entries(rows("abcdef"), rows([]).where("false"), most=4).count() == 4
+    assert [r.id for r in molecules.remove_user_entries(saved, rows(["b"])).collect()] == ["a"] and molecules.user_entry(saved, "a").count() == 1
+    x = np.random.default_rng(1).normal(size=(200, 6)) * np.array([5, 4, 3, 0.01, 0.01, 0.01])
+    assert hardware.effective_rank(spark.createDataFrame([(r.tolist(),) for r in x], "v array<double>"), "v") == 3

@@ -66,6 +66,18 @@ def halves(series: DataFrame) -> DataFrame:
     return series.where("n >= 2").selectExpr(*keys, f"inline({parts})").withColumn("n", F.expr("cast(size(v) AS long)"))
 
 
+def half_scores(recordings: DataFrame) -> DataFrame:
+    """The quality of each half of each readable recording, as single recordings without baseline and declared range: recording_id, half, subscores."""
+    from vapora.sources import recordings as R
+
+    whole = R.series(recordings).select("recording_id", "channel", "v", "n")
+    parts = halves(whole).withColumn("recording_id", F.concat_ws("#", "recording_id", "half"))
+    times = recordings.where("ok").select(F.col("path").alias("recording_id"), F.lit("t").alias("channel"), F.col("t").alias("v"), F.size("t").cast("long").alias("n"), "rate_hz")
+    frames = halves(times).select(F.concat_ws("#", "recording_id", "half").alias("recording_id"), F.transform("v", lambda x, i: i * 1000.0 / F.col("rate_hz")).alias("t"), "n", "rate_hz")
+    report = Q.quality(parts.drop("half"), Q.declare(frames, rate="rate_hz").drop("rate_hz"))
+    return report.select(F.substring_index("recording_id", "#", 1).alias("recording_id"), F.substring_index("recording_id", "#", -1).cast("int").alias("half"), *Q.WEIGHTS)
+
+
 def subscores_long(report: DataFrame, *keys: str) -> DataFrame:
     return report.unpivot(list(keys), list(Q.WEIGHTS), "subscore", "value")
 

@@ -11,11 +11,43 @@ DEFECTS = ("none", "gaps", "dead_channel", "saturation", "short", "baseline_cont
 CLEAN_S, RISE_S, REST_S = 30, 45, 120
 
 
+#: The cases of the quality score by what they change: name | rows | role | baseline | amplitude | recovers | rate | adc_max | late rows | dead channel.
+CASES = """
+ideal_exposure_auto           | 600 | exposure | auto | 600  | yes | 10 | 4095 | no  |
+ideal_exposure_auto_no_adcmax | 600 | exposure | auto | 600  | yes | 10 |      | no  |
+ideal_exposure_auto_no_rate   | 600 | exposure | auto | 600  | yes |    | 4095 | no  |
+ideal_exposure_auto_undeclared| 600 | exposure | auto | 600  | yes |    |      | no  |
+no_baseline                   | 600 | exposure | none | 600  | yes | 10 | 4095 | no  |
+single_role                   | 600 | single   | auto | 600  | yes | 10 | 4095 | no  |
+short_exposure                | 150 | exposure | auto | 600  | yes | 10 | 4095 | no  |
+clipped_signal                | 600 | exposure | auto | 4100 | yes | 10 | 4095 | no  |
+dead_channel                  | 600 | exposure | auto | 600  | yes | 10 | 4095 | no  | NO2
+no_recovery                   | 600 | exposure | auto | 600  | no  | 10 | 4095 | no  |
+low_span                      | 600 | exposure | auto | 40   | yes | 10 | 4095 | no  |
+irregular_gaps                | 600 | exposure | auto | 600  | yes | 10 | 4095 | yes |
+"""
+
+
 def envelope(at: Column) -> Column:
     """Share of the amplitude at a share of the recording: clean to 15 %, rising to 45 %, level to 55 %, back to 0 at 90 %."""
     return F.when(at < 0.15, 0.0).when(at < 0.45, (at - 0.15) / 0.3).when(at < 0.55, 1.0).when(at < 0.9, (0.9 - at) / 0.35).otherwise(0.0)
 
 
+def quality_cases(spark: SparkSession) -> tuple[DataFrame, DataFrame]:
+    """The twelve cases as channels (recording_id, channel, v, n) and as recordings (recording_id, t, n, declarations), for quality()."""
+    number = lambda x, kind: kind(x) if x else None
+    rows = [[c.strip() for c in line.split("|")] for line in CASES.strip().splitlines()]
+    made = [(i, int(n), role, base, float(amp), back == "yes", number(rate, float), number(adc, float), late == "yes", dead or None) for i, n, role, base, amp, back, rate, adc, late, dead in rows]
+    c = spark.createDataFrame(made, "recording_id string, n long, role string, baseline string, amp double, recovers boolean, rate double, adc_max double, late boolean, dead string")
+    places = F.sequence(F.lit(0), (F.col("n") - 1).cast("int"))
+    times = F.transform(places, lambda i: i * 100.0 + F.when(F.col("late") & (i % 8 == 0), 100.0).otherwise(0.0))
+    recordings = c.select("recording_id", times.alias("t"), "n", "rate", F.lit(10.0).alias("guess_rate"), "adc_max", "role", "baseline", F.lit(15).alias("r0_samples"))
+    channels = c.select("*", F.posexplode(F.array(*(F.lit(x) for x in CHANNELS))).alias("ch_idx", "channel"))
+    shape = lambda i: F.when(~F.col("recovers") & (i / F.col("n") >= 0.55), 1.0).otherwise(envelope(i / F.col("n")))
+    v = F.transform(places, lambda i: F.when(F.col("dead").eqNullSafe(F.col("channel")), 100.0).otherwise(100.0 + 30.0 * F.col("ch_idx") + F.col("amp") * shape(i)))
+    return channels.select("recording_id", "channel", v.alias("v"), "n"), recordings
+
+
 def exposure_samples(spark: SparkSession, recordings: int, n: int = 600, rate_hz: float = 10.0, amp: float = 600.0, dead: str | None = None) -> DataFrame:
     """Long samples of clean exposures on the canonical channels: recording_id, channel, ch_idx, idx, t_ms, value."""
     rows = spark.range(recordings).select(F.col("id").alias("recording_id"), F.posexplode(F.array(*(F.lit(c) for c in CHANNELS))).alias("ch_idx", "channel"))
