@@ -18,26 +18,20 @@ from vapora.sources import recordings as R
 _N = len(catalogue.compound_rows())
 
 
-def substances(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """p_partkey and the compound that it stands for."""
-    parts = views.table(spark, sf_dir, "part").selectExpr("p_partkey", f"cast(p_partkey % {_N} AS int) AS ord")
-    return parts.join(F.broadcast(catalogue.compounds(spark)), "ord")
-
-
 def _q_feasibility(spark: SparkSession, sf_dir: str) -> DataFrame:
     verdicts = feasibility.guidance(feasibility.constituent_chain(catalogue.compounds(spark))).select("ord", "id", "verdict", "signal_strength", "response_speed", "exposure_s", "dilution")
-    return substances(spark, sf_dir).select("p_partkey", "ord").join(F.broadcast(verdicts), "ord").drop("ord")
+    return views.substances(spark, sf_dir).select("p_partkey", "ord").join(F.broadcast(verdicts), "ord").drop("ord")
 
 
 def _q_smiles(spark: SparkSession, sf_dir: str) -> DataFrame:
-    d = substances(spark, sf_dir).select("p_partkey", "id", describe_column(F.col("smiles")).alias("d"))
+    d = views.substances(spark, sf_dir).select("p_partkey", "id", describe_column(F.col("smiles")).alias("d"))
     return d.select("p_partkey", "id", "d.molecular_weight", "d.boiling_point_c", F.array_join("d.groups", ",").alias("groups"), "d.redox_active", "d.gas")
 
 
 def _q_provisional(spark: SparkSession, sf_dir: str) -> DataFrame:
     named = molecules.from_smiles(catalogue.compounds(spark), name="id")
     chain = feasibility.constituent_chain(named).select(F.col("name").alias("id"), "verdict", "signal_strength", "response_speed", "confidence")
-    return substances(spark, sf_dir).select("p_partkey", "id").join(F.broadcast(chain), "id")
+    return views.substances(spark, sf_dir).select("p_partkey", "id").join(F.broadcast(chain), "id")
 
 
 def _q_decay_recovery(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -123,7 +117,7 @@ def _q_resolved(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Names of parts' substances that match the dictionary exactly. A user's own entries score less, and so never do."""
     user = molecules.from_smiles(spark.createDataFrame([("CCCCCCO", "my hexanol"), ("CCCCO", "gone")], "smiles string, label string"), name="label")
     saved = molecules.remove_user_entries(molecules.save_user_entries(user, user.where("false")), user.where("name = 'gone'").select("id"))
-    asked = substances(spark, sf_dir).select("p_partkey", F.expr("CASE WHEN p_partkey % 5 = 0 THEN 'My Hexanol' WHEN p_partkey % 5 = 1 THEN 'gone' ELSE upper(name) END").alias("q"))
+    asked = views.substances(spark, sf_dir).select("p_partkey", F.expr("CASE WHEN p_partkey % 5 = 0 THEN 'My Hexanol' WHEN p_partkey % 5 = 1 THEN 'gone' ELSE upper(name) END").alias("q"))
     found = search.exact_resolve(asked, search.dictionary(spark, saved)).select("q", "kind", "name")
     return asked.join(F.broadcast(found), "q", "left").select("p_partkey", "kind", "name")
 

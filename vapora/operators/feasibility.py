@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from vapora.functions import arrays as A
 from vapora.functions import catalogue, physics
+from vapora.plans import views
 
 GRADES = ("green", "yellow", "red")
 #: Substances that an array of so many sensors tells apart; others get the default.
@@ -186,8 +187,8 @@ def _q_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _q_chain(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = constituent_chain(catalogue.compounds(spark))
-    return out.selectExpr("id", "verdict", "g_volatility", "g_signal", "g_reactivity", "signal_strength", "response_speed", "confidence", "vp_source", f"{A.snap('vp', 3)} AS vp", f"{A.snap('ratio', 6)} AS ratio")
+    out = constituent_chain(views.substances(spark, sf_dir))
+    return out.selectExpr("p_partkey", "id", "verdict", "g_volatility", "g_signal", "g_reactivity", "signal_strength", "response_speed", "confidence", "vp_source", f"{A.snap('vp', 3)} AS vp", f"{A.snap('ratio', 6)} AS ratio")
 
 
 def _q_composite(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -210,15 +211,15 @@ def _q_cross(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _q_physics(kind: str):
     def query(spark: SparkSession, sf_dir: str) -> DataFrame:
-        c = catalogue.compounds(spark)
+        c = views.substances(spark, sf_dir)
         mw, boil = F.col("molecular_weight.value"), F.col("boiling_point.value") + 273.15
         if kind == "antoine":
             out = c.where("antoine IS NOT NULL").withColumn("pa", physics.antoine(F.col("antoine.a"), F.col("antoine.b"), F.col("antoine.c"), 25.0)).withColumn("flux", physics.evaporation_flux(F.col("pa"), mw / 1000))
-            return out.selectExpr("id", f"{A.snap('pa', 3)} AS pa", f"{A.snap('flux', 6)} AS flux")
+            return out.selectExpr("p_partkey", "id", f"{A.snap('pa', 3)} AS pa", f"{A.snap('flux', 6)} AS flux")
         if kind == "clausius":
-            return c.withColumn("pa", physics.clausius_clapeyron(physics.AMBIENT_K, boil, physics.trouton(boil))).where("pa < 1e7").selectExpr("id", f"{A.snap('pa', 3)} AS pa")
+            return c.withColumn("pa", physics.clausius_clapeyron(physics.AMBIENT_K, boil, physics.trouton(boil))).selectExpr("p_partkey", "id", f"{A.snap('log10(pa)', 6)} AS log10_pa")
         out = c.withColumn("d", physics.fuller(mw, physics.diffusion_volume(mw))).withColumn("c", physics.concentration_at(F.lit(1e-6), F.col("d"), F.lit(0.1))).withColumn("i", physics.incident_flux(F.col("c"), mw / 1000))
-        return out.selectExpr("id", f"{A.snap('d * 1e6D', 6)} AS d_mm2", f"{A.snap('c', 6)} AS c", f"{A.snap('i', 5)} AS i")
+        return out.selectExpr("p_partkey", "id", f"{A.snap('d * 1e6D', 6)} AS d_mm2", f"{A.snap('c', 6)} AS c", f"{A.snap('i', 5)} AS i")
 
     return query
 
@@ -254,7 +255,7 @@ _PERCEPTS = "pc(ord, percept, groups, words) AS (VALUES " + ", ".join(f"({k}, {_
 _PERCEPTS_L = "pc(ord, percept, label, groups, words) AS (VALUES " + ", ".join(f"({k}, {_q(i)}, {_q(label)}, [{', '.join(map(_q, g))}]::VARCHAR[], [{', '.join(map(_q, w))}])" for k, i, label, g, w in catalogue.percept_rows()) + ")"
 _s = A.snap
 ORACLE_SQL = {
-    "constituent_chain": f"WITH {_CHAIN} SELECT id, verdict, g_volatility, g_signal, g_reactivity, sig AS signal_strength, speed AS response_speed, conf AS confidence, vs AS vp_source, {_s('vp', 3)} AS vp, {_s('ratio', 6)} AS ratio FROM cv",
+    "constituent_chain": f"WITH {_CHAIN}, {views.PARTS} SELECT p_partkey, id, verdict, g_volatility, g_signal, g_reactivity, sig AS signal_strength, speed AS response_speed, conf AS confidence, vs AS vp_source, {_s('vp', 3)} AS vp, {_s('ratio', 6)} AS ratio FROM cv JOIN pt USING (id)",
     "composite_verdict": f"""WITH {_CHAIN}, mx(id, pos, chem, w) AS (VALUES {', '.join(f"({_q(i)}, {p}, {_q(c)}, {_d(w)})" for _, i, _, _, _, parts in catalogue.composite_rows() for p, (c, w, _) in enumerate(parts))}),
 j AS (SELECT mx.*, verdict, sig, speed, conf, CASE sig WHEN 'strong' THEN 1 WHEN 'moderate' THEN 0.6 WHEN 'weak' THEN 0.3 ELSE 0 END::DOUBLE AS sc FROM mx JOIN cv ON mx.chem = cv.id),
 g AS (SELECT id, count(*) AS n, sum(w) AS a, coalesce(sum(w) FILTER (verdict = 'red'), 0) AS r, coalesce(sum(w) FILTER (verdict <> 'green'), 0) AS d, arg_min({{'s': sig, 'p': speed, 'c': chem}}, (-w * sc, pos)) AS t, bool_or(conf = 'medium') AS m FROM j GROUP BY id)
@@ -271,7 +272,7 @@ SELECT o_orderkey, v.l AS volatility, h.l AS headspace, s.l AS signal FROM x JOI
 p AS (SELECT id, array_to_string(list(label ORDER BY ord)[:3], '; ') AS hat, arg_min(percept, ord) AS first FROM j GROUP BY id)
 SELECT cv.id, name || ' reads as ' || coalesce(hat, 'unclassified chemistry') || ': ' || CASE WHEN verdict = 'red' THEN 'no usable signal' WHEN first IN ('spicy-balsamic', 'smoky-phenolic') THEN 'a weak, slow response' ELSE 'a clear reducing response' END || '.' AS summary,
   array_to_string(list_filter([CASE WHEN g_reactivity = 'red' THEN 'non-redox' END, CASE WHEN sig = 'none' AND NOT gas THEN 'trace' END], lambda x: x IS NOT NULL), ',') AS boundaries FROM cv LEFT JOIN p ON cv.id = p.id""",
-    "antoine_vapor": f"WITH {_COMPOUNDS}, a AS (SELECT id, mw, pow(10, aa - ab / (25 + ac)) * 133.322::DOUBLE AS pa FROM cp WHERE aa IS NOT NULL) SELECT id, {_s('pa', 3)} AS pa, {_s('pa / sqrt(2 * pi() * mw / 1000 * 8.314::DOUBLE * 298.15::DOUBLE)', 6)} AS flux FROM a",
-    "clausius_clapeyron": f"WITH {_COMPOUNDS}, a AS (SELECT id, 101325::DOUBLE * exp(-(88 * (bp + 273.15::DOUBLE) / 8.314::DOUBLE) * (1 / 298.15::DOUBLE - 1 / (bp + 273.15::DOUBLE))) AS pa FROM cp) SELECT id, {_s('pa', 3)} AS pa FROM a WHERE pa < 1e7",
-    "fuller_diffusion": f"WITH {_COMPOUNDS}, a AS (SELECT id, mw, {_D} AS d FROM cp), b AS (SELECT *, 1e-6::DOUBLE / (4 * pi() * d * 0.1::DOUBLE) AS c FROM a) SELECT id, {_s('d * 1e6', 6)} AS d_mm2, {_s('c', 6)} AS c, {_s('c * sqrt(8.314::DOUBLE * 298.15::DOUBLE / (2 * pi() * mw / 1000))', 5)} AS i FROM b",
+    "antoine_vapor": f"WITH {_COMPOUNDS}, {views.PARTS}, a AS (SELECT id, mw, pow(10, aa - ab / (25 + ac)) * 133.322::DOUBLE AS pa FROM cp WHERE aa IS NOT NULL) SELECT p_partkey, id, {_s('pa', 3)} AS pa, {_s('pa / sqrt(2 * pi() * mw / 1000 * 8.314::DOUBLE * 298.15::DOUBLE)', 6)} AS flux FROM a JOIN pt USING (id)",
+    "clausius_clapeyron": f"WITH {_COMPOUNDS}, {views.PARTS}, a AS (SELECT id, 101325::DOUBLE * exp(-(88 * (bp + 273.15::DOUBLE) / 8.314::DOUBLE) * (1 / 298.15::DOUBLE - 1 / (bp + 273.15::DOUBLE))) AS pa FROM cp) SELECT p_partkey, id, {_s('log10(pa)', 6)} AS log10_pa FROM a JOIN pt USING (id)",
+    "fuller_diffusion": f"WITH {_COMPOUNDS}, {views.PARTS}, a AS (SELECT id, mw, {_D} AS d FROM cp), b AS (SELECT *, 1e-6::DOUBLE / (4 * pi() * d * 0.1::DOUBLE) AS c FROM a) SELECT p_partkey, id, {_s('d * 1e6', 6)} AS d_mm2, {_s('c', 6)} AS c, {_s('c * sqrt(8.314::DOUBLE * 298.15::DOUBLE / (2 * pi() * mw / 1000))', 5)} AS i FROM b JOIN pt USING (id)",
 }
