@@ -62,14 +62,18 @@ def channel_scores(channels: DataFrame, recordings: DataFrame) -> DataFrame:
 
 def quality(channels: DataFrame, recordings: DataFrame) -> DataFrame:
     """One row per recording: subscores, reasons, total, badge and flags."""
-    scores = channel_scores(channels, recordings)
+    return report(channel_scores(channels, recordings), continuity(recordings))
+
+
+def report(scores: DataFrame, recordings: DataFrame) -> DataFrame:
+    """quality() from channel_scores() and continuity()."""
     live = F.expr("NOT dead")
     per = scores.groupBy("recording_id").agg(
         F.avg(F.when(live, F.col("range_score"))).alias("range"), F.avg("free_score").alias("free"), F.avg("cv").alias("mean_cv"),
         F.max(F.when(live, F.col("signal_score"))).alias("signal"), F.avg(F.when(live, F.col("recovery_score"))).alias("recovery"),
         F.count_if("dead").alias("n_dead"), F.array_sort(F.collect_list(F.when(F.col("dead"), F.col("channel")))).alias("dead_sensors"),
     )
-    q = continuity(recordings).join(per, "recording_id", "left")
+    q = recordings.join(per, "recording_id", "left")
     q = q.withColumn("hz", F.expr("coalesce(rate, guess_rate)")).withColumn("seconds", F.expr("CASE WHEN hz > 0D THEN (n - 1) / hz ELSE 0D END"))
     stable = f"100D * {A.clamp(f'1D - mean_cv / {NOISE_CV}D')}"
     exposed = "role = 'exposure' AND baseline <> 'none'"
@@ -110,14 +114,6 @@ def _stream_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality(views.stream(spark, sf_dir).drop("t"), _stream_recordings(spark, sf_dir))
 
 
-def _q_continuity(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return continuity(_stream_recordings(spark, sf_dir)).selectExpr("recording_id", f"{A.snap('continuity', 6)} AS continuity", "continuity_reason", "time_unit_mismatch")
-
-
-def _q_gap_period(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return gaps(views.stream(spark, sf_dir)).selectExpr("recording_id", "channel", "n", f"{A.snap('median_gap', 3)} AS period_ms", "size(filter(g, x -> x <= 0D)) AS non_positive")
-
-
 def _q_net_span(spark: SparkSession, sf_dir: str) -> DataFrame:
     w = views.wave(spark, sf_dir)
     out = channel_scores(w.selectExpr("recording_id", "'ch0' AS channel", "v", "n"), declare(w.drop("v"), adc_max="1300D"))
@@ -136,8 +132,6 @@ def _q_report(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
-    "continuity": _q_continuity,
-    "gap_period": _q_gap_period,
     "net_span_dynamic_range": _q_net_span,
     "saturation_free": _subscores("saturationFree"),
     "baseline_stability": _subscores("baselineStability"),

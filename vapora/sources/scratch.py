@@ -5,7 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
 def folder(spark: SparkSession, name: str) -> str:
@@ -20,3 +20,10 @@ def folder(spark: SparkSession, name: str) -> str:
     to = spark._jvm.org.apache.hadoop.fs.Path(path)
     to.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(to)
     return path
+
+
+def stored(df: DataFrame, name: str) -> DataFrame:
+    """df written once as Parquet in the shared folder and read again: what several branches use is computed once, and lineage ends."""
+    path = folder(df.sparkSession, name)
+    df.write.option("compression", "zstd").parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
