@@ -42,6 +42,20 @@ def _q_decay_recovery(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fit.select("p_partkey", (F.abs(F.col("tau1") / F.col("tau") - 1) < 1e-3).alias("same_tau"), (F.abs(F.col("a1") / F.col("a") - 1) < 1e-2).alias("same_amplitude"), (F.col("tau3") < 0).alias("no_third"))
 
 
+def _q_decays_recovery(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sums of two and of three decays, their time constants fourfold apart, in recordings of unequal lengths: whether the fit gives all of them back to a thousandth."""
+    p = views.table(spark, sf_dir, "part").selectExpr("p_partkey", "explode(array(2, 3)) AS parts", "(p_partkey % 7 + 6) / 10D AS x1", "(p_partkey % 7 + 5) * 1D AS x2", "(p_partkey % 5 + 45) * 1D AS x3", "80D + p_size AS b1", "60D AS b2", "CASE WHEN parts = 3 THEN 40D ELSE 0D END AS b3", "900 + p_partkey % 50 AS m")
+    v = "concat(transform(sequence(0, 19), i -> 10D), transform(sequence(0, m), i -> 10D + b1 * exp(-i / (10D * x1)) + b2 * exp(-i / (10D * x2)) + b3 * exp(-i / (10D * x3))))"
+    p = p.withColumn("v", F.expr(v)).withColumn("r0", F.lit(10.0))
+    fits = signal.decay_fit(p.where("parts = 2"), components=2).unionByName(signal.decay_fit(p.where("parts = 3"), components=3))
+    # a fit may name its parts in any order
+    found = F.array_sort(F.filter(F.array(*(F.struct(F.col(f"tau{k}").alias("tau"), F.col(f"a{k}").alias("a")) for k in (1, 2, 3))), lambda f: f["tau"] > 0))
+    fits = fits.withColumn("found", found)
+    near = lambda k: (F.abs(F.col("found")[k - 1]["tau"] / F.col(f"x{k}") - 1) < 1e-3) & (F.abs(F.col("found")[k - 1]["a"] / F.col(f"b{k}") - 1) < 1e-2)
+    third = F.when(F.col("parts") == 3, near(3)).otherwise(F.size("found") == 2)
+    return fits.select("p_partkey", "parts", near(1).alias("first"), near(2).alias("second"), third.alias("third"))
+
+
 def _q_framework_shape(spark: SparkSession, sf_dir: str) -> DataFrame:
     f = channels._q_framework(spark, sf_dir)
     amp = F.sum(F.when(F.col("feature").endswith("_da_relative_amplitude"), F.col("value")))
@@ -144,7 +158,7 @@ def _q_models(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
-    "part_feasibility": _q_feasibility, "smiles_describe": _q_smiles, "provisional_chain": _q_provisional, "decay_recovery": _q_decay_recovery, "framework_shape": _q_framework_shape, "csv_variants": _q_variants,
+    "part_feasibility": _q_feasibility, "smiles_describe": _q_smiles, "provisional_chain": _q_provisional, "decay_recovery": _q_decay_recovery, "decays_recovery": _q_decays_recovery, "framework_shape": _q_framework_shape, "csv_variants": _q_variants,
     "manifest_declarations": _q_manifest, "processor_families": _q_families, "channel_ranking": _q_ranking, "channel_selection": _q_selection, "boiling_point_parse": _q_boiling, "scan_offsets": _q_offsets,
     "dictionary_resolve": _q_resolved, "weight_proposal": _q_weights, "technology_lookup": _q_technologies, "sensor_catalogue": _q_models,
 }
@@ -225,6 +239,7 @@ ORACLE_SQL = {
 FROM pt JOIN ids USING (ord) JOIN cv ON cv.id = ids.id""",
     "smiles_describe": f"WITH {_ORD}, {_M} SELECT p_partkey, id, mw AS molecular_weight, bp AS boiling_point_c, groups, contains(flags, 'redox') AS redox_active, contains(flags, 'gas') AS gas FROM pt JOIN m USING (ord)",
     "provisional_chain": f"WITH {feasibility._CHAIN.replace(feasibility._COMPOUNDS, _ESTIMATED)}, {_ORD}, {_IDS} SELECT p_partkey, cv.id, verdict, sig AS signal_strength, speed AS response_speed, 'medium' AS confidence FROM pt JOIN ids USING (ord) JOIN cv ON cv.id = ids.id",
+    "decays_recovery": "SELECT p_partkey, parts::INT AS parts, true AS first, true AS second, true AS third FROM part, (VALUES (2), (3)) k(parts)",
     "decay_recovery": "SELECT p_partkey, true AS same_tau, true AS same_amplitude, true AS no_third FROM part",
     "framework_shape": f"""WITH {views.WAVE}, b AS (SELECT recording_id, any_value(n) AS n, median(v) FILTER (idx < least(30, greatest(5, floor(n * 0.15::DOUBLE)))) AS r0, max(v) AS hi, min(v) AS lo, stddev_pop(v) AS sd FROM wave GROUP BY 1),
 a AS (SELECT recording_id // 4 AS recording_id, CASE WHEN sd / r0 < 0.001 THEN 0 ELSE greatest(abs(hi - r0), abs(lo - r0)) / r0 END AS amp, sd / r0 >= 0.001 AS live FROM b)

@@ -12,10 +12,11 @@ from pyspark.sql import functions as F
 from vapora.operators.baseline import r0_view_a
 from vapora.plans import views
 
-#: Start points (share of the first value, log tau), evaluations, bound of log tau.
-STARTS = {1: [(1.0, np.log(3.0))], 2: [(0.7, np.log(2.0)), (0.3, np.log(10.0))], 3: [(0.5, np.log(1.5)), (0.3, np.log(5.0)), (0.2, np.log(20.0))]}
-EVALUATIONS, LOG_TAU = {1: 2000, 2: 5000, 3: 10000}, 20.0
-#: Most steps of a fit; it ends before when its cost stands still.
+#: Start points of log tau. Most steps of a fit, which ends before when its cost stands still, and the bound of log tau.
+STARTS = {1: [np.log(3.0)], 2: [np.log(2.0), np.log(10.0)], 3: [np.log(1.5), np.log(5.0), np.log(20.0)]}
+STEPS, LOG_TAU = 400, 20.0
+#: Values of a batch of fits.
+BATCH = 200_000
 
 
 def peak(v: np.ndarray, sr: float) -> tuple[float, float]:
@@ -32,73 +33,90 @@ def peak(v: np.ndarray, sr: float) -> tuple[float, float]:
     return k * sr / n, float(np.sqrt(density[k]))
 
 
-def _model(p: np.ndarray, t: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Sums of decays plus a constant for rows of parameters (amplitude and log tau of each decay, then the constant), and their Jacobians."""
-    a, log_tau = p[:, 0:-1:2, None], p[:, 1:-1:2, None]
-    tau = np.exp(np.clip(log_tau, -LOG_TAU, LOG_TAU))
-    e = np.exp(-t / tau)
-    jac = np.ones((len(p), p.shape[1], len(t)))
-    jac[:, 0:-1:2] = e
-    jac[:, 1:-1:2] = a * e * t / tau * (np.abs(log_tau) < LOG_TAU)
-    return (a * e).sum(axis=1) + p[:, -1:], jac
+def _decayed(log_tau: np.ndarray, t: np.ndarray, y: np.ndarray, mask: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Amplitudes and constant that fit best given the time constants, the residuals, and their derivatives by log tau.
 
-
-def fit(t: np.ndarray, y: np.ndarray, components: int) -> tuple[np.ndarray, np.ndarray]:
-    """Damped least squares of all rows of y at once, from the fixed start points: parameters and costs.
-
-    A cost that isn't finite marks a failure, and so does one that still falls when the evaluations are used up.
+    Amplitudes are linear and so eliminated: a step only moves the time constants. Derivatives are those of the projected residual
+    with the change of the projection left out.
+    """
+    tau = np.exp(log_tau)[:, :, None]
+    e = np.exp(-t / tau) * mask[:, None, :]
+    basis = np.concatenate([e, mask[:, None, :]], axis=1)
+    gram = basis @ basis.transpose(0, 2, 1)
+    gram += np.eye(gram.shape[1]) * 1e-13 * np.einsum("ikk->ik", gram).max(axis=1)[:, None, None]
+    both = np.concatenate([basis @ y[:, :, None], basis @ (e * t / tau).transpose(0, 2, 1)], axis=2)
+    solved = np.linalg.solve(gram, both)
+    linear = solved[:, :, 0]
+    residual = y - np.einsum("bk,bkn->bn", linear, basis)
+    slope = (e * t / tau - solved[:, :, 1:].transpose(0, 2, 1) @ basis) * linear[:, :-1, None]
+    return linear, residual, slope
+
+
+def fit(t: np.ndarray, y: np.ndarray, mask: np.ndarray, components: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Variable projection of all rows of y at once, from the fixed start points: log tau, amplitudes with the constant, costs.
+
+    mask is 1 where a row has a value, so rows may differ in length. A cost that isn't finite marks a failure, and so does one that
+    still falls when the steps are used up.
     """
-    p = np.concatenate([*(np.stack([y[:, 0] * share, np.full(len(y), log_tau)], 1) for share, log_tau in STARTS[components]), np.zeros((len(y), 1))], 1)
-    best, costs, live, damping = p.copy(), np.full(len(y), np.inf), np.arange(len(y)), np.full(len(y), 1e-3)
+    n = len(y)
+    best = np.tile(np.array(STARTS[components]), (n, 1))
+    damping, live = np.full(n, 1e-3), np.arange(n)
     with np.errstate(all="ignore"):
-        f, jac = _model(p, t)
-        costs[:] = ((f - y) ** 2).sum(axis=1)
-        for _ in range(EVALUATIONS[components] // p.shape[1]):
+        linear, r, slope = _decayed(best, t, y, mask)
+        amounts, costs, floor = linear.copy(), (r**2).sum(axis=1), 1e-22 * (y**2).sum(axis=1)
+        for _ in range(STEPS):
             if not len(live):
                 break
-            normal = jac @ jac.transpose(0, 2, 1)
-            diag = np.maximum(np.einsum("ikk->ik", normal), 1e-12)
-            damped = normal + np.eye(p.shape[1]) * (damping[live, None] * diag)[:, None, :]
-            step = np.linalg.solve(damped + np.eye(p.shape[1]) * 1e-12 * diag.max(axis=1)[:, None, None], (jac @ (f - y[live])[:, :, None]))[:, :, 0]
-            g, jac_g = _model(best[live] - step, t)
-            new = ((g - y[live]) ** 2).sum(axis=1)
+            normal = slope @ slope.transpose(0, 2, 1)
+            diag = np.maximum(np.einsum("ikk->ik", normal), 1e-300)
+            damped = normal + np.eye(components) * (damping[live, None] * diag + 1e-12 * diag.max(axis=1, keepdims=True))[:, None, :]
+            step = np.linalg.solve(damped, slope @ r[:, :, None])[:, :, 0]
+            moved = np.clip(best[live] + np.clip(step, -1.0, 1.0), -LOG_TAU, LOG_TAU)
+            new_linear, new_r, new_slope = _decayed(moved, t, y[live], mask[live])
+            new = (new_r**2).sum(axis=1)
             better = np.isfinite(new) & (new < costs[live])
-            done = np.where(better, costs[live] - new <= 1e-10 * costs[live], damping[live] > 1e10) | (costs[live] <= 1e-22 * (y[live] ** 2).sum(axis=1))
-            damping[live] *= np.where(better, 1 / 3, 4)
+            still = np.where(better, costs[live] - new <= 1e-10 * costs[live], damping[live] > 1e8) | (costs[live] <= floor[live])
+            damping[live] *= np.where(better, 1 / 4, 4)
             at = live[better]
-            best[at] -= step[better]
-            costs[at] = new[better]
-            f, jac = np.where(better[:, None], g, f), np.where(better[:, None, None], jac_g, jac)
-            live, f, jac = live[~done], f[~done], jac[~done]
-    costs[live] = np.inf  # out of evaluations: no fit
-    costs[~np.isfinite(best).all(axis=1)] = np.inf
-    return best, costs
+            best[at], amounts[at], costs[at] = moved[better], new_linear[better], new[better]
+            keep = ~still
+            r, slope = np.where(better[:, None], new_r, r)[keep], np.where(better[:, None, None], new_slope, slope)[keep]
+            live = live[keep]
+    costs[live] = np.inf  # out of steps: no fit
+    costs[~(np.isfinite(best).all(axis=1) & np.isfinite(amounts).all(axis=1))] = np.inf
+    return best, amounts, costs
 
 
 def decays(series: list[np.ndarray], at: list[int], sr: float, components: int = 2) -> np.ndarray:
     """Rows of tau1..3, a1..3 and cost for each series' recovery after its peak; -1 where there is none to fit.
 
-    Recoveries of one length are fitted together.
+    Recoveries are fitted together, padded to the longest of a batch of similar lengths.
     """
     out = np.full((len(series), 7), -1.0)
-    by_length: dict[int, list[tuple[int, np.ndarray]]] = {}
+    parts: list[tuple[int, np.ndarray]] = []
     for k, (v, peak_at) in enumerate(zip(series, at, strict=True)):
         part = v[max(5, min(peak_at, len(v) - 10)) :] if len(v) >= 20 else v[:0]
         if len(part) >= 10 and np.std(part) >= 1e-8 and np.isfinite(part).all():
-            by_length.setdefault(len(part), []).append((k, part - part[-1]))
-    for n, rows in by_length.items():
-        t = np.arange(n) / sr
-        for lo in range(0, len(rows), max(1, 400_000 // n)):
-            some = rows[lo : lo + max(1, 400_000 // n)]
-            which, y = np.array([k for k, _ in some]), np.stack([x for _, x in some])
-            for c in range(1, components + 1):
-                if c == 3 and n < 30:
-                    continue
-                p, cost = fit(t, y, c)
-                good = np.isfinite(cost)
-                out[which[good], 0:c] = np.exp(np.clip(p[good, 1:-1:2], -LOG_TAU, LOG_TAU))
-                out[which[good], 3 : 3 + c] = p[good, 0:-1:2]
-                out[which[good], 6] = cost[good]
+            parts.append((k, part - part[-1]))
+    parts.sort(key=lambda p: len(p[1]))
+    while parts:
+        longest = len(parts[-1][1])
+        some = parts[-max(1, BATCH // longest) :]
+        del parts[-len(some) :]
+        which, sizes = np.array([k for k, _ in some]), np.array([len(x) for _, x in some])
+        t = np.arange(longest) / sr
+        mask = (np.arange(longest) < sizes[:, None]).astype(float)
+        y = np.zeros((len(some), longest))
+        for row, (_, x) in zip(y, some):
+            row[: len(x)] = x
+        for c in range(1, components + 1):
+            fits = sizes >= 30 if c == 3 else sizes >= 0
+            if not fits.any():
+                continue
+            log_tau, linear, cost = fit(t, y[fits], mask[fits], c)
+            good = np.isfinite(cost)
+            rows = which[fits][good]
+            out[rows, 0:c], out[rows, 3 : 3 + c], out[rows, 6] = np.exp(log_tau[good]), linear[good, :-1], cost[good]
     return out
 
 
