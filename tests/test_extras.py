@@ -97,12 +97,43 @@ def test_normalised_without_baseline_is_nan(spark):
 
 
 def test_recognition_of_recordings(spark, sf):
-    from vapora.operators import learning
-
-    rows = learning.vectors(views.wave(spark, sf)).withColumn("substance", F.when(F.col("recording_id") % 2 == 0, "tea").otherwise("coffee"))
-    model = learning.train(rows, "substance", list(features.CLOSED), trees=3)
-    got = learning.recognise(model, views.wave(spark, sf).limit(5), needed=2.0).collect()
-    assert len(got) == 5 and all(r.substance in ("tea", "coffee") and 0.5 <= r.confidence <= 1 and r.rig_warning for r in got)
+    """The full vector of rigs with decays and spectra: the one pass equals window by window, and the model names every rig."""
+    from vapora.operators import learning, signal, windows
+    from vapora.operators.baseline import segment
+
+    w = views.wave(spark, sf).selectExpr("recording_id div 2 AS recording_id", "cast(recording_id % 2 AS int) AS ch_idx", "cast(recording_id % 2 AS string) AS channel", "v", "n").where("recording_id < 12")
+    long = w.withColumn("v", F.expr("concat(v, reverse(v), slice(v, 1, 20))")).withColumn("n", F.size("v").cast("long"))
+    rows = learning.window_vectors(long, 2)
+    got = {r.recording_id: r.asDict() for r in rows.collect()}
+    each = segment(features.r0_legacy_normalised(long)).withColumnRenamed("w", "v").withColumn("n", F.size("v").cast("long"))
+    each = each.withColumn("recording_id", F.concat_ws("/", "recording_id", "window_id")).drop("window_id")
+    stage = channels.framework(each).groupBy(F.split("recording_id", "/")[0].cast("long").alias("recording_id"), "feature").agg(F.avg("value").alias("value"), F.count("*").alias("n"))
+    seen = 0
+    for r in stage.collect():
+        mine = got[r.recording_id]
+        assert mine["n_windows"] == r.n == 5
+        assert mine[r.feature] == pytest.approx(r.value, rel=1e-5, abs=1e-7), r.feature
+        seen += 1
+    assert seen == 12 * len(features.feature_names(2)) and signal.NAMES[0] in windows.NAMES
+    examples = rows.withColumn("substance", F.when(F.col("recording_id") % 2 == 0, "tea").otherwise("coffee"))
+    model = learning.train(examples, "substance", features.feature_names(2), trees=3)
+    found = learning.recognise(model, long, 2, needed=2.0).collect()
+    assert len(found) == 12 and all(r.substance in ("tea", "coffee") and 0.5 <= r.confidence <= 1 and r.rig_warning for r in found)
+
+
+def test_window_means_do_not_depend_on_chunks(spark):
+    from vapora.operators import windows
+
+    s = spark.createDataFrame([("a", [float((k * 37) % 101) for k in range(1234)]), ("b", [1.0] * 30), ("c", [5.0, float("nan")] * 80), ("d", [])], "k string, v array<double>").withColumn("n", F.size("v").cast("long"))
+    m = s.select("k", "n", F.array("v").alias("matrix"))
+    whole = {r.k: r for r in windows.mean_vectors(m, False).collect()}
+    cut = windows.vector_sums(windows.chunks(m, rows=50), False).groupBy("k").agg(F.sum("n_windows").alias("n"), F.collect_list("sums").alias("s")).collect()
+    assert {r.k: r.n_windows for r in whole.values()} == {"a": 114, "b": 1, "c": 7} == {r.k: r.n for r in cut}
+    for r in cut:
+        for k, x in enumerate(whole[r.k].vector):
+            total = sum(v[k] for v in r.s) / r.n
+            assert total == pytest.approx(x, rel=1e-9, abs=1e-12) or total != total and x != x
+    assert windows.mean_features(s.where("false"), wanted=["auc"]).count() == 0
 
 
 def test_every_recording_gets_a_prediction(spark, sf):
@@ -175,7 +206,7 @@ def study_ranks(df):
     return out
 
 
-def test_user_dictionary(spark):
+def test_user_dictionary_of_names(spark):
     from vapora.operators import hardware, molecules
 
     rows = lambda ids: spark.createDataFrame([(k, i) for k, i in enumerate(ids)], "ord int, id string")

@@ -6,13 +6,11 @@ rate in Hz. Spectrum and decay fit are in spectral.py and decay.py.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from vapora.functions import arrays as A
-from vapora.operators.baseline import R0_WAVE, r0_view_a, r0_view_b, segment
+from vapora.operators.baseline import R0_WAVE, r0_legacy, r0_view_a
 from vapora.plans import views
 
 #: Nominal power law (a, b) of a channel without calibration.
@@ -142,17 +140,8 @@ def global_features(channels: DataFrame) -> DataFrame:
     )
 
 
-def mean_features(series: DataFrame, sr: float = 10.0, wanted: Sequence[str] = CLOSED) -> DataFrame:
-    """Means over a recording's windows of the wanted closed-form features: keys, feature, value."""
-    windows = segment(r0_legacy_normalised(series)).withColumnRenamed("w", "v").withColumn("n", F.expr("cast(size(v) AS long)"))
-    keys = [c for c in windows.columns if c not in ("v", "n", "window_id")]
-    means = closed_form(windows, sr).groupBy(*keys).agg(*(F.avg(f).alias(f) for f in wanted))
-    return means.unpivot(keys, list(wanted), "feature", "value")
-
-
 def r0_legacy_normalised(series: DataFrame) -> DataFrame:
-    from vapora.operators.baseline import r0_legacy
-
+    """series with values relative to the legacy baseline, without times."""
     s = r0_legacy(series)
     return s.withColumn("v", F.expr(A.relative("v", "r0"))).select([c for c in series.columns if c != "t"])
 
@@ -206,14 +195,6 @@ def _q_global(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _rounded(global_features(_stream_channels(spark, sf_dir)), ["recording_id", "global_n_active_channels"], ["global_max_delta_ratio", "global_mean_delta_ratio", "global_total_auc"])
 
 
-def _q_feature_mean(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = mean_features(views.longrun(spark, sf_dir), wanted=MEAN_CHECKED)
-    return _rounded(out, ["recording_id", "feature"], ["value"])
-
-
-#: Features of the window means that the oracle states.
-MEAN_CHECKED = ("relative_amplitude", "endpoint_delta", "raw_resistance", "hf_transient", "circuit_response", "thermal_profile", "drift_rate")
-
 QUERIES = {
     "relative_amplitude_direction": _q_relative,
     "rise_decay_times": _q_rise_decay,
@@ -225,7 +206,6 @@ QUERIES = {
     "saturation_index": _q_saturation,
     "selectivity_pairs": _q_selectivity,
     "global_features": _q_global,
-    "feature_vector_mean": _q_feature_mean,
 }
 
 
@@ -277,13 +257,4 @@ g AS (SELECT recording_id, max(rel) AS resp, stddev_pop(rel) FILTER (idx < k) AS
 SELECT recording_id, {_s('CASE WHEN resp < nf * 2 THEN 0 ELSE least(1, resp / (resp + nf * 10)) END', 6)} AS saturation_index FROM g""",
     "selectivity_pairs": f"{_STREAM_DA} SELECT a.recording_id, a.channel AS channel_i, b.channel AS channel_j, {_s('CASE WHEN NOT a.is_dead AND NOT b.is_dead AND a.relative_amplitude > 0 AND b.relative_amplitude > 0 THEN a.relative_amplitude / b.relative_amplitude ELSE 0 END', 6)} AS sel_ratio FROM da a JOIN da b ON a.recording_id = b.recording_id AND a.channel < b.channel",
     "global_features": f"{_STREAM_DA} SELECT recording_id, count(*) FILTER (NOT is_dead) AS global_n_active_channels, {_s('coalesce(max(relative_amplitude) FILTER (NOT is_dead), 0)', 6)} AS global_max_delta_ratio, {_s('coalesce(avg(relative_amplitude) FILTER (NOT is_dead), 0)', 6)} AS global_mean_delta_ratio, {_s('coalesce(sum(auc) FILTER (NOT is_dead), 0)', 6)} AS global_total_auc FROM da GROUP BY recording_id",
-    "feature_vector_mean": f"""WITH {views.LONGRUN}, r AS (SELECT recording_id, median(v) FILTER (idx < greatest(5, floor(n * 0.15::DOUBLE))) AS m, list(v ORDER BY idx) AS l, any_value(n) AS n FROM longrun GROUP BY recording_id),
-z AS (SELECT recording_id, n, list_transform(l, lambda x: (x - CASE WHEN m < 1 THEN 1 ELSE m END) / CASE WHEN m < 1 THEN 1 ELSE m END) AS l FROM r),
-pz AS (SELECT recording_id, n, CASE WHEN n < 100 THEN list_concat(l, list_transform(range(100 - n), lambda i: l[n])) ELSE l END AS l FROM z),
-sg AS (SELECT recording_id, l, unnest(range(greatest(0, n - 100) // 10 + 1)) AS w FROM pz),
-rows_of AS (SELECT recording_id, w, unnest(range(100)) AS idx, unnest(l[w * 10 + 1 : w * 10 + 100]) AS v, 100 AS n FROM sg), {_agnostic('rows_of', 'recording_id, w')},
-lags AS (SELECT *, abs(v - lag(v) OVER (PARTITION BY recording_id, w ORDER BY idx)) AS step FROM rows_of),
-g AS (SELECT recording_id, w, avg(v) FILTER (idx >= 90) AS raw_resistance, avg(step) * 10 AS hf_transient, avg(v) AS circuit_response, stddev_pop(v) AS thermal_profile, regr_slope(v, idx) * 10 AS drift_rate FROM lags GROUP BY recording_id, w),
-f AS (SELECT recording_id, avg(relative_amplitude)::DOUBLE AS relative_amplitude, avg(endpoint_delta)::DOUBLE AS endpoint_delta, avg(raw_resistance) AS raw_resistance, avg(hf_transient) AS hf_transient, avg(circuit_response) AS circuit_response, avg(thermal_profile) AS thermal_profile, avg(drift_rate) AS drift_rate FROM da JOIN g USING (recording_id, w) GROUP BY recording_id)
-SELECT recording_id, feature, {_s('value', 6)} AS value FROM (UNPIVOT f ON relative_amplitude, endpoint_delta, raw_resistance, hf_transient, circuit_response, thermal_profile, drift_rate INTO NAME feature VALUE value)""",
 }

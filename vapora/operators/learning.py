@@ -9,8 +9,10 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vapora.operators.features import CLOSED, closed_form
+from vapora.operators import windows
+from vapora.operators.features import CLOSED, closed_form, feature_names, r0_legacy_normalised
 from vapora.plans import views
+from vapora.sources import scratch
 
 LOW, MODERATE = 0.5, 0.7
 
@@ -39,14 +41,27 @@ def predict(model: PipelineModel, rows: DataFrame, *keys: str) -> DataFrame:
     return out.withColumn("warning", F.when(F.col("confidence") < LOW, "Low confidence").when(F.col("confidence") < MODERATE, "Moderate confidence"))
 
 
-def recognise(model: PipelineModel, series: DataFrame, needed: float | None = None, sr: float = 10.0) -> DataFrame:
-    """Recordings (recording_id, v, n of one channel) through normalisation, windows, mean features and the model, with the rig's warning."""
+def window_vectors(series: DataFrame, channels: int, sr: float = 10.0) -> DataFrame:
+    """Recordings (recording_id, ch_idx, v, n) with as many channels: n_windows and the full mean vector over their windows, a column for each feature.
+
+    Every channel is taken relative to its legacy baseline first; a mean that isn't a number is 0.
+    """
+    rigs = windows.rigs(r0_legacy_normalised(series)).where(F.size("matrix") == channels)
+    means = windows.mean_vectors(rigs, True, sr)
+    clean = lambda x: F.when(F.isnan(x) | (F.abs(x) == float("inf")), 0.0).otherwise(x)
+    return means.select("recording_id", "n_windows", *(clean(F.col("vector")[k]).alias(f) for k, f in enumerate(feature_names(channels))))
+
+
+def recognise(model: PipelineModel, series: DataFrame, channels: int, needed: float | None = None, sr: float = 10.0) -> DataFrame:
+    """Recordings (recording_id, ch_idx, v, n) through normalisation, windows, the full mean vector and the model, with the rig's warning.
+
+    The windows and all their features are one Arrow pass; only a vector for each recording is shuffled.
+    """
     from vapora.operators import hardware
-    from vapora.operators.features import mean_features
 
     rigs = series.groupBy("recording_id").agg(F.count("*").alias("n_channels")).withColumns({"stored_dims": F.lit(needed).cast("double"), "n_features": F.lit(None).cast("int"), "n_classes": F.lit(len(model.stages[0].labels))})
-    rows = mean_features(series, sr).groupBy("recording_id").pivot("feature", list(CLOSED)).agg(F.first("value"))
-    return predict(model, rows, "recording_id").join(hardware.rig_gate(rigs).select("recording_id", F.col("warning").alias("rig_warning")), "recording_id")
+    rows = window_vectors(series, channels, sr)
+    return predict(model, rows, "recording_id", "n_windows").join(hardware.rig_gate(rigs).select("recording_id", F.col("warning").alias("rig_warning")), "recording_id")
 
 
 def _q_train(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -57,5 +72,14 @@ def _q_train(spark: SparkSession, sf_dir: str) -> DataFrame:
     return predict(model, rows.drop("substance"), "recording_id", "held_out")
 
 
-QUERIES = {"train_predict": _q_train}
+def _q_recognition(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rigs of four channels, each with its spectrum and decay, named by a forest that three quarters of them have trained."""
+    w = views.wave(spark, sf_dir).selectExpr("recording_id div 4 AS recording_id", "cast(recording_id % 4 AS int) AS ch_idx", "v", "n")
+    labels = views.table(spark, sf_dir, "embeddings").where("vec_id % 4 = 0").select((F.col("vec_id") / 4).cast("long").alias("recording_id"), F.col("label").cast("string").alias("substance"))
+    examples = scratch.stored(window_vectors(w.where("recording_id % 4 <> 0"), 4).join(labels, "recording_id"), "examples")
+    model = train(examples, "substance", feature_names(4), 50)
+    return recognise(model, w, 4).select("recording_id", "n_windows", "substance", "confidence", (F.col("recording_id") % 4 == 0).alias("held_out"), F.col("rig_warning").isNotNull().alias("warned"))
+
+
+QUERIES = {"train_predict": _q_train, "recognition": _q_recognition}
 ORACLE_SQL: dict[str, str] = {}

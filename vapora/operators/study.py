@@ -9,28 +9,24 @@ from pyspark.sql import functions as F
 
 from vapora.functions import arrays as A
 from vapora.operators import quality as Q
+from vapora.operators import segments
 from vapora.plans import views
-
-
-#: Ranges that a key's values are cut into for ordering.
-RANGES = 64
+from vapora.sources import scratch
 
 
 def ordinals(df: DataFrame, keys: Sequence[str], column: str) -> DataFrame:
-    """keys, column, n and first: each distinct value's count and its first place from 0 in its key's order.
+    """keys, column (numbers), n and first: each distinct value's count and its first place from 0 in its key's order.
 
-    Values are counted first, then cut into ranges at approximate quantiles; a task orders one range, and the ranges' sizes give
-    their beginnings, so no task orders a whole key.
+    Values are counted first; a key of more distinct values than segments.ROWS is cut into segments, so no task orders a whole key.
     """
     keys = list(keys)
     counts = df.where(F.col(column).isNotNull()).groupBy(*keys, column).agg(F.count("*").alias("n"))
-    edges = counts.groupBy(*keys).agg(F.percentile_approx(column, [k / RANGES for k in range(1, RANGES)], 1000).alias("_edges"))
-    cut = counts.join(edges, keys) if keys else counts.join(F.broadcast(edges))
-    cut = cut.withColumn("_range", F.size(F.filter("_edges", lambda e: e < F.col(column)))).drop("_edges")
-    before = F.sum("_m").over(Window.partitionBy(*keys).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1))
-    sizes = cut.groupBy(*keys, "_range").agg(F.sum("n").alias("_m")).withColumn("_before", F.coalesce(before, F.lit(0))).drop("_m")
-    own = F.sum("n").over(Window.partitionBy(*keys, "_range").orderBy(column).rowsBetween(Window.unboundedPreceding, -1))
-    return cut.join(sizes, [*keys, "_range"]).withColumn("first", F.col("_before") + F.coalesce(own, F.lit(0))).drop("_range", "_before")
+    parts = segments.cut(counts.withColumn("t", F.col(column).cast("double")), keys).drop("t")
+    before = F.sum("_m").over(Window.partitionBy(*keys).orderBy("seg").rowsBetween(Window.unboundedPreceding, -1))
+    sizes = parts.groupBy(*keys, "seg").agg(F.sum("n").alias("_m")).withColumn("_before", F.coalesce(before, F.lit(0))).drop("_m")
+    own = F.sum("n").over(Window.partitionBy(*keys, "seg").orderBy(column).rowsBetween(Window.unboundedPreceding, -1))
+    placed = parts.withColumn("_own", F.coalesce(own, F.lit(0)))
+    return placed.join(sizes, [*keys, "seg"]).withColumn("first", F.col("_before") + F.col("_own")).drop("seg", "_before", "_own")
 
 
 def average_rank(df: DataFrame, keys: Sequence[str], column: str, out: str) -> DataFrame:
@@ -42,7 +38,7 @@ def average_rank(df: DataFrame, keys: Sequence[str], column: str, out: str) -> D
 def quantiles(df: DataFrame, keys: Sequence[str], column: str, shares: dict[str, float]) -> DataFrame:
     """Quantiles by keys, linear between neighbours, from distinct values' places."""
     keys = list(keys)
-    placed = ordinals(df, keys, column)
+    placed = ordinals(scratch.stored(df.select(*keys, column), "values"), keys, column)
     totals = placed.groupBy(*keys).agg(F.sum("n").alias("_total"))
     placed = placed.join(totals, keys) if keys else placed.join(F.broadcast(totals))
     at = lambda p: (F.col("_total") - 1) * p
@@ -54,7 +50,8 @@ def quantiles(df: DataFrame, keys: Sequence[str], column: str, shares: dict[str,
 
 def spearman(pairs: DataFrame, a: str, b: str, *keys: str) -> DataFrame:
     """Rank correlation of two columns by keys; NULL for under three pairs and for a constant side."""
-    ranked = average_rank(average_rank(pairs.where(F.col(a).isNotNull() & F.col(b).isNotNull()), keys, a, "_ra"), keys, b, "_rb")
+    both = scratch.stored(pairs.where(F.col(a).isNotNull() & F.col(b).isNotNull()).select(*keys, a, b), "pairs")  # read by several branches
+    ranked = average_rank(average_rank(both, keys, a, "_ra"), keys, b, "_rb")
     g = ranked.groupBy(*keys).agg(F.count("*").alias("n"), F.stddev_pop("_ra").alias("sa"), F.stddev_pop("_rb").alias("sb"), F.covar_pop("_ra", "_rb").alias("c"))
     return g.select(*keys, "n", F.when((F.col("n") >= 3) & (F.col("sa") > 0) & (F.col("sb") > 0), F.col("c") / F.nullif(F.col("sa") * F.col("sb"), F.lit(0.0))).alias("rho"))
 
