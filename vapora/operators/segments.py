@@ -38,8 +38,11 @@ def cut(samples: DataFrame, keys: Sequence[str], rows: int = ROWS, ranges: int =
     """samples with seg, which grows with t within a recording; dealt by recording and segment."""
     keys, fine = list(keys), max(1, ranges // COARSE)
     shares = [k / (fine * COARSE) for k in range(1, fine * COARSE)]
-    edges = samples.groupBy(*keys).agg(F.count("*").alias("_n"), F.percentile_approx("t", shares, 20 * fine * COARSE).alias("_edges")).where(F.col("_n") > rows)
-    long = _joined(samples, edges.drop("_n"), keys, "left")
+    # only long recordings are sketched; where there are none the joins are found empty and go
+    beyond = samples.groupBy(*keys).agg(F.count("*").alias("_n")).where(F.col("_n") > rows).drop("_n") if keys else samples.agg(F.count("*").alias("_n")).where(F.col("_n") > rows).drop("_n")
+    edges = _joined(samples.select(*keys, "t"), beyond, keys).groupBy(*keys).agg(F.percentile_approx("t", shares, 20 * fine * COARSE).alias("_edges"))
+    edges = edges.where("_edges IS NOT NULL")
+    long = _joined(samples, edges, keys, "left")
     below = lambda some: F.size(F.filter(some, lambda e: e < F.col("t")))
     group = below(F.transform(F.sequence(F.lit(1), F.lit(COARSE - 1)), lambda k: F.get("_edges", k * fine - 1)))
     long = long.withColumn("_group", group)

@@ -51,7 +51,11 @@ def quantiles(df: DataFrame, keys: Sequence[str], column: str, shares: dict[str,
 def spearman(pairs: DataFrame, a: str, b: str, *keys: str) -> DataFrame:
     """Rank correlation of two columns by keys; NULL for under three pairs and for a constant side."""
     both = scratch.stored(pairs.where(F.col(a).isNotNull() & F.col(b).isNotNull()).select(*keys, a, b), "pairs")  # read by several branches
-    ranked = average_rank(average_rank(both, keys, a, "_ra"), keys, b, "_rb")
+    sides = F.explode(F.array(*(F.struct(F.lit(side).alias("_side"), F.col(c).cast("double").alias("_v")) for side, c in (("a", a), ("b", b))))).alias("s")
+    placed = ordinals(both.select(*keys, sides).select(*keys, "s.*"), [*keys, "_side"], "_v")
+    ranks = scratch.stored(placed.select(*keys, "_side", "_v", (F.col("first") + (F.col("n") + 1) / 2.0).alias("_r")), "ranks")
+    of = lambda side, c: ranks.where(F.col("_side") == side).select(*keys, F.col("_v").alias(c), F.col("_r").alias(f"_r{side}"))
+    ranked = both.withColumns({a: F.col(a).cast("double"), b: F.col(b).cast("double")}).join(of("a", a), [*keys, a]).join(of("b", b), [*keys, b])
     g = ranked.groupBy(*keys).agg(F.count("*").alias("n"), F.stddev_pop("_ra").alias("sa"), F.stddev_pop("_rb").alias("sb"), F.covar_pop("_ra", "_rb").alias("c"))
     return g.select(*keys, "n", F.when((F.col("n") >= 3) & (F.col("sa") > 0) & (F.col("sb") > 0), F.col("c") / F.nullif(F.col("sa") * F.col("sb"), F.lit(0.0))).alias("rho"))
 
