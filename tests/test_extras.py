@@ -216,3 +216,20 @@ def test_user_dictionary_of_names(spark):
     assert [r.id for r in molecules.remove_user_entries(saved, rows(["b"])).collect()] == ["a"] and molecules.user_entry(saved, "a").count() == 1
     x = np.random.default_rng(1).normal(size=(200, 6)) * np.array([5, 4, 3, 0.01, 0.01, 0.01])
     assert hardware.effective_rank(spark.createDataFrame([(r.tolist(),) for r in x], "v array<double>"), "v") == 3
+
+
+def test_singular_values_of_long_and_of_badly_conditioned_vectors(spark):
+    from vapora.operators import hardware
+
+    draw = np.random.default_rng(4)
+    long = draw.normal(size=(90, 3)) @ draw.normal(size=(3, 5000))
+    df = spark.createDataFrame([(r.tolist(),) for r in long], "v array<double>").repartition(3)
+    assert hardware.effective_rank(df, "v", 1 - 1e-12) == 3
+    q, _ = np.linalg.qr(draw.normal(size=(400, 4)) - 0.0)
+    skew = (q - q.mean(axis=0)) * np.array([1.0, 1e-3, 1e-6, 1e-9])
+    rows = [("a", r.tolist()) for r in skew] + [("b", [1.0, 2.0, 3.0, 4.0])] + [("c", [1.0, None]), ("c", [3.0, 4.0]), ("c", None), ("c", [5.0])]
+    got = {r.k: r for r in hardware.singular_values(spark.createDataFrame(rows, "k string, v array<double>").repartition(5), "v", "k").collect()}
+    want = np.linalg.svd(skew - skew.mean(axis=0), compute_uv=False)
+    assert np.allclose(got["a"]["values"], want, rtol=1e-6) and got["b"]["values"] == [0.0]
+    assert (got["c"].n, got["c"]["values"][0]) == (3, pytest.approx(8**0.5))
+    assert hardware.singular_values(df.where("false"), "v").count() == 0 and hardware.effective_rank(df.where("false"), "v") == 1.0
