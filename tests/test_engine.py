@@ -148,24 +148,37 @@ def test_gate(spark):
     assert hardware.effective_rank(alike.limit(1), "v") == 1.0
 
 
-@pytest.mark.parametrize(
-    ("text", "mw", "tb"),
-    [("c1ccc2c(c1)oc1ccccc12", 168.19, 567.3), ("CCOC(=S)[S-].[K+]", 160.29, 291.2), ("O=COCCc1ccccc1", 150.18, 408.6), ("O=c1ccc2ccccc2o1", 146.15, 501.7), ("CC12OCCC1SCS2", 162.27, 481.75), ("c1ccc(SSc2ccccc2)cc1", 218.33, 665.1), ("c1ccc(Oc2ccccc2)cc1", 170.21, 549.9), ("S=C=Nc1ccccc1", 135.18, 463.6)],
-)
-def test_group_contributions(text, mw, tb):
-    atoms = smiles.parse(text)
-    assert smiles.mass(atoms) == pytest.approx(mw, abs=0.011) and smiles.boiling_point_k(atoms) == pytest.approx(tb, abs=0.05)
+#: Recorded masses and boiling points in K.
+MOLECULES = [("c1ccc2c(c1)oc1ccccc12", 168.19, 567.3), ("CCOC(=S)[S-].[K+]", 160.29, 291.2), ("O=COCCc1ccccc1", 150.18, 408.6), ("O=c1ccc2ccccc2o1", 146.15, 501.7), ("CC12OCCC1SCS2", 162.27, 481.75), ("c1ccc(SSc2ccccc2)cc1", 218.33, 665.1), ("c1ccc(Oc2ccccc2)cc1", 170.21, 549.9), ("S=C=Nc1ccccc1", 135.18, 463.6)]
+
+
+def test_group_contributions(spark):
+    got = {r.smiles: r.d for r in smiles.describe(spark.createDataFrame([(text,) for text, _, _ in MOLECULES], "smiles string")).collect()}
+    for text, mw, tb in MOLECULES:
+        assert got[text].molecular_weight == pytest.approx(mw, abs=0.011) and got[text].boiling_point_c + 273.15 == pytest.approx(tb, abs=0.101), text
 
 
 def test_molecule_descriptions(spark):
-    d = smiles.describe("CCO")
-    assert d["molecular_weight"] == 46.07 and d["boiling_point_c"] == pytest.approx(64.4, abs=1) and d["groups"] == ["alcohol"] and d["redox_active"] and not d["gas"]
-    assert smiles.describe("O=C=O")["non_redox"] and smiles.describe("C(")["error"] and smiles.describe(None)["error"]
-    assert smiles.functional_groups(smiles.parse("C1=CC=CC=C1")) == ["aromatic"]
+    texts = ["CCO", "  CCO ", "O=C=O", "C(", "C)", "CC1", "C1=CC=CC=C1", "C1=CC2=C(C=C1)C=CC=C2", "C1CC1CC2CCC2", "[Xx]", "", None, "O", "C%10CCCCC%10", "CCO", "[NH4+].[Cl-]", "C1CC(C1"]
+    rows = spark.createDataFrame([(k, t) for k, t in enumerate(texts)], "k int, smiles string").withColumn("text", F.lit("x"))
+    got = [r.d for r in smiles.describe(rows).orderBy("k").collect()]
+    assert len(got) == len(texts)
+    assert got[0].molecular_weight == 46.07 and got[0].boiling_point_c == 64.4 and got[0].groups == ["alcohol"] and got[0].redox_active and not got[0].gas
+    assert got[0] == got[14] == got[1] and got[2].non_redox and got[12].non_redox is False
+    assert [k for k, d in enumerate(got) if d.error] == [3, 4, 5, 9, 10, 11, 16]
+    assert got[6].groups == got[7].groups == ["aromatic"] and got[8].groups == ["alkane"] and got[13].molecular_weight == 84.16
+    assert smiles.describe(rows.where("false")).count() == 0
     made = molecules.from_smiles(spark.createDataFrame([("CCO",), ("nonsense",)], "smiles string"))
     assert made.count() == 1 and feasibility.constituent_chain(made).first().verdict == "green"
 
 
+def test_rings_are_what_closing_bonds_go_round(spark):
+    texts = ["C1CC1CC2CCC2", "c1ccc2ccccc2c1", "CC(C1CC1)C", "C12CCC(CC1)C2", "CCO"]
+    atoms, bonds, _ = smiles.graph(spark.createDataFrame([(t,) for t in texts], "smiles string"))
+    sizes = {r.smiles: r.n for r in smiles.ring_atoms(atoms, bonds).groupBy("smiles").agg(F.count("*").alias("n")).collect()}
+    assert sizes == {texts[0]: 7, texts[1]: 10, texts[2]: 3, texts[3]: 7}
+
+
 def test_verdicts(spark):
     v = {r.id: r for r in feasibility.constituent_chain(catalogue.compounds(spark)).collect()}
     for i in ("ethanol", "acetone", "hydrogen-sulfide"):

@@ -1,14 +1,19 @@
-"""Properties of a molecule from its SMILES: mass, boiling point by group contributions, functional groups, reactivity."""
+"""Molecules as tables: tokens, atoms, bonds, rings and contribution groups of SMILES, and the properties that follow from them.
+
+A molecule is a text; each distinct one is worked out once, and its atoms and bonds are rows. Branches are nesting levels: an atom hangs
+on the last atom before it in its own branch, or on the one before the branch, and ring digits pair up by their order. The atoms on
+which an atom hangs, directly or not, are those whose branch encloses it, so the ring that a closing bond makes is found by a join
+of the bond's ends with the atoms that enclose either of them but not both. Everything else counts neighbours.
+
+Cases: a NULL, empty or malformed text has no properties but an error; repeated texts share one result; texts are trimmed of white
+space. An empty table gives an empty result.
+"""
 
 from __future__ import annotations
 
-import hashlib
-import re
-from collections import Counter
-from dataclasses import dataclass, field
+from dataclasses import dataclass
 
-import pandas as pd
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 #: Atomic weights.
@@ -21,133 +26,10 @@ GROUPS_K = {
     "-OH (alcohol)": 92.88, "-OH (phenol)": 76.34, "-O- (nonring)": 22.42, "-O- (ring)": 31.22, ">C=O (nonring)": 76.75, ">C=O (ring)": 94.97, "O=CH- (aldehyde)": 72.24, "-COOH (acid)": 169.09, "-COO- (ester)": 81.1, "=O (other)": -10.5,
     "-NH2": 73.23, ">NH (nonring)": 50.17, ">NH (ring)": 52.82, ">N- (nonring)": 11.74, "-N= (nonring)": 74.6, "-N= (ring)": 57.55, "=NH": 83.08, "-CN": 125.66, "-NO2": 152.54, "-SH": 63.56, "-S- (nonring)": 68.78, "-S- (ring)": 52.1,
 }
-_TOKEN = re.compile(r"(\[[^\]]*\])|(Br|Cl|[BCNOPSFI]|[bcnops])|([-=#:/\\.])|(\()|(\))|(%\d\d|\d)")
-_ATOM = re.compile(r"\[\d*([A-Z][a-z]?|[a-z]{1,2})@{0,2}(?:TH\d|AL\d)?(H\d*)?([+-]\d*|\++|-+)?(?::\d+)?\]")
-_VALENCE = {"B": 3, "C": 4, "N": 3, "O": 2, "P": 3, "S": 2, "F": 1, "Cl": 1, "Br": 1, "I": 1}
-_ORDER = {"-": 1, "=": 2, "#": 3, ":": 1, "/": 1, "\\": 1}
-
-
-@dataclass
-class Atom:
-    element: str
-    aromatic: bool
-    fixed_h: int | None
-    bonds: dict[int, int] = field(default_factory=dict)  # neighbour: order
-    ring: bool = False
-    h: int = 0
-
-
-def parse(smiles: str) -> list[Atom]:
-    """Atoms with bonds, hydrogens and ring membership; ValueError for text that isn't a SMILES."""
-    atoms: list[Atom] = []
-    stack: list[int] = []
-    closing: dict[str, tuple[int, int | None]] = {}
-    last, order, at, text = -1, None, 0, smiles.strip()
-    while at < len(text):
-        m = _TOKEN.match(text, at)
-        if not m:
-            raise ValueError(f"can't read {smiles!r} at {at}")
-        at = m.end()
-        bracket, plain, bond, opened, closed, digit = m.groups()
-        if bracket or plain:
-            if bracket:
-                a = _ATOM.fullmatch(bracket)
-                if not a:
-                    raise ValueError(f"can't read atom {bracket} in {smiles!r}")
-                symbol, h = a[1], int(a[2][1:] or 1) if a[2] else 0
-                atoms.append(Atom(symbol.capitalize(), symbol.islower(), h))
-            else:
-                atoms.append(Atom(plain.capitalize(), plain.islower(), None))
-            if last >= 0:
-                atoms[last].bonds[len(atoms) - 1] = atoms[-1].bonds[last] = order or 1
-            last, order = len(atoms) - 1, None
-        elif bond == ".":
-            last, order = -1, None
-        elif bond:
-            order = _ORDER[bond]
-        elif opened:
-            stack.append(last)
-        elif closed:
-            if not stack:
-                raise ValueError(f"unbalanced branches in {smiles!r}")
-            last, order = stack.pop(), None
-        elif digit in closing:
-            other, its = closing.pop(digit)
-            atoms[last].bonds[other] = atoms[other].bonds[last] = order or its or 1
-            order = None
-        else:
-            closing[digit], order = (last, order), None
-    if not atoms or stack or closing:
-        raise ValueError(f"can't read {smiles!r}")
-    _mark_rings(atoms)
-    _aromatise(atoms)
-    for a in atoms:
-        heavy = sum(atoms[n].element != "H" for n in a.bonds)
-        a.h = a.fixed_h if a.fixed_h is not None else (max(0, 3 - heavy) if a.element == "C" else 0) if a.aromatic else max(0, _VALENCE[a.element] - sum(a.bonds.values()))
-    return atoms
-
-
-def _mark_rings(atoms: list[Atom]) -> None:
-    """An atom is in a ring if one of its bonds isn't a bridge: depth-first numbers and the least number reached."""
-    number, least = [-1] * len(atoms), [0] * len(atoms)
-    count = 0
-    for root in range(len(atoms)):
-        if number[root] >= 0:
-            continue
-        path = [(root, -1, iter(atoms[root].bonds))]
-        number[root] = least[root] = count
-        count += 1
-        while path:
-            i, parent, rest = path[-1]
-            for j in rest:
-                if number[j] < 0:
-                    number[j] = least[j] = count
-                    count += 1
-                    path.append((j, i, iter(atoms[j].bonds)))
-                    break
-                if j != parent:
-                    least[i] = min(least[i], number[j])
-                    atoms[i].ring = atoms[j].ring = True
-            else:
-                path.pop()
-                if parent >= 0:
-                    least[parent] = min(least[parent], least[i])
-                    if least[i] <= number[parent]:
-                        atoms[i].ring = atoms[parent].ring = True
-
-
-def _six_rings(atoms: list[Atom]) -> list[list[int]]:
-    found: dict[frozenset[int], list[int]] = {}
-
-    def walk(path: list[int]) -> None:
-        for j in atoms[path[-1]].bonds:
-            if len(path) == 6 and j == path[0]:
-                found.setdefault(frozenset(path), path)
-            elif len(path) < 6 and j > path[0] and j not in path and atoms[j].ring:
-                walk([*path, j])
-
-    for i, a in enumerate(atoms):
-        if a.ring:
-            walk([i])
-    return list(found.values())
-
-
-def _aromatise(atoms: list[Atom]) -> None:
-    """Six-rings of carbon and nitrogen with alternating double bonds become aromatic."""
-    for ring in _six_rings(atoms):
-        orders = [atoms[a].bonds[b] for a, b in zip(ring, ring[1:] + ring[:1], strict=True)]
-        if all(atoms[i].element in "CN" for i in ring) and orders in ([1, 2] * 3, [2, 1] * 3):
-            for a, b in zip(ring, ring[1:] + ring[:1], strict=True):
-                atoms[a].bonds[b] = atoms[b].bonds[a] = 1
-                atoms[a].aromatic = True
-
-
-def mass(atoms: list[Atom]) -> float:
-    return sum(WEIGHTS[a.element] + a.h * WEIGHTS["H"] for a in atoms)
-
-
-def _oxo(atoms: list[Atom], i: int) -> list[int]:
-    return [j for j, o in atoms[i].bonds.items() if o == 2 and atoms[j].element == "O"]
+TOKEN = r"\[[^\]]*\]|Br|Cl|[BCNOPSFI]|[bcnops]|[-=#:/\\.]|\(|\)|%\d\d|\d"
+BRACKET = r"^\[\d*([A-Z][a-z]?|[a-z]{1,2})@{0,2}(?:TH\d|AL\d)?(H\d*)?([+-]\d*|\++|-+)?(?::\d+)?\]$"
+VALENCE = {"B": 3, "C": 4, "N": 3, "O": 2, "P": 3, "S": 2, "F": 1, "Cl": 1, "Br": 1, "I": 1}
+ORDERS = {"-": 1, "=": 2, "#": 3, ":": 1, "/": 1, "\\": 1}
 
 
 @dataclass(frozen=True)
@@ -219,85 +101,210 @@ GROUPS = (
 )
 
 
-def _neighbours(atoms: list[Atom], i: int) -> dict[int, set[str]]:
-    """What holds of each neighbour of an atom."""
-    out = {}
-    for j, order in atoms[i].bonds.items():
-        b, sign = atoms[j], "-=#"[order - 1]
-        facts = {"H": b.h > 0, "link": not b.h and len(b.bonds) > 1, "aromatic": b.aromatic, "oxo": bool(_oxo(atoms, j))}
-        out[j] = {sign, b.element, sign + b.element, *(k for k, holds in facts.items() if holds)}
-    return out
-
-
-def _fits(g: Group, a: Atom, near: dict[int, set[str]]) -> bool:
-    like = lambda what: sum(set(what.split()) <= x for x in near.values())
-    own = (not g.h or a.h in g.h) and (not g.bonds or len(a.bonds) in g.bonds) and g.ring in (None, a.ring) and g.aromatic in (None, a.aromatic)
-    return own and all(like(w) >= g.has.count(w) for w in g.has) and not any(map(like, g.lacks))
-
-
-def contributions(atoms: list[Atom]) -> Counter:
-    """Counts of contribution groups; an atom belongs to one group at most."""
-    names: dict[int, str | None] = {}
-    taken: set[int] = set()
-    for i, a in enumerate(atoms):
-        near = _neighbours(atoms, i)
-        if g := next((g for g in GROUPS if g.element == a.element and _fits(g, a, near)), None):
-            names[i] = g.name
-            taken |= {j for j, x in near.items() if any(set(w.split()) <= x for w in g.takes)}
-    return Counter(name for i, name in names.items() if name and i not in taken)
-
-
-def boiling_point_k(atoms: list[Atom]) -> float:
-    return BASE_K + sum(n * GROUPS_K[g] for g, n in contributions(atoms).items())
-
-
-def functional_groups(atoms: list[Atom]) -> list[str]:
-    """Names of the functional groups, sorted."""
-    c, out = contributions(atoms), set()
-    carbon = [i for i, a in enumerate(atoms) if a.element == "C"]
-    for name, key in (("carboxylic acid", "-COOH (acid)"), ("ester", "-COO- (ester)"), ("aldehyde", "O=CH- (aldehyde)"), ("alcohol", "-OH (alcohol)"), ("phenol", "-OH (phenol)"), ("ether", "-O- (nonring)"), ("thiol", "-SH")):
-        if c[key] and carbon:
-            out.add(name)
-    ketones = c[">C=O (nonring)"] + c[">C=O (ring)"]
-    out |= {"ketone"} if ketones else set()
-    out |= {"diketone"} if ketones > 1 else set()
-    out |= {"aromatic"} if any(a.aromatic for a in atoms) else set()
-    out |= {"furan"} if any(a.element == "O" and a.aromatic for a in atoms) else set()
-    out |= {"amine"} if any(a.element == "N" and not _oxo(atoms, i) and not a.aromatic and set(a.bonds.values()) <= {1} for i, a in enumerate(atoms)) else set()
-    sulfur = [a for a in atoms if a.element == "S"]
-    out |= {"sulfur"} if sulfur else set()
-    out |= {"thioether"} if any(len(a.bonds) == 2 and not a.aromatic for a in sulfur) else set()
-    double = any(o == 2 and atoms[j].element == "C" for i in carbon for j, o in atoms[i].bonds.items())
-    out |= {"alkene"} if double else set()
-    if len(carbon) == len(atoms) and not double and not out and all(set(a.bonds.values()) <= {1} for a in atoms):
-        out.add("alkane")
-    return sorted(out)
-
-
-def describe(smiles: str | None) -> dict:
-    """All properties of a SMILES; error says why there are none."""
-    out: dict = dict.fromkeys(("id", "molecular_weight", "boiling_point_c", "groups", "redox_active", "non_redox", "gas", "error"))
-    try:
-        atoms = parse(smiles or "")
-        boil = boiling_point_k(atoms) - 273.15
-        organic = any(g not in ("=O (other)", "-F", "-Cl", "-Br", "-I") for g in contributions(atoms)) and any(a.element == "C" for a in atoms)
-        plain = smiles.strip()
-        inert = None if organic else plain not in ("O", "O=O", "N#N", "[NH3]")
-        out |= {"id": "inf-" + hashlib.sha1(plain.encode()).hexdigest()[:10], "molecular_weight": round(mass(atoms), 2), "boiling_point_c": round(boil, 1), "groups": functional_groups(atoms), "redox_active": organic, "non_redox": inert, "gas": boil < 25.0}
-    except (ValueError, KeyError) as e:
-        out["error"] = str(e)
-    return out
-
-
 SCHEMA = "id string, molecular_weight double, boiling_point_c double, groups array<string>, redox_active boolean, non_redox boolean, gas boolean, error string"
+_FAR = 1 << 30
+
+
+def _map(values: dict, key: Column) -> Column:
+    return F.element_at(F.create_map(*(F.lit(x) for kv in values.items() for x in kv)), key)
+
+
+def _total(x: Column) -> Column:
+    """Sum of a molecule's few terms with what each addition loses carried along, so that their order doesn't count."""
+
+    def add(a: Column, v: Column) -> Column:
+        s = a["s"] + v
+        lost = F.when(F.abs(a["s"]) >= F.abs(v), (a["s"] - s) + v).otherwise((v - s) + a["s"])
+        return F.struct(s.alias("s"), (a["c"] + lost).alias("c"))
+
+    return F.aggregate(F.array_sort(F.collect_list(x)), F.struct(F.lit(0.0).alias("s"), F.lit(0.0).alias("c")), add, lambda a: a["s"] + a["c"])
+
+
+def _rounded(x: Column, scale: int) -> Column:
+    """x rounded to 1 / scale, a half to even; what the product of x and the scale loses is carried, so only true halves count as such."""
+    twice = x * float(2 * scale)
+    far = x * 134217729.0
+    high = far - (far - x)
+    lost = (high * float(2 * scale) - twice) + (x - high) * float(2 * scale)
+    n = F.floor(twice / 2)
+    over = (twice - (n * 2 + 1)) + lost
+    return (n + F.when((over > 0) | ((over == 0) & (n % 2 == 1)), 1).otherwise(0)) / scale
+
+
+def tokens(molecules: DataFrame) -> DataFrame:
+    """smiles, text, pos, token and the token before, a row per token of each molecule."""
+    listed = molecules.select("smiles", F.trim("smiles").alias("text")).select("smiles", "text", F.posexplode(F.regexp_extract_all("text", F.lit(TOKEN), F.lit(0))).alias("pos", "token"))
+    return listed.repartition("smiles").withColumn("before", F.lag("token").over(Window.partitionBy("smiles").orderBy("pos")))
+
+
+def _entries(toks: DataFrame) -> DataFrame:
+    """Tokens with their branch: an opening bracket is also a member of the branch around it, and ends at its closing one."""
+    depth = F.sum(F.when(F.col("token") == "(", 1).when(F.col("token") == ")", -1).otherwise(0)).over(Window.partitionBy("smiles").orderBy("pos"))
+    kind = F.when(F.col("token").rlike(r"^[\[A-Za-z]"), "atom").when(F.col("token").rlike(r"\d"), "digit").when(F.col("token") == ".", "dot").otherwise("bond")
+    t = toks.withColumn("depth", depth)
+    part = lambda level, name: F.struct(level.cast("int").alias("level"), F.lit(name).alias("kind"))
+    d = F.col("depth")
+    roles = F.when(F.col("token") == "(", F.array(part(d, "open"), part(d - 1, "branch"))).when(F.col("token") == ")", F.array(part(d + 1, "close"))).otherwise(F.array(F.struct(d.cast("int").alias("level"), kind.alias("kind"))))
+    e = t.select("smiles", "text", "pos", "token", "before", "depth", F.inline(roles))
+    level = Window.partitionBy("smiles", "level").orderBy("pos")
+    e = e.withColumn("branch", F.coalesce(F.max(F.when(F.col("kind") == "open", F.col("pos"))).over(level.rowsBetween(Window.unboundedPreceding, 0)), F.lit(-1)))
+    return e.withColumn("closed", F.min(F.when(F.col("kind") == "close", F.col("pos"))).over(level.rowsBetween(0, Window.unboundedFollowing)))
+
+
+def _linked(entries: DataFrame) -> DataFrame:
+    """Members of branches with link, the atom that they hang on (-1 behind a dot), and end, where what hangs on them ends."""
+    inside = Window.partitionBy("smiles", "level", "branch").orderBy("pos")
+    m = entries.where("kind NOT IN ('open', 'close')")
+    link = F.last(F.when(F.col("kind") == "atom", F.col("pos")).when(F.col("kind") == "dot", -1), ignorenulls=True).over(inside.rowsBetween(Window.unboundedPreceding, -1))
+    dot = F.min(F.when(F.col("kind") == "dot", F.col("pos"))).over(inside.rowsBetween(1, Window.unboundedFollowing))
+    m = m.withColumns({"link": link, "end": F.least(F.coalesce(dot, F.lit(_FAR)), F.coalesce("closed", F.lit(_FAR)))})
+    around = m.where("kind = 'branch'").select("smiles", F.col("pos").alias("branch"), F.col("link").alias("outer"))
+    return m.join(around, ["smiles", "branch"], "left").withColumn("link", F.coalesce("link", F.when(F.col("kind") == "atom", F.col("outer")))).drop("outer")
+
+
+def graph(molecules: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Atoms (smiles, atom, element, aromatic, fixed_h, parent, end), bonds in both directions (smiles, a, b, order), and faults by smiles."""
+    toks = tokens(molecules)
+    m = _linked(_entries(toks))
+    order = _map(ORDERS, F.col("before"))
+    bracket = F.col("token").startswith("[")
+    symbol = F.when(bracket, F.regexp_extract("token", BRACKET, 1)).otherwise(F.col("token"))
+    count = F.regexp_extract("token", BRACKET, 2)
+    hydrogens = F.when(bracket, F.when(count == "", 0).when(count == "H", 1).otherwise(F.substring(count, 2, 9).try_cast("int")))
+    atoms = m.where("kind = 'atom'").select("smiles", F.col("pos").alias("atom"), F.initcap(symbol).alias("element"), (symbol == F.lower(symbol)).alias("aromatic"), hydrogens.alias("fixed_h"), F.col("link").alias("parent"), F.coalesce(order, F.lit(1)).alias("order"), "end", F.col("level"))
+    first = F.row_number().over(Window.partitionBy("smiles", "token").orderBy("pos"))
+    digits = m.where("kind = 'digit'").select("smiles", "token", "pos", "link", order.alias("order"), first.alias("k")).withColumn("pair", F.floor((F.col("k") + 1) / 2))
+    ends = F.array_sort(F.collect_list(F.struct("pos", F.coalesce("link", F.lit(-1)).alias("link"), F.coalesce("order", F.lit(0)).alias("order"))))
+    rings = digits.groupBy("smiles", "token", "pair").agg(ends.alias("e"))
+    closing = rings.where("size(e) = 2").select("smiles", F.col("e")[0]["link"].alias("a"), F.col("e")[1]["link"].alias("b"), F.coalesce(F.nullif(F.col("e")[1]["order"], F.lit(0)), F.nullif(F.col("e")[0]["order"], F.lit(0)), F.lit(1)).alias("order"), F.lit(True).alias("closes"))
+    hung = atoms.where("parent >= 0").select("smiles", F.col("parent").alias("a"), F.col("atom").alias("b"), "order", F.lit(False).alias("closes"))
+    one = hung.unionByName(closing)
+    bonds = one.unionByName(one.select("smiles", F.col("b").alias("a"), F.col("a").alias("b"), "order", "closes"))
+
+    chars = toks.groupBy("smiles").agg(F.sum(F.length("token")).alias("read"), F.first(F.length("text")).alias("length"))
+    levels = _entries(toks).groupBy("smiles").agg(F.min("depth").alias("low"), F.max_by("depth", F.struct("pos", "kind")).alias("left"))
+    known = _map(dict.fromkeys(WEIGHTS, 1), F.col("element"))
+    odd = atoms.groupBy("smiles").agg(F.count_if(known.isNull() | F.col("fixed_h").isNull() & ~F.col("element").isin(*VALENCE)).alias("strange"), F.count_if(F.col("parent").isNull() & (F.col("level") > 0)).alias("loose"))
+    open_rings = rings.groupBy("smiles").agg(F.count_if((F.size("e") != 2) | F.exists("e", lambda x: x["link"] < 0)).alias("open"))
+    f = molecules.select("smiles").join(chars, "smiles", "left").join(levels, "smiles", "left").join(odd, "smiles", "left").join(open_rings, "smiles", "left")
+    wrong = (
+        F.when(F.coalesce(F.col("read") != F.col("length"), F.lit(True)) | F.col("strange").isNull(), "can't read the text").when((F.col("low") < 0) | (F.col("left") != 0) | (F.col("loose") > 0), "unbalanced branches")
+        .when(F.col("open") > 0, "a ring isn't closed").when(F.col("strange") > 0, "an atom isn't known")
+    )
+    return atoms.drop("order", "level"), bonds, f.select("smiles", wrong.alias("error"))
+
+
+def ring_atoms(atoms: DataFrame, bonds: DataFrame) -> DataFrame:
+    """smiles and atom of all atoms in rings: those on the way between the ends of a closing bond."""
+    closing = bonds.where("closes AND a < b").select("smiles", "a", "b")
+    encloses = lambda x: (F.col("atom") <= F.col(x)) & (F.col("end") > F.col(x))
+    on = closing.join(atoms.select("smiles", "atom", "end"), "smiles").withColumns({"of_a": encloses("a"), "of_b": encloses("b")}).where("of_a OR of_b")
+    deepest = F.max(F.when(F.col("of_a") & F.col("of_b"), F.col("atom"))).over(Window.partitionBy("smiles", "a", "b"))
+    return on.withColumn("deepest", deepest).where("of_a <> of_b OR atom = deepest").select("smiles", "atom").distinct()
+
+
+def aromatic_bonds(atoms: DataFrame, bonds: DataFrame, rings: DataFrame) -> DataFrame:
+    """smiles, a and b of the bonds of six-rings of carbon and nitrogen whose double bonds alternate, in both directions."""
+    may = atoms.where("element IN ('C', 'N')").join(rings, ["smiles", "atom"]).select("smiles", "atom")
+    inside = bonds.join(may.withColumnRenamed("atom", "a"), ["smiles", "a"]).join(may.withColumnRenamed("atom", "b"), ["smiles", "b"]).select("smiles", "a", "b", "order")
+    double = inside.where("order = 2").select("smiles", F.col("a").alias("u"), F.col("b").alias("v"))
+    single = inside.where("order = 1").select("smiles", F.col("a").alias("v"), F.col("b").alias("w"))
+    step = double.join(single, ["smiles", "v"])  # u = v - w
+    name = lambda k: step.select("smiles", F.col("u").alias(f"u{k}"), F.col("v").alias(f"v{k}"), F.col("w").alias(f"u{k % 3 + 1}"))
+    found = name(1).join(name(2), ["smiles", "u2"]).join(name(3), ["smiles", "u3", "u1"])
+    ring = F.array("u1", "v1", "u2", "v2", "u3", "v3")
+    found = found.where(F.size(F.array_distinct(ring)) == 6).select("smiles", F.explode(F.transform(F.sequence(F.lit(0), F.lit(5)), lambda k: F.struct(F.get(ring, k).alias("a"), F.get(ring, (k + 1) % 6).alias("b")))).alias("s"))
+    some = found.select("smiles", "s.a", "s.b")
+    return some.unionByName(some.select("smiles", F.col("b").alias("a"), F.col("a").alias("b"))).distinct()
+
+
+def _holds(pattern: str) -> Column:
+    """Whether a bond's neighbour is as a Group describes it."""
+    out = F.lit(True)
+    for what in pattern.split():
+        if what in ("H", "link", "aromatic", "oxo"):
+            out = out & F.col(f"is_{what}")
+        else:
+            sign, element = (what[0], what[1:]) if what[0] in "-=#" else ("", what)
+            if sign:
+                out = out & (F.col("order") == "-=#".index(sign) + 1)
+            if element:
+                out = out & (F.col("near") == element)
+    return out
 
 
-def describe_column(smiles: Column) -> Column:
-    """describe() as a struct column, in Arrow batches."""
-
-    @F.pandas_udf(SCHEMA)
-    def run(s: pd.Series) -> pd.DataFrame:
-        known = {x: describe(x) for x in s.unique()}
-        return pd.DataFrame([known[x] for x in s], columns=[c.split()[0] for c in SCHEMA.split(", ")])
-
-    return run(smiles)
+_PATTERNS = sorted({w for g in GROUPS for w in (*g.has, *g.lacks, *g.takes)})
+
+
+def _fits(g: Group) -> Column:
+    own = F.col("element") == g.element
+    own = own & F.col("h").isin(*g.h) if g.h else own
+    own = own & F.col("degree").isin(*g.bonds) if g.bonds else own
+    own = own & (F.col("ring") == g.ring) if g.ring is not None else own
+    own = own & (F.col("aromatic") == g.aromatic) if g.aromatic is not None else own
+    for w in set(g.has):
+        own = own & (F.col(f"n_{_PATTERNS.index(w)}") >= g.has.count(w))
+    for w in g.lacks:
+        own = own & (F.col(f"n_{_PATTERNS.index(w)}") == 0)
+    return own
+
+
+def describe(rows: DataFrame, smiles: str = "smiles", out: str = "d") -> DataFrame:
+    """rows with a struct of the properties of their SMILES (SCHEMA); error says why there are none."""
+    from vapora.sources import scratch
+
+    molecules = rows.select(F.col(smiles).alias("smiles")).where("smiles IS NOT NULL").distinct()
+    atoms, bonds, faults = (scratch.stored(df, name) for df, name in zip(graph(scratch.stored(molecules, "molecules")), ("atoms", "bonds", "faults")))
+    sound = faults.where("error IS NULL").select("smiles")
+    atoms, bonds = atoms.join(sound, "smiles", "left_semi"), bonds.join(sound, "smiles", "left_semi")
+    rings = scratch.stored(ring_atoms(atoms, bonds), "rings")
+    alternating = scratch.stored(aromatic_bonds(atoms, bonds, rings), "alternating")
+    bonds = bonds.join(alternating.withColumn("evened", F.lit(True)), ["smiles", "a", "b"], "left").withColumn("order", F.when(F.col("evened"), 1).otherwise(F.col("order"))).select("smiles", "a", "b", "order")
+    turned = alternating.select("smiles", F.col("a").alias("atom"), F.lit(True).alias("turned")).distinct()
+    atoms = atoms.join(rings.withColumn("ring", F.lit(True)), ["smiles", "atom"], "left").join(turned, ["smiles", "atom"], "left")
+    atoms = atoms.select("smiles", "atom", "element", (F.col("aromatic") | F.coalesce("turned", F.lit(False))).alias("aromatic"), "fixed_h", F.coalesce("ring", F.lit(False)).alias("ring"))
+    element = atoms.select("smiles", F.col("atom").alias("b"), F.col("element").alias("near"))
+    per = bonds.join(element, ["smiles", "b"]).groupBy("smiles", F.col("a").alias("atom")).agg(
+        F.count("*").alias("degree"), F.sum("order").alias("orders"), F.max("order").alias("most"), F.count_if(F.col("near") != "H").alias("heavy"), F.count_if((F.col("order") == 2) & (F.col("near") == "O")).alias("oxo"), F.count_if((F.col("order") == 2) & (F.col("near") == "C")).alias("doubles"),
+    )
+    a = atoms.join(per, ["smiles", "atom"], "left").na.fill(0, ["degree", "orders", "most", "heavy", "oxo", "doubles"])
+    free = F.when(F.col("aromatic"), F.when(F.col("element") == "C", F.greatest(F.lit(0), 3 - F.col("heavy"))).otherwise(0)).otherwise(F.greatest(F.lit(0), _map(VALENCE, F.col("element")) - F.col("orders")))
+    a = scratch.stored(a.withColumn("h", F.coalesce("fixed_h", free).cast("int")), "atoms")
+
+    facts = a.select("smiles", F.col("atom").alias("b"), F.col("element").alias("near"), (F.col("h") > 0).alias("is_H"), ((F.col("h") == 0) & (F.col("degree") > 1)).alias("is_link"), F.col("aromatic").alias("is_aromatic"), (F.col("oxo") > 0).alias("is_oxo"))
+    told = scratch.stored(bonds.join(facts, ["smiles", "b"]).select("smiles", "a", "b", *(_holds(w).alias(f"p_{k}") for k, w in enumerate(_PATTERNS))), "neighbours")
+    counts = told.groupBy("smiles", F.col("a").alias("atom")).agg(*(F.count_if(f"p_{k}").alias(f"n_{k}") for k in range(len(_PATTERNS))))
+    g = a.join(counts, ["smiles", "atom"], "left").na.fill(0, [f"n_{k}" for k in range(len(_PATTERNS))])
+    group = F.coalesce(*(F.when(_fits(x), n) for n, x in enumerate(GROUPS)))
+    g = scratch.stored(g.select("smiles", "atom", group.alias("group")), "groups")
+    takes = F.coalesce(*(F.when(F.col("group") == n, F.expr(" OR ".join(f"p_{_PATTERNS.index(w)}" for w in x.takes))) for n, x in enumerate(GROUPS) if x.takes))
+    taken = told.join(g.withColumnRenamed("atom", "a"), ["smiles", "a"]).where(takes).select("smiles", F.col("b").alias("atom")).distinct()
+    name = F.get(F.array(*(F.lit(x.name) for x in GROUPS)), F.col("group"))
+    own = g.join(taken, ["smiles", "atom"], "left_anti").select("smiles", name.alias("name")).where("name IS NOT NULL")
+    own = own.groupBy("smiles", "name").agg(F.count("*").alias("k"))
+    slight = ("=O (other)", "-F", "-Cl", "-Br", "-I")
+    of = lambda *names: F.sum(F.when(F.col("name").isin(*names), F.col("k")).otherwise(0))
+    named = {"carboxylic acid": "-COOH (acid)", "ester": "-COO- (ester)", "aldehyde": "O=CH- (aldehyde)", "alcohol": "-OH (alcohol)", "phenol": "-OH (phenol)", "ether": "-O- (nonring)", "thiol": "-SH"}
+    groups = own.groupBy("smiles").agg(_total(F.col("k") * _map(GROUPS_K, F.col("name"))).alias("kelvin"), F.sum(F.when(~F.col("name").isin(*slight), F.col("k")).otherwise(0)).alias("telling"), of(">C=O (nonring)", ">C=O (ring)").alias("ketones"), *(of(key).alias(n) for n, key in named.items()))
+    carbon, sulfur = F.col("element") == "C", F.col("element") == "S"
+    whole = a.groupBy("smiles").agg(
+        _total(_map(WEIGHTS, F.col("element")) + F.col("h") * WEIGHTS["H"]).alias("mass"), F.count("*").alias("n"), F.count_if(carbon).alias("carbons"), F.count_if("aromatic").alias("aromatic"), F.count_if((F.col("element") == "O") & F.col("aromatic")).alias("furan"),
+        F.count_if((F.col("element") == "N") & (F.col("oxo") == 0) & ~F.col("aromatic") & (F.col("most") <= 1)).alias("amine"), F.count_if(sulfur).alias("sulfur"), F.count_if(sulfur & (F.col("degree") == 2) & ~F.col("aromatic")).alias("thioether"),
+        F.count_if(carbon & (F.col("doubles") > 0)).alias("alkene"), F.max("most").alias("most"),
+    )
+    m = whole.join(groups, "smiles", "left").na.fill(0)
+    some = [F.when((F.col(n) > 0) & (F.col("carbons") > 0), n) for n in named] + [F.when(F.col("ketones") > 0, "ketone"), F.when(F.col("ketones") > 1, "diketone")] + [F.when(F.col(n) > 0, n) for n in ("aromatic", "furan", "amine", "sulfur", "thioether", "alkene")]
+    m = m.withColumn("groups", F.array_sort(F.array_compact(F.array(*some))))
+    alkane = (F.size("groups") == 0) & (F.col("carbons") == F.col("n")) & (F.col("most") <= 1)
+    organic = (F.col("telling") > 0) & (F.col("carbons") > 0)
+    celsius = (F.lit(BASE_K) + F.col("kelvin")) - 273.15
+    plain = F.trim("smiles")
+    m = m.select(
+        "smiles", F.concat(F.lit("inf-"), F.left(F.sha1(plain), F.lit(10))).alias("id"), _rounded(F.col("mass"), 100).alias("molecular_weight"), _rounded(celsius, 10).alias("boiling_point_c"), F.when(alkane, F.array(F.lit("alkane"))).otherwise(F.col("groups")).alias("groups"),
+        organic.alias("redox_active"), F.when(~organic, ~plain.isin("O", "O=O", "N#N", "[NH3]")).alias("non_redox"), (celsius < 25.0).alias("gas"),
+    )
+    names = [c.split()[0] for c in SCHEMA.split(", ")]
+    told = faults.join(m, "smiles", "left").select("smiles", F.struct(*names).alias("_d"))
+    none = F.struct(*(F.lit("can't read the text" if n == "error" else None).cast(kind).alias(n) for n, kind in (c.split(" ", 1) for c in SCHEMA.split(", "))))
+    # the properties are a row for each distinct molecule; Spark broadcasts them if they are few
+    return rows.join(told, rows[smiles] == told["smiles"], "left").select(*(rows[c] for c in rows.columns), F.coalesce("_d", none).alias(out))

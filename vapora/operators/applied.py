@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from vapora.functions import arrays as A
 from vapora.functions import catalogue, sensors
-from vapora.functions.smiles import describe_column
+from vapora.functions.smiles import describe
 from vapora.operators import channels, enrichment, feasibility, kinetics, molecules, search, signal, study, timing
 from vapora.plans import manifest, views
 from vapora.sources import recordings as R
@@ -24,7 +24,7 @@ def _q_feasibility(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _q_smiles(spark: SparkSession, sf_dir: str) -> DataFrame:
-    d = views.substances(spark, sf_dir).select("p_partkey", "id", describe_column(F.col("smiles")).alias("d"))
+    d = describe(views.substances(spark, sf_dir).select("p_partkey", "id", "smiles"))
     return d.select("p_partkey", "id", "d.molecular_weight", "d.boiling_point_c", F.array_join("d.groups", ",").alias("groups"), "d.redox_active", "d.gas")
 
 
