@@ -81,7 +81,7 @@ def composite_verdict(composites: DataFrame, compounds: DataFrame) -> DataFrame:
     first = Window.partitionBy("id").orderBy(F.col("provisional").asc(), "ord")
     chain = constituent_chain(compounds.withColumn("_r", F.row_number().over(first)).where("_r = 1").drop("_r"))
     graded = chain.select(F.col("id").alias("chemical_id"), F.col("verdict").alias("v"), F.col("signal_strength").alias("s"), F.col("response_speed").alias("sp"), "signal_score", F.col("confidence").alias("cf"))
-    rows = parts.join(F.broadcast(graded), "chemical_id", "left").withColumn("weight", F.when(F.col("v").isNotNull(), F.col("weight")))
+    rows = parts.join(graded, "chemical_id", "left").withColumn("weight", F.when(F.col("v").isNotNull(), F.col("weight")))
     g = rows.groupBy("id", "name").agg(
         F.sum("weight").alias("all"), F.sum(F.when(F.col("v") == "red", F.col("weight"))).alias("red"), F.sum(F.when(F.col("v") != "green", F.col("weight"))).alias("dull"),
         F.count("v").alias("n_resolved"), F.min_by(F.struct("s", "sp", "chemical_id"), F.when(F.col("v").isNotNull(), F.struct((-F.col("weight") * F.col("signal_score")).alias("c"), "pos"))).alias("top"),
@@ -97,9 +97,9 @@ def composite_verdict(composites: DataFrame, compounds: DataFrame) -> DataFrame:
     )
 
 
-def class_verdict(classes: DataFrame) -> DataFrame:
-    """Classes always grade yellow with low confidence."""
-    return classes.select(F.concat(F.lit("class:"), "class").alias("id"), F.col("label").alias("name"), F.lit("yellow").alias("verdict"), F.lit("low").alias("confidence"), F.lit("moderate").alias("signal_strength"), F.lit("medium").alias("response_speed"))
+def class_verdict(classes: DataFrame, *keep: str) -> DataFrame:
+    """Classes, with the columns to keep, always grade yellow with low confidence."""
+    return classes.select(*keep, F.concat(F.lit("class:"), "class").alias("id"), F.col("label").alias("name"), F.lit("yellow").alias("verdict"), F.lit("low").alias("confidence"), F.lit("moderate").alias("signal_strength"), F.lit("medium").alias("response_speed"))
 
 
 def resolve(spark: SparkSession, entity: str, kind: str, extra: DataFrame | None = None) -> DataFrame:
@@ -180,10 +180,15 @@ def _q_bands(spark: SparkSession, sf_dir: str) -> DataFrame:
     return o.select("o_orderkey", physics.volatility_label(F.col("x")).alias("volatility"), physics.headspace_band(F.col("x")).alias("headspace"), physics.signal_band(F.col("x")).alias("signal"))
 
 
+def _parts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Parts' substances under their own ids."""
+    return views.substances(spark, sf_dir).withColumn("id", F.col("p_partkey"))
+
+
 def _q_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
-    c = catalogue.compounds(spark)
+    c = _parts(spark, sf_dir)
     v = relevant_boundaries(constituent_chain(c).withColumn("kind", F.lit("chemical")))
-    return perceptual_summary(v, percepts_of(c)).selectExpr("id", "summary", "array_join(boundaries, ',') AS boundaries")
+    return perceptual_summary(v, percepts_of(c)).selectExpr("id AS p_partkey", "summary", "array_join(boundaries, ',') AS boundaries")
 
 
 def _q_chain(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -192,16 +197,23 @@ def _q_chain(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _q_composite(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = composite_verdict(catalogue.composites(spark), catalogue.compounds(spark))
-    return out.selectExpr("id", "verdict", "signal_strength", "response_speed", "dominant", "confidence", "n_resolved", f"{A.snap('red_share', 6)} AS red_share", f"{A.snap('non_green_share', 6)} AS non_green_share")
+    """Orders as mixtures: a constituent for each line, its part's substance by quantity; every ninth part's is unknown."""
+    lines = views.table(spark, sf_dir, "lineitem").join(views.substances(spark, sf_dir).select(F.col("p_partkey").alias("l_partkey"), "id"), "l_partkey")
+    lines = lines.withColumn("id", F.when(F.col("l_partkey") % 9 == 0, "unheard-of").otherwise(F.col("id")))
+    parts = F.array_sort(F.collect_list(F.struct("l_linenumber", F.col("id").alias("chemical_id"), F.col("l_quantity").alias("weight"))))
+    mixes = lines.groupBy(F.col("l_orderkey").alias("id")).agg(parts.alias("constituents")).withColumn("name", F.concat(F.lit("order "), "id"))
+    out = composite_verdict(mixes, catalogue.compounds(spark))
+    return out.selectExpr("id", "name", "verdict", "signal_strength", "response_speed", "dominant", "confidence", "n_resolved", f"{A.snap('red_share', 6)} AS red_share", f"{A.snap('non_green_share', 6)} AS non_green_share")
 
 
 def _q_class(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return class_verdict(catalogue.classes(spark))
+    """The classes that each part's substance belongs to, as targets of their own."""
+    groups = views.substances(spark, sf_dir).select("p_partkey", F.explode("groups").alias("class"))
+    return class_verdict(groups.join(F.broadcast(catalogue.classes(spark).select("class", "label")), "class"), "p_partkey")
 
 
 def _q_percepts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return top_percepts(catalogue.compounds(spark)).selectExpr("id", "n_percepts", "array_join(top, ',') AS top", "dominant", "low_volatility")
+    return top_percepts(_parts(spark, sf_dir)).selectExpr("id AS p_partkey", "n_percepts", "array_join(top, ',') AS top", "dominant", "low_volatility")
 
 
 def _q_cross(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -256,22 +268,22 @@ _PERCEPTS_L = "pc(ord, percept, label, groups, words) AS (VALUES " + ", ".join(f
 _s = A.snap
 ORACLE_SQL = {
     "constituent_chain": f"WITH {_CHAIN}, {views.PARTS} SELECT p_partkey, id, verdict, g_volatility, g_signal, g_reactivity, sig AS signal_strength, speed AS response_speed, conf AS confidence, vs AS vp_source, {_s('vp', 3)} AS vp, {_s('ratio', 6)} AS ratio FROM cv JOIN pt USING (id)",
-    "composite_verdict": f"""WITH {_CHAIN}, mx(id, pos, chem, w) AS (VALUES {', '.join(f"({_q(i)}, {p}, {_q(c)}, {_d(w)})" for _, i, _, _, _, parts in catalogue.composite_rows() for p, (c, w, _) in enumerate(parts))}),
-j AS (SELECT mx.*, verdict, sig, speed, conf, CASE sig WHEN 'strong' THEN 1 WHEN 'moderate' THEN 0.6 WHEN 'weak' THEN 0.3 ELSE 0 END::DOUBLE AS sc FROM mx JOIN cv ON mx.chem = cv.id),
-g AS (SELECT id, count(*) AS n, sum(w) AS a, coalesce(sum(w) FILTER (verdict = 'red'), 0) AS r, coalesce(sum(w) FILTER (verdict <> 'green'), 0) AS d, arg_min({{'s': sig, 'p': speed, 'c': chem}}, (-w * sc, pos)) AS t, bool_or(conf = 'medium') AS m FROM j GROUP BY id)
-SELECT id, CASE WHEN r / a > 0.5 THEN 'red' WHEN d / a > 0.4 THEN 'yellow' ELSE 'green' END AS verdict, t.s AS signal_strength, t.p AS response_speed, t.c AS dominant, CASE WHEN m THEN 'medium' ELSE 'high' END AS confidence, n AS n_resolved, {_s('r / a', 6)} AS red_share, {_s('d / a', 6)} AS non_green_share FROM g""",
-    "class_verdict": "SELECT 'class:' || k AS id, l AS name, 'yellow' AS verdict, 'low' AS confidence, 'moderate' AS signal_strength, 'medium' AS response_speed FROM (VALUES " + ", ".join(f"({_q(k)}, {_q(label)})" for _, k, label, _ in catalogue.class_rows()) + ") t(k, l)",
-    "percepts_for": f"""WITH {_COMPOUNDS}, {_PERCEPTS}, j AS (SELECT id, pc.ord, percept, list_has_any(cp.groups, pc.groups) AS hit FROM cp JOIN pc ON list_has_any(cp.groups, pc.groups) OR len(list_filter(words, lambda w: contains(lower(name || ' ' || odor), w))) > 0)
-SELECT id, count(*)::INT AS n_percepts, array_to_string(list(percept ORDER BY ord)[:3], ',') AS top, arg_min(percept, (NOT hit, ord)) AS dominant, arg_min(percept, (NOT hit, ord)) IN ('spicy-balsamic', 'smoky-phenolic') AS low_volatility FROM j GROUP BY id""",
+    "composite_verdict": f"""WITH {_CHAIN}, {views.PARTS}, mx AS (SELECT l_orderkey AS id, CASE WHEN l_partkey % 9 = 0 THEN 'unheard-of' ELSE pt.id END AS chem, l_quantity AS w, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, CASE WHEN l_partkey % 9 = 0 THEN 'unheard-of' ELSE pt.id END, l_quantity) AS pos FROM lineitem JOIN pt ON p_partkey = l_partkey),
+j AS (SELECT mx.id, pos, chem, CASE WHEN verdict IS NOT NULL THEN w END AS w, verdict, sig, speed, conf, CASE sig WHEN 'strong' THEN 1 WHEN 'moderate' THEN 0.6 WHEN 'weak' THEN 0.3 ELSE 0 END::DOUBLE AS sc FROM mx LEFT JOIN cv ON mx.chem = cv.id),
+g AS (SELECT id, count(verdict) AS n, sum(w) AS a, coalesce(sum(w) FILTER (verdict = 'red'), 0) AS r, coalesce(sum(w) FILTER (verdict <> 'green'), 0) AS d, arg_min({{'s': sig, 'p': speed, 'c': chem}}, (-w * sc, pos)) FILTER (verdict IS NOT NULL) AS t, coalesce(bool_or(conf = 'medium'), false) AS m FROM j GROUP BY id)
+SELECT id, 'order ' || id AS name, CASE WHEN n > 0 AND r / a > 0.5 THEN 'red' WHEN n > 0 AND d / a > 0.4 THEN 'yellow' ELSE 'green' END AS verdict, coalesce(t.s, 'none') AS signal_strength, coalesce(t.p, 'unknown') AS response_speed, t.c AS dominant, CASE WHEN m THEN 'medium' ELSE 'high' END AS confidence, n AS n_resolved, {_s('coalesce(r / nullif(a, 0), 0)', 6)} AS red_share, {_s('coalesce(d / nullif(a, 0), 0)', 6)} AS non_green_share FROM g""",
+    "class_verdict": f"WITH {_COMPOUNDS}, {views.PARTS}, cl(k, l) AS (VALUES " + ", ".join(f"({_q(k)}, {_q(label)})" for _, k, label, _ in catalogue.class_rows()) + "), e AS (SELECT p_partkey, unnest(groups) AS k FROM pt JOIN cp USING (id)) SELECT p_partkey, 'class:' || k AS id, l AS name, 'yellow' AS verdict, 'low' AS confidence, 'moderate' AS signal_strength, 'medium' AS response_speed FROM e JOIN cl USING (k)",
+    "percepts_for": f"""WITH {_COMPOUNDS}, {_PERCEPTS}, {views.PARTS}, j AS (SELECT p_partkey, pc.ord, percept, list_has_any(cp.groups, pc.groups) AS hit FROM pt JOIN cp USING (id) JOIN pc ON list_has_any(cp.groups, pc.groups) OR len(list_filter(words, lambda w: contains(lower(name || ' ' || odor), w))) > 0)
+SELECT p_partkey, count(*)::INT AS n_percepts, array_to_string(list(percept ORDER BY ord)[:3], ',') AS top, arg_min(percept, (NOT hit, ord)) AS dominant, arg_min(percept, (NOT hit, ord)) IN ('spicy-balsamic', 'smoky-phenolic') AS low_volatility FROM j GROUP BY p_partkey""",
     "cross_check": f"""WITH {_COMPOUNDS}, lib AS (SELECT DISTINCT ['', 'Ripe ', 'Gas ', ''][p_partkey % 4 + 1] || ['ethanol', 'Acetone', 'lpg', 'butane', 'H2O', 'widget', 'Phenol', 'toluol'][p_size % 8 + 1] AS label FROM part)
 SELECT id, 40 AS max_distinguishable, coalesce(string_agg(label, ',' ORDER BY label), '') AS confusable FROM cp LEFT JOIN lib ON lower(label) = lower(name) OR list_contains(list_transform(syn, lambda x: lower(x)), lower(label)) OR contains(lower(name), lower(label)) OR contains(lower(label), lower(name)) GROUP BY id""",
     "bands": """WITH x AS (SELECT o_orderkey, pow(10, o_orderkey % 9 - 4) * o_totalprice / 1000::DOUBLE AS x FROM orders),
 v(lo, hi, l) AS (VALUES (10000, 1e300, 'very high'), (1000, 10000, 'high'), (100, 1000, 'moderate'), (1, 100, 'low'), (0, 1, 'negligible')), h(lo, hi, l) AS (VALUES (1000, 1e300, 'strong'), (100, 1000, 'moderate'), (10, 100, 'weak'), (1, 10, 'marginal'), (0, 1, 'none')), s(lo, hi, l) AS (VALUES (1, 1e300, 'strong'), (0.1, 1, 'moderate'), (0.01, 0.1, 'weak'), (0.001, 0.01, 'marginal'), (0, 0.001, 'none'))
 SELECT o_orderkey, v.l AS volatility, h.l AS headspace, s.l AS signal FROM x JOIN v ON x >= v.lo AND x < v.hi JOIN h ON x >= h.lo AND x < h.hi JOIN s ON x >= s.lo AND x < s.hi""",
-    "perceptual_summary": f"""WITH {_CHAIN}, {_PERCEPTS_L}, j AS (SELECT cv.id, pc.ord, pc.percept, lower(pc.label) AS label FROM cv JOIN pc ON list_has_any(cv.groups, pc.groups) OR len(list_filter(words, lambda w: contains(lower(name || ' ' || odor), w))) > 0),
+    "perceptual_summary": f"""WITH {_CHAIN}, {_PERCEPTS_L}, {views.PARTS}, j AS (SELECT cv.id, pc.ord, pc.percept, lower(pc.label) AS label FROM cv JOIN pc ON list_has_any(cv.groups, pc.groups) OR len(list_filter(words, lambda w: contains(lower(name || ' ' || odor), w))) > 0),
 p AS (SELECT id, array_to_string(list(label ORDER BY ord)[:3], '; ') AS hat, arg_min(percept, ord) AS first FROM j GROUP BY id)
-SELECT cv.id, name || ' reads as ' || coalesce(hat, 'unclassified chemistry') || ': ' || CASE WHEN verdict = 'red' THEN 'no usable signal' WHEN first IN ('spicy-balsamic', 'smoky-phenolic') THEN 'a weak, slow response' ELSE 'a clear reducing response' END || '.' AS summary,
-  array_to_string(list_filter([CASE WHEN g_reactivity = 'red' THEN 'non-redox' END, CASE WHEN sig = 'none' AND NOT gas THEN 'trace' END], lambda x: x IS NOT NULL), ',') AS boundaries FROM cv LEFT JOIN p ON cv.id = p.id""",
+SELECT p_partkey, name || ' reads as ' || coalesce(hat, 'unclassified chemistry') || ': ' || CASE WHEN verdict = 'red' THEN 'no usable signal' WHEN first IN ('spicy-balsamic', 'smoky-phenolic') THEN 'a weak, slow response' ELSE 'a clear reducing response' END || '.' AS summary,
+  array_to_string(list_filter([CASE WHEN g_reactivity = 'red' THEN 'non-redox' END, CASE WHEN sig = 'none' AND NOT gas THEN 'trace' END], lambda x: x IS NOT NULL), ',') AS boundaries FROM pt JOIN cv USING (id) LEFT JOIN p ON cv.id = p.id""",
     "antoine_vapor": f"WITH {_COMPOUNDS}, {views.PARTS}, a AS (SELECT id, mw, pow(10, aa - ab / (25 + ac)) * 133.322::DOUBLE AS pa FROM cp WHERE aa IS NOT NULL) SELECT p_partkey, id, {_s('pa', 3)} AS pa, {_s('pa / sqrt(2 * pi() * mw / 1000 * 8.314::DOUBLE * 298.15::DOUBLE)', 6)} AS flux FROM a JOIN pt USING (id)",
     "clausius_clapeyron": f"WITH {_COMPOUNDS}, {views.PARTS}, a AS (SELECT id, 101325::DOUBLE * exp(-(88 * (bp + 273.15::DOUBLE) / 8.314::DOUBLE) * (1 / 298.15::DOUBLE - 1 / (bp + 273.15::DOUBLE))) AS pa FROM cp) SELECT p_partkey, id, {_s('log10(pa)', 6)} AS log10_pa FROM a JOIN pt USING (id)",
     "fuller_diffusion": f"WITH {_COMPOUNDS}, {views.PARTS}, a AS (SELECT id, mw, {_D} AS d FROM cp), b AS (SELECT *, 1e-6::DOUBLE / (4 * pi() * d * 0.1::DOUBLE) AS c FROM a) SELECT p_partkey, id, {_s('d * 1e6', 6)} AS d_mm2, {_s('c', 6)} AS c, {_s('c * sqrt(8.314::DOUBLE * 298.15::DOUBLE / (2 * pi() * mw / 1000))', 5)} AS i FROM b JOIN pt USING (id)",

@@ -10,7 +10,7 @@ from dataclasses import dataclass, field
 from importlib import resources
 from pathlib import Path
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from vapora.functions import sensors
@@ -284,12 +284,12 @@ def load(name: str, folder: str | None = None) -> Preset:
 
 
 def table(spark: SparkSession, presets: list[Preset] | None = None) -> DataFrame:
-    """Presets as rows with their derived columns."""
+    """Presets as rows with their derived columns; place is their place by id."""
     rows = []
-    for p in presets if presets is not None else shipped():
+    for place, p in enumerate(sorted(presets if presets is not None else shipped(), key=lambda p: p.id)):
         lim = p.limits()
-        rows.append((p.id, p.cadence_hz, 1 / p.cadence_hz, len(p.sensors), [s["model"] for s in p.sensors], p.context_columns, p.feature_groups, len(p.feature_names()), p.r0_samples, p.least_duration_s, *lim.values(), (p.false_alarm_budget or {}).get("alarms_per_day"), p.advisories()))
-    return spark.createDataFrame(rows, "id string, cadence_hz double, cadence_period_s double, n_channels int, models array<string>, context array<string>, feature_groups array<string>, n_features int, r0_samples int, least_duration_s double, dead_noise_ceiling double, drift_abs_floor double, drift_rel_ceiling double, alarms_per_day double, advisories array<string>")
+        rows.append((p.id, p.cadence_hz, 1 / p.cadence_hz, len(p.sensors), [s["model"] for s in p.sensors], p.context_columns, p.feature_groups, len(p.feature_names()), p.r0_samples, p.least_duration_s, *lim.values(), (p.false_alarm_budget or {}).get("alarms_per_day"), p.advisories(), (BASELINE | p.baseline).get("r0_samples"), float((BASELINE | p.baseline)["duration_s"]), place))
+    return spark.createDataFrame(rows, "id string, cadence_hz double, cadence_period_s double, n_channels int, models array<string>, context array<string>, feature_groups array<string>, n_features int, r0_samples int, least_duration_s double, dead_noise_ceiling double, drift_abs_floor double, drift_rel_ceiling double, alarms_per_day double, advisories array<string>, declared_r0 int, baseline_s double, place int")
 
 
 def sensor_table(spark: SparkSession, presets: list[Preset] | None = None) -> DataFrame:
@@ -342,12 +342,46 @@ def main(args: list[str] | None = None) -> int:
     return 0
 
 
+def advisories(hz: Column, groups: Column, channels: Column, r0_samples: Column, dead_ceiling: Column) -> Column:
+    """Preset.advisories() of a rig as it is deployed."""
+    touchy = F.filter(groups, lambda g: g.isin(*CADENCE_GROUPS))
+    return F.array_compact(F.array(
+        F.when(hz < 1, "timing: cadence_below_1hz"),
+        F.when((F.size(touchy) > 0) & (2 / hz > 60), F.format_string("cadence: %s requested, but nothing under %.0f s is resolved", F.array_join(touchy, ", "), 2 / hz)),
+        F.when((channels < 2) & F.array_contains(groups, "selectivity"), "selectivity: ratios need two channels"),
+        F.when(r0_samples < 2, F.format_string("baseline: %d sample at this cadence", r0_samples)),
+        F.when(dead_ceiling >= 0.5, "thresholds: the dead-noise ceiling condemns only a channel without any response"),
+    ))
+
+
+def resolved(rigs: DataFrame, presets: DataFrame) -> DataFrame:
+    """rigs (any columns, preset, and where they depart from it hz and baseline_s) with what their presets make of them.
+
+    r0_samples are the declared ones, else the baseline's seconds at the rig's cadence, one at least. A rig whose preset isn't known is left out.
+    """
+    p = presets.select(F.col("id").alias("preset"), F.col("cadence_hz").alias("preset_hz"), "n_channels", "models", "feature_groups", "n_features", "declared_r0", "baseline_s", "dead_noise_ceiling", "alarms_per_day", "place")
+    r = rigs.withColumnRenamed("baseline_s", "own_baseline_s").join(F.broadcast(p), "preset")  # a row for each configuration file
+    r = r.withColumn("hz", F.coalesce("hz", "preset_hz")).withColumn("baseline_s", F.coalesce("own_baseline_s", "baseline_s")).drop("own_baseline_s", "preset_hz")
+    r = r.withColumn("r0_samples", F.coalesce("declared_r0", F.greatest(F.lit(1), F.bround(F.col("baseline_s") * F.col("hz")))).cast("int")).drop("declared_r0")
+    r = r.withColumns({"period_s": 1 / F.col("hz"), "least_duration_s": 2 / F.col("hz")})
+    return r.withColumn("advisories", advisories(F.col("hz"), F.col("feature_groups"), F.col("n_channels"), F.col("r0_samples"), F.col("dead_noise_ceiling")))
+
+
+def _rigs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Users as rigs of the shipped presets, some with a cadence or a baseline of their own, and their samples' count."""
+    names = F.array(*map(F.lit, [p.id for p in shipped()]))
+    e = spark.read.parquet(f"{sf_dir}/events.parquet").groupBy("user_id").agg(F.count("*").alias("n_samples"))
+    own = F.when(F.col("user_id") % 3 > 0, F.element_at(F.array(*map(F.lit, (0.02, 0.5, 4.0))), (F.col("user_id") % 3 + F.col("user_id") % 2).cast("int")))
+    return e.select("user_id", "n_samples", F.element_at(names, (F.col("user_id") % F.size(names) + 1).cast("int")).alias("preset"), own.alias("hz"), F.when(F.col("user_id") % 5 == 0, F.lit(30.0)).alias("baseline_s"))
+
+
 def _q_resolved(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark).select("id", "cadence_hz", "n_channels", F.array_join("models", " ").alias("models"), F.array_join("feature_groups", " ").alias("feature_groups"), "n_features", "r0_samples", "least_duration_s", "dead_noise_ceiling", "alarms_per_day")
+    out = resolved(_rigs(spark, sf_dir), table(spark))
+    return out.select("user_id", "preset", "place", "hz", "period_s", "n_channels", F.array_join("models", " ").alias("models"), F.array_join("feature_groups", " ").alias("feature_groups"), "n_features", "r0_samples", "least_duration_s", "dead_noise_ceiling", "alarms_per_day", (F.col("n_samples") >= F.col("r0_samples")).alias("enough"))
 
 
 def _q_advisories(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark).select("id", F.explode_outer("advisories").alias("advisory"))
+    return resolved(_rigs(spark, sf_dir), table(spark)).select("user_id", "preset", F.explode_outer("advisories").alias("advisory"))
 
 
 def _q_sensors(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -368,15 +402,20 @@ def _sql(x: object) -> str:
 
 
 _ROWS = "p(id, period, models, groups, alarms) AS (VALUES " + ", ".join(f"({_sql(p.id)}, {_sql(1 / p.cadence_hz)}, {_sql(' '.join(s['model'] for s in p.sensors))}, {_sql(' '.join(p.feature_groups))}, {_sql((p.false_alarm_budget or {}).get('alarms_per_day'))})" for p in shipped()) + ")"
+_RIGS = f"""{_ROWS}, o AS (SELECT *, row_number() OVER (ORDER BY id)::INT - 1 AS i FROM p),
+rc AS (SELECT user_id, id, i, n_samples, CASE WHEN user_id % 3 > 0 THEN [0.02, 0.5, 4.0][user_id % 3 + user_id % 2]::DOUBLE ELSE 1 / period END AS hz, CASE WHEN user_id % 5 = 0 THEN 30 ELSE 1800 END AS s FROM (SELECT user_id, count(*) AS n_samples FROM events GROUP BY user_id) JOIN o ON user_id % {len(shipped())} = i),
+rg AS (SELECT user_id, id, i, n_samples, hz, greatest(1, round_even(s * hz, 0))::INT AS r0 FROM rc)"""
 _CHANNELS = "ch(i, id, ch_idx, channel, model, role, settling_s, ratio, targets) AS (VALUES " + ", ".join(
     f"({i}, {_sql(p.id)}, {k}, {_sql(s['id'])}, {_sql(s['model'])}, {_sql(s['role'])}, {_sql((BASELINE | p.baseline)['settling_s'])}, {_sql(s.get('clean_air_ratio'))}, [{', '.join(map(_sql, s.get('targets') or []))}]::VARCHAR[])" for i, p in enumerate(shipped()) for k, s in enumerate(p.sensors)
 ) + ")"
 _LAWS = "lw(model, gas) AS (VALUES " + ", ".join(f"({_sql(m)}, {_sql(g)})" for m, _, _, gs in sensors._rows() for g, _, _ in gs) + ")"
 _COUNT = "CASE g WHEN 'device_agnostic' THEN 6 * c WHEN 'absolute' THEN 4 * c WHEN 'temporal' THEN 4 * c WHEN 'health' THEN 4 * c WHEN 'hardware' THEN 3 * c WHEN 'saturation' THEN c WHEN 'decay' THEN 6 * c WHEN 'selectivity' THEN c * (c - 1) // 2 ELSE 4 END"
 ORACLE_SQL = {
-    "presets_resolved": f"""WITH {_ROWS}, n AS (SELECT *, len(string_split(models, ' ')) AS c FROM p), e AS (SELECT id, c, unnest(string_split(groups, ' ')) AS g FROM n), f AS (SELECT id, sum({_COUNT})::INT AS k FROM e GROUP BY id)
-SELECT id, 1 / period AS cadence_hz, c::INT AS n_channels, models, groups AS feature_groups, k AS n_features, round_even(1800 * (1 / period), 0)::INT AS r0_samples, 2 / (1 / period) AS least_duration_s, CASE WHEN id = 'gas_leak_fire_smoke' THEN 0.01 ELSE 0.02 END::DOUBLE AS dead_noise_ceiling, alarms AS alarms_per_day FROM n JOIN f USING (id)""",
+    "presets_resolved": f"""WITH {_RIGS}, n AS (SELECT *, len(string_split(models, ' ')) AS c FROM p), e AS (SELECT id, c, unnest(string_split(groups, ' ')) AS g FROM n), f AS (SELECT id, sum({_COUNT})::INT AS k FROM e GROUP BY id)
+SELECT user_id, id AS preset, i AS place, hz, 1 / hz AS period_s, c::INT AS n_channels, models, groups AS feature_groups, k AS n_features, r0 AS r0_samples, 2 / hz AS least_duration_s, CASE WHEN id = 'gas_leak_fire_smoke' THEN 0.01 ELSE 0.02 END::DOUBLE AS dead_noise_ceiling, alarms AS alarms_per_day, n_samples >= r0 AS enough FROM rg JOIN n USING (id) JOIN f USING (id)""",
     "preset_sensors": f"""WITH {_CHANNELS}, {_LAWS} SELECT p_partkey, id, ch_idx, channel, role, settling_s, 172800::DOUBLE AS warmup_s, ratio AS clean_air_ratio, array_to_string(list_sort(targets), ',') AS targets, (SELECT count(*) FROM lw WHERE lw.model = ch.model AND list_contains(ch.targets, lw.gas)) AS n_laws
 FROM part JOIN ch ON p_partkey % {len(shipped())} = i""",
-    "preset_advisories": f"WITH {_ROWS} SELECT id, CASE WHEN period > 1 THEN 'timing: cadence_below_1hz' END AS advisory FROM p",
+    "preset_advisories": f"""WITH {_RIGS}, x AS (SELECT user_id, id, list_filter([CASE WHEN hz < 1 THEN 'timing: cadence_below_1hz' END, CASE WHEN 2 / hz > 60 AND (contains(groups, 'temporal') OR contains(groups, 'decay')) THEN 'cadence: ' || array_to_string(list_filter(string_split(groups, ' '), lambda g: g IN ('temporal', 'decay')), ', ') || ' requested, but nothing under ' || round(2 / hz)::INT || ' s is resolved' END,
+  CASE WHEN NOT contains(models, ' ') AND contains(groups, 'selectivity') THEN 'selectivity: ratios need two channels' END, CASE WHEN r0 < 2 THEN 'baseline: ' || r0 || ' sample at this cadence' END], lambda a: a IS NOT NULL) AS a FROM rg JOIN p USING (id))
+SELECT user_id, id AS preset, unnest(CASE WHEN len(a) = 0 THEN [NULL] ELSE a END) AS advisory FROM x""",
 }
