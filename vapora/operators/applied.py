@@ -19,8 +19,7 @@ _N = len(catalogue.compound_rows())
 
 
 def _q_feasibility(spark: SparkSession, sf_dir: str) -> DataFrame:
-    verdicts = feasibility.guidance(feasibility.constituent_chain(catalogue.compounds(spark))).select("ord", "id", "verdict", "signal_strength", "response_speed", "exposure_s", "dilution")
-    return views.substances(spark, sf_dir).select("p_partkey", "ord").join(F.broadcast(verdicts), "ord").drop("ord")
+    return feasibility.guidance(feasibility.constituent_chain(views.substances(spark, sf_dir))).select("p_partkey", "id", "verdict", "signal_strength", "response_speed", "exposure_s", "dilution")
 
 
 def _q_smiles(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -29,9 +28,10 @@ def _q_smiles(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _q_provisional(spark: SparkSession, sf_dir: str) -> DataFrame:
-    named = molecules.from_smiles(catalogue.compounds(spark), name="id")
-    chain = feasibility.constituent_chain(named).select(F.col("name").alias("id"), "verdict", "signal_strength", "response_speed", "confidence")
-    return views.substances(spark, sf_dir).select("p_partkey", "id").join(F.broadcast(chain), "id")
+    """Every part's substance known by its SMILES alone."""
+    parts = views.substances(spark, sf_dir).select("p_partkey", "id", "smiles")
+    chain = feasibility.constituent_chain(molecules.from_smiles(parts, name="p_partkey")).select(F.col("name").cast("long").alias("p_partkey"), "verdict", "signal_strength", "response_speed", "confidence")
+    return parts.select("p_partkey", "id").join(chain, "p_partkey")
 
 
 def _q_decay_recovery(spark: SparkSession, sf_dir: str) -> DataFrame:

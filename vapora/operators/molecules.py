@@ -11,7 +11,7 @@ from vapora.functions.smiles import describe
 
 def from_smiles(rows: DataFrame, smiles: str = "smiles", name: str | None = None) -> DataFrame:
     """Provisional compounds of rows' SMILES, in the catalogue's schema; rows that can't be read are left out."""
-    d = describe(rows.select(F.col(smiles).alias("_s"), (F.col(name) if name else F.col(smiles)).alias("_n")), "_s").where("d.error IS NULL")
+    d = describe(rows.select(F.col(smiles).alias("_s"), F.col(name or smiles).cast("string").alias("_n")), "_s").where("d.error IS NULL")
     prop = lambda c, source: F.struct(c.alias("value"), F.lit(source).alias("source"))
     return d.select(
         F.lit(0).alias("ord"), F.col("d.id").alias("id"), F.col("_n").alias("name"), F.array("_n").alias("synonyms"), prop(F.col("d.molecular_weight"), "estimated").alias("molecular_weight"), prop(F.col("d.boiling_point_c"), "estimated").alias("boiling_point"),

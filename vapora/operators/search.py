@@ -36,13 +36,52 @@ def dictionary(spark: SparkSession, user: DataFrame | None = None) -> DataFrame:
     return out.unionByName(mixes).unionByName(groups)
 
 
-def search(queries: DataFrame, entries: DataFrame, limit: int = 8) -> DataFrame:
+def _keys(field: Column) -> Column:
+    """What a field is found by: the whole of it, its pairs of letters and its letters."""
+    f = F.trim(F.lower(field))
+    at = F.sequence(F.lit(1), F.greatest(F.lit(1), F.length(f)))
+    return F.array_distinct(F.concat(F.array(F.concat(F.lit("="), f)), F.transform(at, lambda k: F.concat(F.lit("2"), F.substring(f, k, F.lit(2)))), F.transform(at, lambda k: F.concat(F.lit("1"), F.substring(f, k, F.lit(1))))))
+
+
+def index(entries: DataFrame) -> DataFrame:
+    """src, ord and key of every entry of a dictionary: what its fields and its codes are found by."""
+    codes = F.transform(F.array_compact(F.array("cas", "smiles")), lambda c: F.concat(F.lit("="), F.trim(F.lower(c))))
+    keys = F.array_union(F.flatten(F.transform("fields", _keys)), codes)
+    return entries.select("src", "ord", F.explode(keys).alias("key"))
+
+
+def _asked(queries: DataFrame) -> DataFrame:
+    return queries.select("q").distinct().withColumn("n", normalise_query(F.col("q"))).where("length(n) > 0")
+
+
+def _candidates(asked: DataFrame, keys: DataFrame) -> DataFrame:
+    """q, n, src and ord of all entries that may match: a query's whole text, and the rarest pair of letters of it and of its words.
+
+    An entry that contains a text has each of its pairs of letters; one that contains all words of a query has the pairs of each word,
+    and where all words are single letters, those letters. So one key of each kind finds all that can match, and the rarest finds least.
+    """
+    pairs = lambda t: F.transform(F.sequence(F.lit(1), F.length(t) - 1), lambda k: F.concat(F.lit("2"), F.substring(t, k, F.lit(2))))
+    none = F.array().cast("array<string>")
+    words = F.split("n", " ")
+    long = F.filter(words, lambda w: F.length(w) >= 2)
+    of_words = F.when(F.size(long) > 0, F.flatten(F.transform(long, pairs))).otherwise(F.transform(words, lambda w: F.concat(F.lit("1"), w)))
+    ways = F.array(F.struct(F.lit("whole").alias("way"), F.array(F.concat(F.lit("="), "n")).alias("keys")), F.struct(F.lit("within").alias("way"), F.when(F.length("n") >= 2, pairs(F.col("n"))).otherwise(none).alias("keys")), F.struct(F.lit("words").alias("way"), F.when(F.size(words) > 1, of_words).otherwise(none).alias("keys")))
+    may = asked.select("q", "n", F.inline(ways)).select("q", "n", "way", F.explode("keys").alias("key"))
+    # a key that no entry has rules its way out, and counts as the rarest
+    counts = keys.groupBy("key").agg(F.count("*").alias("entries"))
+    rarest = may.join(counts, "key", "left").groupBy("q", "n", "way").agg(F.min_by("key", F.struct(F.coalesce("entries", F.lit(0)).alias("m"), "key")).alias("key"))
+    return rarest.join(keys, "key").select("q", "n", "src", "ord").distinct()
+
+
+def search(queries: DataFrame, entries: DataFrame, limit: int = 8, keys: DataFrame | None = None) -> DataFrame:
     """queries (q) with their best entries: rank, kind, id, name, hint, score. Blank queries find nothing.
 
-    The dictionary is small and fixed and goes to every task; each distinct query is scored once.
+    Each distinct query is scored once. Without keys every query meets every entry, which goes to every task: for the fixed
+    dictionary. With keys, index() of a dictionary of any size whose (src, ord) are unique, a query only meets the entries that share
+    the keys that any match must have; the results are the same.
     """
-    asked = queries.select("q").distinct().withColumn("n", normalise_query(F.col("q"))).where("length(n) > 0")
-    pairs = asked.join(F.broadcast(entries))
+    asked = _asked(queries)
+    pairs = asked.join(F.broadcast(entries)) if keys is None else _candidates(asked, keys).join(entries, ["src", "ord"])
     of = F.transform("fields", lambda f: score(f, F.col("n")))
     # A class's label goes first; its key counts only where the label doesn't match.
     best = F.when(F.col("kind") == "class", F.when(of[0] > 0, of[0]).otherwise(of[1])).otherwise(F.array_max(of))
@@ -52,9 +91,32 @@ def search(queries: DataFrame, entries: DataFrame, limit: int = 8) -> DataFrame:
     return scored.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= limit).select("q", "rank", "kind", "id", "name", "hint", "score")
 
 
-def exact_resolve(queries: DataFrame, entries: DataFrame) -> DataFrame:
+def deletions(word: Column, edits: int) -> Column:
+    """The word and what is left of it after deleting up to so many letters."""
+    one = lambda w: F.transform(F.sequence(F.lit(1), F.greatest(F.lit(1), F.length(w))), lambda k: F.concat(F.substring(w, F.lit(1), k - 1), F.substring(w, k + 1, F.length(w))))
+    out = now = F.array(word)
+    for _ in range(edits):
+        now = F.array_distinct(F.flatten(F.transform(now, one)))
+        out = F.array_union(out, now)
+    return out
+
+
+def close_matches(words: DataFrame, column: str, dictionary: DataFrame, name: str, edits: int = 2) -> DataFrame:
+    """Each distinct word of a column with the dictionary's names at most so many edits away: column, name, distance.
+
+    Two words so near have a common rest after as many deletions on either side; rests are joined by key and the distance of what
+    meets is verified, so a dictionary of any size is searched without meeting every word. NULLs match nothing.
+    """
+    asked = words.select(F.col(column).alias("_w")).where("_w IS NOT NULL").distinct()
+    known = dictionary.select(F.col(name).alias("_d")).where("_d IS NOT NULL").distinct()
+    met = asked.select("_w", F.explode(deletions(F.col("_w"), edits)).alias("_k")).join(known.select("_d", F.explode(deletions(F.col("_d"), edits)).alias("_k")), "_k").select("_w", "_d").distinct()
+    near = met.withColumn("distance", F.levenshtein("_w", "_d")).where(F.col("distance") <= edits)
+    return near.select(F.col("_w").alias(column), F.col("_d").alias(name), "distance")
+
+
+def exact_resolve(queries: DataFrame, entries: DataFrame, keys: DataFrame | None = None) -> DataFrame:
     """The best entry of each query, if it matches exactly."""
-    return search(queries, entries, 1).where(F.col("score") >= EXACT)
+    return search(queries, entries, 1, keys).where(F.col("score") >= EXACT)
 
 
 def slug(text: Column, most: int = 48) -> Column:
@@ -68,12 +130,40 @@ def _q_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return search(parts, dictionary(spark)).select("q", "rank", "kind", "id", "score")
 
 
+def _own_entries(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every part as an entry of a user's dictionary."""
+    from vapora.sources import scratch
+
+    p = spark.read.parquet(f"{sf_dir}/part.parquet")
+    nothing = F.lit(None)
+    cells = {"ord": F.col("p_partkey").cast("int"), "id": F.concat(F.lit("part-"), "p_partkey"), "name": F.concat_ws(" ", "p_name", "p_partkey"), "synonyms": F.array(F.concat_ws(" ", "p_brand", "p_type", "p_size")), "groups": F.array().cast("array<string>"), "provisional": F.lit(True)}
+    schema = catalogue.compounds(spark).schema
+    mine = p.select(*(cells.get(f.name, nothing).cast(f.dataType).alias(f.name) for f in schema.fields))
+    return scratch.stored(dictionary(spark, mine), "entries")
+
+
+def _q_indexed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words and parts' names looked up in a dictionary to which every part has been added."""
+    entries = _own_entries(spark, sf_dir)
+    words = "element_at(array('ethyl', 'ACETONE', '64-17-5', 'cco', 'small brand#3', 'acid', 'rotten  egg', 'ring 17', 'oil mint', 'x', '1 2', 'promo 50', 'brand#1 economy 7'), cast(p_partkey % 13 + 1 AS int))"
+    asked = spark.read.parquet(f"{sf_dir}/part.parquet").selectExpr(f"CASE WHEN p_partkey % 7 = 0 THEN p_name || ' ' || p_partkey ELSE {words} END AS q")
+    return search(asked, entries, keys=index(entries)).select("q", "rank", "kind", "id", "score")
+
+
+def _q_close(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Brands and names of parts, misspelt, with the parts' own spellings that are two edits away at most."""
+    p = spark.read.parquet(f"{sf_dir}/part.parquet")
+    known = p.selectExpr("concat_ws(' ', p_name, p_size) AS name")
+    asked = p.selectExpr("CASE p_partkey % 4 WHEN 0 THEN overlay(concat_ws(' ', p_name, p_size) PLACING 'x' FROM 3) WHEN 1 THEN concat('a', p_name, p_size) WHEN 2 THEN reverse(p_name) END AS word")
+    return close_matches(asked, "word", known, "name")
+
+
 def _q_slug(spark: SparkSession, sf_dir: str) -> DataFrame:
     p = spark.read.parquet(f"{sf_dir}/part.parquet")
     return p.select("p_partkey", slug(F.concat_ws(" / ", "p_name", "p_brand", "p_type", F.col("p_retailprice").cast("string"))).alias("slug"))
 
 
-QUERIES = {"search_score_topk": _q_search, "slug": _q_slug}
+QUERIES = {"search_score_topk": _q_search, "slug": _q_slug, "search_indexed": _q_indexed, "close_matches": _q_close}
 
 
 def _q(s: str | None) -> str:
@@ -85,6 +175,11 @@ _ENTRIES = "en(kind, id, fields, cas, smiles, src, ord) AS (VALUES " + ", ".join
     + [f"('composite', {_q(i)}, [{', '.join(map(_q, [n, *syn]))}], NULL, NULL, 2, {k})" for k, i, n, _, syn, _ in catalogue.composite_rows()]
     + [f"('class', {_q('class:' + c)}, [{_q(label)}, {_q(c)}], NULL, NULL, 3, {k})" for k, c, label, _ in catalogue.class_rows()]
 ) + ")"
+_SCORED = """f AS (SELECT q, n, kind, id, cas, smiles, src, ord, unnest(range(len(fields))) AS i, trim(lower(unnest(fields))) AS f FROM n, en WHERE length(n) > 0),
+s AS (SELECT *, CASE WHEN f = n THEN 100 WHEN length(n) >= 2 AND starts_with(f, n) THEN 75 WHEN length(n) >= 2 AND contains(f, n) THEN 55 WHEN contains(n, ' ') AND len(list_filter(string_split(n, ' '), lambda w: NOT contains(f, w))) = 0 THEN 65 ELSE 0 END AS sc FROM f),
+b AS (SELECT q, kind, id, src, ord, CASE WHEN kind = 'class' THEN CASE WHEN max(sc) FILTER (i = 0) > 0 THEN max(sc) FILTER (i = 0) ELSE max(sc) FILTER (i = 1) END ELSE greatest(max(sc), max(CASE WHEN lower(cas) = n THEN 95 WHEN lower(smiles) = n THEN 90 ELSE 0 END)) END AS score FROM s GROUP BY q, kind, id, src, ord),
+r AS (SELECT *, row_number() OVER (PARTITION BY q ORDER BY score DESC, src, ord) AS rank FROM b WHERE score >= 40)
+SELECT q, rank::INT AS rank, kind, id, score FROM r WHERE rank <= 8"""
 ORACLE_SQL = {
     "search_score_topk": f"""WITH {_ENTRIES}, qs AS (SELECT DISTINCT CASE WHEN p_size % 3 = 0 THEN p_name ELSE ['ethyl', 'ACETONE', '64-17-5', 'cco', 'gas leak', 'acid', 'rotten  egg', 'alcohol', 'oil mint', 'x', 'ester', 'ripe fruit'][p_partkey % 12 + 1] END AS q FROM part),
 n AS (SELECT q, trim(regexp_replace(lower(q), '\\s+', ' ', 'g')) AS n FROM qs),
@@ -93,5 +188,11 @@ s AS (SELECT *, CASE WHEN f = n THEN 100 WHEN length(n) >= 2 AND starts_with(f,
 b AS (SELECT q, kind, id, src, ord, CASE WHEN kind = 'class' THEN CASE WHEN max(sc) FILTER (i = 0) > 0 THEN max(sc) FILTER (i = 0) ELSE max(sc) FILTER (i = 1) END ELSE greatest(max(sc), max(CASE WHEN lower(cas) = n THEN 95 WHEN lower(smiles) = n THEN 90 ELSE 0 END)) END AS score FROM s GROUP BY q, kind, id, src, ord),
 r AS (SELECT *, row_number() OVER (PARTITION BY q ORDER BY score DESC, src, ord) AS rank FROM b WHERE score >= 40)
 SELECT q, rank::INT AS rank, kind, id, score FROM r WHERE rank <= 8""",
+    "search_indexed": f"""WITH {_ENTRIES.replace('en(kind', 'ek(kind', 1)}, en AS (SELECT kind, id, fields, cas, smiles, src, ord, 0 AS less FROM ek UNION ALL SELECT 'chemical', 'part-' || p_partkey, [p_name || ' ' || p_partkey, p_brand || ' ' || p_type || ' ' || p_size], NULL, NULL, 1, p_partkey, 5 FROM part),
+qs AS (SELECT DISTINCT CASE WHEN p_partkey % 7 = 0 THEN p_name || ' ' || p_partkey ELSE ['ethyl', 'ACETONE', '64-17-5', 'cco', 'small brand#3', 'acid', 'rotten  egg', 'ring 17', 'oil mint', 'x', '1 2', 'promo 50', 'brand#1 economy 7'][p_partkey % 13 + 1] END AS q FROM part),
+n AS (SELECT q, trim(regexp_replace(lower(q), '\\s+', ' ', 'g')) AS n FROM qs),
+{_SCORED.replace('smiles, src, ord, unnest', 'smiles, src, ord, less, unnest').replace('SELECT q, kind, id, src, ord, CASE', 'SELECT q, kind, id, src, ord, any_value(less) AS less, CASE').replace('END AS score FROM s', 'END AS raw FROM s').replace('ORDER BY score DESC', 'ORDER BY raw - less DESC').replace('WHERE score >= 40', 'WHERE raw >= 40').replace('SELECT q, rank::INT AS rank, kind, id, score', 'SELECT q, rank::INT AS rank, kind, id, raw - less AS score')}""",
+    "close_matches": """WITH k AS (SELECT DISTINCT p_name || ' ' || p_size AS name FROM part), a AS (SELECT DISTINCT CASE p_partkey % 4 WHEN 0 THEN left(p_name || ' ' || p_size, 2) || 'x' || substr(p_name || ' ' || p_size, 4) WHEN 1 THEN 'a' || p_name || p_size WHEN 2 THEN reverse(p_name) END AS word FROM part)
+SELECT word, name, levenshtein(word, name)::INT AS distance FROM a, k WHERE word IS NOT NULL AND levenshtein(word, name) <= 2""",
     "slug": "SELECT p_partkey, left(regexp_replace(regexp_replace(lower(p_name || ' / ' || p_brand || ' / ' || p_type || ' / ' || p_retailprice::VARCHAR), '[^a-z0-9]+', '-', 'g'), '^-+|-+$', '', 'g'), 48) AS slug FROM part",
 }
