@@ -95,6 +95,28 @@ def _q_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return d.join(laws, "path")
 
 
+def _q_built(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Manifests made for files of four dialects, carried through bundles, and read by paths; the shape that they share stands beside them."""
+    built = manifest.build(R.reparse(variants(spark, sf_dir)))
+    again = R.reparse(R.bundles(built)).select("path", F.col("manifest").alias("back"))
+    m = F.col("manifest")
+    total = F.aggregate(manifest.at(m, "ingest.context.Temperature", "array<double>"), F.lit(0.0), lambda a, x: a + x)
+    out = built.select(
+        "path", "manifest", manifest.at(m, "sensor.channels[1].id").alias("second"), manifest.at(m, "session.label").alias("label"), manifest.at(m, "session.durationMs", "bigint").alias("duration_ms"), manifest.at(m, "ingest.timeSource").alias("time_source"),
+        manifest.at(m, "ingest.contextColumns[0]").alias("context"), total.alias("context_sum"), manifest.at(m, "sensor.channels[2].id").alias("third"),
+    )
+    shape = manifest.shape(built).select(F.col("shape").contains("Temperature: ARRAY<").alias("has_context"))
+    return out.join(again, "path").join(F.broadcast(shape)).withColumn("same_again", manifest.same(F.col("manifest"), F.col("back"))).drop("manifest", "back")
+
+
+def _q_entities(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Parts' targets by id: of the catalogue, of a user's dictionary, or of neither."""
+    mine = molecules.from_smiles(spark.createDataFrame([("CCCCCCO", "my hexanol")], "smiles string, label string"), name="label")
+    own = F.concat(F.lit("inf-"), F.left(F.sha1(F.lit("CCCCCCO")), F.lit(10)))
+    asked = views.substances(spark, sf_dir).select("p_partkey", F.when(F.col("p_partkey") % 3 == 0, F.col("id")).when(F.col("p_partkey") % 3 == 1, own).otherwise("nothing").alias("entity"))
+    return feasibility.verdicts_of(asked, catalogue.compounds(spark).unionByName(mine)).select("p_partkey", "name", "verdict", "signal_strength", "confidence")
+
+
 def _typed(spark: SparkSession, sf_dir: str) -> DataFrame:
     kind = F.element_at(F.array(*map(F.lit, ("mox", "miris", "unknown", "electrochemical"))), (F.col("recording_id") % 4 + 1).cast("int"))
     return views.stream(spark, sf_dir).withColumn("sensor_type", kind)
@@ -159,7 +181,7 @@ def _q_models(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "part_feasibility": _q_feasibility, "smiles_describe": _q_smiles, "provisional_chain": _q_provisional, "decay_recovery": _q_decay_recovery, "decays_recovery": _q_decays_recovery, "framework_shape": _q_framework_shape, "csv_variants": _q_variants,
-    "manifest_declarations": _q_manifest, "processor_families": _q_families, "channel_ranking": _q_ranking, "channel_selection": _q_selection, "boiling_point_parse": _q_boiling, "scan_offsets": _q_offsets,
+    "manifest_declarations": _q_manifest, "manifest_build": _q_built, "entity_verdicts": _q_entities, "processor_families": _q_families, "channel_ranking": _q_ranking, "channel_selection": _q_selection, "boiling_point_parse": _q_boiling, "scan_offsets": _q_offsets,
     "dictionary_resolve": _q_resolved, "weight_proposal": _q_weights, "technology_lookup": _q_technologies, "sensor_catalogue": _q_models,
 }
 
@@ -249,6 +271,10 @@ l AS (SELECT *, lag(t) OVER (PARTITION BY user_id ORDER BY event_id) AS before F
 SELECT 'user/' || user_id AS path, true AS ok, CASE WHEN user_id % 4 = 3 THEN 'synthetic' ELSE 'column' END AS time_source, coalesce(bool_or(t < before), false) AS unsorted, count(*)::INT AS n, 'VOC,id' AS channels, 'Temperature' AS context,
   CASE WHEN user_id % 4 = 2 THEN 0 ELSE 1 END AS n_warnings, floor(sum(v) * 1000 + 0.50037) / 1000 AS voc_sum, CASE WHEN user_id % 4 = 3 THEN 0 ELSE min(t) END::DOUBLE AS first_ms FROM l GROUP BY user_id""",
     "manifest_declarations": """SELECT c_custkey::VARCHAR AS path, (c_custkey % 20)::DOUBLE AS rate, 4095::DOUBLE AS adc_max, 'exposure' AS role, 'none' AS baseline, true AS same_again, '{"nation":' || c_nationkey || '}' AS lab, 'VOC' AS channel, c_custkey % 7 + 0.5::DOUBLE AS a, -0.5::DOUBLE AS b FROM customer""",
+    "manifest_build": f"""WITH e AS (SELECT user_id, CASE user_id % 4 WHEN 0 THEN (epoch_us(ts) // 1000)::DOUBLE WHEN 1 THEN event_id * 1000::DOUBLE WHEN 2 THEN event_id * 1000::DOUBLE END AS t FROM events)
+SELECT 'user/' || user_id AS path, 'id' AS second, user_id::VARCHAR AS label, CASE WHEN user_id % 4 = 3 THEN (count(*) - 1) * 100 ELSE (max(t) - min(t))::BIGINT END AS duration_ms, CASE WHEN user_id % 4 = 3 THEN 'synthetic' ELSE 'column' END AS time_source, 'Temperature' AS context, 30.0::DOUBLE * count(*) AS context_sum, NULL::VARCHAR AS third, true AS has_context, true AS same_again FROM e GROUP BY user_id""",
+    "entity_verdicts": f"""WITH {feasibility._CHAIN}, {_ORD}, {_IDS}, known AS (SELECT p_partkey, CASE WHEN p_partkey % 3 = 0 THEN ids.id END AS id FROM pt JOIN ids USING (ord))
+SELECT p_partkey, CASE WHEN p_partkey % 3 = 1 THEN 'my hexanol' ELSE cv.name END AS name, CASE WHEN p_partkey % 3 = 1 THEN 'green' ELSE verdict END AS verdict, CASE WHEN p_partkey % 3 = 1 THEN 'strong' ELSE sig END AS signal_strength, CASE WHEN p_partkey % 3 = 1 THEN 'medium' ELSE conf END AS confidence FROM known LEFT JOIN cv ON cv.id = known.id""",
     "processor_families": f"""WITH vb AS ({kinetics.ORACLE_SQL['view_b_kinetics']})
 SELECT recording_id, channel, CASE recording_id % 4 WHEN 0 THEN 'mox' WHEN 2 THEN 'mox-compatible' ELSE 'unsupported' END AS family, CASE recording_id % 4 WHEN 1 THEN 'unsupported sensor type miris' WHEN 3 THEN 'unsupported sensor type electrochemical' END AS error, CASE WHEN recording_id % 2 = 0 THEN direction END AS direction, CASE WHEN recording_id % 2 = 0 THEN relative_amplitude END AS relative_amplitude FROM vb""",
     "channel_ranking": "WITH g AS (SELECT o_custkey AS recording_id, o_orderpriority AS channel, max(o_totalprice) AS relative_amplitude FROM orders GROUP BY 1, 2), r AS (SELECT *, row_number() OVER (PARTITION BY recording_id ORDER BY relative_amplitude DESC, channel)::INT AS rank FROM g) SELECT recording_id, channel, rank, relative_amplitude FROM r WHERE rank <= 2",

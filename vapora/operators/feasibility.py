@@ -113,6 +113,13 @@ def resolve(spark: SparkSession, entity: str, kind: str, extra: DataFrame | None
     return class_verdict(catalogue.classes(spark).where(F.col("class") == entity.removeprefix("class:")))
 
 
+def verdicts_of(asked: DataFrame, known: DataFrame) -> DataFrame:
+    """asked (entity, and any columns) with the chain of the compound of that id among known ones, the catalogue's before a user's; NULLs for unknown ids."""
+    first = Window.partitionBy("id").orderBy(F.col("provisional").asc(), "ord")
+    chain = constituent_chain(known.withColumn("_r", F.row_number().over(first)).where("_r = 1").drop("_r"))
+    return asked.join(chain, asked["entity"] == chain["id"], "left")
+
+
 def cross_check(entities: DataFrame, library: DataFrame, sensors: int = DEFAULT_SENSORS) -> DataFrame:
     """entities (id, name, synonyms) with capacity and the library's labels (label) that may be confused with them."""
     lib = library.select("label", F.lower("label").alias("_l"))

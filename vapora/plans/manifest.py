@@ -31,6 +31,37 @@ def extra(text: Column) -> Column:
     return F.map_from_arrays(keys, F.transform(keys, lambda k: F.element_at(F.from_json(text, "map<string,string>"), k)))
 
 
+def at(text: Column, path: str, kind: str = "string") -> Column:
+    """The value at a dotted path with indexes, such as sensor.channels[0].id or ingest.context.Temperature, as a type; NULL where there is none, or no JSON."""
+    return F.try_variant_get(F.try_parse_json(text), f"$.{path}", kind)
+
+
+def same(a: Column, b: Column) -> Column:
+    """Whether two JSON texts say the same, whatever their spaces and the order of their keys."""
+    plain = lambda text: F.to_json(F.try_parse_json(text))
+    return plain(a) == plain(b)
+
+
+def shape(texts: DataFrame, column: str = "manifest") -> DataFrame:
+    """One row: the schema that all JSON texts of a column share, open keys included."""
+    return texts.agg(F.schema_of_variant_agg(F.try_parse_json(column)).alias("shape"))
+
+
+def build(recordings: DataFrame, label: Column | None = None, role: str = "single") -> DataFrame:
+    """Readable recordings with a manifest that says where they come from.
+
+    Channels of the sensor are declared as such; what was read beside them (the context's values among it), what was skipped and what
+    the reader noticed is kept under ingest, a key that the schema doesn't name.
+    """
+    last = lambda t: F.when(F.size(t) > 1, F.element_at(t, -1) - F.element_at(t, 1)).otherwise(0.0)
+    nothing = F.lit(None).cast("string")
+    sensor = F.struct(F.col("sensor_type").alias("sensorType"), F.transform("channel_ids", lambda c: F.struct(c.alias("id"), F.lit("adc").alias("unit"))).alias("channels"), F.when(F.col("rate_hz") > 0, F.col("rate_hz")).alias("samplingRateHz"))
+    session = F.struct(F.lit(role).alias("role"), (label if label is not None else F.element_at(F.split("path", "/"), -1)).alias("label"), F.col("substance").alias("groupId"), last(F.col("t")).cast("bigint").alias("durationMs"), F.when(F.size("warnings") > 0, F.array_join("warnings", "; ")).alias("notes"))
+    ingest = F.struct(F.col("path").alias("sourceFile"), F.col("time_source").alias("timeSource"), F.col("context_ids").alias("contextColumns"), F.col("skipped").alias("skippedColumns"), "warnings", "context")
+    made = F.to_json(F.struct(sensor.alias("sensor"), session.alias("session"), F.struct(F.lit("vapora").alias("importer")).alias("software"), ingest.alias("ingest")))
+    return recordings.where("ok").withColumn("manifest", F.coalesce("manifest", made, nothing))
+
+
 def declarations(recordings: DataFrame) -> DataFrame:
     """recordings with what their manifests declare for the quality score: rate, adc_max, role, baseline, r0_samples."""
     m = recordings.withColumn("_m", from_json("manifest"))
