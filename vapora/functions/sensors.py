@@ -27,6 +27,16 @@ SGP30|cmos_mems||
 SGP40|cmos_mems||
 BME680|mox||
 """
+#: Where the laws of a model were taken from, by rule, and what is published about models without a law.
+LAW_SOURCE = "https://github.com/miguel5612/MQSensorsLib/blob/master/examples/{0}/{0}.ino"
+DATASHEETS = """
+TGS8100 https://www.figarosensor.com/product/docs/TGS8100%280914%29.pdf
+TGS8100 http://www.figarosensor.com/feature/tgs8100.html
+SGP30 https://sensirion.com/products/catalog/SGP30
+SGP40 https://www.sensirion.com/products/catalog/SGP40
+BME680 https://www.bosch-sensortec.com/media/boschsensortec/downloads/datasheets/bst-bme680-ds001.pdf
+BME680 https://www.bosch-sensortec.com/en/products/environmental-sensors/gas-sensors/bme680
+"""
 #: Spellings that name a tabulated gas.
 GAS_ALIASES = {"C2H5OH": "Alcohol", "ETHANOL": "Alcohol", "ETHYLALCOHOL": "Alcohol"}
 
@@ -61,6 +71,18 @@ def power_laws(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame([(m, g, a, b, key(m), key(g)) for m, _, _, gases in _rows() for g, a, b in gases], "model string, gas string, a double, b double, key string, gas_key string")
 
 
+def source_rows() -> list[tuple[str, int, str]]:
+    sheets = [line.split(" ") for line in DATASHEETS.strip().splitlines()]
+    by_law = [(m, LAW_SOURCE.format(m)) for m, _, _, gases in _rows() if gases]
+    listed = [*by_law, *sheets]
+    return [(m, sum(x == m for x, _ in listed[:k]), url) for k, (m, url) in enumerate(listed)]
+
+
+def sources(spark: SparkSession) -> DataFrame:
+    """model, place and source: what its constants, or their absence, can be verified by."""
+    return spark.createDataFrame(source_rows(), "model string, place int, source string")
+
+
 def key_column(name: Column) -> Column:
     """The spelling-insensitive key of a sensor or gas name."""
     return F.regexp_replace(F.upper(name), "[^A-Z0-9]", "")

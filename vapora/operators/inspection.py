@@ -126,6 +126,31 @@ def _q_inspect(spark: SparkSession, sf_dir: str) -> DataFrame:
     return i.select("path", "sensor_type", "feature_family", F.size("models").alias("n_models"), F.array_join("unmodeled", ",").alias("unmodeled"), F.size("warnings").alias("n_warnings"), "inferred")
 
 
+def _named_models(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Events of each user as a text whose first channel bears a sensor model's name, spelt in a user's way."""
+    names = F.array(*(F.lit(m) for m in sensors.model_names()))
+    e = views.table(spark, sf_dir, "events")
+    model = F.element_at(names, (F.col("user_id") % len(sensors.model_names()) + 1).cast("int"))
+    spelt = F.when(F.col("user_id") % 3 == 0, F.lower(model)).when(F.col("user_id") % 3 == 1, F.replace(model, F.lit("-"), F.lit(" "))).otherwise(model)
+    line = F.concat_ws(",", (F.col("event_id") * 100).cast("string"), F.format_string("%.2f", "value"), F.lit("7"))
+    g = e.groupBy("user_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("event_id", line.alias("l")))), lambda x: x["l"]), "\n").alias("body"))
+    return g.select(F.concat(F.lit("user/"), "user_id").alias("path"), F.encode(F.concat(F.lit("time_ms,"), spelt, F.lit(",other\n"), "body"), "UTF-8").alias("content"))
+
+
+def _q_models(spark: SparkSession, sf_dir: str) -> DataFrame:
+    i = inspect(R.reparse(_named_models(spark, sf_dir)))
+    pairs = F.transform(F.map_entries("models"), lambda m: F.concat_ws("=", m["key"], m["value"]))
+    return i.select("path", "sensor_type", "feature_family", F.array_join(pairs, ",").alias("models"), F.array_join("unmodeled", ",").alias("unmodeled"), "inferred")
+
+
+def _q_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What each part's sensor, however it is spelt, can be verified by; NULL for unknown ones."""
+    from vapora.operators.calibration import spellings
+
+    named = sensors.normalise_sensor(spellings(spark, sf_dir).select("p_partkey", "sensor"), "sensor").select("p_partkey", "model")
+    return named.join(F.broadcast(sensors.sources(spark)), "model", "left").select("p_partkey", "model", "place", "source")
+
+
 def _q_validate(spark: SparkSession, sf_dir: str) -> DataFrame:
     t = R._texts(spark, sf_dir)
     bad = t.select(F.concat("path", F.lit("/empty")).alias("path"), F.lit(b"# nothing\n").alias("content"))
@@ -162,7 +187,7 @@ def _q_suggest(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
-    "channel_matrix": _q_matrix, "inspect_source": _q_inspect, "validate_recording": _q_validate, "analyze_recording": _q_analyze, "recording_health": _q_health,
+    "channel_matrix": _q_matrix, "inspect_source": _q_inspect, "inspect_models": _q_models, "sensor_sources": _q_sources, "validate_recording": _q_validate, "analyze_recording": _q_analyze, "recording_health": _q_health,
     "absolute_by_channel": _q_absolute, "sensor_suggestions": _q_suggest,
 }
 
@@ -174,6 +199,10 @@ _MODEL_KEYS = "md(model, k) AS (VALUES " + ", ".join(f"('{m}', '{sensors.key(m)}
 ORACLE_SQL = {
     "channel_matrix": f"WITH {_GOOD} SELECT path, 'carbon monoxide,voc' AS columns, count(*)::INT AS n, floor(sum(co) * 1000 + 0.50037) / 1000 AS first_sum, floor(sum(voc) * 1000 + 0.50037) / 1000 AS second_sum, NULL::VARCHAR AS error FROM e GROUP BY path",
     "inspect_source": f"WITH {_GOOD} SELECT DISTINCT path, 'mox' AS sensor_type, 'mox' AS feature_family, 0 AS n_models, 'VOC,CO' AS unmodeled, 2 AS n_warnings, false AS inferred FROM e",
+    "inspect_models": f"""WITH {_MODEL_KEYS}, o AS (SELECT *, row_number() OVER () - 1 AS i FROM md), u AS (SELECT DISTINCT user_id, o.model FROM events JOIN o ON user_id % {len(sensors.model_names())} = i)
+SELECT 'user/' || user_id AS path, 'mox' AS sensor_type, 'mox' AS feature_family, CASE user_id % 3 WHEN 0 THEN lower(model) WHEN 1 THEN replace(model, '-', ' ') ELSE model END || '=' || model AS models, 'other' AS unmodeled, false AS inferred FROM u""",
+    "sensor_sources": f"""WITH sp AS (SELECT p_partkey, ['mq', 'MQ-', 'Mq_', 'mq '][p_size % 4 + 1] || ['2', '3', '135', '8', '99', '309a', '7'][p_partkey % 7 + 1] AS sensor FROM part), {_MODEL_KEYS}, so(model, place, source) AS (VALUES {', '.join(f"('{m}', {k}, '{url}')" for m, k, url in sensors.source_rows())})
+SELECT p_partkey, md.model, place, source FROM sp LEFT JOIN md ON md.k = regexp_replace(upper(sensor), '[^A-Z0-9]', '', 'g') LEFT JOIN so ON so.model = md.model""",
     "validate_recording": f"WITH {_GOOD} SELECT path, 'csv' AS format, true AS valid, count(*)::INT AS sample_count, 0 AS n_errors, 'VOC,CO' AS channels FROM e GROUP BY path UNION ALL SELECT DISTINCT path || '/empty', 'csv', false, NULL, 1, NULL FROM e",
     "analyze_recording": f"""WITH {_SAMPLES}, k AS (SELECT *, CASE WHEN n = 0 THEN 5 ELSE least(30, greatest(5, floor(n * 0.15::DOUBLE)))::INT END AS k FROM sm),
 g AS (SELECT path, channel, median(v) FILTER (idx < k) AS r0, arg_max(v, idx) AS last_v, stddev_pop(v) AS sd FROM k GROUP BY 1, 2)

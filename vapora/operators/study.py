@@ -111,6 +111,17 @@ def substance_rollup(sessions: DataFrame) -> DataFrame:
     return sessions.groupBy("substance").agg(F.count("*").alias("session_count"), F.count_if("ok").alias("ok_count"))
 
 
+def collection_report(recordings: DataFrame) -> DataFrame:
+    """substance, place (by name), session_count, ok_count and the mean of each subscore over the halves of its readable recordings.
+
+    recordings are those of a folder whose sub-folders are the substances, as sources.recordings.read_recordings gives them.
+    """
+    counted = substance_rollup(recordings.select("substance", "ok")).withColumn("place", F.row_number().over(Window.orderBy("substance")) - 1)  # a row for each substance
+    halves_of = half_scores(recordings).join(recordings.select(F.col("path").alias("recording_id"), "substance"), "recording_id")
+    means = halves_of.groupBy("substance").agg(F.count("*").alias("halves"), *(F.avg(c).alias(c) for c in Q.WEIGHTS))
+    return counted.join(means, "substance", "left")
+
+
 def _halves_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     h = halves(views.stream(spark, sf_dir))
     parts = h.groupBy("recording_id", "channel").pivot("half", [0, 1]).agg(F.first(F.expr(A.mean("v"))).alias("m"))
@@ -135,7 +146,21 @@ def _q_sensitivity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sensitivity(scores).selectExpr("subscore", f"{A.snap('sensitivity', 5)} AS sensitivity")
 
 
-QUERIES = {"split_half_spearman": _q_spearman, "subscore_range": _q_range, "substance_rollup": _q_rollup, "defect_sensitivity": _q_sensitivity}
+def _q_collection(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Events as a folder of a text for each kind and user, written, listed, read and reported."""
+    from vapora.sources import files
+    from vapora.sources import recordings as R
+
+    e = views.table(spark, sf_dir, "events").withColumn("path", F.concat_ws("/", "event_type", F.concat(F.lit("u"), "user_id", F.lit(".csv"))))
+    line = F.concat_ws(",", (F.col("event_id") * 100).cast("string"), F.format_string("%.2f", "value"))
+    rows = e.select("path", "event_id", line.alias("line")).unionByName(e.select("path").distinct().select("path", F.lit(-1).cast("long").alias("event_id"), F.lit("time_ms,VOC").alias("line")))
+    at = scratch.folder(spark, "collection")
+    files.write_files(rows.repartition("path").sortWithinPartitions("path", "event_id").select("path", "line"), at)
+    report = collection_report(R.read_recordings(spark, at, "*.csv"))
+    return report.selectExpr("substance", "cast(place AS int) AS place", "session_count", "ok_count", "halves", f"{A.snap('baselineStability', 6)} AS baseline", f"{A.snap('saturationFree', 4)} AS saturation_free")
+
+
+QUERIES = {"collection_report": _q_collection, "split_half_spearman": _q_spearman, "subscore_range": _q_range, "substance_rollup": _q_rollup, "defect_sensitivity": _q_sensitivity}
 
 _s = A.snap
 _REPORT = Q.ORACLE_SQL["quality_report"].split("SELECT recording_id, (floor")[0]
@@ -145,6 +170,10 @@ r AS (SELECT channel, rank() OVER (PARTITION BY channel ORDER BY a) + (count(*)
 SELECT channel, count(*) AS n, {_s('corr(ra, rb)', 6)} AS rho FROM r GROUP BY channel""",
     "subscore_range": f"""{_REPORT}, u AS (SELECT unnest(['continuity', 'dynamicRange', 'saturationFree', 'baselineStability', 'signalStrength', 'recoveryCompleteness', 'durationAdequacy']) AS subscore, unnest([c, dr, sf, st, sig, rec, coalesce(du, 0)]) AS value FROM fin)
 SELECT subscore, {_s('quantile_cont(value, 0.25)', 5)} AS q1, {_s('quantile_cont(value, 0.75)', 5)} AS q3, {_s('quantile_cont(value, 0.75) - quantile_cont(value, 0.25)', 5)} AS iqr, {_s('count(value) / count(*)', 5)} AS measured FROM u GROUP BY subscore""",
+    "collection_report": f"""WITH c AS (SELECT event_type, user_id, round(value, 2) AS v, row_number() OVER w - 1 AS idx, count(*) OVER (PARTITION BY event_type, user_id) AS n FROM events WINDOW w AS (PARTITION BY event_type, user_id ORDER BY event_id)),
+h AS (SELECT event_type, user_id, idx >= n // 2 AS half, 100::DOUBLE * (1 - (count(*) FILTER (v <= 0))::DOUBLE / count(*)) AS free FROM c WHERE n >= 2 GROUP BY 1, 2, 3),
+g AS (SELECT event_type, count(*) AS halves, avg(free) AS free FROM h GROUP BY 1), k AS (SELECT event_type, count(DISTINCT user_id) AS s FROM events GROUP BY 1)
+SELECT event_type AS substance, (row_number() OVER (ORDER BY event_type) - 1)::INT AS place, s AS session_count, s AS ok_count, halves, CASE WHEN halves IS NOT NULL THEN 0 END::DOUBLE AS baseline, {_s('free', 4)} AS saturation_free FROM k LEFT JOIN g USING (event_type)""",
     "substance_rollup": "SELECT event_type AS substance, count(*) AS session_count, count(*) FILTER (value > 10) AS ok_count FROM events GROUP BY 1",
     "defect_sensitivity": f"""WITH m AS (SELECT l_returnflag || l_linestatus AS subscore, l_linenumber AS d, avg(l_extendedprice / 1000::DOUBLE) AS m, count(*) AS n FROM lineitem GROUP BY 1, 2 HAVING count(*) >= 3)
 SELECT a.subscore, {_s('sum(greatest(0, c.m - a.m))', 5)} AS sensitivity FROM m a JOIN m c ON a.subscore = c.subscore AND c.d = 1 WHERE a.d > 1 GROUP BY a.subscore""",
