@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from vapora.functions import arrays as A
@@ -58,13 +58,30 @@ def confidence(sources: str) -> str:
     return f"CASE WHEN array_contains({sources}, 'unknown') THEN 'low' WHEN array_contains({sources}, 'estimated') THEN 'medium' ELSE 'high' END"
 
 
+def told_pa(pa: Column) -> Column:
+    """A pressure in words: Pa below a kilopascal, two decimals of kPa below a hundred."""
+    return F.when(pa.isNull(), "unknown").when(pa >= 100_000, F.format_string("%.0f kPa", pa / 1000)).when(pa >= 1000, F.format_string("%.2f kPa", pa / 1000)).otherwise(F.format_string("%.0f Pa", pa))
+
+
+def told_ratio(ratio: Column) -> Column:
+    """A signal in words, as a multiple of ethanol's or a share of it."""
+    large = F.when(ratio >= 10, F.format_string("%.1f× ethanol", ratio)).when(ratio >= 1, F.format_string("%.2f× ethanol", ratio))
+    return large.when(ratio >= 0.1, F.format_string("%.0f%% of ethanol", ratio * 100)).otherwise(F.format_string("%.1f%% of ethanol", ratio * 100))
+
+
+def told_ppm(ppm: Column) -> Column:
+    """A concentration in words: thousands from ten thousand on, whole numbers from a hundred on."""
+    return F.when(ppm.isNull(), "unknown").when(ppm >= 10_000, F.format_string("%.0fk", ppm / 1000)).when(ppm >= 100, F.bround(ppm).cast("bigint").cast("string")).otherwise(F.format_string("%.1f", ppm))
+
+
 def with_reasons(chain: DataFrame) -> DataFrame:
     """chain with a sentence for each graded step."""
+    chain = chain.withColumns({"_pa": told_pa(F.col("vp")), "_ppm": told_ppm(F.col("ppm"))})
     return chain.withColumns({
-        "r_volatility": F.expr("CASE WHEN gas THEN name || ' is a gas at room temperature.' WHEN vp_source = 'unknown' THEN 'Vapor pressure unknown.' ELSE format_string('%s has %s volatility (%.0f Pa at 25 C).', name, volatility, vp) END"),
-        "r_signal": F.expr("CASE WHEN gas THEN name || ' is available as full vapor.' WHEN ppm IS NULL THEN 'Headspace concentration unknown.' ELSE format_string('Saturated headspace is about %.1f ppm.', ppm) END"),
+        "r_volatility": F.expr("CASE WHEN gas THEN name || ' is a gas at room temperature.' WHEN vp_source = 'unknown' THEN 'Vapor pressure unknown.' ELSE format_string('%s has %s volatility (%s at 25 C).', name, volatility, _pa) END"),
+        "r_signal": F.expr("CASE WHEN gas THEN name || ' is available as full vapor.' WHEN ppm IS NULL THEN 'Headspace concentration unknown.' ELSE format_string('Saturated headspace is about %s ppm.', _ppm) END"),
         "r_reactivity": F.expr("CASE WHEN id = 'water' THEN 'Humidity moves the baseline: expect a baseline shift, not a response.' WHEN g_reactivity = 'red' THEN name || ' is not redox-active at operating temperature.' WHEN g_reactivity = 'green' THEN 'Contains ' || array_join(groups, ', ') || ', oxidised at the sensor surface.' ELSE name || ' is not a reducing gas; any response is indirect.' END"),
-    })
+    }).drop("_pa", "_ppm")
 
 
 def guidance(verdicts: DataFrame) -> DataFrame:
@@ -192,6 +209,12 @@ def _parts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return views.substances(spark, sf_dir).withColumn("id", F.col("p_partkey"))
 
 
+def _q_told(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Orders' totals over nine powers of ten as pressures, shares and concentrations in words."""
+    o = spark.read.parquet(f"{sf_dir}/orders.parquet").withColumn("x", F.expr("CASE WHEN o_orderkey % 50 > 0 THEN pow(10D, o_orderkey % 9 - 5) * (o_totalprice + 0.123D) / 70D END"))
+    return o.select("o_orderkey", told_pa(F.col("x")).alias("pressure"), told_ratio(F.coalesce("x", F.lit(0.0)) / 100).alias("ratio"), told_ppm(F.col("x")).alias("concentration"))
+
+
 def _q_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     c = _parts(spark, sf_dir)
     v = relevant_boundaries(constituent_chain(c).withColumn("kind", F.lit("chemical")))
@@ -245,7 +268,7 @@ def _q_physics(kind: str):
 
 QUERIES = {
     "constituent_chain": _q_chain, "composite_verdict": _q_composite, "class_verdict": _q_class, "percepts_for": _q_percepts, "cross_check": _q_cross,
-    "bands": _q_bands, "perceptual_summary": _q_summary, "antoine_vapor": _q_physics("antoine"), "clausius_clapeyron": _q_physics("clausius"), "fuller_diffusion": _q_physics("fuller"),
+    "bands": _q_bands, "value_formats": _q_told, "perceptual_summary": _q_summary, "antoine_vapor": _q_physics("antoine"), "clausius_clapeyron": _q_physics("clausius"), "fuller_diffusion": _q_physics("fuller"),
 }
 
 
@@ -284,6 +307,10 @@ SELECT id, 'order ' || id AS name, CASE WHEN n > 0 AND r / a > 0.5 THEN 'red' WH
 SELECT p_partkey, count(*)::INT AS n_percepts, array_to_string(list(percept ORDER BY ord)[:3], ',') AS top, arg_min(percept, (NOT hit, ord)) AS dominant, arg_min(percept, (NOT hit, ord)) IN ('spicy-balsamic', 'smoky-phenolic') AS low_volatility FROM j GROUP BY p_partkey""",
     "cross_check": f"""WITH {_COMPOUNDS}, lib AS (SELECT DISTINCT ['', 'Ripe ', 'Gas ', ''][p_partkey % 4 + 1] || ['ethanol', 'Acetone', 'lpg', 'butane', 'H2O', 'widget', 'Phenol', 'toluol'][p_size % 8 + 1] AS label FROM part)
 SELECT id, 40 AS max_distinguishable, coalesce(string_agg(label, ',' ORDER BY label), '') AS confusable FROM cp LEFT JOIN lib ON lower(label) = lower(name) OR list_contains(list_transform(syn, lambda x: lower(x)), lower(label)) OR contains(lower(name), lower(label)) OR contains(lower(label), lower(name)) GROUP BY id""",
+    "value_formats": """WITH x AS (SELECT o_orderkey, CASE WHEN o_orderkey % 50 > 0 THEN pow(10::DOUBLE, o_orderkey % 9 - 5) * (o_totalprice + 0.123::DOUBLE) / 70::DOUBLE END AS x FROM orders), y AS (SELECT *, coalesce(x, 0) / 100 AS r FROM x)
+SELECT o_orderkey, CASE WHEN x IS NULL THEN 'unknown' WHEN x >= 100000 THEN printf('%.0f kPa', x / 1000) WHEN x >= 1000 THEN printf('%.2f kPa', x / 1000) ELSE printf('%.0f Pa', x) END AS pressure,
+  CASE WHEN r >= 10 THEN printf('%.1f× ethanol', r) WHEN r >= 1 THEN printf('%.2f× ethanol', r) WHEN r >= 0.1 THEN printf('%.0f%% of ethanol', r * 100) ELSE printf('%.1f%% of ethanol', r * 100) END AS ratio,
+  CASE WHEN x IS NULL THEN 'unknown' WHEN x >= 10000 THEN printf('%.0fk', x / 1000) WHEN x >= 100 THEN round_even(x, 0)::BIGINT::VARCHAR ELSE printf('%.1f', x) END AS concentration FROM y""",
     "bands": """WITH x AS (SELECT o_orderkey, pow(10, o_orderkey % 9 - 4) * o_totalprice / 1000::DOUBLE AS x FROM orders),
 v(lo, hi, l) AS (VALUES (10000, 1e300, 'very high'), (1000, 10000, 'high'), (100, 1000, 'moderate'), (1, 100, 'low'), (0, 1, 'negligible')), h(lo, hi, l) AS (VALUES (1000, 1e300, 'strong'), (100, 1000, 'moderate'), (10, 100, 'weak'), (1, 10, 'marginal'), (0, 1, 'none')), s(lo, hi, l) AS (VALUES (1, 1e300, 'strong'), (0.1, 1, 'moderate'), (0.01, 0.1, 'weak'), (0.001, 0.01, 'marginal'), (0, 0.001, 'none'))
 SELECT o_orderkey, v.l AS volatility, h.l AS headspace, s.l AS signal FROM x JOIN v ON x >= v.lo AND x < v.hi JOIN h ON x >= h.lo AND x < h.hi JOIN s ON x >= s.lo AND x < s.hi""",
