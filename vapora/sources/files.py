@@ -418,21 +418,23 @@ def _written(spark: SparkSession, sf_dir: str) -> str:
 
 def _q_split_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Large texts written one per kind of event, parsed in byte ranges of 16 kB."""
-    lines = read_lines(spark, _written(spark, sf_dir), splitBytes=1 << 14)
+    lines = read_lines(spark, _written(spark, sf_dir), splitBytes=1 << 14).withColumn("task", F.spark_partition_id())
+    lines = scratch.stored(lines, "lines")  # parsed once, read by several aggregates
     good = samples(lines).groupBy("path", "substance", "channel_ids").agg(F.count("*").alias("n_samples"), F.min("t_ms").alias("first_ms"), F.max("t_ms").alias("last_ms"), F.sum(F.get("v", F.lit(0))).alias("voc"), F.sum(F.get("v", F.lit(1))).alias("co"))
     out = good.join(bad_cells(lines), "path")
-    parts = lines.select("path", F.spark_partition_id().alias("task")).groupBy("path").agg((F.count_distinct("task") > 1).alias("shared"))
+    parts = lines.groupBy("path").agg((F.count_distinct("task") > 1).alias("shared"))
     rounded = lambda c: F.floor(F.col(c) * 1000 + 0.50037) / 1000
     return out.join(parts, "path").select("substance", F.array_join("channel_ids", ",").alias("channels"), "n_samples", "non_finite", "first_ms", "last_ms", rounded("voc").alias("voc_sum"), rounded("co").alias("co_sum"), "shared")
 
 
 def _q_bundle_files(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A bundle per user written as a file, listed, and read again, two users left out by a pushed condition."""
+    """A bundle per user written as a file, listed, and read again under a pushed condition."""
     at = scratch.folder(spark, "bundles")
     write_files(R.reparse(R._texts(spark, sf_dir)).where("ok"), at)
     listed = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", "*.zip").load(at).groupBy().agg(F.count("*").alias("n_files"))
     base = F.regexp_extract("path", "([^/]+)\\.zip$", 1)
-    got = samples(read_lines(spark, at).where("substance = 'user'")).groupBy(base.cast("long").alias("user_id")).agg(F.count("*").alias("n_samples"), F.sum(F.get("v", F.lit(0))).alias("voc"))
+    lines = scratch.stored(read_lines(spark, at).where("substance = 'user'"), "lines")
+    got = samples(lines).groupBy(base.cast("long").alias("user_id")).agg(F.count("*").alias("n_samples"), F.sum(F.get("v", F.lit(0))).alias("voc"))
     return got.join(F.broadcast(listed)).select("user_id", "n_samples", (F.floor(F.col("voc") * 1000 + 0.50037) / 1000).alias("voc_sum"), "n_files")
 
 
