@@ -441,7 +441,7 @@ def plain_tree_scores(rows, least, gain, depth):
     return scores, Counter(map(len, kept))
 
 
-@pytest.mark.parametrize("least, gain, depth", [(suffix_tree_lm.LEAST, suffix_tree_lm.GAIN, suffix_tree_lm.DEPTH), (2, 1.0, 4)])
+@pytest.mark.parametrize("least, gain, depth", [(suffix_tree_lm.LEAST, suffix_tree_lm.GAIN, suffix_tree_lm.DEPTH), (2, 1.0, 4), (4, 12.0, 4), (3, 2.0, 2), (2, 1.0, 1)])
 def test_scores_as_plain_counting(spark, docs, odd, least, gain, depth):
     for frame in (docs, odd):
         rows = frame.select("doc_id", "text").collect()
@@ -451,7 +451,23 @@ def test_scores_as_plain_counting(spark, docs, odd, least, gain, depth):
         order = lambda x: (x[0] is None, x[0] or 0, x[1])
         for (_, g), (_, w) in zip(sorted(((r.doc_id, r.score) for r in got), key=order), sorted(((r.doc_id, w) for r, w in zip(rows, want, strict=True)), key=order), strict=True):
             assert g == pytest.approx(w)
-        assert frame is odd or kept[3] > 0  # contexts of three words are in use
+        assert frame is odd or kept[min(depth, 3)] > 0  # contexts of three words are in use
+
+
+@pytest.mark.parametrize("least, gain", [(2, 0.5), (2, 5.0), (5, 3.0), (20, 5.0), (20, -1.0)])
+def test_bounds_of_divergence(least, gain):
+    """No distribution of next words exceeds the bound, and shorter contexts than least_parent have no suffix tree below them."""
+    rng = np.random.default_rng(5)
+    for _ in range(2000):
+        m = rng.integers(1, 12, rng.integers(1, 8))
+        above = m + rng.integers(0, 30, len(m)) * rng.integers(0, 2)
+        n, t, up = int(m.sum()), len(m), int(above.sum() + rng.integers(0, 50))
+        better = ((m - 1) * np.log(m / above)).sum() - (n - t) * np.log((n + t) / up) + t * np.log(t / (n + t))
+        assert better <= suffix_tree_lm.most_gain(np.array([n]), np.array([up]))[0]
+    may = lambda up: (suffix_tree_lm.most_gain(k := np.arange(least, up + 1), np.full(len(k), up)) > gain).any()
+    first = next((up for up in range(least, 3000) if may(up)), 3000)
+    parent = suffix_tree_lm.least_parent(least, gain)
+    assert parent <= first and (gain <= 0 or first <= parent + 2)
 
 
 def test_without_training_documents(spark):

@@ -10,9 +10,11 @@ is scored in the longest retained suffix of its history.
 Everything travels in packed blocks (blocks.py), dealt by 64-bit digests of the whole key, so that no word or context gathers
 in one task. A block asks for its words and its pairs of a word and the next; then for the longer contexts with the next word,
 leaving out those whose counts follow from the pairs': a context with a rare pair in it is no candidate, and what follows a
-word once follows a longer context once, which only a held-out token of the same pair must ask for. One block is told that it
-owns a run of words. It adds what follows a context to the context's sums, and tells the context's own counts and suffixes;
-these meet at the context's bucket. There contexts are tested and mark their suffixes at theirs, and all blocks get replies.
+word once follows a longer context once, which only a held-out token of the same pair must ask for. Contexts whose counts show
+that neither they nor longer ones can pass the test (most_gain) are left out too, which changes no result: one that comes with
+the same word before it nearly always says no more than its suffix. One block is told that it owns a run of words. It adds
+what follows a context to the context's sums, and tells the counts and suffixes of a context that can pass; these meet at the
+context's bucket. There contexts are tested and mark their suffixes at theirs, and all blocks get replies.
 The blocks are written once, bucketed by their numbers, so that in every round only replies are shuffled.
 
 Cases: a null or empty text is the end alone; without training documents all counts are 0 and every token has the root's
@@ -22,7 +24,9 @@ empty result.
 
 from __future__ import annotations
 
+from collections import defaultdict
 from collections.abc import Iterator
+from itertools import chain, count
 
 import numpy as np
 import pyarrow as pa
@@ -46,66 +50,138 @@ def mixed(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
+def distinct(x: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Sorted distinct numbers, a place of each in x, and each number's place among them."""
+    order = np.argsort(x)
+    ranked = x[order]
+    new = np.ones(len(x), bool)
+    new[1:] = ranked[1:] != ranked[:-1]
+    where = np.empty(len(x), np.int64)
+    where[order] = np.cumsum(new) - 1
+    return ranked[new], order[new], where
+
+
+def most_gain(n: np.ndarray, up: np.ndarray) -> np.ndarray:
+    """What the divergence of a context with n next tokens, up after its suffix, is at most, whatever they are.
+
+    Shares after the context are at most those that the counts allow, so the sum is largest with one distinct next word or n.
+    """
+    n, up = n.astype(float), up.astype(float)
+    return np.maximum((n - 1) * np.log(up / (n + 1)) - np.log(n + 1), -n * np.log(2)) + 1e-6
+
+
+def least_parent(least: int, gain: float) -> int:
+    """Fewest tokens after a context such that a longer one with it as suffix may diverge."""
+    need = lambda k: np.maximum(k, np.exp(np.minimum((gain + np.log(k + 1)) / (k - 1) + np.log(k + 1), 700)))
+    first = need(float(least))
+    return least if gain <= 0 or first > 1 << 16 else max(least, int(need(np.arange(least, int(first) + 2, dtype=float)).min()) - 1)
+
+
+def steps_of(depth: int) -> list[list[int]]:
+    """Depths of the keys that each question asks for: each needs the replies to those before."""
+    return [s for s in ([0, 1], list(range(2, depth + 1))) if s and s[-1] <= depth]
+
+
 class Tokens:
     """A block's tokens, texts end to end, with the digests of their contexts and pairs by depth, and what replies tell."""
 
-    def __init__(self, every: np.ndarray, digest: np.ndarray, lengths: np.ndarray, held: np.ndarray, depth: int):
+    def __init__(self, every: np.ndarray, digest: np.ndarray, lengths: np.ndarray, held: np.ndarray, total: int, rule: tuple[int, int, float]):
+        self.depth, self.least, self.gain = rule
+        self.parent, self.total, self.every = least_parent(self.least, self.gain), total, every
         self.first = np.cumsum(lengths) - lengths
         self.place = np.arange(len(every)) - np.repeat(self.first, lengths)
         self.train = ~np.repeat(held, lengths)
-        word = digest[every]
-        #: A word's key is odd, a pair's even.
-        self.keys = [word | np.uint64(1)]
+        self.digest, self.word = digest, digest[every]
         self.contexts = [np.zeros(len(every), np.uint64)]
-        for d in range(1, depth + 1):
-            self.contexts.append(mixed(self.contexts[-1] * np.uint64(0x9E3779B97F4A7C15) + self.before(word, d) + np.uint64(d)))
-            self.keys.append(mixed(self.contexts[d] * np.uint64(0xD6E8FEB86659FD93) + word) & ~np.uint64(1))
         self.counts: list[np.ndarray] = []
         self.owned: list[np.ndarray] = []
-        #: Whether a held-out token asks for the pair of the word before and this word.
+        #: Whether a held-out token asks for the longest key asked for so far.
         self.wanted = np.zeros(len(every), bool)
 
     @staticmethod
     def before(a: np.ndarray, d: int) -> np.ndarray:
         """The value d tokens earlier, 0 before the first."""
-        return np.r_[np.zeros(min(d, len(a)), a.dtype), a[:-d]]
+        out = np.zeros_like(a)
+        out[d:] = a[:-d]
+        return out
 
-    def asked(self, least: int) -> list[tuple[int, np.ndarray]]:
-        """Depths of the next question and the tokens it is about: words and pairs first, then longer contexts."""
+    def context(self, d: int) -> np.ndarray:
+        """Digests of the d words before each token."""
+        for k in range(len(self.contexts), d + 1):
+            self.contexts.append(mixed(self.contexts[-1] * np.uint64(0x9E3779B97F4A7C15) + self.before(self.word, k) + np.uint64(k)))
+        return self.contexts[d]
+
+    def keys(self, d: int, at: np.ndarray) -> np.ndarray:
+        """Keys of tokens after the d words before them; a word's own key is odd, the others are even."""
+        if d == 0:
+            return self.word[at] | np.uint64(1)
+        return mixed(self.context(d)[at] * np.uint64(0xD6E8FEB86659FD93) + self.word[at]) & ~np.uint64(1)
+
+    def asked(self) -> list[tuple[int, np.ndarray]]:
+        """Depths of the next question and the tokens it is about: words and pairs, then what follows ever longer candidates."""
         if not self.counts:
             return [(0, np.arange(len(self.place))), (1, np.flatnonzero(self.place >= 1))]
-        # What follows a word once, in training, can matter to a held-out token alone.
-        out, may = [], (self.counts[1] >= 2) | (self.counts[1] == 1) & self.wanted
-        for d in range(2, len(self.keys)):
-            may = may & (self.before(self.counts[1], d - 1) >= least)
-            out.append((d, np.flatnonzero(may & (self.place >= d))))
+        # What follows a word once, in training, can matter after a longer context to a held-out token alone.
+        may, out = ((self.counts[1] >= 2) | (self.counts[1] == 1) & self.wanted) & self.after(2), []
+        for d in range(2, self.depth + 1):
+            if d > 2:
+                # All but the first of a context's pairs belong to its suffix, which must be frequent for it to matter.
+                may = may & (self.before(self.counts[1], d - 2) >= self.parent)
+            out.append((d, np.flatnonzero(may & (self.before(self.counts[1], d - 1) >= self.least) & (self.place >= d))))
         return out
 
-    def question(self, least: int) -> tuple[np.ndarray, np.ndarray]:
+    def question(self) -> tuple[np.ndarray, np.ndarray]:
         """Distinct keys of the next question, and the place of each token's key in them."""
-        return np.unique(np.concatenate([self.keys[d][at] for d, at in self.asked(least)] or [np.zeros(0, np.uint64)]), return_inverse=True)
-
-    def learn(self, replies: np.ndarray, least: int) -> None:
-        """Take in the counts and owners of a question's keys. A pair not asked for occurs at this token alone."""
-        asked, codes = self.asked(least), replies[self.question(least)[1]].astype(np.int64)
+        parts = []
+        for d, at in self.asked():
+            if d == 0:
+                # A block's words are few and known.
+                found, _, where = distinct(self.digest | np.uint64(1))
+                parts.append((found, where[self.every]))
+            else:
+                found, _, where = distinct(self.keys(d, at))
+                parts.append((found, where))
+        runs = np.concatenate([found for found, _ in parts] or [np.zeros(0, np.uint64)])
+        # Sorted runs are merged in linear time.
+        order = np.argsort(runs, kind="stable")
+        ranked = runs[order]
+        new = np.ones(len(runs), bool)
+        new[1:] = ranked[1:] != ranked[:-1]
+        place = np.empty(len(runs), np.int64)
+        place[order] = np.cumsum(new) - 1
+        ends = np.cumsum([0, *(len(found) for found, _ in parts)])
+        return ranked[new], np.concatenate([np.zeros(0, np.int64), *(place[lo + where] for lo, (_, where) in zip(ends[:-1], parts, strict=True))])
+
+    def learn(self, replies: np.ndarray) -> None:
+        """Take in the counts and owners of a question's keys. A key not asked for that can matter occurs at this token alone."""
+        asked, codes = self.asked(), replies[self.question()[1]].astype(np.int64)
         for d, at in asked:
             here, codes = codes[: len(at)], codes[len(at) :]
             counts, owned = self.train.astype(np.int64), self.train.copy()
             counts[at], owned[at] = here >> 2, (here & 1).astype(bool) & self.train[at]
-            if d == 1:
+            if d >= 1:
                 self.wanted[at] = here & 2 > 0
+            if d == 1:
                 counts[self.place < 1], owned[self.place < 1] = 0, False
             self.counts.append(counts)
             self.owned.append(owned)
 
     def followers(self, d: int) -> np.ndarray:
         """Training tokens that follow the context of d words before each token."""
-        return np.where(self.place >= d, self.before(self.counts[d - 1], 1), 0)
+        return np.where(self.place >= d, self.before(self.counts[d - 1], 1), 0) if d else np.full(len(self.place), self.total)
+
+    def after(self, d: int) -> np.ndarray:
+        """Whether a token follows a candidate of d words that may pass the test itself, or as the suffix of one."""
+        n, out = self.followers(d), np.zeros(len(self.place), bool)
+        at = np.flatnonzero(n >= self.least)
+        n = n[at]
+        out[at] = (most_gain(n, self.followers(d - 1)[at]) > self.gain) | ((n >= self.parent) if d < self.depth else False)
+        return out
 
-    def candidates(self, least: int) -> tuple[list[np.ndarray], np.ndarray, np.ndarray, np.ndarray]:
+    def candidates(self) -> tuple[list[np.ndarray], np.ndarray, np.ndarray, np.ndarray]:
         """By depth the tokens after candidates; distinct contexts of all depths, an entry of each, and each entry's context."""
-        at = [np.flatnonzero(self.followers(d) >= least) for d in range(1, len(self.keys))]
-        return at, *np.unique(np.concatenate([self.contexts[d + 1][a] for d, a in enumerate(at)] or [np.zeros(0, np.uint64)]), return_index=True, return_inverse=True)
+        at = [np.flatnonzero(self.after(d)) for d in range(1, self.depth + 1)]
+        return at, *distinct(np.concatenate([self.context(d)[a] for d, a in enumerate(at, 1)] or [np.zeros(0, np.uint64)]))
 
 
 _ROWS = "round int, block long, bucket int, keys binary, counts binary, payload binary, tokens long, words long"
@@ -135,9 +211,24 @@ def _open(raw: bytes) -> np.ndarray:
     return np.cumsum(blocks.unpack(raw), dtype=np.uint64)
 
 
-def _question(step: int, block: int, tokens: Tokens, least: int, buckets: int) -> list[tuple]:
-    keys, where = tokens.question(least)
-    train = np.concatenate([tokens.train[at] for _, at in tokens.asked(least)] or [np.zeros(0, bool)])
+def _packed(columns: list[np.ndarray]) -> bytes:
+    """Columns of integers one after another, each with its length in front."""
+    parts = [blocks.pack(c) for c in columns]
+    return b"".join(len(x).to_bytes(4, "little") + x for x in parts)
+
+
+def _unpacked(raw: bytes) -> list[np.ndarray]:
+    out, at = [], 0
+    while at < len(raw):
+        end = at + 4 + int.from_bytes(raw[at : at + 4], "little")
+        out.append(blocks.unpack(raw[at + 4 : end]))
+        at = end
+    return out
+
+
+def _question(step: int, block: int, tokens: Tokens, buckets: int) -> list[tuple]:
+    keys, where = tokens.question()
+    train = np.concatenate([np.zeros(0, bool), *(tokens.train[at] for _, at in tokens.asked())])
     counts = 2 * np.bincount(where, weights=train, minlength=len(keys)).astype(np.int64)
     counts[where[~train]] |= 1
     return [(step, block, b, _close(keys[lo:hi]), blocks.pack(counts[lo:hi]), b"") for b, lo, hi in _dealt(keys, buckets)]
@@ -147,13 +238,11 @@ def _read():
     """Documents as blocks, a row of its tokens each (bucket -1)."""
 
     def flush(block: int, ids: list, held: list, texts: list[bytes]) -> Iterator[pa.RecordBatch]:
-        places: dict[bytes, int] = {END_KEY: 0}
-        at: list[np.ndarray] = []
+        places: dict[bytes, int] = defaultdict(count().__next__)
+        end, at = [places[END_KEY]], []
         for t in texts:
             words = t.split()
-            for w in words:
-                places.setdefault(w, len(places))
-            at.append(np.array([places[w] for w in words] + [0], np.int64))
+            at.append(np.fromiter(chain(map(places.__getitem__, words), end), np.int64, len(words) + 1))
         lengths, every, digest = np.array([len(a) for a in at]), np.concatenate(at), blocks.digests(list(places))
         documents = pa.table({"doc_id": pa.array(ids, pa.int64()), "held": held, "n": pa.array(lengths, pa.int64())})
         row = (0, block, -1, digest.tobytes(), blocks.pack(every), blocks.stream(documents), int(lengths[~np.array(held, bool)].sum()))
@@ -183,8 +272,8 @@ def _ask_pairs(buckets: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for k in range(batch.num_rows):
-                block, tokens, _, _ = _opened(pa.Table.from_batches([batch.slice(k, 1)]), 1, 1, 0)
-                yield from _table(_question(0, block, tokens, 1, buckets)).to_batches()
+                block, tokens, _, _ = _opened(pa.Table.from_batches([batch.slice(k, 1)]), 0, (1, 2, 0.0), 0)
+                yield from _table(_question(0, block, tokens, buckets)).to_batches()
 
     return run
 
@@ -207,81 +296,84 @@ def _count(key: tuple, table: pa.Table) -> pa.Table:
     return _table([*rows, (step, -1, bucket, b"", b"", b"", 0, words)])
 
 
-def _opened(table: pa.Table, depth: int, least: int, steps: int) -> tuple[int, Tokens, pa.Table, np.ndarray]:
+def _opened(table: pa.Table, total: int, rule: tuple[int, int, float], steps: int) -> tuple[int, Tokens, pa.Table, np.ndarray]:
     """A block's number, its tokens with the replies of the first steps, its documents, and the replies of the step after."""
     table = table.sort_by([("round", "ascending"), ("bucket", "ascending")])
     step, bucket, keys, counts = (table.column(c).to_pylist() for c in ("round", "bucket", "keys", "counts"))
     at = bucket.index(-1)
     docs = blocks.open_stream(table.column("payload")[at].as_py())
-    tokens = Tokens(blocks.unpack(counts[at]).astype(np.int64), np.frombuffer(keys[at], np.uint64), docs.column("n").to_numpy(), docs.column("held").to_numpy(), depth)
+    tokens = Tokens(blocks.unpack(counts[at]).astype(np.int64), np.frombuffer(keys[at], np.uint64), docs.column("n").to_numpy(), docs.column("held").to_numpy(), total, rule)
     replies = [np.concatenate([np.zeros(0, np.int64), *(blocks.unpack(c).astype(np.int64) for s, b, c in zip(step, bucket, counts, strict=True) if s == k and b >= 0)]) for k in range(steps + 1)]
     for k in range(steps):
-        tokens.learn(replies[k], least)
+        tokens.learn(replies[k])
     return table.column("block")[0].as_py(), tokens, docs, replies[steps]
 
 
-def _ask_longer(depth: int, least: int, buckets: int):
+def _ask_longer(total: int, rule: tuple[int, int, float], step: int, buckets: int):
     def run(key: tuple, mine: pa.Table, replies: pa.Table) -> pa.Table:
-        block, tokens, _, _ = _opened(pa.concat_tables([mine, replies]), depth, least, 1)
-        return _table(_question(1, block, tokens, least, buckets))
+        block, tokens, _, _ = _opened(pa.concat_tables([mine, replies]), total, rule, step)
+        return _table(_question(step, block, tokens, buckets))
 
     return run
 
 
-def _ask_contexts(total: int, depth: int, least: int, buckets: int):
+def _ask_contexts(total: int, rule: tuple[int, int, float], buckets: int):
+    depth, _, gain_least = rule
+    step = len(steps_of(depth))
+
     def run(key: tuple, mine: pa.Table, replies: pa.Table) -> pa.Table:
-        """The block's candidates; of those that it owns the counts and suffixes; of what it owns after any, the sums' shares."""
-        block, tokens, _, _ = _opened(pa.concat_tables([mine, replies]), depth, least, 2)
-        at, contexts, entry, where = tokens.candidates(least)
-        n, up, distinct, gain = [], [], np.zeros(len(contexts), np.int64), np.zeros(len(contexts))
+        """The block's candidates; of those that it owns and that may pass, counts and suffixes; of what it owns after any, the sums' shares."""
+        block, tokens, _, _ = _opened(pa.concat_tables([mine, replies]), total, rule, step)
+        at, contexts, entry, where = tokens.candidates()
+        n, up, places = (np.concatenate([np.zeros(0, np.int64), *x]) for x in ([tokens.followers(d)[a] for d, a in enumerate(at, 1)], [tokens.followers(d - 1)[a] for d, a in enumerate(at, 1)], at))
+        n, up, places, deep = n[entry], up[entry], places[entry], np.repeat(np.arange(1, depth + 1), [len(a) for a in at])[entry]
+        able = most_gain(n, up) > gain_least
+        seen, gain = np.zeros(len(contexts), np.int64), np.zeros(len(contexts))
         own = np.zeros(len(contexts), bool)
-        suffixes: list[list[np.ndarray]] = [[] for _ in range(depth - 1)]
         done = 0
         for d, a in enumerate(at, 1):
-            n.append(tokens.followers(d)[a])
-            up.append(tokens.followers(d - 1)[a] if d > 1 else np.full(len(a), total))
             own[where[done : done + len(a)][tokens.before(tokens.owned[d - 1], 1)[a]]] = True
-            for k, x in enumerate(suffixes, 1):
-                x.append(tokens.contexts[k][a] if k < d else np.zeros(len(a), np.uint64))
             here = np.flatnonzero(tokens.owned[d][a])
-            here = here[np.unique(tokens.keys[d][a[here]], return_index=True)[1]]
+            here = here[distinct(tokens.keys(d, a[here]))[1]]
             m, above, of = tokens.counts[d][a[here]], tokens.counts[d - 1][a[here]], where[done + here]
-            distinct += np.bincount(of, minlength=len(contexts))
+            seen += np.bincount(of, minlength=len(contexts))
             gain += np.bincount(of, weights=(m - 1) * (np.log(m) - np.log(above)), minlength=len(contexts))
             done += len(a)
-        take = lambda parts, k: np.concatenate(parts)[entry[k]]
+        gain[~able] = 0
+        suffixes = [np.where(deep > k, tokens.context(k)[places], np.uint64(0)) for k in range(1, depth)]
         rows = []
         for b, lo, hi in _dealt(contexts, buckets):
-            mine, some = lo + np.flatnonzero(own[lo:hi]), lo + np.flatnonzero(distinct[lo:hi])
-            facts = {"at": mine - lo, "n": take(n, mine), "up": take(up, mine), **{f"s{k}": take(x, mine) for k, x in enumerate(suffixes, 1)}}
-            shares = {"at": some - lo, "distinct": distinct[some], "gain": gain[some]}
-            rows.append((2, block, b, _close(contexts[lo:hi]), blocks.stream(pa.table(facts)), blocks.stream(pa.table(shares))))
+            mine, some = lo + np.flatnonzero((own & able)[lo:hi]), lo + np.flatnonzero(seen[lo:hi])
+            facts = [mine - lo, n[mine], up[mine], *(x[mine] for x in suffixes)]
+            shares = [some - lo, seen[some], gain[some].view(np.uint64)]
+            rows.append((step, block, b, _close(contexts[lo:hi]), _packed(facts), _packed(shares)))
         return _table(rows)
 
     return run
 
 
-def _test(gain: float, buckets: int):
+def _test(gain: float, step: int, buckets: int):
     def run(key: tuple, table: pa.Table) -> pa.Table:
         """One bucket's contexts, tested (block -1), each block's places in them, and marks for suffixes of those that pass (block -2)."""
         table = table.sort_by("block")
         bucket, keys = key[0].as_py(), [_open(k) for k in table.column("keys").to_pylist()]
         contexts, where = np.unique(np.concatenate(keys), return_inverse=True)
         begins = np.cumsum([0, *map(len, keys)])[:-1]
-        facts, shares = ([blocks.open_stream(x) for x in table.column(c).to_pylist()] for c in ("counts", "payload"))
-        owned, some = (where[np.concatenate([t.column("at").to_numpy() + o for t, o in zip(ts, begins, strict=True)])] for ts in (facts, shares))
-        facts, shares = pa.concat_tables(facts), pa.concat_tables(shares)
-        n, up = np.zeros(len(contexts)), np.zeros(len(contexts))
-        n[owned], up[owned] = facts.column("n").to_numpy(), facts.column("up").to_numpy()
-        t, repeated = (np.bincount(some, weights=shares.column(c).to_numpy(), minlength=len(contexts)) for c in ("distinct", "gain"))
+        facts, shares = ([_unpacked(x) for x in table.column(c).to_pylist()] for c in ("counts", "payload"))
+        owned, some = (where[np.concatenate([t[0].astype(np.int64) + o for t, o in zip(ts, begins, strict=True)])] for ts in (facts, shares))
+        column = lambda ts, k: np.concatenate([t[k].astype(np.uint64) for t in ts])
+        # Contexts without counts can't pass.
+        n, up = np.full(len(contexts), np.nan), np.full(len(contexts), np.nan)
+        n[owned], up[owned] = column(facts, 1), column(facts, 2)
+        t, repeated = (np.bincount(some, weights=w, minlength=len(contexts)) for w in (column(shares, 1), column(shares, 2).view(np.float64)))
         better = repeated - (n - t) * (np.log(n + t) - np.log(up)) + t * np.log(t / (n + t))
         passes = better > gain
-        marks = np.unique(np.concatenate([np.zeros(0, np.uint64), *(facts.column(c).to_numpy()[passes[owned]] for c in facts.column_names if c[0] == "s")]))
+        marks = np.unique(np.concatenate([np.zeros(0, np.uint64), *(column(facts, k)[passes[owned]] for k in range(3, len(facts[0])))]))
         marks = marks[marks > 0]
-        rows = [(2, -1, bucket, _close(contexts), blocks.pack(2 * t.astype(np.int64) + passes), b"")]
+        rows = [(step, -1, bucket, _close(contexts), blocks.pack(2 * t.astype(np.int64) + passes), b"")]
         places = np.split(where, np.cumsum([len(k) for k in keys])[:-1])
-        rows += [(2, b, bucket, b"", blocks.pack(w), b"") for b, w in zip(table.column("block").to_pylist(), places, strict=True)]
-        return _table(rows + [(2, -2, b, _close(marks[lo:hi]), b"", b"") for b, lo, hi in _dealt(marks, buckets)])
+        rows += [(step, b, bucket, b"", blocks.pack(w), b"") for b, w in zip(table.column("block").to_pylist(), places, strict=True)]
+        return _table(rows + [(step, -2, b, _close(marks[lo:hi]), b"", b"") for b, lo, hi in _dealt(marks, buckets)])
 
     return run
 
@@ -292,13 +384,13 @@ def _retain(key: tuple, table: pa.Table) -> pa.Table:
     at = block.index(-1)
     marked = np.concatenate([np.zeros(0, np.uint64), *(_open(k) for b, k in zip(block, keys, strict=True) if b == -2)])
     codes = blocks.unpack(counts[at]).astype(np.int64) | np.isin(_open(keys[at]), marked)
-    return _table([(2, b, key[0].as_py(), b"", blocks.pack(codes[blocks.unpack(c)]), b"") for b, c in zip(block, counts, strict=True) if b >= 0])
+    return _table([(table.column("round")[0].as_py(), b, key[0].as_py(), b"", blocks.pack(codes[blocks.unpack(c)]), b"") for b, c in zip(block, counts, strict=True) if b >= 0])
 
 
-def _finish(total: int, words: int, depth: int, least: int):
+def _finish(total: int, words: int, rule: tuple[int, int, float]):
     def run(key: tuple, mine: pa.Table, replied: pa.Table) -> pa.Table:
-        _, tokens, docs, replies = _opened(pa.concat_tables([mine, replied]), depth, least, 2)
-        at, _, _, where = tokens.candidates(least)
+        _, tokens, docs, replies = _opened(pa.concat_tables([mine, replied]), total, rule, len(steps_of(rule[0])))
+        at, _, _, where = tokens.candidates()
         known, n, first = tokens.counts[0], docs.column("n").to_numpy(), tokens.first
         p = (known + 1.0) / (total + words + 1.0)
         root = np.log10(p)
@@ -331,14 +423,15 @@ def suffix_tree_scores(docs: DataFrame, folds: int = 7, fold: int = 2, least: in
     replies = common.materialize(replies, "word-counts")
     words = replies.agg(F.sum("words")).first()[0] or 0
     with_replies = lambda r: mine.groupBy("block").cogroup(r.where("block >= 0").groupBy("block"))
-    longer = with_replies(replies).applyInArrow(_ask_longer(depth, least, buckets), _ROWS)
-    longer = common.materialize(longer.groupBy("bucket").applyInArrow(_count, _ROWS), "context-counts")
-    known = replies.unionByName(longer)
-    contexts = with_replies(known).applyInArrow(_ask_contexts(total, depth, least, buckets), _ROWS)
-    tested = contexts.groupBy("bucket").applyInArrow(_test(gain, buckets), _ROWS)
+    rule, known, steps = (depth, least, gain), replies, len(steps_of(depth))
+    for step in range(1, steps):
+        longer = with_replies(known).applyInArrow(_ask_longer(total, rule, step, buckets), _ROWS)
+        known = known.unionByName(common.materialize(longer.groupBy("bucket").applyInArrow(_count, _ROWS), "context-counts"))
+    contexts = with_replies(known).applyInArrow(_ask_contexts(total, rule, buckets), _ROWS)
+    tested = contexts.groupBy("bucket").applyInArrow(_test(gain, steps, buckets), _ROWS)
     retained = tested.groupBy("bucket").applyInArrow(_retain, _ROWS)
     schema = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double, pair_share double"
-    return with_replies(known.unionByName(retained)).applyInArrow(_finish(total, words, depth, least), schema)
+    return with_replies(known.unionByName(retained)).applyInArrow(_finish(total, words, rule), schema)
 
 
 def op8_suffix_tree_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
