@@ -9,6 +9,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from vapora import queries
 from vapora.functions import arrays as A
 from vapora.functions import catalogue, sensors, smiles
 from vapora.operators import baseline, calibration, feasibility, features, hardware, kinetics, molecules, presets, quality, search, signal, study, timing
@@ -323,6 +324,31 @@ provisional:
     assert "MQ-136" in capsys.readouterr().out
 
 
+def test_fewer_components_only_where_more_give_no_fit(monkeypatch):
+    t = np.arange(300) / 10
+    series = [np.r_[np.zeros(5), a * np.exp(-t / 1) + 30 * np.exp(-t / 8)] for a in (70, 50)]
+    asked, fit = [], signal.fit
+    monkeypatch.setattr(signal, "fit", lambda t, y, mask, c: asked.append((len(y), c)) or fit(t, y, mask, c))
+    assert signal.decays(series, [5, 5], 10.0, 2)[:, :2] == pytest.approx(np.array([[1.0, 8.0]] * 2), rel=1e-4)
+    assert asked == [(2, 2)]
+    monkeypatch.setattr(signal, "fit", lambda t, y, mask, c: asked.append((len(y), c)) or (*fit(t, y, mask, c)[:2], np.where((c == 2) & (y[:, 0] > 90), np.inf, 1.0)))
+    got = signal.decays(series, [5, 5], 10.0, 2)
+    assert asked[1:] == [(2, 2), (1, 1)] and got[0, 1] == -1 and got[1, :2] == pytest.approx([1.0, 8.0], rel=1e-4)
+
+
+def test_parts_of_one_shape_are_fitted_once(spark, tmp_path, monkeypatch):
+    rows = spark.range(1400).selectExpr("id AS p_partkey", "cast(id % 2 + 1 AS int) AS p_size")
+    rows.coalesce(1).write.parquet(str(tmp_path / "part.parquet"))
+    seen, fit = [], signal.decay_fit
+    monkeypatch.setattr(signal, "decay_fit", lambda series, **more: seen.append((series.count(), series.rdd.getNumPartitions())) or fit(series, **more))
+    for query, shapes in (("decay_recovery", 40), ("decays_recovery", 350)):
+        out = queries.QUERIES[query](spark, str(tmp_path))
+        assert out.where("NOT " + " AND ".join(c for c, kind in out.dtypes if kind == "boolean")).count() == 0
+        assert out.count() == (1400 if query == "decay_recovery" else 2800)
+        assert all(n == shapes and tasks > 1 for n, tasks in seen)
+        seen.clear()
+
+
 def test_decay_and_spectrum():
     t = np.arange(200) / 10
     got = signal.decay(np.r_[np.zeros(5), 100 * np.exp(-t / 3)], 5, 10.0)

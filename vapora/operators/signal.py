@@ -33,29 +33,38 @@ def peak(v: np.ndarray, sr: float) -> tuple[float, float]:
     return k * sr / n, float(np.sqrt(density[k]))
 
 
+def _exponentials(t: np.ndarray, tau: np.ndarray) -> np.ndarray:
+    """exp(-t / tau) for even t from 0, each as a product of one of every 32nd place and one of the first 32."""
+    n, (rows, c) = len(t), tau.shape
+    coarse, fine = (np.exp(-some / tau[:, :, None]) for some in (t[::32], t[:32]))
+    return (coarse[:, :, :, None] * fine[:, :, None, :]).reshape(rows, c, -1)[:, :, :n]
+
+
 def _decayed(log_tau: np.ndarray, t: np.ndarray, y: np.ndarray, mask: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Amplitudes and constant that fit best given the time constants, the residuals, and their derivatives by log tau.
 
     Amplitudes are linear and so eliminated: a step only moves the time constants. Derivatives are those of the projected residual
     with the change of the projection left out.
     """
-    tau = np.exp(log_tau)[:, :, None]
-    e = np.exp(-t / tau) * mask[:, None, :]
+    tau = np.exp(log_tau)
+    e = _exponentials(t, tau) * mask[:, None, :]
+    late = e * t
+    late /= tau[:, :, None]
     basis = np.concatenate([e, mask[:, None, :]], axis=1)
     gram = basis @ basis.transpose(0, 2, 1)
     gram += np.eye(gram.shape[1]) * 1e-13 * np.einsum("ikk->ik", gram).max(axis=1)[:, None, None]
-    both = np.concatenate([basis @ y[:, :, None], basis @ (e * t / tau).transpose(0, 2, 1)], axis=2)
+    both = np.concatenate([basis @ y[:, :, None], basis @ late.transpose(0, 2, 1)], axis=2)
     solved = np.linalg.solve(gram, both)
     linear = solved[:, :, 0]
     residual = y - np.einsum("bk,bkn->bn", linear, basis)
-    slope = (e * t / tau - solved[:, :, 1:].transpose(0, 2, 1) @ basis) * linear[:, :-1, None]
+    slope = (late - solved[:, :, 1:].transpose(0, 2, 1) @ basis) * linear[:, :-1, None]
     return linear, residual, slope
 
 
 def fit(t: np.ndarray, y: np.ndarray, mask: np.ndarray, components: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Variable projection of all rows of y at once, from the fixed start points: log tau, amplitudes with the constant, costs.
 
-    mask is 1 where a row has a value, so rows may differ in length. A cost that isn't finite marks a failure, and so does one that
+    t is even from 0. mask is 1 where a row has a value, so rows may differ in length. A cost that isn't finite marks a failure, and so does one that
     still falls when the steps are used up.
     """
     n = len(y)
@@ -90,7 +99,7 @@ def fit(t: np.ndarray, y: np.ndarray, mask: np.ndarray, components: int) -> tupl
 def decays(series: list[np.ndarray], at: list[int], sr: float, components: int = 2) -> np.ndarray:
     """Rows of tau1..3, a1..3 and cost for each series' recovery after its peak; -1 where there is none to fit.
 
-    Recoveries are fitted together, padded to the longest of a batch of similar lengths.
+    Recoveries are fitted together, padded to the longest of a batch of similar lengths; fewer components only where more give no fit.
     """
     out = np.full((len(series), 7), -1.0)
     parts: list[tuple[int, np.ndarray]] = []
@@ -109,14 +118,16 @@ def decays(series: list[np.ndarray], at: list[int], sr: float, components: int =
         y = np.zeros((len(some), longest))
         for row, (_, x) in zip(y, some):
             row[: len(x)] = x
-        for c in range(1, components + 1):
-            fits = sizes >= 30 if c == 3 else sizes >= 0
+        open_ = np.ones(len(some), bool)
+        for c in range(components, 0, -1):
+            fits = open_ & (sizes >= 30) if c == 3 else open_
             if not fits.any():
                 continue
             log_tau, linear, cost = fit(t, y[fits], mask[fits], c)
             good = np.isfinite(cost)
             rows = which[fits][good]
             out[rows, 0:c], out[rows, 3 : 3 + c], out[rows, 6] = np.exp(log_tau[good]), linear[good, :-1], cost[good]
+            open_[np.flatnonzero(fits)[good]] = False
     return out
 
 
