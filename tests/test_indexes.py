@@ -67,6 +67,13 @@ def test_manifest_paths_and_shapes(spark):
     assert spark.range(1).select(manifest.same(F.lit('{"a": 1, "b": [2]}'), F.lit('{"b":[2],"a":1}'))).first()[0]
 
 
+def test_manifests_that_differ_in_the_form_of_numbers_say_the_same(spark):
+    same = [('{"a": 9.6E-4}', '{"a":0.00096}'), ('{"a": [1, 2.0]}', '{"a":[1.0,2e0]}'), (r'{"a": "1.0\" x", "b": {}}', r'{"b": {}, "a": "1.0\" x"}'), ("[" + '"\\\\",' * 20_000 + "1.50]", "[" + '"\\\\",' * 20_000 + "1.5]")]
+    other = [('{"a": "1.0"}', '{"a": "1"}'), ('{"a": 1}', '{"a": "1"}'), ('{"a": 0.00096}', '{"a": 0.00097}'), ('{"a": 12345678901234567}', '{"a": 12345678901234568}'), ('{"a": 1, "b": 2}', '{"a": 2, "b": 1}'), ('{"a": true}', '{"a": 1}')]
+    df = spark.createDataFrame(same + other, "a string, b string")
+    assert [r[0] for r in df.select(manifest.same(F.col("a"), F.col("b"))).collect()] == [True] * len(same) + [False] * len(other)
+
+
 def test_values_in_words(spark):
     rows = [(None, "unknown", "unknown"), (0.4, "0 Pa", "0.4"), (99.94, "100 Pa", "99.9"), (150.0, "150 Pa", "150"), (2345.0, "2.35 kPa", "2345"), (101325.0, "101 kPa", "101k")]
     df = spark.createDataFrame([(x,) for x, _, _ in rows], "x double")

@@ -37,8 +37,13 @@ def at(text: Column, path: str, kind: str = "string") -> Column:
 
 
 def same(a: Column, b: Column) -> Column:
-    """Whether two JSON texts say the same, whatever their spaces and the order of their keys."""
-    plain = lambda text: F.to_json(F.try_parse_json(text))
+    """Whether two JSON texts say the same, whatever their spaces, the order of their keys and the form of their numbers.
+
+    Numbers are compared as doubles, as 9.6E-4 and 0.00096 are one; whole numbers of more than 15 digits digit by digit.
+    """
+    word = r'"(?:[^"\\]++|\\.)*+"|[^",:\[\]{}]++|[,:\[\]{}]'
+    number = lambda x: F.when(x.rlike(r"^-?[0-9]") & ~x.rlike(r"^-?[0-9]{16,}$"), x.try_cast("double").cast("string")).otherwise(x)
+    plain = lambda text: F.array_join(F.transform(F.regexp_extract_all(F.to_json(F.try_parse_json(text)), F.lit(word), F.lit(0)), number), "")
     return plain(a) == plain(b)
 
 
