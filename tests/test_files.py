@@ -140,3 +140,40 @@ def test_a_large_text_is_parsed_by_several_tasks(spark, tmp_path):
     assert lines.rdd.getNumPartitions() > 5
     got = files.samples(lines).agg(F.count("*").alias("n"), F.sum("t_ms").alias("t"), F.round(F.sum(F.get("v", F.lit(0))), 3).alias("a"), F.sum(F.get("v", F.lit(1))).alias("b")).first()
     assert (got.n, got.t, got.a, got.b) == (len(rows), sum(r[0] for r in rows), round(sum(r[1] for r in rows), 3), sum(r[2] for r in rows))
+
+
+def test_declared_seconds_and_clocks_are_no_epoch_seconds(spark, tmp_path):
+    """Three weeks of seconds, clock readings or dates of 1970 are milliseconds in the band of epoch seconds; only plain numbers are meant."""
+    from vapora.sources import files
+    from vapora.sources import recordings as R
+
+    first = 2_000_000
+    cell = {"Time (s)": lambda s: str(s), "elapsed": lambda s: f"{s // 3600}:{s // 60 % 60:02d}:{s % 60:02d}", "time": lambda s: f"1970-01-24T{s // 3600 % 24:02d}:{s // 60 % 60:02d}:{s % 60:02d}Z", "timestamp": str}
+    want = {"Time (s)": 1e3, "elapsed": 1e3, "time": 1e3, "timestamp": 1e3 * 1e3}
+    for name, k in want.items():
+        text = f"{name},VOC\n" + "".join(f"{cell[name](first + s) if name != 'timestamp' else (first + s) * 1000},{s}\n" for s in range(40))
+        got = R.parse_text(text)
+        assert got["t"] == [(first + s) * k for s in range(40)]
+        assert ("epoch seconds turned into milliseconds" in got["warnings"]) == (name == "timestamp")
+        folder = tmp_path / name.replace(" ", "")
+        folder.mkdir()
+        (folder / "a.csv").write_text(text)
+        assert sorted(r.t_ms for r in files.samples(files.read_lines(spark, str(folder))).collect()) == got["t"]
+
+
+def test_variants_read_at_any_time(spark, tmp_path):
+    """Texts of events whose seconds lie in the band of epoch seconds, and beyond a clock's three digits of hours."""
+    from compare import same
+
+    from vapora import queries
+
+    ids = [3, 1_300_000, 3_599_999, 3_600_000, 5_000_000]
+    rows = [(e + 10 * u, u, "view", 1.25 * k) for u in range(8) for k, e in enumerate(ids if u < 4 else ids[3:])]
+    spark.createDataFrame(rows, "event_id long, user_id long, event_type string, value double").selectExpr("*", "timestamp_millis(event_id + 1700000000000) AS ts").coalesce(1).write.parquet(str(tmp_path / "events"))
+    import duckdb
+
+    duckdb.sql(f"COPY (SELECT * FROM '{tmp_path}/events/*.parquet') TO '{tmp_path}/events.parquet'")
+    for t in "region nation customer supplier part orders lineitem documents embeddings pages benchmark labels conversations".split():
+        duckdb.sql(f"COPY (SELECT 1 AS x) TO '{tmp_path}/{t}.parquet'")
+    for name in ("csv_variants", "manifest_build"):
+        same(queries.QUERIES[name](spark, str(tmp_path)), str(tmp_path), queries.ORACLE_SQL[name])

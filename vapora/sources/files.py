@@ -37,13 +37,13 @@ from vapora.sources import cells, scratch
 from vapora.sources import recordings as R
 
 FORMAT = "recording_files"
-#: A row per line: at orders the lines of a file, numbers has a value per column of the header, NULL where a cell holds none.
-LINES = "path string, substance string, at long, header array<string>, time_column int, time_source string, delimiter string, whole boolean, t_ms double, numbers array<double>, manifest string, events string, error string"
+#: A row per line: at orders the lines of a file, numbers has a value per column of the header, NULL where a cell holds none; plain tells a time that is a number in no declared seconds.
+LINES = "path string, substance string, at long, header array<string>, time_column int, time_source string, delimiter string, whole boolean, t_ms double, numbers array<double>, manifest string, events string, error string, plain boolean"
 #: What a writer takes: recordings, or lines of text in order.
 _TEXT = {"path", "line"}
 #: Bytes of a partition, bytes of a file's head that are read at once, rows that tell whether a column holds times.
 SPLIT, HEAD, TIMED = 64 << 20, 1 << 16, 25
-_ARROW = pa.schema([("path", pa.string()), ("substance", pa.string()), ("at", pa.int64()), ("header", pa.list_(pa.string())), ("time_column", pa.int32()), ("time_source", pa.string()), ("delimiter", pa.string()), ("whole", pa.bool_()), ("t_ms", pa.float64()), ("numbers", pa.list_(pa.float64())), ("manifest", pa.string()), ("events", pa.string()), ("error", pa.string())])
+_ARROW = pa.schema([("path", pa.string()), ("substance", pa.string()), ("at", pa.int64()), ("header", pa.list_(pa.string())), ("time_column", pa.int32()), ("time_source", pa.string()), ("delimiter", pa.string()), ("whole", pa.bool_()), ("t_ms", pa.float64()), ("numbers", pa.list_(pa.float64())), ("manifest", pa.string()), ("events", pa.string()), ("error", pa.string()), ("plain", pa.bool_())])
 
 
 @dataclass
@@ -130,9 +130,10 @@ def _batches(path: str, substance: str, of: Layout, lines: list[str], begin: int
         n = len(rows)
         whole = [len(r) == len(of.header) for r in rows]
         t = [cells.time_ms(r[at], seconds) if w and of.timed else None for r, w in zip(rows, whole)]
+        plain = [w and of.timed and not seconds and cells.number(r[at]) is not None for r, w in zip(rows, whole)]
         # an incomplete row still tells which of its columns hold numbers
         numbers = [[cells.number(x) for x in r[: len(of.header)]] + [None] * (len(of.header) - len(r)) for r in rows]
-        columns = [[path] * n, [substance] * n, list(range(begin + lo, begin + lo + n)), [of.header] * n, [at] * n, [source] * n, [of.by] * n, whole, t, numbers, [more.get("manifest")] * n, [more.get("events")] * n, [None] * n]
+        columns = [[path] * n, [substance] * n, list(range(begin + lo, begin + lo + n)), [of.header] * n, [at] * n, [source] * n, [of.by] * n, whole, t, numbers, [more.get("manifest")] * n, [more.get("events")] * n, [None] * n, plain]
         yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, _ARROW)], schema=_ARROW)
 
 
@@ -382,14 +383,14 @@ def samples(lines: DataFrame) -> DataFrame:
     """
     kept = lines.where("error IS NULL AND whole").join(channel_table(lines), "path")
     v = F.transform("places", lambda k: F.get("numbers", k))
-    kept = kept.select("path", "substance", "at", "time_source", "t_ms", "channel_ids", v.alias("v"))
+    kept = kept.select("path", "substance", "at", "time_source", "t_ms", "plain", "channel_ids", v.alias("v"))
     kept = kept.where((F.col("t_ms").isNotNull() | (F.col("time_source") == "synthetic")) & ~F.exists("v", lambda x: x.isNull()))
-    # epoch seconds: the upper median lies in the band if its rank lies behind the values below and not behind those in it
+    # epoch seconds: the upper median of the plain numbers lies in the band if its rank lies behind those below and not behind those in it
     lo, hi = cells.EPOCH_S
-    n = F.count("t_ms")
-    band = kept.groupBy("path").agg(((F.count_if(F.col("t_ms") < lo) <= F.floor(n / 2)) & (F.count_if(F.col("t_ms") <= hi) > F.floor(n / 2))).alias("epoch"))
+    n, t = F.count_if("plain"), F.when(F.col("plain"), F.col("t_ms"))
+    band = kept.groupBy("path").agg(((F.count_if(t < lo) <= F.floor(n / 2)) & (F.count_if(t <= hi) > F.floor(n / 2))).alias("epoch"))
     kept = kept.join(band, "path")
-    return kept.withColumn("t_ms", F.when(F.col("epoch"), F.col("t_ms") * 1000.0).otherwise(F.col("t_ms")))
+    return kept.withColumn("t_ms", F.when(F.col("epoch") & F.col("plain"), F.col("t_ms") * 1000.0).otherwise(F.col("t_ms"))).drop("plain")
 
 
 def bad_cells(lines: DataFrame) -> DataFrame:
