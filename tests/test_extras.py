@@ -233,3 +233,13 @@ def test_singular_values_of_long_and_of_badly_conditioned_vectors(spark):
     assert np.allclose(got["a"]["values"], want, rtol=1e-6) and got["b"]["values"] == [0.0]
     assert (got["c"].n, got["c"]["values"][0]) == (3, pytest.approx(8**0.5))
     assert hardware.singular_values(df.where("false"), "v").count() == 0 and hardware.effective_rank(df.where("false"), "v") == 1.0
+
+
+def test_collection_is_parsed_once(spark, sf, monkeypatch):
+    """Its recordings are written once and its aggregates read that, not the files."""
+    from vapora.sources import recordings as R
+
+    given, report = [], study.collection_report
+    monkeypatch.setattr(study, "collection_report", lambda r: given.append(r) or report(r))
+    study.QUERIES["collection_report"](spark, sf)
+    assert all("/vapora/recordings-" in f for f in given[0].inputFiles()) and given[0].columns == [c.split()[0] for c in R.RECORDING.split(", ")]

@@ -155,8 +155,9 @@ def _q_collection(spark: SparkSession, sf_dir: str) -> DataFrame:
     line = F.concat_ws(",", (F.col("event_id") * 100).cast("string"), F.format_string("%.2f", "value"))
     rows = e.select("path", "event_id", line.alias("line")).unionByName(e.select("path").distinct().select("path", F.lit(-1).cast("long").alias("event_id"), F.lit("time_ms,VOC").alias("line")))
     at = scratch.folder(spark, "collection")
-    files.write_files(rows.repartition("path").sortWithinPartitions("path", "event_id").select("path", "line"), at)
-    report = collection_report(R.read_recordings(spark, at, "*.csv"))
+    # a line is some bytes but its writing is a row's work in Python: dealt by number
+    files.write_files(rows.repartition(4 * spark.sparkContext.defaultParallelism, "path").sortWithinPartitions("path", "event_id").select("path", "line"), at)
+    report = collection_report(scratch.stored(R.read_recordings(spark, at, "*.csv"), "recordings"))  # listed and parsed once, read by several aggregates
     return report.selectExpr("substance", "cast(place AS int) AS place", "session_count", "ok_count", "halves", f"{A.snap('baselineStability', 6)} AS baseline", f"{A.snap('saturationFree', 4)} AS saturation_free")
 
 
