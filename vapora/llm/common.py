@@ -68,16 +68,25 @@ def discard(df: DataFrame) -> None:
     at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
 
 
-def bucketed(df: DataFrame, key: str, name: str) -> DataFrame:
-    """df written once in buckets of a column, so that grouping by it later shuffles nothing."""
+def bucketed(df: DataFrame, key: str, name: str, to: DataFrame | None = None, last: bool = True) -> DataFrame:
+    """df written once in buckets of a column, so that grouping by it later shuffles nothing.
+
+    Rows may be added in further calls, to what the call before gave, which was not the last; the result has all of them.
+    """
     spark = df.sparkSession
-    table = f"vapora_{uuid.uuid4().hex}"
-    path = f"{shared_dir(spark)}/vapora/{name}-{table}"
-    df.write.format("parquet").bucketBy(partitions(spark), key).option("path", path).option("compression", "zstd").saveAsTable(table)
-    at = spark._jvm.org.apache.hadoop.fs.Path(path)
-    at.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(at)
+    if to is None:
+        table = f"vapora_{uuid.uuid4().hex}"
+        path = f"{shared_dir(spark)}/vapora/{name}-{table}"
+        at = spark._jvm.org.apache.hadoop.fs.Path(path)
+        at.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(at)
+    else:
+        # dealt as the buckets are, each task adds one file
+        table, path, df = to.vapora_table, to.vapora_path, df.repartition(partitions(spark), key)
+    df.write.format("parquet").mode("append").bucketBy(partitions(spark), key).option("path", path).option("compression", "zstd").saveAsTable(table)
     out = spark.table(table)
-    spark.sql(f"DROP TABLE {table}")  # the name alone: the files are external
+    out.vapora_table, out.vapora_path = table, path
+    if last:
+        spark.sql(f"DROP TABLE {table}")  # the name alone: the files are external
     return out
 
 

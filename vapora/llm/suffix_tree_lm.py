@@ -8,14 +8,15 @@ adds as much weight of its suffix's distribution as it has distinct next words;
 is scored in the longest retained suffix of its history.
 
 Everything travels in packed blocks (blocks.py), dealt by 64-bit digests of the whole key, so that no word or context gathers
-in one task. A block asks for its words and its pairs of a word and the next; then for the longer contexts with the next word,
-leaving out those whose counts follow from the pairs': a context with a rare pair in it is no candidate, and what follows a
-word once follows a longer context once, which only a held-out token of the same pair must ask for. Contexts whose counts show
+in one task. A block asks for its words and its pairs of a word and the next; then for two words with the next, then for longer
+contexts with the next word, leaving out those whose counts follow from the shorter ones': a context with a rare part is no
+candidate, and what follows a context once follows a longer one once, which only a held-out token that asked for the shorter
+one must ask for. So what is asked for longer contexts is little more than what follows candidates. Contexts whose counts show
 that neither they nor longer ones can pass the test (most_gain) are left out too, which changes no result: one that comes with
 the same word before it nearly always says no more than its suffix. One block is told that it owns a run of words. It adds
 what follows a context to the context's sums, and tells the counts and suffixes of a context that can pass; these meet at the
 context's bucket. There contexts are tested and mark their suffixes at theirs, and all blocks get replies.
-The blocks are written once, bucketed by their numbers, so that in every round only replies are shuffled.
+Blocks and replies are written once, bucketed by the blocks' numbers, so that every reply is shuffled once whatever the rounds.
 
 Cases: a null or empty text is the end alone; without training documents all counts are 0 and every token has the root's
 probability; a null doc_id is a training document; repeated rows count as often as they occur; an empty table gives an
@@ -52,8 +53,13 @@ def mixed(x: np.ndarray) -> np.ndarray:
 
 def distinct(x: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Sorted distinct numbers, a place of each in x, and each number's place among them."""
-    order = np.argsort(x)
+    # High bits with the place in the low ones sort faster than places by numbers; what only low bits tell apart is put right after.
+    bits = np.uint64(len(x).bit_length())
+    order = (np.sort(x >> bits << bits | np.arange(len(x), dtype=np.uint64)) & ((np.uint64(1) << bits) - np.uint64(1))).astype(np.int64)
     ranked = x[order]
+    if (ranked[1:] < ranked[:-1]).any():
+        right = np.argsort(ranked, kind="stable")
+        order, ranked = order[right], ranked[right]
     new = np.ones(len(x), bool)
     new[1:] = ranked[1:] != ranked[:-1]
     where = np.empty(len(x), np.int64)
@@ -79,7 +85,7 @@ def least_parent(least: int, gain: float) -> int:
 
 def steps_of(depth: int) -> list[list[int]]:
     """Depths of the keys that each question asks for: each needs the replies to those before."""
-    return [s for s in ([0, 1], list(range(2, depth + 1))) if s and s[-1] <= depth]
+    return [s for s in ([0, 1], [2], list(range(3, depth + 1))) if s and s[-1] <= depth]
 
 
 class Tokens:
@@ -95,8 +101,8 @@ class Tokens:
         self.contexts = [np.zeros(len(every), np.uint64)]
         self.counts: list[np.ndarray] = []
         self.owned: list[np.ndarray] = []
-        #: Whether a held-out token asks for the longest key asked for so far.
-        self.wanted = np.zeros(len(every), bool)
+        #: Whether a held-out token asks for the longest key asked for so far, and whether this token does.
+        self.wanted, self.open = np.zeros(len(every), bool), np.ones(len(every), bool)
 
     @staticmethod
     def before(a: np.ndarray, d: int) -> np.ndarray:
@@ -121,19 +127,20 @@ class Tokens:
         """Depths of the next question and the tokens it is about: words and pairs, then what follows ever longer candidates."""
         if not self.counts:
             return [(0, np.arange(len(self.place))), (1, np.flatnonzero(self.place >= 1))]
-        # What follows a word once, in training, can matter after a longer context to a held-out token alone.
-        may, out = ((self.counts[1] >= 2) | (self.counts[1] == 1) & self.wanted) & self.after(2), []
-        for d in range(2, self.depth + 1):
-            if d > 2:
-                # All but the first of a context's pairs belong to its suffix, which must be frequent for it to matter.
-                may = may & (self.before(self.counts[1], d - 2) >= self.parent)
-            out.append((d, np.flatnonzero(may & (self.before(self.counts[1], d - 1) >= self.least) & (self.place >= d))))
+        # What follows a context once, in training, can matter after a longer one to a held-out token alone.
+        k, out = len(self.counts) - 1, []
+        may = ((self.counts[k] >= 2) | (self.counts[k] == 1) & self.wanted) & self.open & self.after(k + 1)
+        for d in range(k + 1, next(s[-1] for s in steps_of(self.depth) if s[0] == k + 1) + 1):
+            if d > k + 1:
+                # All but the first of a context's parts belong to its suffix, which must be frequent for it to matter.
+                may = may & (self.before(self.counts[k], d - k - 1) >= self.parent)
+            out.append((d, np.flatnonzero(may & (self.before(self.counts[k], d - k) >= self.least) & (self.place >= d))))
         return out
 
-    def question(self) -> tuple[np.ndarray, np.ndarray]:
+    def question(self, asked: list[tuple[int, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
         """Distinct keys of the next question, and the place of each token's key in them."""
         parts = []
-        for d, at in self.asked():
+        for d, at in asked:
             if d == 0:
                 # A block's words are few and known.
                 found, _, where = distinct(self.digest | np.uint64(1))
@@ -154,13 +161,15 @@ class Tokens:
 
     def learn(self, replies: np.ndarray) -> None:
         """Take in the counts and owners of a question's keys. A key not asked for that can matter occurs at this token alone."""
-        asked, codes = self.asked(), replies[self.question()[1]].astype(np.int64)
+        asked = self.asked()
+        codes = replies[self.question(asked)[1]].astype(np.int64)
         for d, at in asked:
             here, codes = codes[: len(at)], codes[len(at) :]
             counts, owned = self.train.astype(np.int64), self.train.copy()
             counts[at], owned[at] = here >> 2, (here & 1).astype(bool) & self.train[at]
             if d >= 1:
-                self.wanted[at] = here & 2 > 0
+                self.wanted[at], self.open = here & 2 > 0, np.zeros(len(self.place), bool)
+                self.open[at] = True
             if d == 1:
                 counts[self.place < 1], owned[self.place < 1] = 0, False
             self.counts.append(counts)
@@ -227,8 +236,9 @@ def _unpacked(raw: bytes) -> list[np.ndarray]:
 
 
 def _question(step: int, block: int, tokens: Tokens, buckets: int) -> list[tuple]:
-    keys, where = tokens.question()
-    train = np.concatenate([np.zeros(0, bool), *(tokens.train[at] for _, at in tokens.asked())])
+    asked = tokens.asked()
+    keys, where = tokens.question(asked)
+    train = np.concatenate([np.zeros(0, bool), *(tokens.train[at] for _, at in asked)])
     counts = 2 * np.bincount(where, weights=train, minlength=len(keys)).astype(np.int64)
     counts[where[~train]] |= 1
     return [(step, block, b, _close(keys[lo:hi]), blocks.pack(counts[lo:hi]), b"") for b, lo, hi in _dealt(keys, buckets)]
@@ -297,7 +307,7 @@ def _count(key: tuple, table: pa.Table) -> pa.Table:
 
 
 def _opened(table: pa.Table, total: int, rule: tuple[int, int, float], steps: int) -> tuple[int, Tokens, pa.Table, np.ndarray]:
-    """A block's number, its tokens with the replies of the first steps, its documents, and the replies of the step after."""
+    """Of a block's row and its replies: its number, its tokens with the replies of the first steps, its documents, and the replies of the step after."""
     table = table.sort_by([("round", "ascending"), ("bucket", "ascending")])
     step, bucket, keys, counts = (table.column(c).to_pylist() for c in ("round", "bucket", "keys", "counts"))
     at = bucket.index(-1)
@@ -310,8 +320,8 @@ def _opened(table: pa.Table, total: int, rule: tuple[int, int, float], steps: in
 
 
 def _ask_longer(total: int, rule: tuple[int, int, float], step: int, buckets: int):
-    def run(key: tuple, mine: pa.Table, replies: pa.Table) -> pa.Table:
-        block, tokens, _, _ = _opened(pa.concat_tables([mine, replies]), total, rule, step)
+    def run(key: tuple, mine: pa.Table) -> pa.Table:
+        block, tokens, _, _ = _opened(mine, total, rule, step)
         return _table(_question(step, block, tokens, buckets))
 
     return run
@@ -321,9 +331,9 @@ def _ask_contexts(total: int, rule: tuple[int, int, float], buckets: int):
     depth, _, gain_least = rule
     step = len(steps_of(depth))
 
-    def run(key: tuple, mine: pa.Table, replies: pa.Table) -> pa.Table:
+    def run(key: tuple, mine: pa.Table) -> pa.Table:
         """The block's candidates; of those that it owns and that may pass, counts and suffixes; of what it owns after any, the sums' shares."""
-        block, tokens, _, _ = _opened(pa.concat_tables([mine, replies]), total, rule, step)
+        block, tokens, _, _ = _opened(mine, total, rule, step)
         at, contexts, entry, where = tokens.candidates()
         n, up, places = (np.concatenate([np.zeros(0, np.int64), *x]) for x in ([tokens.followers(d)[a] for d, a in enumerate(at, 1)], [tokens.followers(d - 1)[a] for d, a in enumerate(at, 1)], at))
         n, up, places, deep = n[entry], up[entry], places[entry], np.repeat(np.arange(1, depth + 1), [len(a) for a in at])[entry]
@@ -388,8 +398,8 @@ def _retain(key: tuple, table: pa.Table) -> pa.Table:
 
 
 def _finish(total: int, words: int, rule: tuple[int, int, float]):
-    def run(key: tuple, mine: pa.Table, replied: pa.Table) -> pa.Table:
-        _, tokens, docs, replies = _opened(pa.concat_tables([mine, replied]), total, rule, len(steps_of(rule[0])))
+    def run(key: tuple, mine: pa.Table) -> pa.Table:
+        _, tokens, docs, replies = _opened(mine, total, rule, len(steps_of(rule[0])))
         at, _, _, where = tokens.candidates()
         known, n, first = tokens.counts[0], docs.column("n").to_numpy(), tokens.first
         p = (known + 1.0) / (total + words + 1.0)
@@ -417,21 +427,21 @@ def suffix_tree_scores(docs: DataFrame, folds: int = 7, fold: int = 2, least: in
     """
     docs = common.id_and_text(docs).withColumn("held_out", held_out(F.col("doc_id"), folds, fold))
     buckets = blocks.buckets_for(docs.count())
-    mine = common.bucketed(docs.mapInArrow(_read(), _ROWS), "block", "word-blocks")
+    mine = common.bucketed(docs.mapInArrow(_read(), _ROWS), "block", "word-blocks", last=False)
     total = mine.agg(F.sum("tokens")).first()[0] or 0
-    replies = mine.mapInArrow(_ask_pairs(buckets), _ROWS).groupBy("bucket").applyInArrow(_count, _ROWS)
-    replies = common.materialize(replies, "word-counts")
-    words = replies.agg(F.sum("words")).first()[0] or 0
-    with_replies = lambda r: mine.groupBy("block").cogroup(r.where("block >= 0").groupBy("block"))
-    rule, known, steps = (depth, least, gain), replies, len(steps_of(depth))
+    add = lambda more, last=False: common.bucketed(more, "block", "word-blocks", mine, last)
+    known = add(mine.mapInArrow(_ask_pairs(buckets), _ROWS).groupBy("bucket").applyInArrow(_count, _ROWS))
+    words = known.agg(F.sum("words")).first()[0] or 0
+    by_block = lambda r: r.where("block >= 0").groupBy("block")
+    rule, steps = (depth, least, gain), len(steps_of(depth))
     for step in range(1, steps):
-        longer = with_replies(known).applyInArrow(_ask_longer(total, rule, step, buckets), _ROWS)
-        known = known.unionByName(common.materialize(longer.groupBy("bucket").applyInArrow(_count, _ROWS), "context-counts"))
-    contexts = with_replies(known).applyInArrow(_ask_contexts(total, rule, buckets), _ROWS)
+        longer = by_block(known).applyInArrow(_ask_longer(total, rule, step, buckets), _ROWS)
+        known = add(longer.groupBy("bucket").applyInArrow(_count, _ROWS))
+    contexts = by_block(known).applyInArrow(_ask_contexts(total, rule, buckets), _ROWS)
     tested = contexts.groupBy("bucket").applyInArrow(_test(gain, steps, buckets), _ROWS)
     retained = tested.groupBy("bucket").applyInArrow(_retain, _ROWS)
     schema = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double, pair_share double"
-    return with_replies(known.unionByName(retained)).applyInArrow(_finish(total, words, rule), schema)
+    return by_block(add(retained, last=True)).applyInArrow(_finish(total, words, rule), schema)
 
 
 def op8_suffix_tree_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
