@@ -1,7 +1,8 @@
 """The data source `recording_files`: recordings as files of their own, read in byte ranges and written one by one.
 
 Reading gives a row per line of data, not per file, so one large CSV is parsed by many tasks. Small files are packed into
-partitions, large texts are cut into byte ranges at line ends, a ZIP's texts are read one after the other. A task looks at the
+partitions, texts of more than splitBytes are cut into byte ranges at line ends (of splitBytes, or longer ones where that would
+make more than RANGES, 64 MB at most), a ZIP's texts are read one after the other. A task looks at the
 head of a file for its header, delimiter and kind of time column; what depends on all rows of a file (which columns hold a
 number, whether times are epoch seconds, their order) is left to samples(), which aggregates it. Conditions on path and
 substance are pushed down to the listing of files when spark.sql.python.filterPushdown.enabled is set.
@@ -25,12 +26,14 @@ import zipfile
 from collections.abc import Iterator
 from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
+from itertools import groupby
+from operator import itemgetter
 
 import pyarrow as pa
 from pyarrow import fs as pafs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceWriter, EqualTo, Filter, In, InputPartition, StringStartsWith, WriterCommitMessage
+from pyspark.sql.datasource import DataSource, DataSourceArrowWriter, DataSourceReader, DataSourceWriter, EqualTo, Filter, In, InputPartition, StringStartsWith, WriterCommitMessage
 from pyspark.sql.types import StructType
 
 from vapora.sources import cells, scratch
@@ -43,6 +46,8 @@ LINES = "path string, substance string, at long, header array<string>, time_colu
 _TEXT = {"path", "line"}
 #: Bytes of a partition, bytes of a file's head that are read at once, rows that tell whether a column holds times.
 SPLIT, HEAD, TIMED = 64 << 20, 1 << 16, 25
+#: Ranges of a file at most, as long as none exceeds SPLIT: a task's start takes as long as reading some 100 kB.
+RANGES = 32
 _ARROW = pa.schema([("path", pa.string()), ("substance", pa.string()), ("at", pa.int64()), ("header", pa.list_(pa.string())), ("time_column", pa.int32()), ("time_source", pa.string()), ("delimiter", pa.string()), ("whole", pa.bool_()), ("t_ms", pa.float64()), ("numbers", pa.list_(pa.float64())), ("manifest", pa.string()), ("events", pa.string()), ("error", pa.string()), ("plain", pa.bool_())])
 
 
@@ -174,7 +179,8 @@ class Reader(DataSourceReader):
                 continue
             is_zip = info.path.lower().endswith(".zip")
             if info.size > self.split and not is_zip:
-                out += [Slice([(info.path, lo, min(info.size, lo + self.split), False)]) for lo in range(0, info.size, self.split)]
+                step = max(self.split, min(SPLIT, -(-info.size // RANGES)))
+                out += [Slice([(info.path, lo, min(info.size, lo + step), False)]) for lo in range(0, info.size, step)]
                 continue
             if packed and size + info.size > self.split:
                 out.append(Slice(packed))
@@ -240,15 +246,20 @@ class Staged(WriterCommitMessage):
 
 
 class Writer(DataSourceWriter):
-    """rows of recordings leave a bundle each, rows of path and line leave texts, whose lines come in order."""
+    """Rows of recordings leave a bundle each."""
 
     def __init__(self, options: dict, schema: StructType, overwrite: bool):
         self.path, self.overwrite = options["path"], overwrite
-        self.text = set(schema.names) == _TEXT
         self.staging = f"_staging-{uuid.uuid4().hex}"
-        if not self.text and not {"path", "channel_ids", "t", "channels"} <= set(schema.names):
+        if set(schema.names) != _TEXT and not {"path", "channel_ids", "t", "channels"} <= set(schema.names):
             raise ValueError("recording_files takes recordings, or rows of path and line")
 
+    @staticmethod
+    def _contents(iterator: Iterator) -> Iterator[tuple[str, bytes, bool]]:
+        """Names of files, bytes of theirs, and whether these may go on with the file before."""
+        for row in iterator:
+            yield Writer.target(row["path"], ".zip"), _bundle(row), False
+
     @staticmethod
     def target(path: str, ending: str | None) -> str:
         """A recording's place below the folder: without scheme, root and dots."""
@@ -260,10 +271,9 @@ class Writer(DataSourceWriter):
         folder, done = f"{self.staging}/{uuid.uuid4().hex}", set()
         try:
             open_path, out = None, None
-            for row in iterator:
-                name = self.target(row["path"], None if self.text else ".zip")
-                if self.text and name == open_path:
-                    out.write(row["line"].encode() + b"\n")
+            for name, raw, more in self._contents(iterator):
+                if more and name == open_path:
+                    out.write(raw)
                     continue
                 if name in done:
                     raise ValueError(f"two recordings would be {name}")
@@ -273,7 +283,7 @@ class Writer(DataSourceWriter):
                 at = f"{base}/{folder}/{name}"
                 store.create_dir(posixpath.dirname(at), recursive=True)
                 out, open_path = store.open_output_stream(at), name
-                out.write(row["line"].encode() + b"\n" if self.text else _bundle(row))
+                out.write(raw)
             if out:
                 out.close()
         except BaseException:
@@ -312,6 +322,17 @@ class Writer(DataSourceWriter):
         _delete(store, f"{base}/{self.staging}")
 
 
+class TextWriter(Writer, DataSourceArrowWriter):
+    """Rows of path and line leave texts, whose lines come in order; the lines of one path in a batch are written at once."""
+
+    @staticmethod
+    def _contents(iterator: Iterator[pa.RecordBatch]) -> Iterator[tuple[str, bytes, bool]]:
+        for batch in iterator:
+            rows = zip(batch.column("path").to_pylist(), batch.column("line").to_pylist(), strict=True)
+            for path, lines in groupby(rows, itemgetter(0)):
+                yield Writer.target(path, None), "".join(f"{x}\n" for _, x in lines).encode(), True
+
+
 def _delete(store: pafs.FileSystem, path: str) -> None:
     if store.get_file_info(path).type == pafs.FileType.Directory:
         store.delete_dir(path)
@@ -335,7 +356,7 @@ class RecordingFiles(DataSource):
         return Reader(self.options)
 
     def writer(self, schema: StructType, overwrite: bool) -> Writer:
-        return Writer(self.options, schema, overwrite)
+        return (TextWriter if set(schema.names) == _TEXT else Writer)(self.options, schema, overwrite)
 
 
 def register(spark: SparkSession) -> None:
