@@ -1,7 +1,8 @@
 """Recordings of any length: samples stay rows, and a recording's order is kept over segments.
 
 samples have key columns, t, tie (orders samples of one time) and value. A recording of more than `rows` samples is cut into
-RANGES segments at approximate quantiles of its times; a shorter one is one segment. Tasks order one segment each. What a segment
+RANGES segments at approximate quantiles of its times, or more so that a segment has about SEGMENT samples whatever the length; a
+shorter one is one segment. Tasks order one segment each. What a segment
 is to the others is a summary (rows, finite values, last sample), and a running total over summaries gives every segment its
 beginning: places, previous samples, crossings and areas then need no task that holds a recording, and no array.
 
@@ -30,16 +31,21 @@ from vapora.sources import scratch
 
 #: Samples of a recording that are one segment; segments of a longer one, in COARSE groups that are told first.
 ROWS, RANGES, COARSE = 1 << 20, 512, 16
+#: Samples of a segment beyond which a longer recording is cut into more segments than asked for.
+SEGMENT = 1 << 18
 #: Accuracy of the sketch that brackets a rank, and values of a key that are all put in order.
 ACCURACY, FEW = 10_000, 10_000
 
 
 def cut(samples: DataFrame, keys: Sequence[str], rows: int = ROWS, ranges: int = RANGES) -> DataFrame:
     """samples with seg, which grows with t within a recording; dealt by recording and segment."""
-    keys, fine = list(keys), max(1, ranges // COARSE)
+    keys = list(keys)
+    counts = (samples.groupBy(*keys) if keys else samples).agg(F.count("*").alias("_n"))
+    longest = counts.agg(F.max("_n")).first()[0] or 0
+    fine = max(1, ranges // COARSE, -(-longest // (SEGMENT * COARSE)) if longest > rows else 1)
     shares = [k / (fine * COARSE) for k in range(1, fine * COARSE)]
     # only long recordings are sketched; where there are none the joins are found empty and go
-    beyond = samples.groupBy(*keys).agg(F.count("*").alias("_n")).where(F.col("_n") > rows).drop("_n") if keys else samples.agg(F.count("*").alias("_n")).where(F.col("_n") > rows).drop("_n")
+    beyond = counts.where(F.col("_n") > rows).drop("_n")
     edges = _joined(samples.select(*keys, "t"), beyond, keys).groupBy(*keys).agg(F.percentile_approx("t", shares, 20 * fine * COARSE).alias("_edges"))
     edges = edges.where("_edges IS NOT NULL")
     long = _joined(samples, edges, keys, "left")
