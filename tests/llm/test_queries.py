@@ -9,6 +9,7 @@ from collections import Counter, defaultdict
 from itertools import combinations
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -470,6 +471,31 @@ def test_bounds_of_divergence(least, gain):
     assert parent <= first and (gain <= 0 or first <= parent + 2)
 
 
+def test_contexts_travel_by_numbers():
+    """Blocks that share their contexts send a byte or two for each, not its digest, and what they say of it meets."""
+    from vapora.llm import blocks
+
+    lm, rule, buckets = suffix_tree_lm, (2, 2, 0.0), 32
+    rng, words = np.random.default_rng(3), blocks.digests([b" ", *(b"w%d" % k for k in range(300))])
+    texts = [np.r_[rng.integers(1, 301, 20000), 0] for _ in range(3)]
+    total = sum(map(len, texts))
+    docs = blocks.stream(pa.table({"doc_id": pa.array([1], pa.int64()), "held": [False], "n": pa.array([len(texts[0])], pa.int64())}))
+    rows = [[(0, b, -1, words.tobytes(), blocks.pack(t), docs)] for b, t in enumerate(texts)]
+    by_bucket = lambda some: [[r for r in some if r[2] == b] for b in range(buckets)]
+    for step in range(2):
+        asked = [lm._question(step, b, lm._opened(lm._table(mine), total, rule, step)[1], buckets) for b, mine in enumerate(rows)]
+        for b, some in enumerate(by_bucket(sum(asked, []))):
+            for r in lm._counted(2, (pa.scalar(b),), lm._table(some)).to_pylist() if some else []:
+                if r["block"] >= 0:
+                    rows[r["block"]].append(tuple(r.values())[:6])
+    told = [lm._ask_contexts(total, rule, buckets)((), lm._table(mine)) for mine in rows]
+    names = [lm._opened(lm._table(mine), total, rule, 2)[1].candidates()[1] for mine in rows]
+    assert len(set.union(*map(set, names))) < 0.6 * sum(map(len, names))
+    for table, mine in zip(told, names, strict=True):
+        assert sum(len(lm._open(k)) for k in table.column("keys").to_pylist()) == len(mine)
+        assert sum(map(len, table.column("keys").to_pylist())) < 2 * len(mine)
+
+
 def test_without_training_documents(spark):
     held = next(k for k in range(1000) if zlib.crc32(str(k).encode()) % 7 == 2)
     r = suffix_tree_lm.suffix_tree_scores(table(spark, [(held, "a b", "en")])).first()

@@ -16,6 +16,8 @@ that neither they nor longer ones can pass the test (most_gain) are left out too
 the same word before it nearly always says no more than its suffix. One block is told that it owns a run of words. It adds
 what follows a context to the context's sums, and tells the counts and suffixes of a context that can pass; these meet at the
 context's bucket. There contexts are tested and mark their suffixes at theirs, and all blocks get replies.
+A run that LEAST training tokens repeat is numbered in its bucket, in the order of digests, and blocks are told. Then contexts
+travel by their numbers, which lie close together, instead of digests: a block has a good part of all contexts.
 Blocks and replies are written once, bucketed by the blocks' numbers, so that every reply is shuffled once whatever the rounds.
 
 Cases: a null or empty text is the end alone; without training documents all counts are 0 and every token has the root's
@@ -55,7 +57,8 @@ def distinct(x: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Sorted distinct numbers, a place of each in x, and each number's place among them."""
     # High bits with the place in the low ones sort faster than places by numbers; what only low bits tell apart is put right after.
     bits = np.uint64(len(x).bit_length())
-    order = (np.sort(x >> bits << bits | np.arange(len(x), dtype=np.uint64)) & ((np.uint64(1) << bits) - np.uint64(1))).astype(np.int64)
+    high = x << bits if int(x.max(initial=0)).bit_length() + int(bits) <= 64 else x >> bits << bits
+    order = (np.sort(high | np.arange(len(x), dtype=np.uint64)) & ((np.uint64(1) << bits) - np.uint64(1))).astype(np.int64)
     ranked = x[order]
     if (ranked[1:] < ranked[:-1]).any():
         right = np.argsort(ranked, kind="stable")
@@ -101,6 +104,8 @@ class Tokens:
         self.contexts = [np.zeros(len(every), np.uint64)]
         self.counts: list[np.ndarray] = []
         self.owned: list[np.ndarray] = []
+        #: Names of the runs of words that end here, as contexts: the bucket and the number there; 0 if not frequent enough.
+        self.names: list[np.ndarray] = []
         #: Whether a held-out token asks for the longest key asked for so far, and whether this token does.
         self.wanted, self.open = np.zeros(len(every), bool), np.ones(len(every), bool)
 
@@ -159,14 +164,18 @@ class Tokens:
         ends = np.cumsum([0, *(len(found) for found, _ in parts)])
         return ranked[new], np.concatenate([np.zeros(0, np.int64), *(place[lo + where] for lo, (_, where) in zip(ends[:-1], parts, strict=True))])
 
-    def learn(self, replies: np.ndarray) -> None:
-        """Take in the counts and owners of a question's keys. A key not asked for that can matter occurs at this token alone."""
+    def learn(self, replies: np.ndarray, names: np.ndarray | None) -> None:
+        """Take in the counts, owners and, unless they aren't needed, names of a question's keys. A key not asked for that can matter occurs at this token alone."""
         asked = self.asked()
-        codes = replies[self.question(asked)[1]].astype(np.int64)
+        where = self.question(asked)[1]
         for d, at in asked:
-            here, codes = codes[: len(at)], codes[len(at) :]
+            mine, where = where[: len(at)], where[len(at) :]
+            here = replies[mine].astype(np.int64)
             counts, owned = self.train.astype(np.int64), self.train.copy()
             counts[at], owned[at] = here >> 2, (here & 1).astype(bool) & self.train[at]
+            if d < self.depth and names is not None:
+                self.names.append(np.zeros(len(self.place), np.uint64))
+                self.names[d][at] = names[mine]
             if d >= 1:
                 self.wanted[at], self.open = here & 2 > 0, np.zeros(len(self.place), bool)
                 self.open[at] = True
@@ -187,10 +196,22 @@ class Tokens:
         out[at] = (most_gain(n, self.followers(d - 1)[at]) > self.gain) | ((n >= self.parent) if d < self.depth else False)
         return out
 
+    def name(self, d: int) -> np.ndarray:
+        """Names of the contexts of d words before each token."""
+        return self.before(self.names[d - 1], 1)
+
     def candidates(self) -> tuple[list[np.ndarray], np.ndarray, np.ndarray, np.ndarray]:
-        """By depth the tokens after candidates; distinct contexts of all depths, an entry of each, and each entry's context."""
+        """By depth the tokens after candidates; names of distinct contexts of all depths, an entry of each, and each entry's context."""
         at = [np.flatnonzero(self.after(d)) for d in range(1, self.depth + 1)]
-        return at, *distinct(np.concatenate([self.context(d)[a] for d, a in enumerate(at, 1)] or [np.zeros(0, np.uint64)]))
+        names = np.concatenate([self.name(d)[a] for d, a in enumerate(at, 1)] or [np.zeros(0, np.uint64)])
+        # Without the gap between buckets and numbers they sort faster, in the same order.
+        number = names & NUMBERS
+        _, entry, where = distinct((names >> NUMBER_BITS) * (number.max(initial=0) + np.uint64(1)) + number)
+        return at, names[entry], entry, where
+
+
+#: A name is a bucket and a number in it.
+NUMBER_BITS, NUMBERS = np.uint64(36), np.uint64((1 << 36) - 1)
 
 
 _ROWS = "round int, block long, bucket int, keys binary, counts binary, payload binary, tokens long, words long"
@@ -204,9 +225,9 @@ def _table(rows: list[tuple]) -> pa.Table:
     return pa.table({n: pa.array([r[k] for r in full], t) for k, (n, t) in enumerate(zip(_NAMES, _TYPES, strict=True))})
 
 
-def _dealt(keys: np.ndarray, buckets: int) -> Iterator[tuple[int, int, int]]:
-    """Each bucket that has some of the sorted keys, and where they are."""
-    edges = np.searchsorted(blocks.bucket_of(keys, buckets), np.arange(buckets + 1))
+def _dealt(bucket: np.ndarray, buckets: int) -> Iterator[tuple[int, int, int]]:
+    """Each bucket that has some of the keys, sorted by bucket, and where they are."""
+    edges = np.searchsorted(bucket, np.arange(buckets + 1))
     for b in np.flatnonzero(np.diff(edges)):
         yield int(b), int(edges[b]), int(edges[b + 1])
 
@@ -241,7 +262,7 @@ def _question(step: int, block: int, tokens: Tokens, buckets: int) -> list[tuple
     train = np.concatenate([np.zeros(0, bool), *(tokens.train[at] for _, at in asked)])
     counts = 2 * np.bincount(where, weights=train, minlength=len(keys)).astype(np.int64)
     counts[where[~train]] |= 1
-    return [(step, block, b, _close(keys[lo:hi]), blocks.pack(counts[lo:hi]), b"") for b, lo, hi in _dealt(keys, buckets)]
+    return [(step, block, b, _close(keys[lo:hi]), blocks.pack(counts[lo:hi]), b"") for b, lo, hi in _dealt(blocks.bucket_of(keys, buckets), buckets)]
 
 
 def _read():
@@ -288,8 +309,23 @@ def _ask_pairs(buckets: int):
     return run
 
 
-def _count(key: tuple, table: pa.Table) -> pa.Table:
-    """One bucket's counts over all blocks, in each block's order: four times the count, 2 if held-out tokens ask, 1 for the owner."""
+def _numbers(rank: np.ndarray, step: int) -> np.ndarray:
+    """Numbers from 1, which those of other questions (three at most) don't meet."""
+    return (rank.astype(np.uint64) + np.uint64(1)) * np.uint64(4) + np.uint64(step)
+
+
+def _count(least: int):
+    def run(key: tuple, table: pa.Table) -> pa.Table:
+        return _counted(least, key, table)
+
+    return run
+
+
+def _counted(least: int, key: tuple, table: pa.Table) -> pa.Table:
+    """One bucket's counts over all blocks, in each block's order: four times the count, 2 if held-out tokens ask, 1 for the owner.
+
+    Keys that occur at least so often are ranked; the block is told the ranks of its own ones.
+    """
     table = table.sort_by("block")
     keys = [_open(k) for k in table.column("keys").to_pylist()]
     mine = np.concatenate([blocks.unpack(c) for c in table.column("counts").to_pylist()]).astype(np.int64)
@@ -299,29 +335,39 @@ def _count(key: tuple, table: pa.Table) -> pa.Table:
     codes = (4 * total + 2 * wanted)[where]
     counted = np.flatnonzero(mine >> 1)
     codes[counted[np.unique(where[counted], return_index=True)[1]]] += 1
-    back = np.split(codes, np.cumsum([len(k) for k in keys])[:-1])
+    ends = np.cumsum([len(k) for k in keys])[:-1]
+    back, of = np.split(codes, ends), np.split(where, ends)
+    frequent = total >= least
+    rank = np.cumsum(frequent) - 1
     words = int(((total > 0) & (distinct & np.uint64(1) > 0)).sum())
     step, bucket = table.column("round")[0].as_py(), key[0].as_py()
-    rows = [(step, b, bucket, b"", blocks.pack(c), b"") for b, c in zip(table.column("block").to_pylist(), back, strict=True)]
+    rows = [(step, b, bucket, b"", blocks.pack(c), _close(rank[w[frequent[w]]].astype(np.uint64))) for b, c, w in zip(table.column("block").to_pylist(), back, of, strict=True)]
     return _table([*rows, (step, -1, bucket, b"", b"", b"", 0, words)])
 
 
-def _opened(table: pa.Table, total: int, rule: tuple[int, int, float], steps: int) -> tuple[int, Tokens, pa.Table, np.ndarray]:
+def _opened(table: pa.Table, total: int, rule: tuple[int, int, float], steps: int, named: bool = True) -> tuple[int, Tokens, pa.Table, np.ndarray]:
     """Of a block's row and its replies: its number, its tokens with the replies of the first steps, its documents, and the replies of the step after."""
     table = table.sort_by([("round", "ascending"), ("bucket", "ascending")])
-    step, bucket, keys, counts = (table.column(c).to_pylist() for c in ("round", "bucket", "keys", "counts"))
+    step, bucket, keys, counts, payload = (table.column(c).to_pylist() for c in ("round", "bucket", "keys", "counts", "payload"))
     at = bucket.index(-1)
-    docs = blocks.open_stream(table.column("payload")[at].as_py())
+    docs = blocks.open_stream(payload[at])
     tokens = Tokens(blocks.unpack(counts[at]).astype(np.int64), np.frombuffer(keys[at], np.uint64), docs.column("n").to_numpy(), docs.column("held").to_numpy(), total, rule)
-    replies = [np.concatenate([np.zeros(0, np.int64), *(blocks.unpack(c).astype(np.int64) for s, b, c in zip(step, bucket, counts, strict=True) if s == k and b >= 0)]) for k in range(steps + 1)]
-    for k in range(steps):
-        tokens.learn(replies[k])
-    return table.column("block")[0].as_py(), tokens, docs, replies[steps]
+    codes: list[list[np.ndarray]] = [[np.zeros(0, np.int64)] for _ in range(steps + 1)]
+    names: list[list[np.ndarray]] = [[np.zeros(0, np.uint64)] for _ in range(steps)]
+    for k, b, c, ranks in zip(step, bucket, counts, payload, strict=True):
+        if b >= 0 and k <= steps:
+            codes[k].append(blocks.unpack(c).astype(np.int64))
+            if k < steps and named:
+                names[k].append(np.zeros(len(codes[k][-1]), np.uint64))
+                names[k][-1][codes[k][-1] >> 2 >= tokens.least] = _numbers(_open(ranks), k) | np.uint64(b) << NUMBER_BITS
+    for c, some in zip(codes, names, strict=False):
+        tokens.learn(np.concatenate(c), np.concatenate(some) if named else None)
+    return table.column("block")[0].as_py(), tokens, docs, np.concatenate(codes[steps])
 
 
 def _ask_longer(total: int, rule: tuple[int, int, float], step: int, buckets: int):
     def run(key: tuple, mine: pa.Table) -> pa.Table:
-        block, tokens, _, _ = _opened(mine, total, rule, step)
+        block, tokens, _, _ = _opened(mine, total, rule, step, named=False)
         return _table(_question(step, block, tokens, buckets))
 
     return run
@@ -338,8 +384,8 @@ def _ask_contexts(total: int, rule: tuple[int, int, float], buckets: int):
         n, up, places = (np.concatenate([np.zeros(0, np.int64), *x]) for x in ([tokens.followers(d)[a] for d, a in enumerate(at, 1)], [tokens.followers(d - 1)[a] for d, a in enumerate(at, 1)], at))
         n, up, places, deep = n[entry], up[entry], places[entry], np.repeat(np.arange(1, depth + 1), [len(a) for a in at])[entry]
         able = most_gain(n, up) > gain_least
-        seen, gain = np.zeros(len(contexts), np.int64), np.zeros(len(contexts))
-        own = np.zeros(len(contexts), bool)
+        seen, own = np.zeros(len(contexts), np.int64), np.zeros(len(contexts), bool)
+        repeated = [np.zeros((3, 0), np.int64)]
         done = 0
         for d, a in enumerate(at, 1):
             own[where[done : done + len(a)][tokens.before(tokens.owned[d - 1], 1)[a]]] = True
@@ -347,16 +393,20 @@ def _ask_contexts(total: int, rule: tuple[int, int, float], buckets: int):
             here = here[distinct(tokens.keys(d, a[here]))[1]]
             m, above, of = tokens.counts[d][a[here]], tokens.counts[d - 1][a[here]], where[done + here]
             seen += np.bincount(of, minlength=len(contexts))
-            gain += np.bincount(of, weights=(m - 1) * (np.log(m) - np.log(above)), minlength=len(contexts))
+            again = (m > 1) & able[of]
+            repeated.append(np.stack([of[again], m[again], above[again]]))
             done += len(a)
-        gain[~able] = 0
-        suffixes = [np.where(deep > k, tokens.context(k)[places], np.uint64(0)) for k in range(1, depth)]
+        of, m, above = np.concatenate(repeated, axis=1)
+        order = np.argsort(of, kind="stable")
+        m, above, times = m[order], above[order], np.bincount(of, minlength=len(contexts))
+        ends = np.cumsum(np.r_[0, times])
+        suffixes = [np.where(deep > k, tokens.name(k)[places], np.uint64(0)) for k in range(1, depth)]
         rows = []
-        for b, lo, hi in _dealt(contexts, buckets):
-            mine, some = lo + np.flatnonzero((own & able)[lo:hi]), lo + np.flatnonzero(seen[lo:hi])
+        for b, lo, hi in _dealt((contexts >> NUMBER_BITS).astype(np.int64), buckets):
+            mine, some = lo + np.flatnonzero((own & able)[lo:hi]), slice(ends[lo], ends[hi])
             facts = [mine - lo, n[mine], up[mine], *(x[mine] for x in suffixes)]
-            shares = [some - lo, seen[some], gain[some].view(np.uint64)]
-            rows.append((step, block, b, _close(contexts[lo:hi]), _packed(facts), _packed(shares)))
+            shares = [seen[lo:hi], times[lo:hi], m[some], above[some]]
+            rows.append((step, block, b, _close(contexts[lo:hi] & NUMBERS), _packed(facts), _packed(shares)))
         return _table(rows)
 
     return run
@@ -370,31 +420,34 @@ def _test(gain: float, step: int, buckets: int):
         contexts, where = np.unique(np.concatenate(keys), return_inverse=True)
         begins = np.cumsum([0, *map(len, keys)])[:-1]
         facts, shares = ([_unpacked(x) for x in table.column(c).to_pylist()] for c in ("counts", "payload"))
-        owned, some = (where[np.concatenate([t[0].astype(np.int64) + o for t, o in zip(ts, begins, strict=True)])] for ts in (facts, shares))
+        owned = where[np.concatenate([t[0].astype(np.int64) + o for t, o in zip(facts, begins, strict=True)])]
         column = lambda ts, k: np.concatenate([t[k].astype(np.uint64) for t in ts])
         # Contexts without counts can't pass.
         n, up = np.full(len(contexts), np.nan), np.full(len(contexts), np.nan)
         n[owned], up[owned] = column(facts, 1), column(facts, 2)
-        t, repeated = (np.bincount(some, weights=w, minlength=len(contexts)) for w in (column(shares, 1), column(shares, 2).view(np.float64)))
+        t = np.bincount(where, weights=column(shares, 0), minlength=len(contexts))
+        m, above = column(shares, 2).astype(float), column(shares, 3).astype(float)
+        repeated = np.bincount(np.repeat(where, column(shares, 1).astype(np.int64)), weights=(m - 1) * (np.log(m) - np.log(above)), minlength=len(contexts))
         better = repeated - (n - t) * (np.log(n + t) - np.log(up)) + t * np.log(t / (n + t))
         passes = better > gain
         marks = np.unique(np.concatenate([np.zeros(0, np.uint64), *(column(facts, k)[passes[owned]] for k in range(3, len(facts[0])))]))
         marks = marks[marks > 0]
         rows = [(step, -1, bucket, _close(contexts), blocks.pack(2 * t.astype(np.int64) + passes), b"")]
         places = np.split(where, np.cumsum([len(k) for k in keys])[:-1])
-        rows += [(step, b, bucket, b"", blocks.pack(w), b"") for b, w in zip(table.column("block").to_pylist(), places, strict=True)]
-        return _table(rows + [(step, -2, b, _close(marks[lo:hi]), b"", b"") for b, lo, hi in _dealt(marks, buckets)])
+        rows += [(step, b, bucket, b"", _close(w.astype(np.uint64)), b"") for b, w in zip(table.column("block").to_pylist(), places, strict=True)]
+        return _table(rows + [(step, -2, b, _close(marks[lo:hi] & NUMBERS), b"", b"") for b, lo, hi in _dealt((marks >> NUMBER_BITS).astype(np.int64), buckets)])
 
     return run
 
 
 def _retain(key: tuple, table: pa.Table) -> pa.Table:
-    """Replies about contexts: twice the distinct next words, and 1 if retained."""
+    """Replies about contexts: twice the distinct next words and 1 if retained, else 0."""
     block, keys, counts = (table.column(c).to_pylist() for c in ("block", "keys", "counts"))
     at = block.index(-1)
     marked = np.concatenate([np.zeros(0, np.uint64), *(_open(k) for b, k in zip(block, keys, strict=True) if b == -2)])
     codes = blocks.unpack(counts[at]).astype(np.int64) | np.isin(_open(keys[at]), marked)
-    return _table([(table.column("round")[0].as_py(), b, key[0].as_py(), b"", blocks.pack(codes[blocks.unpack(c)]), b"") for b, c in zip(block, counts, strict=True) if b >= 0])
+    codes[codes & 1 == 0] = 0
+    return _table([(table.column("round")[0].as_py(), b, key[0].as_py(), b"", blocks.pack(codes[_open(c).astype(np.int64)]), b"") for b, c in zip(block, counts, strict=True) if b >= 0])
 
 
 def _finish(total: int, words: int, rule: tuple[int, int, float]):
@@ -430,13 +483,13 @@ def suffix_tree_scores(docs: DataFrame, folds: int = 7, fold: int = 2, least: in
     mine = common.bucketed(docs.mapInArrow(_read(), _ROWS), "block", "word-blocks", last=False)
     total = mine.agg(F.sum("tokens")).first()[0] or 0
     add = lambda more, last=False: common.bucketed(more, "block", "word-blocks", mine, last)
-    known = add(mine.mapInArrow(_ask_pairs(buckets), _ROWS).groupBy("bucket").applyInArrow(_count, _ROWS))
+    known = add(mine.mapInArrow(_ask_pairs(buckets), _ROWS).groupBy("bucket").applyInArrow(_count(least), _ROWS))
     words = known.agg(F.sum("words")).first()[0] or 0
     by_block = lambda r: r.where("block >= 0").groupBy("block")
     rule, steps = (depth, least, gain), len(steps_of(depth))
     for step in range(1, steps):
         longer = by_block(known).applyInArrow(_ask_longer(total, rule, step, buckets), _ROWS)
-        known = add(longer.groupBy("bucket").applyInArrow(_count, _ROWS))
+        known = add(longer.groupBy("bucket").applyInArrow(_count(least), _ROWS))
     contexts = by_block(known).applyInArrow(_ask_contexts(total, rule, buckets), _ROWS)
     tested = contexts.groupBy("bucket").applyInArrow(_test(gain, steps, buckets), _ROWS)
     retained = tested.groupBy("bucket").applyInArrow(_retain, _ROWS)
