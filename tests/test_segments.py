@@ -121,3 +121,17 @@ def test_empty_tables(spark, samples):
     assert segments.placed(none, KEYS).count() == 0 and segments.device_agnostic(none, KEYS).count() == 0
     assert segments.periods(none, KEYS).count() == 0 and segments.medians(none, KEYS, "value").count() == 0
     assert segments.quality(none, quality.declare(none.select("recording_id"))).count() == 0
+
+
+def test_short_keys_are_not_sketched(spark, samples):
+    """Without long keys nothing is sketched or joined; long ones beside short ones give the same."""
+    plan = lambda df: df._jdf.queryExecution().optimizedPlan().toString()
+    values = samples.withColumn("value", F.nanvl("value", F.lit(None)))
+    ranks = {"low": "m div 20", "below": "(m - 1) div 2", "above": "m div 2"}
+    short, mixed = (segments.order_statistics(values, KEYS, "value", ranks, few=few) for few in (10_000, 60))
+    assert not any(w in plan(short) for w in ("percentile_approx", "Join", "Generate"))
+    assert sorted(map(str, short.collect())) == sorted(map(str, mixed.collect()))
+    short, cut = (segments.placed(values, KEYS, rows, 32) for rows in (10_000, 60))
+    assert not any(w in plan(short) for w in ("percentile_approx", "Join"))
+    assert short.dtypes == cut.dtypes
+    assert sorted(map(str, short.collect())) == sorted(map(str, cut.collect()))

@@ -7,7 +7,8 @@ is to the others is a summary (rows, finite values, last sample), and a running
 beginning: places, previous samples, crossings and areas then need no task that holds a recording, and no array.
 
 Quantiles are selected, not sorted: a sketch brackets the ranks that are asked for, everything below a bracket is one count,
-and only distinct values inside, a few ten-thousandths of a long key, are put in order.
+and only distinct values inside, a few ten-thousandths of a long key, are put in order. A key of few values is an array of them.
+Where no recording is long, a sample's place is its place in one ordered window: nothing is cut, sketched or joined.
 
 Places that several aggregates need are written once in the shared folder, so an operator here may run jobs of its own.
 
@@ -37,11 +38,16 @@ SEGMENT = 1 << 18
 ACCURACY, FEW = 10_000, 10_000
 
 
-def cut(samples: DataFrame, keys: Sequence[str], rows: int = ROWS, ranges: int = RANGES) -> DataFrame:
+def _sizes(samples: DataFrame, keys: Sequence[str]) -> tuple[DataFrame, int]:
+    """Rows of each key (_n), and the most of a key."""
+    counts = (samples.groupBy(*keys) if keys else samples).agg(F.count("*").alias("_n"))
+    return counts, counts.agg(F.max("_n")).first()[0] or 0
+
+
+def cut(samples: DataFrame, keys: Sequence[str], rows: int = ROWS, ranges: int = RANGES, sizes: tuple[DataFrame, int] | None = None) -> DataFrame:
     """samples with seg, which grows with t within a recording; dealt by recording and segment."""
     keys = list(keys)
-    counts = (samples.groupBy(*keys) if keys else samples).agg(F.count("*").alias("_n"))
-    longest = counts.agg(F.max("_n")).first()[0] or 0
+    counts, longest = sizes or _sizes(samples, keys)
     fine = max(1, ranges // COARSE, -(-longest // (SEGMENT * COARSE)) if longest > rows else 1)
     shares = [k / (fine * COARSE) for k in range(1, fine * COARSE)]
     # only long recordings are sketched; where there are none the joins are found empty and go
@@ -72,8 +78,14 @@ def finite(x: str = "value") -> Column:
 def placed(samples: DataFrame, keys: Sequence[str], rows: int = ROWS, ranges: int = RANGES) -> DataFrame:
     """samples with n, idx (place from 0), finite_idx (finite values before) and the sample before: prev_t, prev_value; NULL for the first."""
     keys = list(keys)
-    parts = cut(samples, keys, rows, ranges)
+    sizes = _sizes(samples, keys)
     order = [F.col(c).asc_nulls_first() for c in ("t", "tie", "value")]
+    if sizes[1] <= rows:
+        whole, own = Window.partitionBy(*keys), Window.partitionBy(*keys).orderBy(*order)
+        finite_before = F.coalesce(F.sum(finite().cast("int")).over(own.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+        places = {"n": F.count("*").over(whole), "idx": (F.row_number().over(own) - 1).cast("long"), "finite_idx": finite_before.cast("long")}
+        return samples.withColumns(places | {f"prev_{c}": F.lag(c).over(own) for c in ("t", "value")})
+    parts = cut(samples, keys, rows, ranges, sizes)
     last = F.max(F.struct("t", "tie", "value"))
     sums = parts.groupBy(*keys, "seg").agg(F.count("*").alias("_m"), F.count_if(finite()).alias("_f"), last.alias("_last"))
     by_seg = Window.partitionBy(*keys).orderBy("seg")
@@ -93,18 +105,39 @@ def placed(samples: DataFrame, keys: Sequence[str], rows: int = ROWS, ranges: in
 
 
 def order_statistics(rows: DataFrame, keys: Sequence[str], column: str, ranks: dict[str, str], accuracy: int = ACCURACY, few: int = FEW) -> DataFrame:
-    """keys and, by name, the value at each rank from 0 of the column's values; a rank is SQL over m, their count. NULLs don't count."""
+    """keys and, by name, the value at each rank from 0 of the column's values; a rank is SQL over m, their count. NULLs don't count.
+
+    Keys of at most `few` values are sorted as arrays, only longer ones are sketched.
+    """
     keys = list(keys)
     r = rows.where(F.col(column).isNotNull()).select(*keys, F.col(column).alias("_v"))
+    counts, longest = _sizes(r, keys)
+    if longest <= few:
+        return _short_statistics(r, keys, ranks)
+    long = counts.where(F.col("_n") > few).select(*keys)
+    short = _short_statistics(_joined(r, long, keys, "left_anti"), keys, ranks)
+    return short.unionByName(_long_statistics(_joined(r, long, keys), keys, ranks, accuracy))
+
+
+def _short_statistics(r: DataFrame, keys: list[str], ranks: dict[str, str]) -> DataFrame:
+    """order_statistics() of keys whose values fit in an array."""
+    # as grouping does, minus zero counts as zero
+    value = F.col("_v") + F.lit(0) if r.schema["_v"].dataType.typeName() in ("double", "float") else F.col("_v")
+    s = r.groupBy(*keys).agg(F.sort_array(F.collect_list(value)).alias("_s")).withColumn("m", F.size("_s").cast("long"))
+    found = s.select(*keys, *(F.expr(f"get(_s, cast({sql} AS int))").alias(name) for name, sql in ranks.items()))
+    return found.where(F.coalesce(*ranks).isNotNull())
+
+
+def _long_statistics(r: DataFrame, keys: list[str], ranks: dict[str, str], accuracy: int) -> DataFrame:
     sketch = F.percentile_approx("_v", [k / 1000 for k in range(1001)], accuracy)
-    brackets = r.groupBy(*keys).agg(F.count("*").alias("m"), F.min("_v").alias("_lo"), F.max("_v").alias("_hi"), sketch.alias("_q"))
+    brackets = r.groupBy(*keys).agg(F.count("*").alias("m"), sketch.alias("_q"))
     place = {name: F.expr(f"cast({sql} AS bigint)") for name, sql in ranks.items()}
     step = lambda at, by: F.get("_q", F.least(F.lit(1000), F.greatest(F.lit(0), (F.floor(at * 1000 / F.col("m")) + by).cast("int"))))
     bracket = lambda name: F.struct(
         F.lit(name).alias("name"),
         place[name].alias("rank"),
-        F.when(F.col("m") <= few, F.col("_lo")).otherwise(step(place[name], -1)).alias("lo"),
-        F.when(F.col("m") <= few, F.col("_hi")).otherwise(step(place[name], 2)).alias("hi"),
+        step(place[name], -1).alias("lo"),
+        step(place[name], 2).alias("hi"),
     )
     brackets = brackets.select(*keys, F.array(*map(bracket, ranks)).alias("_b"))
     told = _joined(r, brackets, keys).select(*keys, "_v", F.explode(F.filter("_b", lambda b: F.col("_v") <= b["hi"])).alias("b"))
@@ -128,7 +161,12 @@ def gap_rows(placed_rows: DataFrame) -> DataFrame:
 
 def periods(samples: DataFrame, keys: Sequence[str], rows: int = ROWS, ranges: int = RANGES) -> DataFrame:
     """keys, n, first_t, last_t, non_positive (steps of no time) and median_gap, the median of the positive steps."""
-    return _periods(scratch.stored(placed(samples.select(*keys, "t", "tie", "value"), keys, rows, ranges).select(*keys, "idx", "t", "prev_t"), "places"), keys)
+    return _periods(times(samples, keys, rows, ranges), keys)
+
+
+def times(samples: DataFrame, keys: Sequence[str], rows: int = ROWS, ranges: int = RANGES) -> DataFrame:
+    """keys, idx, t and prev_t of samples in their order, written once."""
+    return scratch.stored(placed(samples.select(*keys, "t", "tie", "value"), keys, rows, ranges).select(*keys, "idx", "t", "prev_t"), "places")
 
 
 def _periods(p: DataFrame, keys: Sequence[str]) -> DataFrame:
@@ -137,10 +175,13 @@ def _periods(p: DataFrame, keys: Sequence[str]) -> DataFrame:
     return _joined(whole, medians(g.where("g > 0"), keys, "g", "median_gap"), keys, "left")
 
 
-def continuity(samples: DataFrame, recordings: DataFrame, key: str = "recording_id", rows: int = ROWS, ranges: int = RANGES) -> DataFrame:
-    """quality.continuity() of samples: recordings has the key and the declarations, a row for each recording."""
-    p = scratch.stored(placed(samples.select(key, "t", "tie", "value"), [key], rows, ranges).select(key, "idx", "t", "prev_t"), "places")
-    r = scratch.stored(_joined(_periods(p, [key]), recordings, [key]), "periods")
+def continuity(samples: DataFrame, recordings: DataFrame, key: str = "recording_id", rows: int = ROWS, ranges: int = RANGES, known: tuple[DataFrame, DataFrame] | None = None) -> DataFrame:
+    """quality.continuity() of samples: recordings has the key and the declarations, a row for each recording.
+
+    known has times() and periods() of the samples, if they were needed before.
+    """
+    p = known[0] if known else times(samples, [key], rows, ranges)
+    r = scratch.stored(_joined(known[1] if known else _periods(p, [key]), recordings, [key]), "periods")
     r = r.withColumn("unit_ratio", F.expr("CASE WHEN rate > 0D THEN median_gap / (1000D / rate) END"))
     r = r.withColumn("time_unit_mismatch", F.expr(f"coalesce(unit_ratio < {Q.UNIT_RATIO[0]}D OR unit_ratio > {Q.UNIT_RATIO[1]}D, false)"))
     r = r.withColumn("nominal", F.expr("CASE WHEN rate IS NULL THEN median_gap WHEN rate > 0D THEN 1000D / rate END"))
@@ -246,12 +287,12 @@ def channel_scores(samples: DataFrame, recordings: DataFrame, rows: int = ROWS,
     }).select(*keys, "n", "r0", "cv", "dead", "net_span", "clipped", "range_score", "free_score", "signal_score", "recovery_score")
 
 
-def quality(samples: DataFrame, recordings: DataFrame, rows: int = ROWS, ranges: int = RANGES) -> DataFrame:
+def quality(samples: DataFrame, recordings: DataFrame, rows: int = ROWS, ranges: int = RANGES, known: tuple[DataFrame, DataFrame] | None = None) -> DataFrame:
     """quality.quality() of samples (recording_id, channel, t, tie, value) whose recordings have the declarations, a row each.
 
-    A recording's times are those of all its channels' samples.
+    A recording's times are those of all its channels' samples; known is as in continuity().
     """
-    return Q.report(channel_scores(samples, recordings, rows, ranges), continuity(samples.drop("channel"), recordings, "recording_id", rows, ranges))
+    return Q.report(channel_scores(samples, recordings, rows, ranges), continuity(samples.drop("channel"), recordings, "recording_id", rows, ranges, known))
 
 
 #: Segments of the queries, small enough that the tables' recordings have several.
@@ -293,9 +334,10 @@ def _q_crossings(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _q_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     s = views.stream_samples(spark, sf_dir)
-    of = periods(s.drop("channel"), ["recording_id"], _ROWS, _RANGES).select("recording_id", "median_gap")
-    declared = Q.declare(of, guess_rate="1000D / median_gap", adc_max="200D", role="'exposure'", baseline="'auto'").drop("median_gap")
-    out = quality(s, declared, _ROWS, _RANGES)
+    ordered = times(s.drop("channel"), ["recording_id"], _ROWS, _RANGES)
+    of = scratch.stored(_periods(ordered, ["recording_id"]), "periods")
+    declared = Q.declare(of.select("recording_id", "median_gap"), guess_rate="1000D / median_gap", adc_max="200D", role="'exposure'", baseline="'auto'").drop("median_gap")
+    out = quality(s, declared, _ROWS, _RANGES, (ordered, of))
     return out.selectExpr("recording_id", *(f"{A.snap(c, 5)} AS {c}" for c in Q.WEIGHTS), "total", "badge", "n_dead", "array_join(flags, ',') AS flags")
 
 
