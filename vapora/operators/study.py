@@ -75,7 +75,8 @@ def half_scores(recordings: DataFrame) -> DataFrame:
     parts = halves(whole).withColumn("recording_id", F.concat_ws("#", "recording_id", "half"))
     times = recordings.where("ok").select(F.col("path").alias("recording_id"), F.lit("t").alias("channel"), F.col("t").alias("v"), F.size("t").cast("long").alias("n"), "rate_hz")
     frames = halves(times).select(F.concat_ws("#", "recording_id", "half").alias("recording_id"), F.transform("v", lambda x, i: i * 1000.0 / F.col("rate_hz")).alias("t"), "n", "rate_hz")
-    report = Q.quality(parts.drop("half"), Q.declare(frames, rate="rate_hz").drop("rate_hz"))
+    # a table with a row for each recording is small in its file and large in the driver's memory: never broadcast
+    report = Q.quality(parts.drop("half"), Q.declare(frames, rate="rate_hz").drop("rate_hz").hint("merge"))
     return report.select(F.substring_index("recording_id", "#", 1).alias("recording_id"), F.substring_index("recording_id", "#", -1).cast("int").alias("half"), *Q.WEIGHTS)
 
 
@@ -117,7 +118,7 @@ def collection_report(recordings: DataFrame) -> DataFrame:
     recordings are those of a folder whose sub-folders are the substances, as sources.recordings.read_recordings gives them.
     """
     counted = substance_rollup(recordings.select("substance", "ok")).withColumn("place", F.row_number().over(Window.orderBy("substance")) - 1)  # a row for each substance
-    halves_of = half_scores(recordings).join(recordings.select(F.col("path").alias("recording_id"), "substance"), "recording_id")
+    halves_of = half_scores(recordings).join(recordings.select(F.col("path").alias("recording_id"), "substance").hint("merge"), "recording_id")
     means = halves_of.groupBy("substance").agg(F.count("*").alias("halves"), *(F.avg(c).alias(c) for c in Q.WEIGHTS))
     return counted.join(means, "substance", "left")
 

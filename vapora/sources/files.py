@@ -7,8 +7,9 @@ head of a file for its header, delimiter and kind of time column; what depends o
 number, whether times are epoch seconds, their order) is left to samples(), which aggregates it. Conditions on path and
 substance are pushed down to the listing of files when spark.sql.python.filterPushdown.enabled is set.
 
-Writing leaves one readable file per recording. Tasks write to a staging folder and send only their folder's name; the commit
-moves files to their places and an abort deletes what was staged, so a failed job or a repeated task leaves nothing behind.
+Writing leaves one readable file per recording. Tasks write to a staging folder and send only their folder's name; write_files()
+then compares names and moves files to their places in tasks, so the driver holds none of them. A save without it moves them in
+the commit, by the driver. An abort deletes what was staged, so a failed job or a repeated task leaves nothing behind.
 
 Files are reached by pyarrow's file systems, so a path may be local or in any store that pyarrow knows.
 
@@ -23,7 +24,7 @@ import json
 import posixpath
 import uuid
 import zipfile
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
 from itertools import groupby
@@ -42,6 +43,8 @@ from vapora.sources import recordings as R
 FORMAT = "recording_files"
 #: A row per line: at orders the lines of a file, numbers has a value per column of the header, NULL where a cell holds none; plain tells a time that is a number in no declared seconds.
 LINES = "path string, substance string, at long, header array<string>, time_column int, time_source string, delimiter string, whole boolean, t_ms double, numbers array<double>, manifest string, events string, error string, plain boolean"
+#: The file of a staging folder that names the folders of the tasks whose files count.
+FOLDERS = "_folders.json"
 #: What a writer takes: recordings, or lines of text in order.
 _TEXT = {"path", "line"}
 #: Bytes of a partition, bytes of a file's head that are read at once, rows that tell whether a column holds times.
@@ -250,7 +253,8 @@ class Writer(DataSourceWriter):
 
     def __init__(self, options: dict, schema: StructType, overwrite: bool):
         self.path, self.overwrite = options["path"], overwrite
-        self.staging = f"_staging-{uuid.uuid4().hex}"
+        self.kept = "staging" in options  # who gives the folder moves its files
+        self.staging = options.get("staging", f"_staging-{uuid.uuid4().hex}")
         if set(schema.names) != _TEXT and not {"path", "channel_ids", "t", "channels"} <= set(schema.names):
             raise ValueError("recording_files takes recordings, or rows of path and line")
 
@@ -270,7 +274,7 @@ class Writer(DataSourceWriter):
         store, base = pafs.FileSystem.from_uri(self.path)
         folder, done = f"{self.staging}/{uuid.uuid4().hex}", set()
         try:
-            open_path, out = None, None
+            open_path, out, made = None, None, None
             for name, raw, more in self._contents(iterator):
                 if more and name == open_path:
                     out.write(raw)
@@ -281,7 +285,8 @@ class Writer(DataSourceWriter):
                 if out:
                     out.close()
                 at = f"{base}/{folder}/{name}"
-                store.create_dir(posixpath.dirname(at), recursive=True)
+                if made != (made := posixpath.dirname(at)):
+                    store.create_dir(made, recursive=True)
                 out, open_path = store.open_output_stream(at), name
                 out.write(raw)
             if out:
@@ -293,6 +298,11 @@ class Writer(DataSourceWriter):
 
     def commit(self, messages: list[Staged | None]) -> None:
         store, base = pafs.FileSystem.from_uri(self.path)
+        if self.kept:
+            store.create_dir(f"{base}/{self.staging}", recursive=True)
+            with store.open_output_stream(f"{base}/{self.staging}/{FOLDERS}") as out:
+                out.write(json.dumps([m.folder for m in messages if m and m.files]).encode())
+            return
         moves: dict[str, str] = {}
         for m in messages:
             if m and m.files:
@@ -305,17 +315,12 @@ class Writer(DataSourceWriter):
                             raise ValueError(f"two recordings would be {to}")
                         moves[to] = info.path
         if self.overwrite:
-            for info in store.get_file_info(pafs.FileSelector(base, allow_not_found=True)):
-                if posixpath.basename(info.path) != self.staging:
-                    store.delete_dir(info.path) if info.type == pafs.FileType.Directory else store.delete_file(info.path)
+            _clear(store, base, self.staging)
         for folder in {posixpath.dirname(to) for to in moves}:
             store.create_dir(folder, recursive=True)
         with ThreadPoolExecutor(16) as pool:
             list(pool.map(lambda m: store.move(m[1], m[0]), moves.items()))
-        _delete(store, f"{base}/{self.staging}")
-        store.create_dir(base, recursive=True)
-        with store.open_output_stream(f"{base}/_SUCCESS"):
-            pass
+        _finish(store, base, self.staging)
 
     def abort(self, messages: list[Staged | None]) -> None:
         store, base = pafs.FileSystem.from_uri(self.path)
@@ -338,6 +343,86 @@ def _delete(store: pafs.FileSystem, path: str) -> None:
         store.delete_dir(path)
 
 
+def _clear(store: pafs.FileSystem, base: str, staging: str) -> None:
+    """Deletes what a folder holds beside what is staged."""
+    for info in store.get_file_info(pafs.FileSelector(base, allow_not_found=True)):
+        if posixpath.basename(info.path) != staging:
+            store.delete_dir(info.path) if info.type == pafs.FileType.Directory else store.delete_file(info.path)
+
+
+def _finish(store: pafs.FileSystem, base: str, staging: str) -> None:
+    _delete(store, f"{base}/{staging}")
+    store.create_dir(base, recursive=True)
+    with store.open_output_stream(f"{base}/_SUCCESS"):
+        pass
+
+
+def _staged(store: pafs.FileSystem, base: str, batches: Iterator[pa.RecordBatch]) -> Iterator[list[tuple[str, str]]]:
+    """The staged files of tasks' folders and their places, some thousand at once."""
+    for batch in batches:
+        for folder in batch.column("folder").to_pylist():
+            root = f"{base}/{folder}"
+            found = [i.path for i in store.get_file_info(pafs.FileSelector(root, recursive=True)) if i.type == pafs.FileType.File]
+            for lo in range(0, len(found), 4096):
+                yield [(at, f"{base}/{posixpath.relpath(at, root)}") for at in found[lo : lo + 4096]]
+
+
+def _places(path: str, free: bool) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """The places of staged files, and whether a file lies there already; with free none does."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        store, base = pafs.FileSystem.from_uri(path)
+        for some in _staged(store, base, batches):
+            to = [place for _, place in some]
+            taken = [False] * len(to) if free else [i.type != pafs.FileType.NotFound for i in store.get_file_info(to)]
+            yield pa.RecordBatch.from_arrays([pa.array(to, pa.string()), pa.array(taken, pa.bool_())], ["place", "taken"])
+
+    return run
+
+
+def _moves(path: str) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """Moves staged files to their places; a repeated task finds those that are left."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        store, base = pafs.FileSystem.from_uri(path)
+        made = None
+        for some in _staged(store, base, batches):
+            for at, to in some:
+                if made != (made := posixpath.dirname(to)):
+                    store.create_dir(made, recursive=True)
+                try:
+                    store.move(at, to)
+                except OSError:  # another attempt of this task was faster
+                    if store.get_file_info(to).type == pafs.FileType.NotFound:
+                        raise
+            yield pa.RecordBatch.from_arrays([pa.array([len(some)], pa.int64())], ["moved"])
+
+    return run
+
+
+def _settle(spark: SparkSession, path: str, staging: str, overwrite: bool) -> None:
+    """Gives staged files their places by tasks, if no two have the same and, unless they overwrite, none is taken."""
+    store, base = pafs.FileSystem.from_uri(path)
+    try:
+        with store.open_input_file(f"{base}/{staging}/{FOLDERS}") as f:
+            folders = json.loads(f.read())
+        if folders:
+            tasks = spark.createDataFrame([(x,) for x in folders], "folder string").repartition(len(folders))
+            free = overwrite or len(store.get_file_info(pafs.FileSelector(base))) == 1
+            places = tasks.mapInArrow(_places(path, free), "place string, taken boolean").groupBy("place").agg((F.max("taken") | (F.count("*") > 1)).alias("twice"))
+            twice = places.where("twice").agg(F.min("place")).first()[0]
+            if twice is not None:
+                raise ValueError(f"two recordings would be {twice}")
+        if overwrite:
+            _clear(store, base, staging)
+        if folders:
+            tasks.mapInArrow(_moves(path), "moved long").agg(F.sum("moved")).collect()
+    except BaseException:
+        _delete(store, f"{base}/{staging}")
+        raise
+    _finish(store, base, staging)
+
+
 def _bundle(row) -> bytes:
     ids, has = list(row["channel_ids"]), row.asDict()
     manifest = json.loads(has["manifest"]) if has.get("manifest") else {"formatVersion": "1.0", "sensor": {"sensorType": has.get("sensor_type") or "unknown", "channels": [{"id": c, "unit": "adc"} for c in ids]}}
@@ -373,7 +458,9 @@ def read_lines(spark: SparkSession, path: str, **options: object) -> DataFrame:
 def write_files(df: DataFrame, path: str, overwrite: bool = False) -> None:
     """Recordings as bundles, one file each; or rows of path and line, in order and one path's together, as texts."""
     register(df.sparkSession)
-    df.write.format(FORMAT).mode("overwrite" if overwrite else "append").save(path)
+    staging = f"_staging-{uuid.uuid4().hex}"
+    df.write.format(FORMAT).option("staging", staging).mode("append").save(path)
+    _settle(df.sparkSession, path, staging, overwrite)
 
 
 def columns(lines: DataFrame) -> DataFrame:
