@@ -164,7 +164,7 @@ class Tokens:
         ends = np.cumsum([0, *(len(found) for found, _ in parts)])
         return ranked[new], np.concatenate([np.zeros(0, np.int64), *(place[lo + where] for lo, (_, where) in zip(ends[:-1], parts, strict=True))])
 
-    def learn(self, replies: np.ndarray, names: np.ndarray | None) -> None:
+    def learn(self, replies: np.ndarray, names: np.ndarray | None = None) -> None:
         """Take in the counts, owners and, unless they aren't needed, names of a question's keys. A key not asked for that can matter occurs at this token alone."""
         asked = self.asked()
         where = self.question(asked)[1]
